@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from labelspark.catalog import cleaning, labels  # noqa: F401
+from labelspark.catalog import cleaning, labels, reshaping, splitting  # noqa: F401
 from labelspark.catalog.registry import ORACLE, QUERIES  # noqa: F401

@@ -82,8 +82,7 @@ def filter_any_label(read, spark):
 
 @query(
     "labels_array",
-    "select doc_id, array_to_string(list_filter([case when quality = 1 then 'quality' end, "
-    "case when toxic = 1 then 'toxic' end], x -> x is not null), '|') as labels, "
+    "select doc_id, concat_ws('|', case when quality = 1 then 'quality' end, case when toxic = 1 then 'toxic' end) as labels, "
     "cast((quality = 1) as integer) + cast((toxic = 1) as integer) as n from labels",
 )
 def labels_array(read, spark):

@@ -82,7 +82,7 @@ def expand_types(df, keep, types="types"):
 
 def relabel_generated(generated, labelled, text="text", original="original_comment"):
     """Generated rows take the labels of their source text; rows without a source are left out."""
-    source = labelled.select(F.col(text).alias(original), "labels").dropDuplicates([original])
+    source = labelled.groupBy(F.col(text).alias(original)).agg(F.min("labels").alias("labels"))
     return skewed_join(generated.drop("labels"), source, original)
 
 

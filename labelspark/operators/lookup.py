@@ -59,22 +59,24 @@ def lookup_join(big, small, on, how="inner", max_rows=SMALL_ROWS, salts=SALTS):
 def skewed_join(big, unique, on, how="inner", hot_rows=HOT_ROWS):
     """Equi-join of rows with a large table that is unique on the key.
 
-    Keys with more than `hot_rows` rows are found by one narrow count. Their few partners go to the
-    executors; all other rows take the ordinary shuffle join.
+    Keys with more than `hot_rows` rows are found by one count of key hashes. Their few partners go to
+    the executors; all other rows take the ordinary shuffle join.
     """
     keys = _keys(on)
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > hot_rows).select(*keys)
-    local = small_table(hot)
+    big = big.withColumn("_h", F.xxhash64(*keys))
+    unique = unique.withColumn("_h", F.xxhash64(*keys))
+    counts = big.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    local = small_table(counts.where(F.col("_n") > hot_rows).select("_h"))
     if local is None:
-        return _salted_join(big, unique, on, how, SALTS)
+        return _salted_join(big, unique, keys + ["_h"], how, SALTS).drop("_h")
     if local.isEmpty():
-        return big.join(unique, keys, how)
-    hot_keys = F.broadcast(local)
-    hot_side = big.join(hot_keys, keys, "left_semi")
-    rest = big.join(hot_keys, keys, "left_anti")
-    partners = unique.join(hot_keys, keys, "left_semi")
-    return hot_side.join(F.broadcast(partners), keys, how).unionByName(rest.join(unique, keys, how))
+        return big.join(unique, keys + ["_h"], how).drop("_h")
+    hot = F.broadcast(local)
+    hot_side = big.join(hot, "_h", "left_semi")
+    rest = big.join(hot, "_h", "left_anti")
+    partners = F.broadcast(unique.join(hot, "_h", "left_semi"))
+    joined = hot_side.join(partners, keys + ["_h"], how).unionByName(rest.join(unique, keys + ["_h"], how))
+    return joined.drop("_h")
 
 
 def pair_all(df, values, column, max_rows=10_000, shards=64):
