@@ -85,6 +85,7 @@ def argmax(scores):
 
 def softmax(logits):
     """Probabilities of a logit array."""
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
+    n = F.size(logits)
+    shifted = F.zip_with(logits, F.array_repeat(F.array_max(logits), n), lambda x, top: F.exp(x - top))
     total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda x: x / total)
+    return F.zip_with(shifted, F.array_repeat(total, n), lambda x, t: x / t)
