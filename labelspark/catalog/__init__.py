@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from labelspark.catalog import cleaning, files, labels, reshaping, scoring, splitting  # noqa: F401
+from labelspark.catalog import cleaning, files, labels, modelling, plans, reshaping, scoring, splitting  # noqa: F401
 from labelspark.catalog.registry import ORACLE, QUERIES  # noqa: F401

@@ -38,3 +38,10 @@ def shared_folder(spark, name):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="labelspark-")
     return f"{base.rstrip('/')}/labelspark/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name):
+    """The same rows, from a table written once to the shared folder: later jobs start from there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

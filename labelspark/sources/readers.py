@@ -81,7 +81,7 @@ def read_generated_json(spark, path):
 
     Every record becomes a map, so that field names in upper and lower case can be settled afterwards.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.explode(F.from_json("value", GENERATED_JSON)).alias("record"))
 
 
