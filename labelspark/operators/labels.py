@@ -55,11 +55,14 @@ def complete_grid(df, text="text", target="target"):
 
 def overlay_values(grid, df, order, text="text", target="target"):
     """Grid values replaced by the last non-zero value of the same text and target, in `order`."""
-    known = df.where(F.col("value") != 0).groupBy(text, target).agg(F.max_by("value", order).alias("_v"))
+    hashed = F.xxhash64(text, target)
+    marked = df.where(F.col("value") != 0).withColumn("_h", hashed)
+    known = marked.groupBy("_h", text, target).agg(F.max_by("value", order).alias("_v"))
     return (
-        grid.join(known, [text, target], "left")
+        grid.withColumn("_h", hashed)
+        .join(known, ["_h", text, target], "left")
         .withColumn("value", F.coalesce(F.col("_v"), F.col("value")))
-        .drop("_v")
+        .drop("_v", "_h")
     )
 
 
@@ -82,8 +85,8 @@ def expand_types(df, keep, types="types"):
 
 def relabel_generated(generated, labelled, text="text", original="original_comment"):
     """Generated rows take the labels of their source text; rows without a source are left out."""
-    source = labelled.groupBy(F.col(text).alias(original)).agg(F.min("labels").alias("labels"))
-    return skewed_join(generated.drop("labels"), source, original)
+    source = labelled.groupBy(F.xxhash64(text).alias("_h"), F.col(text).alias(original))
+    return skewed_join(generated.drop("labels"), source.agg(F.min("labels").alias("labels")).drop("_h"), original)
 
 
 def only_known_tasks(extra, base_tasks, task="task"):

@@ -68,14 +68,14 @@ def skewed_join(big, unique, on, how="inner", hot_rows=HOT_ROWS):
     counts = big.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
     local = small_table(counts.where(F.col("_n") > hot_rows).select("_h"))
     if local is None:
-        return _salted_join(big, unique, keys + ["_h"], how, SALTS).drop("_h")
+        return _salted_join(big, unique, ["_h"] + keys, how, SALTS).drop("_h")
     if local.isEmpty():
-        return big.join(unique, keys + ["_h"], how).drop("_h")
+        return big.join(unique, ["_h"] + keys, how).drop("_h")
     hot = F.broadcast(local)
     hot_side = big.join(hot, "_h", "left_semi")
     rest = big.join(hot, "_h", "left_anti")
     partners = F.broadcast(unique.join(hot, "_h", "left_semi"))
-    joined = hot_side.join(partners, keys + ["_h"], how).unionByName(rest.join(unique, keys + ["_h"], how))
+    joined = hot_side.join(partners, ["_h"] + keys, how).unionByName(rest.join(unique, ["_h"] + keys, how))
     return joined.drop("_h")
 
 

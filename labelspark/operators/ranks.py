@@ -9,7 +9,7 @@ from decimal import Decimal
 
 from pyspark.sql import Window as W, functions as F
 
-from labelspark.operators.lookup import lookup_join
+from labelspark.operators.lookup import lookup_join, small_table
 
 BUCKET_DIGITS = 3
 OFFSET_ROWS = 500_000
@@ -60,6 +60,8 @@ def cut_keys(df, strata, key, fractions, digits=BUCKET_DIGITS):
         .where("_cut.rank > _before and _cut.rank <= _before + _n")
         .select("_s", "_b", F.col("_cut.name").alias("_name"), (F.col("_cut.rank") - F.col("_before")).alias("_r"))
     )
+    local = small_table(cuts, OFFSET_ROWS)
+    cuts = cuts if local is None else local
     needed = lookup_join(keyed, cuts.select("_s", "_b").distinct(), ["_s", "_b"], "left_semi", OFFSET_ROWS)
     ranked = needed.withColumn("_r", F.row_number().over(W.partitionBy("_s", "_b").orderBy("_k")).cast("bigint"))
     found = ranked.join(cuts, ["_s", "_b", "_r"])

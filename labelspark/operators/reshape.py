@@ -23,7 +23,8 @@ def wide_to_long(df, keys, tasks=None):
 def long_to_wide_unique(df, key, order, tasks=None, task="task", fill=0):
     """One column per task from the first row of each key in `order`; gaps are filled."""
     tasks = tasks or task_names(df, task)
-    first = df.groupBy(key).agg(F.min_by(F.struct(task, "value"), F.col(order)).alias("_f"))
+    # the hash comes first so that sorting long texts compares eight bytes
+    first = df.groupBy(F.xxhash64(key).alias("_h"), key).agg(F.min_by(F.struct(task, "value"), F.col(order)).alias("_f"))
     return first.select(
         key, *[F.coalesce(F.when(F.col(f"_f.{task}") == t, F.col("_f.value")), F.lit(fill)).alias(t) for t in tasks]
     )
@@ -86,7 +87,7 @@ def concat_groups(frames):
 def drop_duplicate_text(df, key, order):
     """First row per key in `order`; copies are folded before they are shuffled."""
     rest = [c for c in df.columns if c != key]
-    first = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_f"))
+    first = df.groupBy(F.xxhash64(key).alias("_h"), key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_f"))
     return first.select(key, "_f.*").select(*df.columns)
 
 

@@ -6,6 +6,7 @@ from labelspark.functions.columns import label_from_value, map_values, normalise
 from labelspark.operators import labels as L
 from labelspark.operators import reshape as R
 from labelspark.operators import split as S
+from labelspark.session import written
 
 
 def comment_targets(df, use_groups=False, min_rows=5):
@@ -23,7 +24,7 @@ def build_long(df, id_col, extra=None, complete=False, use_groups=False, ratio=N
     rows = comment_targets(rows, use_groups)
     if complete:
         rows = L.overlay_values(L.complete_grid(rows), rows, id_col)
-        rows = rows.withColumn(id_col, F.md5("text"))
+        rows = written(rows.withColumn(id_col, F.md5("text")), "grid")
     return S.split_every_task(rows.withColumnRenamed("target", "task"), id_col, ratio=ratio, seed=seed, as_reference=as_reference)
 
 

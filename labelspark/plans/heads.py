@@ -17,9 +17,11 @@ from labelspark.operators.labels import class_weights
 from labelspark.operators.lookup import lookup_join, union_all
 from labelspark.operators.scores import scores_by_task
 from labelspark.operators.split import seeded_split
+from labelspark.session import written
 
 SMALL_TASK_ROWS = 20_000
 LONG_FEATURES = 512
+HEAD_TABLE = "task string, label int, bias double, coef array<double>"
 
 
 def text_features(size=1 << 16):
@@ -111,14 +113,14 @@ def fit_small_tasks(rows, steps=200, reg=0.001):
             coef, bias = _gradient_steps(x, y, len(labels), pdf["weight"].to_numpy(), steps, reg)
         return pd.DataFrame({"task": pdf["task"].iloc[0], "label": labels, "bias": bias, "coef": list(coef)})
 
-    return rows.groupBy("task").applyInPandas(fit, "task string, label int, bias double, coef array<double>")
+    return rows.groupBy("task").applyInPandas(fit, HEAD_TABLE)
 
 
-def train_heads_long(df, id_col, max_iter=20, reg=0.01, small=SMALL_TASK_ROWS, features=LONG_FEATURES):
+def train_heads_long(df, id_col, max_iter=20, reg=0.01, small=SMALL_TASK_ROWS, features=LONG_FEATURES, parallelism=4):
     """(feature model, heads table) from a long table (id, text, task, value); a row trains its task only.
 
     Tasks of up to `small` rows are fitted side by side, one executor task each; larger ones go through
-    MLlib one after the other, so no task has to fit one machine.
+    MLlib, a few at a time, so no task has to fit one machine.
     """
     model = text_features(features).fit(df.select("text"))
     weights = class_weights(df)
@@ -128,19 +130,19 @@ def train_heads_long(df, id_col, max_iter=20, reg=0.01, small=SMALL_TASK_ROWS, f
         sizes = rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("k"))
         large = [r["task"] for r in sizes.where(F.col("n") > small).collect()]
         arrays = rows.where(~F.col("task").isin(large)).withColumn("x", vector_to_array("features"))
-        heads = [fit_small_tasks(arrays.select("task", "value", "x", "weight")).collect()]
-        for task in large:
-            heads.append(_large_task(rows.where(F.col("task") == task), task, max_iter, reg))
+        heads = written(fit_small_tasks(arrays.select("task", "value", "x", "weight")), "small-heads")
+        with ThreadPoolExecutor(parallelism) as pool:
+            fits = [pool.submit(_large_task, rows.where(F.col("task") == t), t, max_iter, reg, features) for t in large]
+            fitted = [row for fit in fits for row in fit.result()]
     finally:
         rows.unpersist()
-    table = [(r[0], int(r[1]), float(r[2]), [float(v) for v in r[3]]) for part in heads for r in part]
-    return model, df.sparkSession.createDataFrame(table, "task string, label int, bias double, coef array<double>")
+    return model, heads.unionByName(df.sparkSession.createDataFrame(fitted, HEAD_TABLE))
 
 
-def _large_task(rows, task, max_iter, reg):
+def _large_task(rows, task, max_iter, reg, features):
     labels = sorted(r[0] for r in rows.select("value").distinct().collect())
     if len(labels) == 1:
-        return [(task, labels[0], 0.0, [0.0] * LONG_FEATURES)]
+        return [(task, labels[0], 0.0, [0.0] * features)]
     index = F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, i)])
     numbered = rows.withColumn("_y", index[F.col("value")])
     head = LogisticRegression(labelCol="_y", weightCol="weight", maxIter=max_iter, regParam=reg, family="multinomial").fit(numbered)
