@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from labelspark.catalog import inputs as I
 from labelspark.catalog import sql_text as S
 from labelspark.catalog.registry import query
 from labelspark.functions import clean as C
@@ -15,7 +16,7 @@ def _rule(name, rule, sql_rule, spark_input=None, sql_input="text"):
     @query(name, oracle)
     def run(read, spark):
         text = source("text")
-        return read("documents").select("doc_id", rule(text).alias("text"))
+        return I.texts(read).select("doc_id", rule(text).alias("text"))
 
 
 def _with_dates(name):
@@ -87,7 +88,7 @@ def remove_urls(read, spark):
 @query("fix_encoding", "select doc_id, text from documents union all select doc_id, text from documents")
 def fix_encoding(read, spark):
     """Every text once as it is and once after its bytes were read with the wrong code page."""
-    docs = read("documents").select("doc_id", "text")
+    docs = I.texts(read).select("doc_id", "text")
     broken = F.translate(F.decode(F.encode("text", "utf-8"), "iso-8859-1"), C.C1_CHARS, C.CP1252_CHARS)
     both = docs.select("doc_id", F.explode(F.array(F.col("text"), broken)).alias("text"))
     return both.select("doc_id", C.fix_encoding(F.col("text")).alias("text"))
@@ -104,4 +105,4 @@ def fix_encoding(read, spark):
 )
 def demojize(read, spark):
     symbol = F.when(F.col("lang") == "en", ".🔥❤️").when(F.col("lang") == "de", ".👍").otherwise(".💔")
-    return read("documents").select("doc_id", C.demojize(F.replace("text", F.lit("."), symbol)).alias("text"))
+    return I.texts(read).select("doc_id", C.demojize(F.replace("text", F.lit("."), symbol)).alias("text"))

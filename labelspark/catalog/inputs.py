@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from labelspark.operators.reshape import wide_to_long
+from labelspark.sources.readers import spread_texts
 
 ANNOTATION_FLAGS = ["target_flag_a", "target_flag_r", "target_status_o", "target_size"]
 
@@ -31,9 +32,14 @@ annotations as (
 )"""
 
 
+def texts(read):
+    """The documents, for work that is heavy per text."""
+    return spread_texts(read("documents"), "doc_id")
+
+
 def wide(read):
     """Labelled documents, one 0/1 column per task."""
-    return read("documents").join(read("labels"), "doc_id")
+    return texts(read).join(read("labels"), "doc_id")
 
 
 WIDE = "wide as (select * from documents join labels using (doc_id))"
@@ -53,7 +59,7 @@ long as (
 
 
 def long_text(read):
-    return long(read).join(read("documents"), "doc_id")
+    return long(read).join(texts(read), "doc_id")
 
 
 LONG_TEXT = LONG + ", long_text as (select * from long join documents using (doc_id))"

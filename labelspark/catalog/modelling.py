@@ -29,7 +29,7 @@ vocabulary as (select token, cast(row_number() over (order by n desc, token) + 1
 
 @query("vocabulary", f"with {VOCABULARY} select token, token_id, n from vocabulary")
 def vocabulary(read, spark):
-    return T.vocabulary(read("documents"), max_size=2000)
+    return T.vocabulary(I.texts(read), max_size=2000)
 
 
 @query(
@@ -42,7 +42,7 @@ def vocabulary(read, spark):
     from slots left join kept using (doc_id, pos) group by doc_id""",
 )
 def encode_tokens(read, spark):
-    docs = read("documents")
+    docs = I.texts(read)
     coded = T.encode_tokens(docs, T.vocabulary(docs, max_size=2000), "doc_id", 64)
     total = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
     return coded.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"), total.alias("n_tokens"))
@@ -135,13 +135,13 @@ detected as (select doc_id, language from documents left join best using (doc_id
 
 @query("detect_language", f"with {LANGUAGE} select doc_id, language from detected")
 def detect_language(read, spark):
-    docs = read("documents")
+    docs = I.texts(read)
     return LG.detect_language(docs, LG.language_profiles(docs), "doc_id")
 
 
 @query("keep_language", f"with {LANGUAGE} select doc_id, lang from documents join detected using (doc_id) where language = 'fr'")
 def keep_language(read, spark):
-    docs = read("documents")
+    docs = I.texts(read)
     found = LG.detect_language(docs, LG.language_profiles(docs), "doc_id")
     return LG.keep_language(docs, found, "doc_id", "fr").select("doc_id", "lang")
 
@@ -160,7 +160,7 @@ weights as (select task, label, term, ln(n + 1) as weight from counts)"""
 LOGITS = """
 logit_sums as (select x.doc_id, w.task, w.label, sum(x.n * w.weight) as s from {terms} x join weights w using (term) group by all),
 logits as (select z.doc_id, o.task, o.label, o.bias + coalesce(s.s, 0) + z.total * o.floor as logit
-           from (select doc_id, sum(n) as total from {terms} group by doc_id) z cross join offsets o
+           from (select d.doc_id, coalesce(sum(t.n), 0) as total from {docs} d left join {terms} t using (doc_id) group by d.doc_id) z cross join offsets o
            left join logit_sums s on s.doc_id = z.doc_id and s.task = o.task and s.label = o.label),
 exps as (select *, exp(logit - max(logit) over (partition by doc_id, task)) as e from logits),
 predicted as (select doc_id, task, cast(max_by(label, logit - label * 1e-9) as integer) as predicted,
@@ -171,11 +171,11 @@ def _heads(read):
     """Heads learned from the train split of the labelled documents."""
     rows = SP.stratified_split(I.long(read), "doc_id")
     train = rows.where(F.col("split") == "train").select("doc_id", "task", F.col("value").alias("label"))
-    terms = T.term_counts(read("documents").select("doc_id", "text"), "doc_id")
+    terms = T.term_lists(I.texts(read), "doc_id")
     return rows, terms, LN.count_heads(terms, train, "doc_id")
 
 
-@query("predict", f"with {HEADS}, {LOGITS.format(terms='terms')} select doc_id, task, predicted, p1 from predicted")
+@query("predict", f"with {HEADS}, {LOGITS.format(terms='terms', docs='documents')} select doc_id, task, predicted, p1 from predicted")
 def predict(read, spark):
     _, terms, heads = _heads(read)
     rows = LN.predict(terms, *heads, "doc_id")
@@ -184,7 +184,7 @@ def predict(read, spark):
 
 @query(
     "predict_one_task",
-    f"with {HEADS}, {LOGITS.format(terms='terms')} select doc_id, task, predicted, p1 from predicted where task = 'toxic'",
+    f"with {HEADS}, {LOGITS.format(terms='terms', docs='documents')} select doc_id, task, predicted, p1 from predicted where task = 'toxic'",
 )
 def predict_one_task(read, spark):
     _, terms, heads = _heads(read)
@@ -194,7 +194,7 @@ def predict_one_task(read, spark):
 
 @query(
     "predict_and_score",
-    f"""with {HEADS}, {LOGITS.format(terms='terms')},
+    f"""with {HEADS}, {LOGITS.format(terms='terms', docs='documents')},
     tested as (select task, s.value as actual, p.predicted from splits s join predicted p using (doc_id, task) where s.split = 'test'),
     {scored('tested')} select * from scores""",
 )
@@ -216,7 +216,7 @@ CORPUS_TASKS = {"user": "toxic", "assistant": "quality"}
                      cast(length(text) > 300 as integer) as actual, text from conversations),
     other_parts as (select doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) as term from other),
     other_terms as (select doc_id, term, count(*) as n from other_parts where term <> '' group by all),
-    {LOGITS.format(terms='other_terms')},
+    {LOGITS.format(terms='other_terms', docs='(select distinct doc_id from other where task is not null)')},
     tested as (select task, o.actual, p.predicted from other o join predicted p using (doc_id, task)),
     {scored('tested')} select * from scores""",
 )
@@ -234,7 +234,7 @@ def cross_corpus_eval(read, spark):
 
 @query(
     "attribute_tokens",
-    f"""with {HEADS}, {LOGITS.format(terms='terms')},
+    f"""with {HEADS}, {LOGITS.format(terms='terms', docs='documents')},
     sizes as (select task, count(*) as k, avg(floor) as mean from offsets group by task),
     shown as (select task, term, sum(weight) as total from weights group by all),
     pulls as (select s.term, s.task, o.label, coalesce(w.weight, 0) - s.total / z.k + o.floor - z.mean as pull
@@ -244,7 +244,7 @@ def cross_corpus_eval(read, spark):
               from terms x join predicted p using (doc_id) join pulls u on u.term = x.term and u.task = p.task and u.label = p.predicted),
     normed as (select *, a / sqrt(sum(a * a) over (partition by doc_id, task)) as attribution from token_parts),
     term_ranks as (select *, row_number() over (partition by doc_id, task order by round(attribution, 9) desc, term) as rank from normed)
-    select doc_id, task, predicted, term, round(attribution, 5) as attribution, cast(rank as integer) as rank from term_ranks where rank <= 5""",
+    select doc_id, task, predicted, term, round(round(attribution, 9), 5) as attribution, cast(rank as integer) as rank from term_ranks where rank <= 5""",
 )
 def attribute_tokens(read, spark):
     _, terms, heads = _heads(read)

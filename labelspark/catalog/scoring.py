@@ -246,7 +246,7 @@ def evaluate(read, spark):
 )
 def keyword_rule_scores(read, spark):
     """How good is a keyword rule on the test split: clean, reshape, split, predict, score."""
-    docs = read("documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    docs = I.texts(read).select("doc_id", clean_text(F.col("text")).alias("text"))
     test = SP.stratified_split(I.long(read), "doc_id").where(F.col("split") == "test")
     pred = test.join(docs, "doc_id").select(
         "task", F.col("value").alias("actual"), F.contains("text", F.lit("***")).cast("int").alias("predicted")

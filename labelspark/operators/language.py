@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from labelspark.functions.columns import argmax
 from labelspark.operators.linear import logits, offsets_of, weights_of
 from labelspark.session import written
 
@@ -22,11 +23,9 @@ def language_profiles(df, text="text", lang="lang"):
 
 def detect_language(df, profiles, id_col, text="text"):
     """(id, language): the most probable language; the smaller name wins a tie, no letters give null."""
-    grams = df.select(id_col, F.explode(trigrams(F.col(text))).alias("term"))
-    own = grams.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
-    scored = logits(own, *profiles, id_col)
-    best = scored.groupBy(id_col).agg(F.min_by("label", F.struct(-F.col("logit"), F.col("label"))).alias("language"))
-    return df.select(id_col).join(best, id_col, "left")
+    lists = df.select(id_col, trigrams(F.col(text)).alias("terms"))
+    best = F.col("labels")[argmax(F.col("logits"))]
+    return logits(lists, *profiles, id_col).select(id_col, F.when(F.col("n_terms") > 0, best).alias("language"))
 
 
 def keep_language(df, detected, id_col, language):

@@ -1,7 +1,8 @@
-"""Linear heads over term counts, kept as tables: learned from counts, applied by join and sum.
+"""Linear heads over terms, kept as tables: learned from counts, applied by join and sum.
 
 weights (term, task, label, weight) has a row for every term a class has shown; offsets (task, label,
 bias, floor) holds the class's prior and what each term adds that the class has never shown.
+Texts come as (id, terms), one array per text, which is unfolded only after every join on the id.
 """
 
 from pyspark.sql import Window as W, functions as F
@@ -10,16 +11,18 @@ from labelspark.functions.columns import argmax, softmax
 from labelspark.operators.lookup import lookup_join, pair_all, small_table
 from labelspark.session import written
 
+MAX_CLASSES = 64
+WEIGHT_CELLS = 8_000_000
 TERM_ROWS = 2_000_000
 
 
-def count_heads(terms, labels, id_col):
+def count_heads(lists, labels, id_col):
     """(weights, offsets) from add-one smoothed term shares: one head per task of `labels` (id, task, label).
 
     The counts are written once; applying the heads never reads the training texts again.
     """
-    counts = terms.join(labels, id_col).groupBy("task", "label", "term").agg(F.sum("n").alias("n"))
-    counts = written(counts, "head-counts")
+    terms = lists.join(labels, id_col).select("task", "label", F.explode("terms").alias("term"))
+    counts = written(terms.groupBy("task", "label", "term").agg(F.count(F.lit(1)).alias("n")), "head-counts")
     return weights_of(counts), offsets_of(counts, class_priors(labels))
 
 
@@ -41,40 +44,70 @@ def offsets_of(counts, priors):
     return joined.select("task", "label", "bias", floor.alias("floor"))
 
 
-def logits(terms, weights, offsets, id_col):
-    """(id, task, label, logit) for every text and every class of every task."""
+def logits(lists, weights, offsets, id_col):
+    """(id, n_terms, task, labels, logits) for every text and task, classes in label order.
+
+    Up to MAX_CLASSES classes, each term brings one weight per class and a text is summed up in one row.
+    """
+    classes = small_table(offsets.orderBy("task", "label"), MAX_CLASSES)
+    terms = lists.select(id_col, F.explode_outer("terms").alias("term"))
+    if classes is None:
+        return _logits_by_class(lists, terms, weights, offsets, id_col)
+    known = classes.collect()
+    own = [(F.col("task") == r["task"]) & F.col("label").eqNullSafe(F.lit(r["label"])) for r in known]
+    by_term = weights.groupBy("term").agg(*[F.max(F.when(c, F.col("weight"))).alias(f"_w{i}") for i, c in enumerate(own)])
+    matched = lookup_join(terms, by_term, "term", "left", WEIGHT_CELLS // max(len(known), 1))
+    sums = matched.groupBy(id_col).agg(
+        F.count("term").alias("_n"), *[F.coalesce(F.sum(f"_w{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(known))]
+    )
+    tasks = {}
+    for i, r in enumerate(known):
+        logit = F.lit(r["bias"]) + F.col(f"_s{i}") + F.col("_n") * F.lit(r["floor"])
+        tasks.setdefault(r["task"], []).append((F.lit(r["label"]), logit))
+    rows = [
+        F.struct(
+            F.lit(task).alias("task"),
+            F.array(*[label for label, _ in pairs]).alias("labels"),
+            F.array(*[logit for _, logit in pairs]).alias("logits"),
+        )
+        for task, pairs in tasks.items()
+    ]
+    return sums.select(id_col, F.col("_n").alias("n_terms"), F.explode(F.array(*rows)).alias("_t")).select(id_col, "n_terms", "_t.*")
+
+
+def _logits_by_class(lists, terms, weights, offsets, id_col):
+    """The same with one row per text and class: for many classes."""
     by_term = weights.groupBy("term").agg(F.collect_list(F.struct("task", "label", "weight")).alias("_w"))
-    matched = lookup_join(terms.select(id_col, "term", "n"), by_term, "term", "inner", TERM_ROWS)
-    parts = matched.select(id_col, "n", F.explode("_w").alias("_w"))
-    parts = parts.select(id_col, "_w.task", "_w.label", (F.col("n") * F.col("_w.weight")).alias("_s"))
-    sums = parts.groupBy(id_col, "task", "label").agg(F.sum("_s").alias("_s"))
-    sizes = terms.groupBy(id_col).agg(F.sum("n").alias("_all"))
+    parts = lookup_join(terms, by_term, "term", "inner", TERM_ROWS).select(id_col, F.explode("_w").alias("_w"))
+    parts = parts.groupBy(id_col, "_w.task", "_w.label").agg(F.sum("_w.weight").alias("_s"))
     named = offsets.withColumn("_c", F.to_json(F.struct("task", "label")))
     local = small_table(named)
     named = named if local is None else local
-    grid = lookup_join(pair_all(sizes, named, "_c"), named, "_c").drop("_c")
-    scored = grid.join(sums, [id_col, "task", "label"], "left")
-    logit = F.col("bias") + F.coalesce("_s", F.lit(0.0)) + F.col("_all") * F.col("floor")
-    return scored.select(id_col, "task", "label", logit.alias("logit"))
-
-
-def probabilities(scored, id_col):
-    """(id, task, labels, probs, predicted): classes in label order; the first largest is predicted."""
-    rows = scored.groupBy(id_col, "task").agg(F.array_sort(F.collect_list(F.struct("label", "logit"))).alias("_l"))
-    rows = rows.select(
+    sizes = lists.select(id_col, F.coalesce(F.size("terms"), F.lit(0)).cast("bigint").alias("_n"))
+    grid = lookup_join(pair_all(sizes, named, "_c"), named, "_c").join(parts, [id_col, "task", "label"], "left")
+    logit = F.col("bias") + F.coalesce("_s", F.lit(0.0)) + F.col("_n") * F.col("floor")
+    rows = grid.groupBy(id_col, F.col("_n").alias("n_terms"), "task").agg(F.array_sort(F.collect_list(F.struct("label", logit.alias("logit")))).alias("_l"))
+    return rows.select(
         id_col,
+        "n_terms",
         "task",
         F.transform("_l", lambda x: x["label"]).alias("labels"),
-        softmax(F.transform("_l", lambda x: x["logit"])).alias("probs"),
+        F.transform("_l", lambda x: x["logit"]).alias("logits"),
     )
-    return rows.withColumn("predicted", F.col("labels")[argmax(F.col("probs"))])
 
 
-def predict(terms, weights, offsets, id_col, task=None):
-    """Probabilities of all tasks, or of one."""
+def predict(lists, weights, offsets, id_col, task=None):
+    """(id, task, labels, probs, predicted) for all tasks, or for one; the first largest class is predicted."""
     if task is not None:
         weights, offsets = weights.where(F.col("task") == task), offsets.where(F.col("task") == task)
-    return probabilities(logits(terms, weights, offsets, id_col), id_col)
+    scored = logits(lists, weights, offsets, id_col)
+    return scored.select(
+        id_col,
+        "task",
+        "labels",
+        softmax(F.col("logits")).alias("probs"),
+        F.col("labels")[argmax(F.col("logits"))].alias("predicted"),
+    )
 
 
 def centred_weights(weights, offsets):
@@ -91,8 +124,9 @@ def centred_weights(weights, offsets):
     return rows.select("term", "task", F.col("_c.label").alias("label"), pull.alias("pull"))
 
 
-def attribute_tokens(terms, predicted, weights, offsets, id_col):
+def attribute_tokens(lists, predicted, weights, offsets, id_col):
     """(id, task, term, attribution): the term's part in the winning class, over the L2 norm of the text's parts."""
+    terms = lists.select(id_col, F.explode("terms").alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
     pulls = centred_weights(weights, offsets).withColumnRenamed("label", "predicted")
     wins = terms.join(predicted.select(id_col, "task", "predicted"), id_col)
     parts = lookup_join(wins, pulls, ["term", "task", "predicted"], "inner", TERM_ROWS)

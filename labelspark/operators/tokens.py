@@ -25,12 +25,11 @@ def vocabulary(df, text="text", max_size=30_000):
 
 def encode_tokens(df, vocab, id_col, max_len, text="text"):
     """`input_ids` and `attention_mask` of exactly `max_len` positions; the encoder sees no token beyond."""
-    places = df.select(id_col, F.posexplode(F.slice(tokens(F.col(text)), 1, max_len)).alias("pos", "token"))
+    places = df.select(id_col, F.posexplode_outer(F.slice(tokens(F.col(text)), 1, max_len)).alias("pos", "token"))
     coded = lookup_join(places, vocab.select("token", "token_id"), "token", "left")
-    ids = F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id"))
+    ids = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id")))
     rows = coded.groupBy(id_col).agg(F.array_sort(F.collect_list(ids)).alias("_t"))
-    known = F.transform(F.coalesce("_t", F.array().cast("array<struct<pos:int,id:int>>")), lambda x: x["id"])
-    rows = df.select(id_col).join(rows, id_col, "left").select(id_col, known.alias("_i"))
+    rows = rows.select(id_col, F.transform("_t", lambda x: x["id"]).alias("_i"))
     gap = F.lit(max_len) - F.size("_i")
     return rows.select(
         id_col,
@@ -62,7 +61,6 @@ def pool(vectors, key, mode, position="pos", vector="vector", mask="mask"):
     raise ValueError("mode is one of 'cls', 'mean', 'last'")
 
 
-def term_counts(df, id_col, text="text"):
-    """(id, term, n): how often each term occurs in each text."""
-    terms = df.select(id_col, F.explode(tokens(F.col(text))).alias("term"))
-    return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
+def term_lists(df, id_col, text="text"):
+    """(id, terms): the tokens of each text, none for a missing text."""
+    return df.select(id_col, tokens(F.coalesce(text, F.lit(""))).alias("terms"))

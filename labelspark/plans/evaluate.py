@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from labelspark.operators.linear import predict
 from labelspark.operators.scores import evaluate
-from labelspark.operators.tokens import term_counts
+from labelspark.operators.tokens import term_lists
 
 
 def cross_corpus_eval(other, heads, id_col, pos_label=1):
     """Scores per task of (id, task, actual, text); rows whose task the heads lack are left out."""
     known = other.where(F.col("task").isNotNull())
-    pred = predict(term_counts(known, id_col), *heads, id_col)
+    pred = predict(term_lists(known, id_col), *heads, id_col)
     return evaluate(known.select(id_col, "task", "actual").join(pred, [id_col, "task"]), pos_label)

@@ -76,6 +76,15 @@ def read_table(spark, path):
     return spark.read.parquet(path)
 
 
+def spread_texts(df, id_col):
+    """Rows over all cores when the table has fewer files than cores; a table of many files stays as it is.
+
+    For work that is heavy per text: one file is one task, however long its texts take.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, id_col) if len(df.inputFiles()) < cores else df
+
+
 def read_generated_json(spark, path):
     """Generated records of many files, each a JSON array of one generator batch.
 

@@ -51,10 +51,12 @@ def small_corpus(spark):
 
 def test_count_heads_match_brute_force(spark):
     df = small_corpus(spark)
-    terms = T.term_counts(df, "i")
+    terms = T.term_lists(df, "i")
     heads = LN.count_heads(terms, df.select("i", "task", F.col("value").alias("label")), "i")
     new = spark.createDataFrame([(1, "good good w1 unseen")], "i int, text string")
-    found = {r["label"]: r["logit"] for r in LN.logits(T.term_counts(new, "i"), *heads, "i").collect()}
+    row = LN.logits(T.term_lists(new, "i"), *heads, "i").first()
+    found = dict(zip(row["labels"], row["logits"]))
+    assert row["n_terms"] == 4
     words = {0: [], 1: []}
     for r in df.collect():
         words[r["value"]] += r["text"].split()
@@ -62,16 +64,19 @@ def test_count_heads_match_brute_force(spark):
     for label, own in words.items():
         expected = math.log(0.5) + sum(math.log((own.count(w) + 1) / (len(own) + size)) for w in "good good w1 unseen".split())
         assert found[label] == pytest.approx(expected)
-    pred = LN.predict(T.term_counts(new, "i"), *heads, "i")
+    many = LN._logits_by_class(T.term_lists(new, "i"), T.term_lists(new, "i").select("i", F.explode("terms").alias("term")), *heads, "i")
+    again = many.first()
+    assert (again["labels"], again["n_terms"]) == (row["labels"], 4) and again["logits"] == pytest.approx(row["logits"])
+    pred = LN.predict(T.term_lists(new, "i"), *heads, "i")
     assert pred.first()["predicted"] == 1
-    parts = LN.attribute_tokens(T.term_counts(new, "i"), pred, *heads, "i").collect()
+    parts = LN.attribute_tokens(T.term_lists(new, "i"), pred, *heads, "i").collect()
     assert sum(r["attribution"] ** 2 for r in parts) == pytest.approx(1)
     assert max(parts, key=lambda r: r["attribution"])["term"] == "good"
 
 
 def test_cross_corpus_ignores_missing_tasks(spark):
     df = small_corpus(spark)
-    heads = LN.count_heads(T.term_counts(df, "i"), df.select("i", "task", F.col("value").alias("label")), "i")
+    heads = LN.count_heads(T.term_lists(df, "i"), df.select("i", "task", F.col("value").alias("label")), "i")
     other = spark.createDataFrame([(1, "mood", 1, "good"), (2, "mood", 0, "awful"), (3, None, 1, "x"), (4, "else", 1, "good")], "i int, task string, actual int, text string")
     scores = EV.cross_corpus_eval(other, heads, "i").collect()
     assert [(r["task"], r["accuracy"]) for r in scores] == [("mood", 1.0)]
