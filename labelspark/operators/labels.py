@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W, functions as F
 
 from labelspark.functions.columns import any_flag, flag_groups
-from labelspark.operators.lookup import lookup_join, pair_all, skewed_join, small_table
+from labelspark.operators.lookup import lookup_join, pair_all, skewed_join, small_table, small_values
 
 
 def select_by_prefix(df, prefix, keep=()):
@@ -11,17 +11,24 @@ def select_by_prefix(df, prefix, keep=()):
     return df.select(*keep, *[c for c in df.columns if c.startswith(prefix) and c not in keep])
 
 
-def majority_vote(df, key, columns, flags=()):
+def majority_vote(df, key, columns, flags=(), max_values=32):
     """Most frequent value per key and column; the smallest value wins a tie, nulls do not vote.
 
-    Columns named in `flags` hold 0/1 (or booleans): counting their ones gives the same vote for less work.
+    Columns named in `flags` hold 0/1 (or booleans) and need only their ones counted. Columns with few
+    distinct values are counted value by value, which folds rows before the shuffle; others use `mode`.
     """
 
     def vote(c):
-        if c not in flags:
+        if c in flags:
+            one = F.col(c).cast("int")
+            return F.when(F.count(one) > 0, (2 * F.sum(one) > F.count(one)).cast("int"))
+        values = small_values(df, c, max_values)
+        if not values:
             return F.mode(c, deterministic=True)
-        one = F.col(c).cast("int")
-        return (2 * F.sum(one) > F.count(one)).cast("int")
+        counts = [F.count_if(F.col(c) == v) for v in values]
+        most = F.greatest(*counts, F.lit(0))
+        first = F.coalesce(*[F.when(n == most, F.lit(v)) for n, v in zip(counts, values)])
+        return F.when(most > 0, first).cast(df.schema[c].dataType)
 
     return df.groupBy(key).agg(*[vote(c).alias(c) for c in columns])
 
@@ -66,6 +73,19 @@ def overlay_values(grid, df, order, text="text", target="target"):
     )
 
 
+def completed_values(df, order, text="text", target="target"):
+    """The grid and its values in one step: each text meets the targets once, with its own values at hand.
+
+    Same rows as `overlay_values(complete_grid(df), df, order)`, without moving a text once per target.
+    """
+    marked = df.withColumn("_h", F.xxhash64(text)).withColumn("_o", F.when(F.col("value") != 0, F.col(order)))
+    last = marked.groupBy("_h", text, target).agg(F.max_by("value", "_o").alias("_v"))
+    own = F.collect_list(F.when(F.col("_v").isNotNull(), F.struct(target, "_v")))
+    texts = last.groupBy("_h", text).agg(F.map_from_entries(own).alias("_m")).drop("_h")
+    pairs = pair_all(texts, df.select(target), target)
+    return pairs.select(text, target, F.coalesce(F.try_element_at("_m", F.col(target)), F.lit(0)).alias("value"))
+
+
 def with_types(df, annotations="annotations", field="technique"):
     """Adds `types`: the sorted distinct annotation types of the row, empty when there are none."""
     found = F.array_sort(F.array_distinct(F.transform(F.col(annotations), lambda a: a[field])))

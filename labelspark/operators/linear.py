@@ -21,7 +21,9 @@ def count_heads(lists, labels, id_col):
 
     The counts are written once; applying the heads never reads the training texts again.
     """
-    terms = lists.join(labels, id_col).select("task", "label", F.explode("terms").alias("term"))
+    # the outer form keeps the optimizer from testing the size of every list before the join
+    terms = lists.join(labels, id_col).select("task", "label", F.explode_outer("terms").alias("term"))
+    terms = terms.where(F.col("term").isNotNull())
     counts = written(terms.groupBy("task", "label", "term").agg(F.count(F.lit(1)).alias("n")), "head-counts")
     return weights_of(counts), offsets_of(counts, class_priors(labels))
 
@@ -126,7 +128,8 @@ def centred_weights(weights, offsets):
 
 def attribute_tokens(lists, predicted, weights, offsets, id_col):
     """(id, task, term, attribution): the term's part in the winning class, over the L2 norm of the text's parts."""
-    terms = lists.select(id_col, F.explode("terms").alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
+    terms = lists.select(id_col, F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+    terms = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
     pulls = centred_weights(weights, offsets).withColumnRenamed("label", "predicted")
     wins = terms.join(predicted.select(id_col, "task", "predicted"), id_col)
     parts = lookup_join(wins, pulls, ["term", "task", "predicted"], "inner", TERM_ROWS)

@@ -23,7 +23,7 @@ def build_long(df, id_col, extra=None, complete=False, use_groups=False, ratio=N
         rows = rows.unionByName(extra, allowMissingColumns=True)
     rows = comment_targets(rows, use_groups)
     if complete:
-        rows = L.overlay_values(L.complete_grid(rows), rows, id_col)
+        rows = L.completed_values(rows, id_col)
         rows = written(rows.withColumn(id_col, F.md5("text")), "grid")
     return S.split_every_task(rows.withColumnRenamed("target", "task"), id_col, ratio=ratio, seed=seed, as_reference=as_reference)
 

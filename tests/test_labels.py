@@ -29,8 +29,11 @@ def test_votes_ties_nulls_single(spark):
     df = spark.createDataFrame(
         [(1, 2, 1), (1, 1, 0), (1, 1, 1), (1, 2, 0), (2, None, None), (2, 3, 1), (3, 9, 0)], "k int, v int, f int"
     )
-    voted = L.majority_vote(df, "k", ["v", "f"], flags=["f"])
-    assert rows(voted, "k", "v", "f") == [(1, 1, 0), (2, 3, 1), (3, 9, 0)]
+    for options in ({"flags": ["f"]}, {}, {"max_values": 1}):
+        voted = L.majority_vote(df, "k", ["v", "f"], **options)
+        assert rows(voted, "k", "v", "f") == [(1, 1, 0), (2, 3, 1), (3, 9, 0)]
+    silent = spark.createDataFrame([(1, None, None)], df.schema)
+    assert rows(L.majority_vote(df.union(silent.selectExpr("4", "v", "f")), "k", ["v", "f"], ["f"]), "k", "v", "f")[-1] == (4, None, None)
 
 
 def test_grid_and_overlay(spark):
@@ -40,6 +43,7 @@ def test_grid_and_overlay(spark):
     )
     known = df.where(F.col("text").isNotNull())
     grid = L.complete_grid(known)
+    assert rows(L.completed_values(known, "i"), "text", "target", "value") == rows(L.overlay_values(grid, known, "i"), "text", "target", "value")
     assert rows(L.overlay_values(grid, known, "i"), "text", "target", "value") == [
         ("a", "x", 2), ("a", "y", 0), ("b", "x", 0), ("b", "y", 1)
     ]
