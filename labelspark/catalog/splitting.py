@@ -68,11 +68,11 @@ def classes(read):
 
 
 @query(
-    "balanced_sizes_as_reference",
+    "balanced_sizes_compounding",
     f"with recursive {CLASSES}, {GROWN.format(source='classes')} select task, value, n, cast(size as bigint) as size from sizes",
 )
-def balanced_sizes_as_reference(read, spark):
-    return S.balanced_sizes(classes(read), ratio=1.5, as_reference=True)
+def balanced_sizes_compounding(read, spark):
+    return S.balanced_sizes(classes(read), ratio=1.5, compounding=True)
 
 
 @query(
@@ -84,11 +84,11 @@ def balance(read, spark):
 
 
 @query(
-    "balance_as_reference",
+    "balance_compounding",
     f"with recursive {CLASSES}, {GROWN.format(source='classes')}, {draw_sql('classes', 'sizes')} select doc_id, task, value, copy from balanced",
 )
-def balance_as_reference(read, spark):
-    return S.balance(classes(read), "doc_id", ratio=1.5, as_reference=True)
+def balance_compounding(read, spark):
+    return S.balance(classes(read), "doc_id", ratio=1.5, compounding=True)
 
 
 @query("stratified_split", f"with {RANKED} select * from splits")

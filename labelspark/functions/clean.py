@@ -11,6 +11,19 @@ CP1252_BYTES = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90
 CP1252_CHARS = bytes(CP1252_BYTES).decode("cp1252")
 C1_CHARS = bytes(CP1252_BYTES).decode("latin-1")
 
+# The patterns of the cleaning rules, in the order they apply.
+URL = r"https?://\S+"
+MENTION = r"@\S+"
+HASHTAG = r"#\S+"
+IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
+NEWLINE_TOKEN = "NEWLINE_TOKEN"
+REPEATED_MARK = r"([,.?!])\1{2,}"
+MARK_BEFORE_TEXT = r"([,.?!])(?=\S)"
+SPACE_BEFORE_MARK = r"\s+([,.?!])"
+MANY_SPACES = r"\s{2,}"
+NUMBER_BEFORE_TEXT = r"(\d)(?=[^\s\d,.?!-])"
+NUMBER_AFTER_TEXT = r"(?<=[^\s\d-])(\d)"
+
 # The date and time expressions that are removed.
 MONTHS = (
     "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|"
@@ -54,50 +67,55 @@ def remove_dates(c):
     return F.regexp_replace(c, f"(?i){DATE_START}{DATE_PATTERN}", "")
 
 
+def _sub(c, pattern, replacement):
+    """White space, digits and words of any script."""
+    return F.regexp_replace(c, f"(?U){pattern}", replacement)
+
+
 def remove_urls(c):
-    return F.regexp_replace(c, r"(?U)https?://\S+", "")
+    return _sub(c, URL, "")
 
 
 def remove_mentions(c):
-    return F.regexp_replace(c, r"(?U)@\S+", "")
+    return _sub(c, MENTION, "")
 
 
 def remove_hashtags(c):
-    return F.regexp_replace(c, r"(?U)#\S+", "")
+    return _sub(c, HASHTAG, "")
 
 
 def remove_ips(c):
     """Dotted quads, without a range check."""
-    return F.regexp_replace(c, r"(?U)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "")
+    return _sub(c, IP, "")
 
 
 def remove_newline_token(c):
-    return F.replace(c, F.lit("NEWLINE_TOKEN"), F.lit(""))
+    return F.replace(c, F.lit(NEWLINE_TOKEN), F.lit(""))
 
 
 def limit_punct_repeats(c):
     """Three or more equal marks become two."""
-    return F.regexp_replace(c, r"([,.?!])\1{2,}", "$1$1")
+    return _sub(c, REPEATED_MARK, "$1$1")
 
 
 def space_after_punct(c):
-    return F.regexp_replace(c, r"(?U)([,.?!])(?=\S)", "$1 ")
+    return _sub(c, MARK_BEFORE_TEXT, "$1 ")
 
 
 def no_space_before_punct(c):
-    return F.regexp_replace(c, r"(?U)\s+([,.?!])", "$1")
+    return _sub(c, SPACE_BEFORE_MARK, "$1")
 
 
 def collapse_spaces(c):
-    return F.regexp_replace(c, r"(?U)\s{2,}", " ")
+    return _sub(c, MANY_SPACES, " ")
 
 
 def space_after_number(c):
-    return F.regexp_replace(c, r"(?U)(\d)(?=[^\s\d,.?!-])", "$1 ")
+    return _sub(c, NUMBER_BEFORE_TEXT, "$1 ")
 
 
 def space_before_number(c):
-    return F.regexp_replace(c, r"(?U)(?<=[^\s\d-])(\d)", " $1")
+    return _sub(c, NUMBER_AFTER_TEXT, " $1")
 
 
 def demojize(c):

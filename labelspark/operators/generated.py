@@ -6,6 +6,7 @@ from labelspark.functions.generated import extract_fenced_json, parse_records, t
 from labelspark.operators.labels import cast_label_type, only_known_tasks
 from labelspark.operators.ranks import row_index
 
+# Fixed value: the form of one row in a batch.
 BATCH_LINE = "Comment: {text}\nIndex: {index}\nLabels: {labels}"
 
 

@@ -112,6 +112,8 @@ def relabel_generated(generated, labelled, text="text", original="original_comme
 def only_known_tasks(extra, base_tasks, task="task"):
     """(rows whose task the base has, tasks that are left out with their row counts)"""
     known = base_tasks.select(task).distinct()
+    local = small_table(known)
+    known = known if local is None else local
     kept = lookup_join(extra, known, task, "left_semi")
     skipped = lookup_join(extra, known, task, "left_anti").groupBy(task).agg(F.count(F.lit(1)).alias("n"))
     return kept, skipped

@@ -1,13 +1,14 @@
 """Result tables: best run per target, and the gain of one data variant over another."""
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 
 def best_runs(report, by="accuracy", keys=("dataset", "target")):
     """The best model per data set and target; the smaller name wins a tie, NaN counts as worst."""
-    score = F.nanvl(F.col(by), F.lit(None).cast("double"))
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(score.desc_nulls_last(), "model"))
-    return report.withColumn("_r", rank).where("_r = 1").drop("_r")
+    score = F.coalesce(F.nanvl(F.col(by), F.lit(None).cast("double")), F.lit(float("-inf")))
+    rest = [c for c in report.columns if c not in keys]
+    best = report.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(-score, "model")).alias("_b"))
+    return best.select(*keys, "_b.*").select(*report.columns)
 
 
 def compare_runs(report, base, other, by="accuracy"):

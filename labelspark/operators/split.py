@@ -63,17 +63,17 @@ def skipped_tasks(df, class_col="value", task_col="task", train=0.7):
     return per_task.where(F.col("_least") < 2).drop("_least")
 
 
-def balanced_sizes(df, class_col="value", task_col="task", ratio=1.0, as_reference=False):
+def balanced_sizes(df, class_col="value", task_col="task", ratio=1.0, compounding=False):
     """(task, class, n, size): how many rows of each class a balanced table has.
 
-    Every class but the smallest gets ceil(smallest * ratio). With `as_reference` the size grows by the
+    Every class but the smallest gets ceil(smallest * ratio). With `compounding` the size grows by the
     ratio at every class but the smallest, in label order, and the smallest takes the size reached so far.
     """
     counts = df.groupBy(task_col, class_col).agg(F.count(F.lit(1)).alias("n"))
     by_task = W.partitionBy(task_col)
     first = F.row_number().over(by_task.orderBy("n", class_col)) == 1
     counts = counts.withColumn("_first", first).withColumn("_least", F.min("n").over(by_task))
-    if not as_reference:
+    if not compounding:
         size = F.when(F.col("_first"), F.col("_least")).otherwise(F.ceil(F.col("_least") * F.lit(float(ratio))))
         return counts.select(task_col, class_col, "n", size.cast("bigint").alias("size"))
     steps = F.sum(F.when(F.col("_first"), 0).otherwise(1)).over(by_task.orderBy(class_col))
@@ -103,12 +103,12 @@ def drawn_positions(sizes, class_col="value", task_col="task", seed=42):
     return drawn.groupBy(task_col, class_col, "_pos").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def balance(df, id_col, class_col="value", task_col="task", ratio=1.0, seed=42, as_reference=False):
+def balance(df, id_col, class_col="value", task_col="task", ratio=1.0, seed=42, compounding=False):
     """Rows drawn with replacement to the balanced sizes; `copy` numbers the draws of one row.
 
     Only ids are ranked and shuffled; the other columns join the few rows that were drawn.
     """
-    sizes = balanced_sizes(df, class_col, task_col, ratio, as_reference)
+    sizes = balanced_sizes(df, class_col, task_col, ratio, compounding)
     drawn = drawn_positions(sizes, class_col, task_col, seed)
     ids = df.select(id_col, task_col, class_col)
     placed = numbered(ids, [task_col, class_col], seeded_key(id_col, seed))
@@ -117,15 +117,15 @@ def balance(df, id_col, class_col="value", task_col="task", ratio=1.0, seed=42,
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copies")
 
 
-def split_every_task(df, id_col, class_col="value", task_col="task", train=0.7, seed=42, ratio=None, as_reference=False):
+def split_every_task(df, id_col, class_col="value", task_col="task", train=0.7, seed=42, ratio=None, balance_first=False):
     """(rows with `split`, skipped tasks): every task split at once, its classes stratified.
 
-    With `ratio` the train split is balanced. `as_reference` balances before the split instead, which
-    can put copies of one row into several splits.
+    With `ratio` the train split is balanced. `balance_first` balances all rows before the split, with
+    compounding sizes; copies of one row can then be in several splits.
     """
     skipped = skipped_tasks(df, class_col, task_col, train)
     rows = lookup_join(df, skipped.select(task_col), task_col, "left_anti")
-    if ratio is not None and as_reference:
+    if ratio is not None and balance_first:
         rows = balance(rows, id_col, class_col, task_col, ratio, seed, True)
         copies = rows.withColumn("_copy_id", F.concat_ws("#", F.col(id_col).cast("string"), "copy"))
         return stratified_split(copies, "_copy_id", class_col, task_col, train, seed).drop("_copy_id"), skipped

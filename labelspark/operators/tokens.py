@@ -24,7 +24,7 @@ def vocabulary(df, text="text", max_size=30_000):
 
 
 def encode_tokens(df, vocab, id_col, max_len, text="text"):
-    """`input_ids` and `attention_mask` of exactly `max_len` positions; the encoder sees no token beyond."""
+    """`input_ids`, `attention_mask` and `token_type_ids` of exactly `max_len` positions, the encoder's width."""
     places = df.select(id_col, F.posexplode_outer(F.slice(tokens(F.col(text)), 1, max_len)).alias("pos", "token"))
     coded = lookup_join(places, vocab.select("token", "token_id"), "token", "left")
     ids = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id")))
@@ -35,6 +35,7 @@ def encode_tokens(df, vocab, id_col, max_len, text="text"):
         id_col,
         F.concat("_i", F.array_repeat(F.lit(PAD), gap)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.size("_i")), F.array_repeat(F.lit(0), gap)).alias("attention_mask"),
+        F.array_repeat(F.lit(0), max_len).alias("token_type_ids"),
     )
 
 

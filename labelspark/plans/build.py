@@ -16,7 +16,7 @@ def comment_targets(df, use_groups=False, min_rows=5):
     return L.keep_frequent_targets(named, more_than=min_rows).drop("group")
 
 
-def build_long(df, id_col, extra=None, complete=False, use_groups=False, ratio=None, seed=42, as_reference=False):
+def build_long(df, id_col, extra=None, complete=False, use_groups=False, ratio=None, seed=42, balance_first=False):
     """(split long table, skipped tasks) from comment rows: targets, optional grid, optional balance, split."""
     rows = df.select(id_col, "text", "target", "value", *(["group"] if use_groups else []))
     if extra is not None:
@@ -25,7 +25,7 @@ def build_long(df, id_col, extra=None, complete=False, use_groups=False, ratio=N
     if complete:
         rows = L.completed_values(rows, id_col)
         rows = written(rows.withColumn(id_col, F.md5("text")), "grid")
-    return S.split_every_task(rows.withColumnRenamed("target", "task"), id_col, ratio=ratio, seed=seed, as_reference=as_reference)
+    return S.split_every_task(rows.withColumnRenamed("target", "task"), id_col, ratio=ratio, seed=seed, balance_first=balance_first)
 
 
 def build_levels(df, id_col, use_groups=False):

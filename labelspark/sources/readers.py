@@ -94,9 +94,16 @@ def read_generated_json(spark, path):
     return files.select(F.explode(F.from_json("value", GENERATED_JSON)).alias("record"))
 
 
+def load_complete(spark, path):
+    """All splits together; task and split names stay text, also where they look like numbers."""
+    found = spark.read.parquet(path).schema
+    names = [T.StructField(f.name, T.StringType()) if f.name in ("task", "split") else f for f in found]
+    return spark.read.schema(T.StructType(names)).parquet(path)
+
+
 def load_all_tasks(spark, path, split):
     """Every task's rows of one split; only that split's directories are opened."""
-    return spark.read.parquet(path).where(F.col("split") == split)
+    return load_complete(spark, path).where(F.col("split") == split)
 
 
 def load_task_split(spark, path, task, split):
@@ -112,11 +119,6 @@ def load_task_split(spark, path, task, split):
     return None
 
 
-def load_complete(spark, path):
-    """All splits together."""
-    return spark.read.parquet(path)
-
-
 def load_class_maps(spark, path):
     return spark.read.parquet(path)
 

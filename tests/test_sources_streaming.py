@@ -53,15 +53,15 @@ def test_generated_files(spark, tmp_path):
 
 
 def test_task_partitions(spark, tmp_path):
-    df = spark.createDataFrame([("1", "a", "train"), ("S,O/x=1", "b", "train"), ("1", "c", "test")], "task string, text string, split string")
+    df = spark.createDataFrame([("007", "a", "train"), ("S,O/x=1", "b", "train"), ("007", "c", "test")], "task string, text string, split string")
     path = W.write_splits(df, str(tmp_path / "t"))
-    assert {r["task"] for r in R.load_complete(spark, path).collect()} == {"1", "S,O/x=1"}
-    assert R.load_task_split(spark, path, "1", "test").first()["text"] == "c"
+    assert {r["task"] for r in R.load_complete(spark, path).collect()} == {"007", "S,O/x=1"}
+    assert R.load_task_split(spark, path, "007", "test").first()["text"] == "c"
     assert R.load_task_split(spark, path, "none", "test") is None
     assert R.load_task_split(spark, str(tmp_path / "missing"), "1", "test") is None
-    W.replace_tasks(spark.createDataFrame([("1", "z", "test")], df.schema), path)
+    W.replace_tasks(spark.createDataFrame([("007", "z", "test")], df.schema), path)
     assert {r["text"] for r in R.load_complete(spark, path).collect()} == {"a", "b", "z"}
-    plan = R.load_all_tasks(spark, path, "test").where("task = '1'")._jdf.queryExecution().executedPlan().toString()
+    plan = R.load_all_tasks(spark, path, "test").where("task = '007'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan and "task" in plan.split("PartitionFilters")[1].split("]")[0]
 
 
