@@ -303,6 +303,16 @@ def encode_labels(read, spark):
     return L.encode_labels(rows, known, "ignore").na.fill(-1, ["task_idx", "label_idx"])
 
 
+@query(
+    "encode_wide",
+    """with docs as (select doc_id, dense_rank() over (order by lang) - 1 as a, dense_rank() over (order by source) - 1 as b from documents)
+    select doc_id, cast(a as varchar) || ',' || cast(b as varchar) as labels from docs""",
+)
+def encode_wide(read, spark):
+    coded = L.encode_wide(read("documents"), L.class_map(doc_tasks(read)), ["lang", "source"])
+    return coded.select("doc_id", F.array_join("labels", ",").alias("labels"))
+
+
 @query("unknown_tasks", f"with {DOC_TASKS} select task, count(*) as n from tasks where task <> 'lang' group by task")
 def unknown_tasks(read, spark):
     rows = doc_tasks(read)

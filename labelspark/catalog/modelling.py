@@ -244,10 +244,11 @@ def cross_corpus_eval(read, spark):
               from terms x join predicted p using (doc_id) join pulls u on u.term = x.term and u.task = p.task and u.label = p.predicted),
     normed as (select *, a / sqrt(sum(a * a) over (partition by doc_id, task)) as attribution from token_parts),
     term_ranks as (select *, row_number() over (partition by doc_id, task order by round(attribution, 9) desc, term) as rank from normed)
-    select doc_id, task, predicted, term, round(round(attribution, 9), 5) as attribution, cast(rank as integer) as rank from term_ranks where rank <= 5""",
+    select doc_id, task, predicted, term, round(attribution, 5) as attribution, cast(rank as integer) as rank from term_ranks where rank <= 5""",
 )
 def attribute_tokens(read, spark):
     _, terms, heads = _heads(read)
     pred = LN.predict(terms, *heads, "doc_id")
-    parts = LN.attribute_tokens(terms, pred, *heads, "doc_id").withColumn("attribution", F.round("attribution", 9))
-    return LN.top_terms(parts, "doc_id", 5).withColumn("attribution", F.round("attribution", 5))
+    parts = LN.attribute_tokens(terms, pred, *heads, "doc_id").withColumn("exact", F.col("attribution"))
+    top = LN.top_terms(parts.withColumn("attribution", F.round("exact", 9)), "doc_id", 5)
+    return top.withColumn("attribution", F.round("exact", 5)).drop("exact")

@@ -19,7 +19,8 @@ def map_values(c, mapping):
 
 def normalise_target(c):
     """Trimmed, spaces as hyphens, missing as 'Other'."""
-    return F.coalesce(F.replace(F.trim(c), F.lit(" "), F.lit("-")), F.lit("Other"))
+    trimmed = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.coalesce(F.replace(trimmed, F.lit(" "), F.lit("-")), F.lit("Other"))
 
 
 def severity_label(target, level):

@@ -173,6 +173,16 @@ def encode_labels(df, classes, on_missing="warn", task="task", label="value"):
     return coded
 
 
+def encode_wide(df, classes, columns, task="task", label="value"):
+    """Adds `labels`: the class index of every label column, in the order of `columns`; null without one."""
+    coded = df
+    for i, c in enumerate(columns):
+        own = classes.where(F.col(task) == c)
+        own = own.select(F.col(label).cast(df.schema[c].dataType).alias(c), F.col("idx").alias(f"_i{i}"))
+        coded = lookup_join(coded, own, c, "left")
+    return coded.select(*df.columns, F.array(*[f"_i{i}" for i in range(len(columns))]).alias("labels"))
+
+
 def unknown_tasks(df, classes, task="task"):
     """The report behind 'warn': tasks without a class map, with row counts."""
     counts = df.groupBy(task).agg(F.count(F.lit(1)).alias("n"))

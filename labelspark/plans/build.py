@@ -30,11 +30,10 @@ def build_long(df, id_col, extra=None, complete=False, use_groups=False, ratio=N
 
 def build_levels(df, id_col, use_groups=False):
     """Severity rows as tasks of their own, named `<target>#level`, so they never mix with the 0/1 rows."""
-    rows = comment_targets(df.select(id_col, "text", "target", "level", *(["group"] if use_groups else [])), use_groups)
-    return rows.select(
-        id_col, "text", F.concat("target", F.lit("#level")).alias("task"),
-        severity_label(F.col("target"), F.col("level")).alias("value"),
-    )
+    rows = df.select(id_col, "text", "target", "level", *(["group"] if use_groups else []))
+    written_as = F.coalesce("group" if use_groups else "target", F.lit("Other"))
+    rows = comment_targets(rows.withColumn("value", severity_label(written_as, F.col("level"))), use_groups)
+    return rows.select(id_col, "text", F.concat("target", F.lit("#level")).alias("task"), "value")
 
 
 def build_wide(df, order, tasks=None, use_groups=False):

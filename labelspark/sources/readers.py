@@ -2,20 +2,19 @@
 
 from pyspark.sql import functions as F, types as T
 
+from labelspark.operators.lookup import union_all
 from labelspark.operators.ranks import fill_down
 
 ANNOTATION_JSON = (
     "comment_id string, content string, found_manipulation string, annotations array<struct<technique:string>>"
 )
 GENERATED_JSON = "array<map<string,string>>"
-COMMENT_CSV = "Comment string, Target string"
-LEVEL_CSV = "Comment string, Target string, `HS Level` string"
 
 
-def _csv(spark, paths, schema, sep, header=True):
-    reader = spark.read.schema(schema) if schema else spark.read
+def _csv(spark, paths, schema, sep):
     return (
-        reader.option("header", header)
+        spark.read.schema(schema)
+        .option("header", True)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
@@ -25,9 +24,19 @@ def _csv(spark, paths, schema, sep, header=True):
     )
 
 
-def read_annotated_csv(spark, path, columns=("Comment", "Target"), label=None, schema=COMMENT_CSV, sep=";"):
+def _by_header(spark, paths, sep):
+    """[(all-text schema, paths)]: files with the same header line are one scan."""
+    groups = {}
+    for path in paths:
+        head = spark.read.option("header", True).option("sep", sep).option("multiLine", True).csv(path).columns
+        groups.setdefault(tuple(head), []).append(path)
+    return [(T.StructType([T.StructField(c, T.StringType()) for c in head]), group) for head, group in groups.items()]
+
+
+def read_annotated_csv(spark, path, columns=("Comment", "Target"), label=None, sep=";"):
     """Delimited file with a header; the named columns, and `Value` = `label` when one is given."""
-    rows = _csv(spark, path, schema, sep).select(*[F.col(f"`{c}`") for c in columns])
+    (schema, paths), = _by_header(spark, [path], sep)
+    rows = _csv(spark, paths, schema, sep).select(*[F.col(f"`{c}`") for c in columns])
     return rows if label is None else rows.withColumn("Value", F.lit(label))
 
 
@@ -38,28 +47,30 @@ def file_name():
     return F.when(F.startswith(last, F.lit("part-")), F.element_at(parts, -2)).otherwise(last)
 
 
-def read_file_list(spark, folder, files, schema=COMMENT_CSV, sep=";"):
-    """One scan over [(file, label, group)]: text, target, value and the group of the file."""
+def _tagged_files(spark, folder, files, sep, level):
     tags = F.create_map(
         *[x for name, label, group in files for x in (F.lit(name), F.struct(F.lit(label).alias("l"), F.lit(group).alias("g")))]
     )
-    rows = _csv(spark, [f"{folder}/{name}" for name, _, _ in files], schema, sep)
-    tagged = rows.select(F.col("Comment").alias("text"), F.col("Target").alias("target"), tags[file_name()].alias("_t"))
-    return tagged.select("text", "target", F.col("_t.l").alias("value"), F.col("_t.g").alias("group"))
+    frames = []
+    for schema, paths in _by_header(spark, [f"{folder}/{name}" for name, _, _ in files], sep):
+        cell = F.col(f"`{level}`") if level in schema.names else F.lit(None).cast("string")
+        rows = _csv(spark, paths, schema, sep)
+        frames.append(
+            rows.select(F.col("Comment").alias("text"), F.col("Target").alias("target"), cell.alias("level"), tags[file_name()].alias("_t"))
+        )
+    rows = union_all(frames)
+    return rows.select("text", "target", F.col("_t.l").alias("value"), F.col("_t.g").alias("group"), "level")
 
 
-def read_levels_csv(spark, folder, files, sep=";"):
-    """Severity files: only those with label 1 have the level column; others give a null level."""
-    frames = []
-    for positive, schema in ((True, LEVEL_CSV), (False, COMMENT_CSV)):
-        chosen = [f"{folder}/{name}" for name, label, _ in files if (label == 1) == positive]
-        if chosen:
-            rows = _csv(spark, chosen, schema, sep)
-            frames.append(rows.toDF(*["text", "target", "level"][: len(rows.columns)]))
-    first, *rest = frames
-    for frame in rest:
-        first = first.unionByName(frame, allowMissingColumns=True)
-    return first if "level" in first.columns else first.withColumn("level", F.lit(None).cast("string"))
+def read_file_list(spark, folder, files, sep=";"):
+    """[(file, label, group)] as text, target, value and the group of the file; other columns are not read."""
+    return _tagged_files(spark, folder, files, sep, None).drop("level")
+
+
+def read_levels_csv(spark, folder, files, sep=";", level="HS Level"):
+    """The same files with the severity column of those with label 1; others have a null level."""
+    rows = _tagged_files(spark, folder, files, sep, level)
+    return rows.withColumn("level", F.when(F.col("value") == 1, F.col("level")))
 
 
 def read_plain_csv(spark, path, schema):

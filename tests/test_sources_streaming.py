@@ -16,19 +16,17 @@ from labelspark.streaming import scoring as ST
 def test_file_list_and_levels(spark, tmp_path):
     positive, negative = "SET No. 1 a _ b+c_HS.v1.csv", "SET No. 1 a _ b+c_N.v1.csv"
     (tmp_path / positive).write_text('Comment;Target;HS Level\n"two\nlines; ""q""";x y;Level 2\nplain;;\n')
-    (tmp_path / negative).write_text("Comment;Target;HS Level\nnice;x y;ignored\n")
+    (tmp_path / negative).write_text("Target;Comment\nx y;nice\n")
     files = [(positive, 1, "group"), (negative, 0, "group")]
-    schema = "Comment string, Target string, `HS Level` string"
-    rows = {tuple(r) for r in R.read_file_list(spark, str(tmp_path), files, schema).collect()}
+    rows = {tuple(r) for r in R.read_file_list(spark, str(tmp_path), files).collect()}
     assert rows == {('two\nlines; "q"', "x y", 1, "group"), ("plain", None, 1, "group"), ("nice", "x y", 0, "group")}
-    one = R.read_annotated_csv(spark, str(tmp_path / positive), label=1, schema=schema)
+    one = R.read_annotated_csv(spark, str(tmp_path / positive), label=1)
     assert one.columns == ["Comment", "Target", "Value"] and one.count() == 2
-    (tmp_path / negative).write_text("Comment;Target\nnice;x y\n")
     leveled = R.read_levels_csv(spark, str(tmp_path), files).withColumn("id", F.monotonically_increasing_id())
     assert {(r["target"], r["level"]) for r in leveled.collect()} == {("x y", "Level 2"), (None, None), ("x y", None)}
     targets = leveled.unionByName(leveled).unionByName(leveled).unionByName(leveled)
     built = B.build_levels(targets, "id")
-    assert {(r["task"], r["value"]) for r in built.collect()} == {("x-y#level", "x-y Level 2"), ("x-y#level", "x-y Level 0")}
+    assert {(r["task"], r["value"]) for r in built.collect()} == {("x-y#level", "x y Level 2"), ("x-y#level", "x y Level 0")}
 
 
 def test_nested_json(spark, tmp_path):
