@@ -70,11 +70,20 @@ def cut_keys(df, strata, key, fractions, digits=BUCKET_DIGITS):
     )
 
 
-def numbered(df, strata, key, digits=BUCKET_DIGITS):
-    """Adds `_pos` (1..n inside the stratum, in key order); `key` must be evenly spread hex text."""
+def numbered(df, strata, key, digits=BUCKET_DIGITS, wanted=None):
+    """Adds `_pos` (1..n inside the stratum, in key order); `key` must be evenly spread hex text.
+
+    With a short table `wanted` (strata columns and `_pos`) only the buckets that hold one of these
+    positions are ranked, and rows of other buckets are left out.
+    """
     keyed = df.withColumn("_s", stratum(strata)).withColumn("_k", key)
     keyed = keyed.withColumn("_b", F.substring("_k", 1, digits))
-    offsets = _bucket_totals(keyed).select("_s", "_b", "_before")
+    totals = _bucket_totals(keyed)
+    offsets = totals.select("_s", "_b", "_before")
+    if wanted is not None:
+        places = wanted.select(stratum(strata).alias("_s"), "_pos")
+        hit = totals.join(places, "_s").where("_pos > _before and _pos <= _before + _n")
+        keyed = lookup_join(keyed, hit.select("_s", "_b").distinct(), ["_s", "_b"], "left_semi", OFFSET_ROWS)
     inside = F.row_number().over(W.partitionBy("_s", "_b").orderBy("_k"))
     ranked = keyed.withColumn("_i", inside.cast("bigint"))
     return (

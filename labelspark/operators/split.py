@@ -8,6 +8,7 @@ from labelspark.operators.lookup import lookup_join, skewed_join
 from labelspark.operators.ranks import cut_keys, numbered, seeded_key, stratum
 
 DRAW_CHUNK = 10_000
+FEW_DRAWS = 1_000
 
 
 def _assign(df, key, cuts, on_cuts):
@@ -146,7 +147,9 @@ def sample_rows(df, id_col, n, seed=42):
     one = df.withColumn("_task", F.lit("rows")).withColumn("_class", F.lit("all"))
     sizes = one.groupBy("_task", "_class").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.lit(n).cast("bigint"))
     drawn = drawn_positions(sizes, "_class", "_task", seed)
-    placed = numbered(one.select(id_col, "_task", "_class"), ["_task", "_class"], seeded_key(id_col, seed))
+    ids = one.select(id_col, "_task", "_class")
+    wanted = drawn if n <= FEW_DRAWS else None
+    placed = numbered(ids, ["_task", "_class"], seeded_key(id_col, seed), wanted=wanted)
     picked = placed.join(drawn, ["_task", "_class", "_pos"]).select(id_col, "copies")
-    rows = df.join(picked, id_col)
+    rows = lookup_join(df, picked, id_col) if n <= FEW_DRAWS else df.join(picked, id_col)
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copies")
