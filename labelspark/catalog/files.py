@@ -79,7 +79,7 @@ def read_plain_csv(read, spark):
 
 def _write_json_arrays(df, number, path, size=1000):
     """One indented JSON array per `size` consecutive numbers, each in a file of its own."""
-    batch = F.floor(F.col(number) / size).cast("bigint").alias("batch")
+    batch = ranks.chunk_of(number, size).alias("batch")
     records = df.select(batch, F.to_json(F.struct(*df.columns)).alias("record"))
     arrays = records.groupBy("batch").agg(F.array_join(F.array_sort(F.collect_list("record")), ",\n  ").alias("value"))
     files = arrays.select("batch", F.concat(F.lit("[\n  "), "value", F.lit("\n]")).alias("value"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from labelspark.functions.generated import extract_fenced_json, parse_records, text_list, was_rejected
 from labelspark.operators.labels import cast_label_type, only_known_tasks
-from labelspark.operators.ranks import row_index
+from labelspark.operators.ranks import chunk_of, row_index
 
 # Fixed value: the form of one row in a batch.
 BATCH_LINE = "Comment: {text}\nIndex: {index}\nLabels: {labels}"
@@ -48,8 +48,7 @@ def prompt_batches(df, id_col, size, text="text", labels="labels", template=BATC
     line = F.lit(template)
     for slot, value in reversed(parts.items()):
         line = F.replace(line, F.lit(slot), value)
-    batch = F.floor(F.col("row_index") / size).cast("bigint")
-    lines = indexed.select(batch.alias("batch"), F.struct("row_index", line.alias("line")).alias("_l"))
+    lines = indexed.select(chunk_of("row_index", size).alias("batch"), F.struct("row_index", line.alias("line")).alias("_l"))
     blocks = lines.groupBy("batch").agg(F.array_sort(F.collect_list("_l")).alias("_l"))
     return blocks.select(
         "batch",

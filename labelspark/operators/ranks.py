@@ -27,6 +27,11 @@ def stratum(columns):
     return F.concat_ws("\u0002", *parts) if parts else F.lit("")
 
 
+def chunk_of(column, size):
+    """Number of the fixed-size range an integer falls into, without rounding large ids."""
+    return F.call_function("div", F.col(column), F.lit(size))
+
+
 def _bucket_totals(keyed):
     order = W.partitionBy("_s").orderBy("_b")
     return (
@@ -63,7 +68,7 @@ def cut_keys(df, strata, key, fractions, digits=BUCKET_DIGITS):
     local = small_table(cuts, OFFSET_ROWS)
     cuts = cuts if local is None else local
     needed = lookup_join(keyed, cuts.select("_s", "_b").distinct(), ["_s", "_b"], "left_semi", OFFSET_ROWS)
-    ranked = needed.withColumn("_r", F.row_number().over(W.partitionBy("_s", "_b").orderBy("_k")).cast("bigint"))
+    ranked = needed.withColumn("_r", F.row_number().over(W.partitionBy("_b", "_s").orderBy("_k")).cast("bigint"))
     found = ranked.join(cuts, ["_s", "_b", "_r"])
     return found.groupBy("_s").agg(
         *[F.coalesce(F.max(F.when(F.col("_name") == name, F.col("_k"))), F.lit("")).alias(name) for name in fractions]
@@ -84,7 +89,7 @@ def numbered(df, strata, key, digits=BUCKET_DIGITS, wanted=None):
         places = wanted.select(stratum(strata).alias("_s"), "_pos")
         hit = totals.join(places, "_s").where("_pos > _before and _pos <= _before + _n")
         keyed = lookup_join(keyed, hit.select("_s", "_b").distinct(), ["_s", "_b"], "left_semi", OFFSET_ROWS)
-    inside = F.row_number().over(W.partitionBy("_s", "_b").orderBy("_k"))
+    inside = F.row_number().over(W.partitionBy("_b", "_s").orderBy("_k"))
     ranked = keyed.withColumn("_i", inside.cast("bigint"))
     return (
         lookup_join(ranked, offsets, ["_s", "_b"], "inner", OFFSET_ROWS)
@@ -95,7 +100,7 @@ def numbered(df, strata, key, digits=BUCKET_DIGITS, wanted=None):
 
 def row_index(df, id_col, name="row_index", chunk=CHUNK):
     """Consecutive 0-based index in id order; ids are unique integers, so a chunk has at most `chunk` rows."""
-    chunked = df.withColumn("_c", F.floor(F.col(id_col) / F.lit(chunk)).cast("bigint"))
+    chunked = df.withColumn("_c", chunk_of(id_col, chunk))
     offsets = running_offsets(chunked.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")), [], "_c", "_n")
     inside = F.row_number().over(W.partitionBy("_c").orderBy(id_col)).cast("bigint") - 1
     ranked = chunked.withColumn("_i", inside)
@@ -108,7 +113,7 @@ def row_index(df, id_col, name="row_index", chunk=CHUNK):
 
 def running_offsets(totals, groups, chunk, value, fan=1024):
     """Sum of `value` over all earlier chunks of the group, counted in two levels of `fan` chunks."""
-    t = totals.withColumn("_g", F.floor(F.col(chunk) / F.lit(fan)).cast("bigint"))
+    t = totals.withColumn("_g", chunk_of(chunk, fan))
     low = W.partitionBy(*groups, "_g").orderBy(chunk)
     high = W.partitionBy(*groups, F.lit(0)).orderBy("_g")
     tops = t.groupBy(*groups, "_g").agg(F.sum(value).alias("_t"))
@@ -119,7 +124,7 @@ def running_offsets(totals, groups, chunk, value, fan=1024):
 
 def running_sum(df, groups, position, value, name, chunk=CHUNK):
     """Inclusive running sum of an integer column along `position`, chunk by chunk."""
-    chunked = df.withColumn("_c", F.floor(F.col(position) / F.lit(chunk)).cast("bigint"))
+    chunked = df.withColumn("_c", chunk_of(position, chunk))
     totals = chunked.groupBy(*groups, "_c").agg(F.sum(value).alias("_n"))
     offsets = running_offsets(totals, groups, "_c", "_n")
     inside = F.sum(value).over(W.partitionBy(*groups, "_c").orderBy(position))
@@ -132,7 +137,7 @@ def running_sum(df, groups, position, value, name, chunk=CHUNK):
 
 def fill_down(df, groups, position, columns, chunk=CHUNK):
     """Null cells take the last value above them; the carry between chunks travels in a small table."""
-    chunked = df.withColumn("_c", F.floor(F.col(position) / F.lit(chunk)).cast("bigint"))
+    chunked = df.withColumn("_c", chunk_of(position, chunk))
     inside = W.partitionBy(*groups, "_c").orderBy(position)
     earlier = W.partitionBy(*groups, F.lit(0)).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
     ends = chunked.groupBy(*groups, "_c").agg(

@@ -5,16 +5,24 @@ from decimal import Decimal
 from pyspark.sql import Window as W, functions as F
 
 from labelspark.operators.lookup import lookup_join, skewed_join
-from labelspark.operators.ranks import cut_keys, numbered, seeded_key, stratum
+from labelspark.operators.ranks import chunk_of, cut_keys, numbered, seeded_key, stratum
 
 DRAW_CHUNK = 10_000
 FEW_DRAWS = 1_000
 
 
-def _assign(df, key, cuts, on_cuts):
-    """Split names from a row's key and the cut keys of its stratum."""
-    name = F.when(key <= F.col("_train"), "train").when(key <= F.col("_valid"), "validation").otherwise("test")
-    return lookup_join(df, cuts, on_cuts, "left").withColumn("split", name).drop("_train", "_valid")
+def _split_name(key, train, valid):
+    return F.when(key <= train, "train").when(key <= valid, "validation").otherwise("test")
+
+
+def _assign(df, key, cuts, strata):
+    """Split names from a row's key and the cut keys of its stratum `_s`."""
+    if not strata:
+        row = cuts.first()
+        train, valid = (row["_train"], row["_valid"]) if row else ("", "")
+        return df.withColumn("split", _split_name(key, F.lit(train), F.lit(valid)))
+    joined = lookup_join(df, cuts, "_s", "left")
+    return joined.withColumn("split", _split_name(key, F.col("_train"), F.col("_valid"))).drop("_train", "_valid")
 
 
 def seeded_split(df, id_col, train=0.7, valid=0.15, seed=42, strata=(), group_col=None):
@@ -29,14 +37,14 @@ def seeded_split(df, id_col, train=0.7, valid=0.15, seed=42, strata=(), group_co
         key = seeded_key(id_col, seed)
         cuts = cut_keys(df, list(strata), key, fractions)
         rows = df.withColumn("_s", stratum(list(strata)))
-        return _assign(rows, key, cuts, "_s").drop("_s")
+        return _assign(rows, key, cuts, strata).drop("_s")
     key = seeded_key(group_col, seed)
     rows = df.withColumn("_key", key).withColumn("_s", stratum(list(strata)))
     groups = rows.groupBy("_key").agg(F.min("_s").alias("_s"))
     cuts = cut_keys(groups, ["_s"], F.col("_key"), fractions)
     if not strata:
-        return _assign(rows, F.col("_key"), cuts, "_s").drop("_s", "_key")
-    assigned = _assign(groups, F.col("_key"), cuts, "_s").drop("_s")
+        return _assign(rows, F.col("_key"), cuts, strata).drop("_s", "_key")
+    assigned = _assign(groups, F.col("_key"), cuts, strata).drop("_s")
     return skewed_join(rows.drop("_s"), assigned, "_key").drop("_key")
 
 
@@ -92,9 +100,11 @@ def drawn_positions(sizes, class_col="value", task_col="task", seed=42):
 
     Draws are unfolded in chunks, so one large class is drawn by many tasks.
     """
-    last_chunk = F.floor((F.col("size") - 1) / DRAW_CHUNK).cast("bigint")
-    chunks = sizes.where(F.col("size") > 0).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
-    chunks = chunks.repartition(task_col, class_col, "_c")
+    chunks = sizes.where(F.col("size") > 0).withColumn("_last", F.col("size") - 1)
+    chunks = chunks.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), chunk_of("_last", DRAW_CHUNK))))
+    # a stated number of partitions: the few chunk rows must not be merged into one task before they unfold
+    tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunks.repartition(tasks, task_col, class_col, "_c")
     low = F.col("_c") * DRAW_CHUNK
     high = F.least(low + DRAW_CHUNK, F.col("size")) - 1
     draws = chunks.withColumn("_j", F.explode(F.sequence(low, high)))
