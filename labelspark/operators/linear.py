@@ -5,6 +5,9 @@ bias, floor) holds the class's prior and what each term adds that the class has
 Texts come as (id, terms), one array per text, which is unfolded only after every join on the id.
 """
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Window as W, functions as F
 
 from labelspark.functions.columns import argmax, softmax
@@ -46,20 +49,29 @@ def offsets_of(counts, priors):
     return joined.select("task", "label", "bias", floor.alias("floor"))
 
 
+def _known_classes(offsets):
+    """Rows of (task, label, bias, floor) in order, or None when there are more than MAX_CLASSES."""
+    local = small_table(offsets.orderBy("task", "label"), MAX_CLASSES)
+    return None if local is None else local.collect()
+
+
+def _with_weights(terms, weights, known, how):
+    """Terms with one weight column `_w0`, `_w1`, ... per known class, null where the class never showed it."""
+    own = [(F.col("task") == r["task"]) & F.col("label").eqNullSafe(F.lit(r["label"])) for r in known]
+    by_term = weights.groupBy("term").agg(*[F.max(F.when(c, F.col("weight"))).alias(f"_w{i}") for i, c in enumerate(own)])
+    return lookup_join(terms, by_term, "term", how, WEIGHT_CELLS // max(len(known), 1))
+
+
 def logits(lists, weights, offsets, id_col):
     """(id, n_terms, task, labels, logits) for every text and task, classes in label order.
 
     Up to MAX_CLASSES classes, each term brings one weight per class and a text is summed up in one row.
     """
-    classes = small_table(offsets.orderBy("task", "label"), MAX_CLASSES)
+    known = _known_classes(offsets)
     terms = lists.select(id_col, F.explode_outer("terms").alias("term"))
-    if classes is None:
+    if known is None:
         return _logits_by_class(lists, terms, weights, offsets, id_col)
-    known = classes.collect()
-    own = [(F.col("task") == r["task"]) & F.col("label").eqNullSafe(F.lit(r["label"])) for r in known]
-    by_term = weights.groupBy("term").agg(*[F.max(F.when(c, F.col("weight"))).alias(f"_w{i}") for i, c in enumerate(own)])
-    matched = lookup_join(terms, by_term, "term", "left", WEIGHT_CELLS // max(len(known), 1))
-    sums = matched.groupBy(id_col).agg(
+    sums = _with_weights(terms, weights, known, "left").groupBy(id_col).agg(
         F.count("term").alias("_n"), *[F.coalesce(F.sum(f"_w{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(known))]
     )
     tasks = {}
@@ -126,13 +138,33 @@ def centred_weights(weights, offsets):
     return rows.select("term", "task", F.col("_c.label").alias("label"), pull.alias("pull"))
 
 
+def _pull_of_winner(known):
+    """The centred weight of the winning class, from the weight columns; null for a term new to the task."""
+    cases = []
+    for task in {r["task"]: None for r in known}:
+        own = [(i, r) for i, r in enumerate(known) if r["task"] == task]
+        mean_floor = sum(r["floor"] for _, r in own) / len(own)
+        weight = {i: F.coalesce(f"_w{i}", F.lit(0.0)) for i, _ in own}
+        mean = reduce(add, weight.values()) / len(own)
+        shown = F.coalesce(*[f"_w{i}" for i, _ in own]).isNotNull()
+        for i, r in own:
+            won = (F.col("task") == task) & F.col("predicted").eqNullSafe(F.lit(r["label"])) & shown
+            cases.append(F.when(won, weight[i] - mean + F.lit(r["floor"] - mean_floor)))
+    return F.coalesce(*cases)
+
+
 def attribute_tokens(lists, predicted, weights, offsets, id_col):
     """(id, task, term, attribution): the term's part in the winning class, over the L2 norm of the text's parts."""
     terms = lists.select(id_col, F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
     terms = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
-    pulls = centred_weights(weights, offsets).withColumnRenamed("label", "predicted")
-    wins = terms.join(predicted.select(id_col, "task", "predicted"), id_col)
-    parts = lookup_join(wins, pulls, ["term", "task", "predicted"], "inner", TERM_ROWS)
+    winners = predicted.select(id_col, "task", "predicted")
+    known = _known_classes(offsets)
+    if known is None:
+        pulls = centred_weights(weights, offsets).withColumnRenamed("label", "predicted")
+        parts = lookup_join(terms.join(winners, id_col), pulls, ["term", "task", "predicted"], "inner", TERM_ROWS)
+    else:
+        matched = _with_weights(terms, weights, known, "inner").join(winners, id_col)
+        parts = matched.withColumn("pull", _pull_of_winner(known)).where(F.col("pull").isNotNull())
     parts = parts.withColumn("_a", F.col("n") * F.col("pull"))
     norm = F.sqrt(F.sum(F.col("_a") * F.col("_a")).over(W.partitionBy(id_col, "task")))
     return parts.select(id_col, "task", "predicted", "term", F.coalesce(F.try_divide("_a", norm), F.lit(0.0)).alias("attribution"))

@@ -49,7 +49,7 @@ def small_corpus(spark):
     return spark.createDataFrame(rows, "i int, text string, task string, value int")
 
 
-def test_count_heads_match_brute_force(spark):
+def test_count_heads_match_brute_force(spark, monkeypatch):
     df = small_corpus(spark)
     terms = T.term_lists(df, "i")
     heads = LN.count_heads(terms, df.select("i", "task", F.col("value").alias("label")), "i")
@@ -72,6 +72,10 @@ def test_count_heads_match_brute_force(spark):
     parts = LN.attribute_tokens(T.term_lists(new, "i"), pred, *heads, "i").collect()
     assert sum(r["attribution"] ** 2 for r in parts) == pytest.approx(1)
     assert max(parts, key=lambda r: r["attribution"])["term"] == "good"
+    monkeypatch.setattr(LN, "MAX_CLASSES", 1)
+    many = LN.attribute_tokens(T.term_lists(new, "i"), pred, *heads, "i").collect()
+    by_term = {r["term"]: r["attribution"] for r in parts}
+    assert {r["term"]: r["attribution"] for r in many} == pytest.approx(by_term)
 
 
 def test_cross_corpus_ignores_missing_tasks(spark):
