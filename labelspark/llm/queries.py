@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, with SQL where SQL can state them over whole tables."""
 
-from labelspark.llm import exact, packing, token_store
+from labelspark.llm import contamination, exact, language_id, near, packing, quality, secrets, token_store
 
 QUERIES, ORACLE = {}, {}
 
@@ -20,6 +20,56 @@ def op3(spark, read):
     return packing.pack(read("documents"))
 
 
+@query("op4_language_id")
+def op4(spark, read):
+    docs = read("documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(
+    "op5_near_dedup",
+    f"""
+    with recursive words as (
+      select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'),
+                                 lambda w: w <> '') as w
+      from documents
+    ),
+    sets as (
+      select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                          else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+      from words
+    ),
+    shingles as (select doc_id, unnest(s) as h from sets),
+    common as (
+      select x.doc_id as a, y.doc_id as b, count(*) as n from shingles x join shingles y using (h) where x.doc_id < y.doc_id group by all
+    ),
+    links as (
+      select a, b from common join sets x on x.doc_id = a join sets y on y.doc_id = b
+      where 100 * n >= 85 * (len(x.s) + len(y.s) - n)
+    ),
+    ways as (select a, b from links union all select b, a from links),
+    reached as (
+      select doc_id as a, doc_id as b from documents
+      union
+      select reached.a, ways.b from reached join ways on reached.b = ways.a
+    ),
+    roots as (select a as doc_id, min(b) as component_id from reached group by a)
+    select doc_id, len(s) as n_shingles, component_id, doc_id = component_id as kept from sets join roots using (doc_id)
+    """,
+)
+def op5(spark, read):
+    return near.near_duplicates(read("documents"))
+
+
+@query("op6_secrets")
+def op6(spark, read):
+    docs = read("documents")
+    return secrets.find(docs, secrets.train(docs))
+
+
 @query("op7_token_files")
 def op7(spark, read):
     return token_store.round_trip(read("documents"))
@@ -35,3 +85,75 @@ def op7(spark, read):
 )
 def op8(spark, read):
     return exact.exact_duplicates(read("documents"))
+
+
+@query("op9_quality")
+def op9(spark, read):
+    docs = read("documents")
+    return quality.score(docs, quality.train(docs, read("labels")))
+
+
+def _marked(table, key):
+    """The steps of `contamination.marked` and `template_tokens` in SQL: (key, words, template) of a table."""
+    c = contamination
+    return rf"""
+      select {key}, list_filter(regexp_extract_all(m, '[\x01\x02\x03][^\x04]*\x04|[\p{{L}}\p{{Nd}}]+'), lambda x: x <> '') as words,
+             list_filter(regexp_extract_all(regexp_replace(m, '([\x01\x02\x03])[^\x04]*\x04', '\1 ', 'g'),
+                                            '[\x01\x02\x03]|[\p{{L}}\p{{Nd}}]+'), lambda x: x <> '') as t
+      from (
+        select {key}, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x01-\x04]', ' ', 'g'),
+          '{c.UNIT}', '\1 ' || chr(1) || '\2' || chr(4) || '\3', 'g'),
+          '{c.NUMBER}', chr(2) || '\1' || chr(4), 'g'),
+          '{c.NAME}', '\1' || chr(3) || '\2' || chr(4), 'g')) as m
+        from {table}
+      )"""
+
+
+@query(
+    "op10_decontamination",
+    f"""
+    with docs as ({_marked("documents", "doc_id")}),
+    items as ({_marked("benchmark", "item_id")}),
+    item_sizes as (select item_id, words, t, len(t) as n_tokens, least(len(t), {contamination.WINDOW}) as size from items where len(t) > 0),
+    item_windows as (
+      select item_id, n_tokens, size, p - 1 as item_pos, array_to_string(t[p:p + size - 1], ' ') as w
+      from (select *, unnest(range(1, n_tokens - size + 2)) as p from item_sizes)
+    ),
+    doc_windows as (
+      select doc_id, size, p - 1 as doc_pos, array_to_string(t[p:p + size - 1], ' ') as w
+      from (select doc_id, t, size, unnest(range(1, len(t) - size + 2)) as p
+            from docs cross join (select distinct size from item_sizes))
+    ),
+    matches as (
+      select doc_id, item_id, size, n_tokens, item_pos, doc_pos - item_pos as shift from doc_windows join item_windows using (w, size)
+    ),
+    covered as (
+      select distinct doc_id, item_id, n_tokens, shift, item_pos + unnest(range(0, size)) as token from matches
+    ),
+    pairs as (
+      select c.doc_id, c.item_id, c.shift, i.words[c.token + 1] as asked, d.words[c.token + c.shift + 1] as value
+      from covered c join items i using (item_id) join docs d using (doc_id) where ascii(i.words[c.token + 1]) < 4
+    ),
+    verdict as (
+      select doc_id, item_id, shift, bool_and(n = 1) as consistent, bool_and(n = 1 and same) as same
+      from (select doc_id, item_id, shift, asked, count(distinct value) as n, bool_and(asked = value) as same from pairs group by all)
+      group by all
+    ),
+    kept as (
+      select doc_id, item_id, shift, coalesce(same, true) as same from (select distinct doc_id, item_id, shift from matches)
+      left join verdict using (doc_id, item_id, shift) where coalesce(consistent, true)
+    ),
+    tokens as (
+      select doc_id, item_id, n_tokens, token, bool_or(same) as same from covered join kept using (doc_id, item_id, shift) group by all
+    ),
+    totals as (select doc_id, item_id, n_tokens, count(*) as n, bool_and(same) as exact_slots from tokens group by all),
+    windows as (
+      select doc_id, item_id, count(*) as n_windows
+      from (select distinct doc_id, item_id, shift, item_pos from matches) join kept using (doc_id, item_id, shift) group by all
+    )
+    select doc_id, item_id, n_windows, n / n_tokens as covered, exact_slots from totals join windows using (doc_id, item_id)
+    where n >= {contamination.COVER} * n_tokens
+    """,
+)
+def op10(spark, read):
+    return contamination.leaks(read("documents"), read("benchmark"))
