@@ -2,15 +2,17 @@
 
 import functools
 import json
+import re
+from array import array
 
 import numpy as np
 import regex
 
-#: The split before the merges, as the tokenizer files state it.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-#: Characters on whose class the two regular expression libraries may differ, and those of newer Unicode versions.
-UNSURE = regex.compile(r"[\x1c-\x1f\x85᠎​\p{Cn}\p{Co}]|[^\x00-\U0001ffff]")
+#: The split before the merges that such files ask for: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Characters that the two regular expression libraries may class differently: numbers that are no decimal digits, newer and private
+#: characters, odd white space. A text with one of them goes to the library as it stands.
+UNSURE = regex.compile(r"[\p{No}\p{Nl}\p{Cn}\p{Co}\p{Cs}\x1c-\x1f\x85᠎​]")
 
 
 def default_path():
@@ -19,65 +21,74 @@ def default_path():
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters():
+    """The letter that stands for each byte in such vocabularies: printable Latin-1 as itself, the rest from 256 on."""
+    table, spare = {}, 256
+    for byte in range(256):
+        if 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174:
+            table[byte] = chr(byte)
+        else:
+            table[byte] = chr(spare)
+            spare += 1
+    return table
+
+
 class Pieces:
     """Ids per piece of text, as little-endian bytes; pieces not used lately are forgotten beyond `keep`.
 
-    A byte-level BPE works inside the pieces its split yields, so a text's ids are those of its pieces in a row. New pieces
-    go to the library together, a line each; white-space pieces and unsure characters go to it as they stand.
+    A byte-level BPE works inside the pieces its split yields, so a text's ids are those of its pieces in a row. The library's model
+    gives the ids of a piece.
     """
 
-    def __init__(self, path, keep=300_000):
+    def __init__(self, path, keep=400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            split = json.load(file).get("pre_tokenizer") or {}
-        self.splits = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.find = regex.compile(SPLIT).findall
+            found = json.load(file)
+        split = found.get("pre_tokenizer") or {}
+        self.splits = (
+            split.get("type") == "ByteLevel"
+            and split.get("use_regex")
+            and not split.get("add_prefix_space")
+            and not found.get("normalizer")
+            and all(x["special"] for x in found.get("added_tokens", []))
+        )
+        self.dtype, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.keep, self.new, self.old = keep, {}, {}
 
     def whole(self, text):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def learn(self, pieces):
-        missing = []
+        """Fills in the ids of pieces; None for those with an unsure character."""
         for piece in pieces:
-            known = self.old.get(piece)
-            if known is not None:
-                self.new[piece] = known
-            elif piece.isspace():
-                self.new[piece] = self.whole(piece)
-            else:
-                missing.append(piece)
-        for k in range(0, len(missing), 2000):
-            part = missing[k : k + 2000]
-            got = self.tokenizer.encode("\n" + "\n".join(part), add_special_tokens=False)
-            words = np.array(got.word_ids, dtype=np.int64)
-            if len(words) == 0 or words[-1] != 2 * len(part) - 1:
-                self.new.update((piece, self.whole(piece)) for piece in part)
-                continue
-            ids = np.array(got.ids, dtype=self.dtype)
-            starts = np.searchsorted(words, np.arange(1, 2 * len(part), 2)).tolist()
-            ends = np.searchsorted(words, np.arange(1, 2 * len(part), 2), side="right").tolist()
-            data, width = ids.tobytes(), ids.itemsize
-            self.new.update((p, data[a * width : b * width]) for p, a, b in zip(part, starts, ends, strict=True))
+            known = self.old.get(piece, 0)
+            if known == 0:
+                if (piece.isspace() or not piece.isascii()) and UNSURE.search(piece):
+                    known = None
+                else:
+                    letters = piece.encode().decode("latin-1").translate(self.letters)
+                    known = array(self.code, [x.id for x in self.tokenize(letters)]).tobytes()
+            self.new[piece] = known
 
     def encode(self, texts):
         """Ids of each text as bytes of `dtype`."""
         if not self.splits:
             return [self.whole(text) for text in texts]
-        sure = [not UNSURE.search(text) for text in texts]
-        words = [self.find(text) if ok else () for text, ok in zip(texts, sure, strict=True)]
-        seen = set()
-        for row in words:
-            seen.update(row)
+        words = list(map(SPLIT.findall, texts))
         if len(self.new) > self.keep:
             self.new, self.old = {}, self.new
-        self.learn(seen - self.new.keys())
-        get = self.new.__getitem__
-        return [b"".join(map(get, row)) if ok else self.whole(text) for text, row, ok in zip(texts, words, sure, strict=True)]
+        self.learn(set().union(*words).difference(self.new))
+        get, out = self.new.__getitem__, []
+        for text, row in zip(texts, words, strict=True):
+            try:
+                out.append(b"".join(map(get, row)))
+            except TypeError:
+                out.append(self.whole(text))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
