@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, with SQL where SQL can state them over whole tables."""
 
-from labelspark.llm import contamination, exact, language_id, near, packing, quality, repeats, secrets, token_store
+from labelspark.llm import contamination, exact, language_id, mixing, near, packing, quality, repeats, secrets, token_store
 
 QUERIES, ORACLE = {}, {}
 
@@ -15,6 +15,11 @@ def query(name, sql=None):
     return register
 
 
+@query("op1_mixing")
+def op1(spark, read):
+    return mixing.score(read("documents"))
+
+
 @query("op2_repeats")
 def op2(spark, read):
     return repeats.remove_repeats(read("documents")).drop("kept")
