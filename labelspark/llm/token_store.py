@@ -43,7 +43,8 @@ def train_dictionary(docs, path, end_id, id_col, text_col, size=DICTIONARY_BYTES
     """Dictionary bytes from serialized ids of the `SAMPLE_DOCS` documents whose id hashes lowest; empty if they are too few."""
     shared.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_or_empty(text_col).alias("text"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    lowest = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    chosen = rows.join(F.broadcast(lowest), "doc_id", "left_semi")
 
     def serialize(columns):
         coder = pieces(path)
@@ -51,7 +52,7 @@ def train_dictionary(docs, path, end_id, id_col, text_col, size=DICTIONARY_BYTES
         return {"ids": [(x + end)[:SAMPLE_BYTES] for x in coder.encode(columns["text"])]}
 
     samples = [bytes(row[0]) for row in chosen.mapInArrow(shared.per_batch(serialize, "ids binary"), "ids binary").collect()]
-    samples = [x for x in samples if len(x) >= 8]
+    samples = sorted(x for x in samples if len(x) >= 8)
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
