@@ -76,7 +76,23 @@ _rule(
     lambda n: F.when(F.col("lang") != "en", F.col(n)),
     "(case when lang <> 'en' then text end)",
 )
-_rule("clean_text", C.clean_text, S.clean_text)
+# Every step of the chain has something to do: a wrong code page, references, plain forms, an emoji, a missing text.
+SPOILED = "\ncafÃ©\nﬁne &amp; “ＡＢ”\r\nend\u0007 🔥 ok"
+MENDED = "chr(10) || 'café' || chr(10) || 'fine & \"AB\"' || chr(10) || 'end  ::fire::  ok'"
+_rule(
+    "clean_text",
+    C.clean_text,
+    S.clean_text,
+    lambda n: F.when(F.col("lang") != "es", F.concat(F.col(n), F.lit(SPOILED))),
+    f"(case when lang <> 'es' then text || {MENDED} else '' end)",
+)
+_rule(
+    "repair_text",
+    C.repair_text,
+    lambda e: e,
+    lambda n: F.concat(F.col(n), F.lit("\ncafÃ©\n‘q’ „z” ﬀ ﬃ &lt; &#233; &#x1F525; &nothing; ５％\r.\u2028.\u0001")),
+    "(text || chr(10) || 'café' || chr(10) || '''q'' \"z\" ff ffi < é 🔥 &nothing; 5%' || chr(10) || '.' || chr(10) || '.')",
+)
 
 
 @query("remove_urls", f"select page_id, {S.remove_urls(chr(39) + 'see ' + chr(39) + ' || url || ' + chr(39) + ' and ' + chr(39) + ' || html')} as text from pages")
@@ -98,11 +114,14 @@ def fix_encoding(read, spark):
     "demojize",
     """
     select doc_id,
-           replace(text, '.', case lang when 'en' then '. ::fire::  ::red_heart:: '
-                                        when 'de' then '. ::thumbs_up:: ' else '. ::broken_heart:: ' end) as text
+           replace(text, '.', case lang when 'en' then '. ::fire::  ::red_heart::  ::copyright:: '
+                                        when 'de' then '. ::thumbs_up_medium_skin_tone::  ::flag_LT:: ✓'
+                                        when 'fr' then '. ::keycap_1::  ::watch::  ::man_woman_girl:: '
+                                        else '. ::broken_heart:: ' end) as text
     from documents
     """,
 )
 def demojize(read, spark):
-    symbol = F.when(F.col("lang") == "en", ".🔥❤️").when(F.col("lang") == "de", ".👍").otherwise(".💔")
+    symbol = F.when(F.col("lang") == "en", ".🔥❤️©").when(F.col("lang") == "de", ".👍🏽🇱🇹✓")
+    symbol = symbol.when(F.col("lang") == "fr", ".1️⃣⌚👨‍👩‍👧").otherwise(".💔")
     return I.texts(read).select("doc_id", C.demojize(F.replace("text", F.lit("."), symbol)).alias("text"))

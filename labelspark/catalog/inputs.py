@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from labelspark.operators.reshape import wide_to_long
-from labelspark.sources.readers import spread_texts
 
 ANNOTATION_FLAGS = ["target_flag_a", "target_flag_r", "target_status_o", "target_size"]
 
@@ -33,8 +32,7 @@ annotations as (
 
 
 def texts(read):
-    """The documents, for work that is heavy per text."""
-    return spread_texts(read("documents"), "doc_id")
+    return read("documents")
 
 
 def wide(read):

@@ -23,13 +23,12 @@ tokens as (select doc_id, token, row_number() over (partition by doc_id order by
 VOCABULARY = f"""
 {TOKENS},
 counts as (select token, count(*) as n from tokens group by token),
-vocabulary as (select token, cast(row_number() over (order by n desc, token) + 1 as integer) as token_id, n from counts
-               qualify row_number() over (order by n desc, token) <= 2000)"""
+vocabulary as (select token, cast(row_number() over (order by n desc, token) + 1 as integer) as token_id, n from counts)"""
 
 
 @query("vocabulary", f"with {VOCABULARY} select token, token_id, n from vocabulary")
 def vocabulary(read, spark):
-    return T.vocabulary(I.texts(read), max_size=2000)
+    return T.vocabulary(I.texts(read))
 
 
 @query(
@@ -43,7 +42,7 @@ def vocabulary(read, spark):
 )
 def encode_tokens(read, spark):
     docs = I.texts(read)
-    coded = T.encode_tokens(docs, T.vocabulary(docs, max_size=2000), "doc_id", 64)
+    coded = T.encode_tokens(docs, T.vocabulary(docs), "doc_id", 64)
     total = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
     return coded.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"), total.alias("n_tokens"))
 
@@ -212,7 +211,7 @@ CORPUS_TASKS = {"user": "toxic", "assistant": "quality"}
 @query(
     "cross_corpus_eval",
     f"""with {HEADS},
-    other as (select conv_id * 1000 + turn as doc_id, case role when 'user' then 'toxic' when 'assistant' then 'quality' end as task,
+    other as (select conv_id || '-' || turn as doc_id, case role when 'user' then 'toxic' when 'assistant' then 'quality' end as task,
                      cast(length(text) > 300 as integer) as actual, text from conversations),
     other_parts as (select doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) as term from other),
     other_terms as (select doc_id, term, count(*) as n from other_parts where term <> '' group by all),
@@ -224,7 +223,7 @@ def cross_corpus_eval(read, spark):
     """Heads of one corpus on another, whose groups are mapped to the heads' tasks; unmapped groups are ignored."""
     _, _, heads = _heads(read)
     other = read("conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+        F.concat_ws("-", "conv_id", "turn").alias("doc_id"),
         C.map_values(F.col("role"), CORPUS_TASKS).alias("task"),
         (F.length("text") > 300).cast("int").alias("actual"),
         "text",
@@ -232,9 +231,8 @@ def cross_corpus_eval(read, spark):
     return rounded(EV.cross_corpus_eval(other, heads, "doc_id"))
 
 
-@query(
-    "attribute_tokens",
-    f"""with {HEADS}, {LOGITS.format(terms='terms', docs='documents')},
+ATTRIBUTIONS = f"""
+    {HEADS}, {LOGITS.format(terms='terms', docs='documents')},
     sizes as (select task, count(*) as k, avg(floor) as mean from offsets group by task),
     shown as (select task, term, sum(weight) as total from weights group by all),
     pulls as (select s.term, s.task, o.label, coalesce(w.weight, 0) - s.total / z.k + o.floor - z.mean as pull
@@ -242,13 +240,50 @@ def cross_corpus_eval(read, spark):
               left join weights w on w.task = s.task and w.term = s.term and w.label = o.label),
     token_parts as (select x.doc_id, p.task, p.predicted, x.term, x.n * u.pull as a
               from terms x join predicted p using (doc_id) join pulls u on u.term = x.term and u.task = p.task and u.label = p.predicted),
-    normed as (select *, a / sqrt(sum(a * a) over (partition by doc_id, task)) as attribution from token_parts),
+    normed as (select *, a / sqrt(sum(a * a) over (partition by doc_id, task)) as attribution from token_parts)"""
+
+
+def attributions(read):
+    _, terms, heads = _heads(read)
+    pred = LN.predict(terms, *heads, "doc_id")
+    return LN.attribute_tokens(terms, pred, *heads, "doc_id")
+
+
+@query("attribute_tokens", f"with {ATTRIBUTIONS} select doc_id, task, predicted, term, round(attribution, 5) as attribution from normed")
+def attribute_tokens(read, spark):
+    """What every term of every text adds to the winning class."""
+    return attributions(read).withColumn("attribution", F.round("attribution", 5))
+
+
+@query(
+    "top_attributions",
+    f"""with {ATTRIBUTIONS},
     term_ranks as (select *, row_number() over (partition by doc_id, task order by round(attribution, 9) desc, term) as rank from normed)
     select doc_id, task, predicted, term, round(attribution, 5) as attribution, cast(rank as integer) as rank from term_ranks where rank <= 5""",
 )
-def attribute_tokens(read, spark):
-    _, terms, heads = _heads(read)
-    pred = LN.predict(terms, *heads, "doc_id")
-    parts = LN.attribute_tokens(terms, pred, *heads, "doc_id").withColumn("exact", F.col("attribution"))
+def top_attributions(read, spark):
+    """The five terms of each text that speak most for the winning class."""
+    parts = attributions(read).withColumn("exact", F.col("attribution"))
     top = LN.top_terms(parts.withColumn("attribution", F.round("exact", 9)), "doc_id", 5)
     return top.withColumn("attribution", F.round("exact", 5)).drop("exact")
+
+
+@query(
+    "cross_corpus_two_tasks",
+    f"""with {HEADS},
+    other as (select conv_id || '-' || turn as doc_id, unnest(['toxic', 'quality']) as task, cast(length(text) > 300 as integer) as actual, text from conversations),
+    other_texts as (select distinct doc_id, text from other),
+    other_parts as (select doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) as term from other_texts),
+    other_terms as (select doc_id, term, count(*) as n from other_parts where term <> '' group by all),
+    {LOGITS.format(terms='other_terms', docs='other_texts')},
+    tested as (select task, o.actual, p.predicted from other o join predicted p using (doc_id, task)),
+    {scored('tested')} select * from scores""",
+)
+def cross_corpus_two_tasks(read, spark):
+    """A long corpus, every text with a row for two tasks: the text counts once."""
+    _, _, heads = _heads(read)
+    tasks = F.explode(F.array(F.lit("toxic"), F.lit("quality")))
+    other = read("conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("doc_id"), tasks.alias("task"), (F.length("text") > 300).cast("int").alias("actual"), "text"
+    )
+    return rounded(EV.cross_corpus_eval(other, heads, "doc_id"))

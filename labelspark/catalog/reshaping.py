@@ -210,25 +210,34 @@ def coalesce_variants(read, spark):
 
 @query(
     "relabel_generated",
-    """select d.doc_id as item_id, md5(d.text) as text_md5, s.labels from documents d
-    join (select text, min_by(source, doc_id) as labels from documents where lang <> 'en' group by text) s on s.text = d.text""",
+    """select d.doc_id as item_id, md5(d.text) as text_md5, s.source as labels from documents d
+    join documents s on s.text = d.text and s.lang <> 'en'""",
 )
 def relabel_generated(read, spark):
+    """Sources with a text of several rows give the labels of each."""
     docs = read("documents")
     generated = docs.select(F.col("doc_id").alias("item_id"), F.col("text").alias("original_comment"), F.lit("?").alias("labels"))
-    firsts = docs.where(F.col("lang") != "en").groupBy("text").agg(F.min_by("source", "doc_id").alias("labels"))
-    joined = L.relabel_generated(generated, firsts)
+    joined = L.relabel_generated(generated, docs.where(F.col("lang") != "en").select("text", F.col("source").alias("labels")))
     return joined.select("item_id", F.md5("original_comment").alias("text_md5"), "labels")
 
 
 BATCH_SQL = """
-with indexed as (select *, row_number() over (order by conv_id * 1000 + turn) - 1 as i from conversations),
-lines as (select i // 70 as batch, i, 'Comment: ' || trim(text) || chr(10) || 'Index: ' || cast(i as varchar) || chr(10) || 'Labels: ' || role as line from indexed)
+with indexed as (select *, row_number() over (order by conv_id, turn) - 1 as i from conversations),
+lines as (select i // 70 as batch, i, 'Comment: ' || trim(coalesce({text}, '')) || chr(10) || 'Index: ' || cast(i as varchar) || chr(10) || 'Labels: ' || coalesce({labels}, '') as line from indexed)
 select batch, cast(count(*) as integer) as n, min(i) as first_index, string_agg(line, chr(10) order by i) as block from lines group by batch
 """
 
 
-@query("prompt_batches", BATCH_SQL)
+@query("prompt_batches", BATCH_SQL.format(text="text", labels="role"))
 def prompt_batches(read, spark):
-    rows = read("conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    return GO.prompt_batches(rows, "id", 70, labels="role")
+    return GO.prompt_batches(read("conversations"), ["conv_id", "turn"], 70, labels="role")
+
+
+@query("prompt_batches_with_gaps", BATCH_SQL.format(text="nullif(text, (select min(text) from conversations where turn = 0))", labels="nullif(role, 'user')"))
+def prompt_batches_with_gaps(read, spark):
+    """Rows without a text or a label keep their line."""
+    rows = read("conversations")
+    least = rows.where(F.col("turn") == 0).agg(F.min("text").alias("_least"))
+    gaps = rows.join(F.broadcast(least), F.col("text") == F.col("_least"), "left")
+    gaps = gaps.withColumn("text", F.when(F.col("_least").isNull(), F.col("text"))).withColumn("role", F.nullif("role", F.lit("user")))
+    return GO.prompt_batches(gaps, ["conv_id", "turn"], 70, labels="role")

@@ -12,6 +12,7 @@ from labelspark.operators import labels as L
 from labelspark.operators import report as R
 from labelspark.operators import scores as S
 from labelspark.operators import split as SP
+from labelspark.session import written
 
 SCORES = ["accuracy", "f1_score", "precision", "recall", "kappa", "roc_auc"]
 
@@ -20,7 +21,9 @@ def predictions(read):
     """Rule predictions for three tasks: two classes, four classes, and one class only."""
     docs = read("documents")
     stars = F.contains("text", F.lit("***")).cast("int")
-    labelled = I.long_text(read).select("task", F.col("value").alias("actual"), stars.alias("predicted"))
+    # the flag, not the text, meets the labels
+    flags = docs.select("doc_id", stars.alias("predicted"))
+    labelled = I.long(read).join(flags, "doc_id").select("task", F.col("value").alias("actual"), "predicted")
     guess = (
         F.when(F.contains("text", F.lit(" the ")), 0)
         .when(F.contains("text", F.lit(" und ")), 1)
@@ -159,13 +162,14 @@ def classification_report(read, spark):
 
 
 def probabilities(read):
-    """Two probabilities per labelled document from its length, and per vector from its first two values."""
+    """Two probabilities per labelled document from its length, and one per value of every vector, its label the class."""
     p = F.col("n_chars") / (F.col("n_chars") + 2000.0)
-    docs = I.long_text(read).select("task", F.col("value").alias("actual"), F.array(1 - p, p).alias("probs"))
+    chances = read("documents").select("doc_id", F.array(1 - p, p).alias("probs"))
+    docs = I.long(read).join(chances, "doc_id").select("task", F.col("value").alias("actual"), "probs")
     vectors = read("embeddings").select(
         F.lit("vector").alias("task"),
-        (F.col("label") > 4).cast("int").alias("actual"),
-        C.softmax(F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 2)).alias("probs"),
+        F.col("label").cast("int").alias("actual"),
+        C.softmax(F.transform("embedding", lambda x: x.cast("double"))).alias("probs"),
     )
     return docs.unionByName(vectors)
 
@@ -175,8 +179,8 @@ PROBABILITIES = f"""
 probabilities as (
   select task, value as actual, case when value = 1 then n_chars / (n_chars + 2000.0::double) else 1 - n_chars / (n_chars + 2000.0::double) end as p from long_text
   union all
-  select 'vector', cast(label > 4 as integer),
-         exp(embedding[cast(label > 4 as integer) + 1]::double) / (exp(embedding[1]::double) + exp(embedding[2]::double)) from embeddings
+  select 'vector', cast(label as integer),
+         exp(embedding[cast(label as integer) + 1]::double) / list_sum(list_transform(embedding, lambda x: exp(x::double))) from embeddings
 ),
 weights as (select task, actual, sum(count(*)) over (partition by task) / (count(*) over (partition by task) * count(*)) as w
             from probabilities group by task, actual),
@@ -246,11 +250,12 @@ def evaluate(read, spark):
 )
 def keyword_rule_scores(read, spark):
     """How good is a keyword rule on the test split: clean, reshape, split, predict, score."""
-    docs = I.texts(read).select("doc_id", clean_text(F.col("text")).alias("text"))
     test = SP.stratified_split(I.long(read), "doc_id").where(F.col("split") == "test")
-    pred = test.join(docs, "doc_id").select(
-        "task", F.col("value").alias("actual"), F.contains("text", F.lit("***")).cast("int").alias("predicted")
-    )
+    test = written(test.select("doc_id", "task", F.col("value").alias("actual")), "test-rows")
+    # only texts of the test rows are cleaned, and only their flag travels
+    asked = read("documents").join(test.select("doc_id").distinct(), "doc_id", "left_semi")
+    rule = F.contains(clean_text(F.col("text")), F.lit("***")).cast("int")
+    pred = test.join(asked.select("doc_id", rule.alias("predicted")), "doc_id").select("task", "actual", "predicted")
     return rounded(S.scores_by_task(pred))
 
 

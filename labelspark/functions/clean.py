@@ -1,10 +1,11 @@
 """Text cleaning as column expressions; every function maps a string column to a string column."""
 
 import string
+from html.entities import html5
 
 from pyspark.sql import functions as F
 
-from labelspark.functions.emoji_names import emoji_class, emoji_names
+from labelspark.functions.emoji_names import emoji_names, emoji_sequence
 
 # The 27 characters windows-1252 has where ISO-8859-1 has control codes, in byte order.
 CP1252_BYTES = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
@@ -42,6 +43,14 @@ DATES = (
 DATE_PATTERN = rf"\b(?:{DATES})\b"
 DATE_START = r"(?=[\dJFMASONDjfmasond])"
 
+# Characters with a plain form.
+CURLED, UNCURLED = "\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u201f", "''''\"\"\"\""
+WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
+NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
+LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st", "\u0132": "IJ", "\u0133": "ij"}
+LINE_BREAK = "\\r\\n|[\\r\\x{85}\\x{2028}\\x{2029}]"
+CONTROLS = "[\\x00-\\x08\\x0b\\x0e-\\x1b\\x7f\\x{feff}\\x{206a}-\\x{206f}\\x{fff9}-\\x{fffc}]"
+
 EDGE_CHARS = string.punctuation + string.whitespace
 CUT = "\ufdd0"  # a code point that is never a character
 
@@ -62,6 +71,39 @@ def fix_encoding(c):
     return F.array_join(F.transform(F.split(c, "\n", -1), repaired), "\n")
 
 
+def unescape_entities(c):
+    """Named and numbered character references, in texts without a tag; unknown names stay."""
+    table = "\n".join(f"{name}\t{text}" for name, text in html5.items() if name.endswith(";") and not {"\n", "\t"} & set(text))
+    names = F.str_to_map(F.lit(table), F.lit("\n"), F.lit("\t"))
+    marked = F.regexp_replace(c, "&(#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]{1,31};)", f"{CUT}$1{CUT}")
+
+    def text_of(ref):
+        hexed = F.lower(F.substring(ref, 2, 1)) == "x"
+        digits = F.btrim(ref, F.lit("#xX;"))
+        code = F.when(hexed, F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        known = code.between(9, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        number = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32")
+        found = F.when(F.startswith(ref, F.lit("#")), F.when(known, number)).otherwise(F.try_element_at(names, ref))
+        return F.coalesce(found, F.concat(F.lit("&"), ref))
+
+    pieces = F.transform(F.split(marked, CUT, -1), lambda p, i: F.when(i % 2 == 1, text_of(p)).otherwise(p))
+    return F.when(F.contains(c, F.lit("<")) | ~F.contains(c, F.lit("&")), c).otherwise(F.array_join(pieces, ""))
+
+
+def plain_characters(c):
+    """Curly quotes, ligatures, full-width letters, line breaks and control codes in their plain form."""
+    c = F.translate(c, CURLED + WIDE, UNCURLED + NARROW)
+    for ligature, letters in LIGATURES.items():
+        c = F.replace(c, F.lit(ligature), F.lit(letters))
+    c = F.regexp_replace(c, LINE_BREAK, "\n")
+    return F.regexp_replace(c, CONTROLS, "")
+
+
+def repair_text(c):
+    """Wrong code pages, character references, and characters with a plain form."""
+    return plain_characters(unescape_entities(fix_encoding(c)))
+
+
 def remove_dates(c):
     """Deletes date and time expressions of the documented forms."""
     return F.regexp_replace(c, f"(?i){DATE_START}{DATE_PATTERN}", "")
@@ -119,19 +161,26 @@ def space_before_number(c):
 
 
 def demojize(c):
-    """Each emoji becomes ` ::name:: `; joiners and variation selectors after an emoji are dropped.
+    """Each emoji becomes ` ::name:: `, a joined one or one with a tone too; a flag is named by its two letters.
 
     The text is cut at emoji only, so a text without any stays one piece and is never looked up.
     """
-    kind = emoji_class()
-    table = "\n".join(f"{symbol}\t ::{name}:: " for symbol, name in emoji_names().items())
+    table = "\n".join(f"{symbol}\t{name}" for symbol, name in emoji_names().items())
     names = F.str_to_map(F.lit(table), F.lit("\n"), F.lit("\t"))
-    marked = F.regexp_replace(c, f"([{kind}])[\\x{{200D}}\\x{{FE0F}}]*", f"{CUT}$1{CUT}")
-    named = F.transform(
-        F.split(marked, CUT, -1),
-        lambda p: F.when(F.octet_length(p).between(3, 4), F.coalesce(F.try_element_at(names, p), p)).otherwise(p),
-    )
-    return F.array_join(named, "")
+    marked = F.regexp_replace(c, f"({emoji_sequence()})", f"{CUT}$1{CUT}")
+
+    def named(symbol):
+        letters = F.regexp_extract_all(symbol, F.lit("[\\x{1F1E6}-\\x{1F1FF}]"), F.lit(0))
+        letter = F.transform(letters, lambda x: F.char(F.conv(F.right(F.hex(F.encode(x, "utf-8")), F.lit(2)), 16, 10).cast("int") - 0xA6 + 65))
+        parts = F.regexp_extract_all(symbol, F.lit("[^\\x{200D}\\x{FE0F}]"), F.lit(0))
+        joined = F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(names, x), x)), "_")
+        name = F.when(F.size(letters) == 2, F.concat(F.lit("flag_"), F.array_join(letter, "")))
+        name = name.when(F.contains(symbol, F.lit("\u20e3")), F.concat(F.lit("keycap_"), F.substring(symbol, 1, 1))).otherwise(joined)
+        return F.concat(F.lit(" ::"), name, F.lit(":: "))
+
+    # the marks stand on both sides, so every second piece is an emoji
+    pieces = F.transform(F.split(marked, CUT, -1), lambda p, i: F.when(i % 2 == 1, named(p)).otherwise(p))
+    return F.array_join(pieces, "")
 
 
 def strip_edges(c):
@@ -146,7 +195,7 @@ def separators_as_space(c):
 
 CLEAN_STEPS = (
     text_or_empty,
-    fix_encoding,
+    repair_text,
     remove_dates,
     demojize,
     separators_as_space,

@@ -1,55 +1,35 @@
 """Nearest-centroid head on vector columns."""
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from labelspark.operators.lookup import lookup_join, pair_all
-
-MAX_CELLS = 4_000_000
+from labelspark.operators.lookup import beside_all
 
 
 def centroids(df, vector="embedding", label="label"):
-    """Mean vector per label."""
+    """Mean vector per label; vectors without a label have none."""
     mean = vector_to_array(Summarizer.mean(array_to_vector(vector)))
-    return df.groupBy(label).agg(mean.alias("centroid"))
+    return df.where(F.col(label).isNotNull()).groupBy(label).agg(mean.alias("centroid"))
+
+
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def nearest_centroid(df, means, id_col, vector="embedding", label="label", max_cells=MAX_CELLS):
+def nearest_centroid(df, means, id_col, vector="embedding", label="label", cells=4_000_000):
     """(id, predicted, cosine): the label of the most similar mean; the smaller label wins a tie.
 
-    Up to `max_cells` numbers the means travel with the tasks as one matrix. A larger set of labels meets
-    the vectors in a join instead.
+    The means travel to all executors as rows of unit length, `cells` numbers at most. A vector or a mean of length zero
+    has no direction: its cosine is null, and only a row without any other has a null cosine and the smallest label.
     """
-    width = means.select(F.size("centroid")).first()[0]
-    rows = means.orderBy(label).limit(max_cells // width + 1).collect()
-    if len(rows) * width > max_cells:
-        return _nearest_by_join(df, means, id_col, vector, label)
-    names = pd.Series([row[label] for row in rows])
-    matrix = np.array([row["centroid"] for row in rows])
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    kind = df.schema[label].dataType.simpleString()
-
-    @F.pandas_udf(f"predicted {kind}, cosine double")
-    def nearest(vectors: pd.Series) -> pd.DataFrame:
-        batch = np.stack(vectors.to_numpy()).astype(float)
-        cosines = batch @ matrix.T / np.linalg.norm(batch, axis=1, keepdims=True)
-        best = cosines.argmax(axis=1)
-        return pd.DataFrame({"predicted": names.to_numpy()[best], "cosine": cosines[np.arange(len(batch)), best]})
-
-    return df.select(id_col, nearest(vector).alias("_b")).select(id_col, "_b.predicted", "_b.cosine")
-
-
-def _nearest_by_join(df, means, id_col, vector, label):
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
-
-    pairs = pair_all(df.select(id_col, vector), means, label)
-    pairs = lookup_join(pairs, means, label)
-    own, mean = F.col(vector), F.col("centroid")
-    cosine = dot(own, mean) / F.sqrt(dot(own, own) * dot(mean, mean))
-    best = pairs.select(id_col, label, cosine.alias("_c")).groupBy(id_col)
-    best = best.agg(F.min(F.struct((-F.col("_c")).alias("c"), F.col(label).alias("l"))).alias("_b"))
-    return best.select(id_col, F.col("_b.l").alias("predicted"), (-F.col("_b.c")).alias("cosine"))
+    size = F.sqrt(_dot(F.col("centroid"), F.col("centroid")))
+    unit = means.select(F.col(label).alias("l"), F.transform("centroid", lambda x: F.try_divide(x, size)).alias("m"))
+    own = F.transform(vector, lambda x: x.cast("double"))
+    rows = df.select(id_col, own.alias("_x")).withColumn("_d", F.sqrt(_dot(F.col("_x"), F.col("_x"))))
+    listed = F.collect_list(F.struct("l", "m"))
+    pairs = beside_all(rows, unit.groupBy().agg(F.array_sort(listed).alias("means")), "_all", lambda v: F.size(v["means"]) * F.size(v["means"][0]["m"]), cells)
+    scored = F.transform("_all.means", lambda c: F.struct(F.coalesce(F.try_divide(_dot(F.col("_x"), c["m"]), F.col("_d")), F.lit(-2.0)).alias("c"), c["l"].alias("l")))
+    best = F.aggregate(scored, scored[0], lambda a, b: F.when(b["c"] > a["c"], b).otherwise(a))
+    found = pairs.select(id_col, best.alias("_b"))
+    return found.select(id_col, F.col("_b.l").alias("predicted"), F.when(F.col("_b.c") > -2, F.col("_b.c")).alias("cosine"))

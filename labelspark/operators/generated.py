@@ -41,10 +41,14 @@ def augment_train(base, extra, label="value"):
 def prompt_batches(df, id_col, size, text="text", labels="labels", template=BATCH_LINE):
     """Rows in id order packed `size` at a time into one block of text, with a running index.
 
-    A batch number depends on the row order alone, so a failed range can be built again by filter.
+    `id_col` is an integer column, or a list of columns of which the first is one; rows of equal ids are in any order. A
+    batch number depends on the row order alone, so a failed range can be built again by filter.
     """
-    indexed = row_index(df.select(id_col, text, labels), id_col)
-    parts = {"{text}": F.trim(text), "{index}": F.col("row_index").cast("string"), "{labels}": F.col(labels)}
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    indexed = row_index(df.select(*ids, text, labels), ids)
+    # a missing text or label leaves its place empty: every row has a line
+    cells = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (text, labels)}
+    parts = {"{text}": F.trim(cells[text]), "{index}": F.col("row_index").cast("string"), "{labels}": cells[labels]}
     line = F.lit(template)
     for slot, value in reversed(parts.items()):
         line = F.replace(line, F.lit(slot), value)

@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W, functions as F
 
 from labelspark.functions.columns import any_flag, flag_groups
-from labelspark.operators.lookup import lookup_join, pair_all, skewed_join, small_table, small_values
+from labelspark.operators.lookup import lookup_join, pair_all
 
 
 def select_by_prefix(df, prefix, keep=()):
@@ -11,24 +11,17 @@ def select_by_prefix(df, prefix, keep=()):
     return df.select(*keep, *[c for c in df.columns if c.startswith(prefix) and c not in keep])
 
 
-def majority_vote(df, key, columns, flags=(), max_values=32):
+def majority_vote(df, key, columns, flags=()):
     """Most frequent value per key and column; the smallest value wins a tie, nulls do not vote.
 
-    Columns named in `flags` hold 0/1 (or booleans) and need only their ones counted. Columns with few
-    distinct values are counted value by value, which folds rows before the shuffle; others use `mode`.
+    Columns named in `flags` hold 0/1 (or booleans) and need only their ones counted.
     """
 
     def vote(c):
         if c in flags:
             one = F.col(c).cast("int")
             return F.when(F.count(one) > 0, (2 * F.sum(one) > F.count(one)).cast("int"))
-        values = small_values(df, c, max_values)
-        if not values:
-            return F.mode(c, deterministic=True)
-        counts = [F.count_if(F.col(c) == v) for v in values]
-        most = F.greatest(*counts, F.lit(0))
-        first = F.coalesce(*[F.when(n == most, F.lit(v)) for n, v in zip(counts, values)])
-        return F.when(most > 0, first).cast(df.schema[c].dataType)
+        return F.mode(c, deterministic=True)
 
     return df.groupBy(key).agg(*[vote(c).alias(c) for c in columns])
 
@@ -61,16 +54,15 @@ def complete_grid(df, text="text", target="target"):
 
 
 def overlay_values(grid, df, order, text="text", target="target"):
-    """Grid values replaced by the last non-zero value of the same text and target, in `order`."""
-    hashed = F.xxhash64(text, target)
-    marked = df.where(F.col("value") != 0).withColumn("_h", hashed)
-    known = marked.groupBy("_h", text, target).agg(F.max_by("value", order).alias("_v"))
-    return (
-        grid.withColumn("_h", hashed)
-        .join(known, ["_h", text, target], "left")
-        .withColumn("value", F.coalesce(F.col("_v"), F.col("value")))
-        .drop("_v", "_h")
-    )
+    """Grid values replaced by the last non-zero value of the same text and target, in `order`.
+
+    Only hashes of text and target meet: two 64-bit ones, so that texts stay where they are.
+    """
+    hashes = {"_h": F.xxhash64(text, target), "_g": F.xxhash64(F.lit("g"), target, text)}
+    marked = df.where(F.col("value") != 0).withColumns(hashes)
+    known = marked.groupBy("_h", "_g").agg(F.max_by("value", order).alias("_v"))
+    rows = lookup_join(grid.withColumns(hashes), known, ["_h", "_g"], "left")
+    return rows.withColumn("value", F.coalesce(F.col("_v"), F.col("value"))).drop("_v", "_h", "_g")
 
 
 def completed_values(df, order, text="text", target="target"):
@@ -104,16 +96,14 @@ def expand_types(df, keep, types="types"):
 
 
 def relabel_generated(generated, labelled, text="text", original="original_comment"):
-    """Generated rows take the labels of their source text; rows without a source are left out."""
-    source = labelled.groupBy(F.xxhash64(text).alias("_h"), F.col(text).alias(original))
-    return skewed_join(generated.drop("labels"), source.agg(F.min("labels").alias("labels")).drop("_h"), original)
+    """Generated rows take the labels of their source text, once per source row; rows without a source are left out."""
+    source = labelled.select(F.col(text).alias(original), "labels")
+    return generated.drop("labels").join(source, original)
 
 
 def only_known_tasks(extra, base_tasks, task="task"):
     """(rows whose task the base has, tasks that are left out with their row counts)"""
     known = base_tasks.select(task).distinct()
-    local = small_table(known)
-    known = known if local is None else local
     kept = lookup_join(extra, known, task, "left_semi")
     skipped = lookup_join(extra, known, task, "left_anti").groupBy(task).agg(F.count(F.lit(1)).alias("n"))
     return kept, skipped
@@ -160,10 +150,8 @@ def encode_labels(df, classes, on_missing="warn", task="task", label="value"):
     """
     if on_missing not in ("error", "warn", "ignore"):
         raise ValueError("on_missing is one of 'error', 'warn', 'ignore'")
-    local = small_table(classes)
-    known = classes if local is None else local
-    lookup = known.select(task, label, F.col("idx").alias("label_idx"))
-    coded = lookup_join(lookup_join(df, task_index(known, task), task, "left"), lookup, [task, label], "left")
+    lookup = classes.select(task, label, F.col("idx").alias("label_idx"))
+    coded = lookup_join(lookup_join(df, task_index(classes, task), task, "left"), lookup, [task, label], "left")
     unknown_label = F.col("task_idx").isNotNull() & F.col("label_idx").isNull()
     lost = F.raise_error(F.concat(F.lit("no class for label "), F.col(label).cast("string"), F.lit(" of "), F.col(task)))
     coded = coded.withColumn("label_idx", F.when(unknown_label, lost.cast("int")).otherwise(F.col("label_idx")))

@@ -2,22 +2,17 @@
 
 weights (term, task, label, weight) has a row for every term a class has shown; offsets (task, label,
 bias, floor) holds the class's prior and what each term adds that the class has never shown.
-Texts come as (id, terms), one array per text, which is unfolded only after every join on the id.
+Texts come as (id, terms), one array per text. An id names one text.
 """
 
-from functools import reduce
-from operator import add
-
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Window as W, functions as F
 
 from labelspark.functions.columns import argmax, softmax
-from labelspark.operators.lookup import lookup_join, pair_all, small_table
+from labelspark.operators.lookup import beside_all, lookup_join
 from labelspark.session import written
 
-MAX_CLASSES = 64
-WEIGHT_CELLS = 8_000_000
-TERM_ROWS = 2_000_000
-
 
 def count_heads(lists, labels, id_col):
     """(weights, offsets) from add-one smoothed term shares: one head per task of `labels` (id, task, label).
@@ -49,64 +44,45 @@ def offsets_of(counts, priors):
     return joined.select("task", "label", "bias", floor.alias("floor"))
 
 
-def _known_classes(offsets):
-    """Rows of (task, label, bias, floor) in order, or None when there are more than MAX_CLASSES."""
-    local = small_table(offsets.orderBy("task", "label"), MAX_CLASSES)
-    return None if local is None else local.collect()
+def numbered_classes(offsets):
+    """(task, label, bias, floor, idx): the classes of all tasks numbered from 0, by task and label."""
+    return offsets.withColumn("idx", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("task", "label")) - 1)
 
 
-def _with_weights(terms, weights, known, how):
-    """Terms with one weight column `_w0`, `_w1`, ... per known class, null where the class never showed it."""
-    own = [(F.col("task") == r["task"]) & F.col("label").eqNullSafe(F.lit(r["label"])) for r in known]
-    by_term = weights.groupBy("term").agg(*[F.max(F.when(c, F.col("weight"))).alias(f"_w{i}") for i, c in enumerate(own)])
-    return lookup_join(terms, by_term, "term", how, WEIGHT_CELLS // max(len(known), 1))
+def term_counts(lists, id_col):
+    """(id, term, n): how often a text has each of its terms; a text without terms has one row with none."""
+    terms = lists.select(id_col, F.explode_outer("terms").alias("term"))
+    return terms.groupBy(id_col, "term").agg(F.count("term").alias("n"))
 
 
 def logits(lists, weights, offsets, id_col):
     """(id, n_terms, task, labels, logits) for every text and task, classes in label order.
 
-    Up to MAX_CLASSES classes, each term brings one weight per class and a text is summed up in one row.
+    A term brings its weights in all classes as one vector, so a text is summed up in one row for any number of classes.
     """
-    known = _known_classes(offsets)
-    terms = lists.select(id_col, F.explode_outer("terms").alias("term"))
-    if known is None:
-        return _logits_by_class(lists, terms, weights, offsets, id_col)
-    sums = _with_weights(terms, weights, known, "left").groupBy(id_col).agg(
-        F.count("term").alias("_n"), *[F.coalesce(F.sum(f"_w{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(known))]
-    )
-    tasks = {}
-    for i, r in enumerate(known):
-        logit = F.lit(r["bias"]) + F.col(f"_s{i}") + F.col("_n") * F.lit(r["floor"])
-        tasks.setdefault(r["task"], []).append((F.lit(r["label"]), logit))
-    rows = [
-        F.struct(
-            F.lit(task).alias("task"),
-            F.array(*[label for label, _ in pairs]).alias("labels"),
-            F.array(*[logit for _, logit in pairs]).alias("logits"),
-        )
-        for task, pairs in tasks.items()
-    ]
-    return sums.select(id_col, F.col("_n").alias("n_terms"), F.explode(F.array(*rows)).alias("_t")).select(id_col, "n_terms", "_t.*")
-
-
-def _logits_by_class(lists, terms, weights, offsets, id_col):
-    """The same with one row per text and class: for many classes."""
-    by_term = weights.groupBy("term").agg(F.collect_list(F.struct("task", "label", "weight")).alias("_w"))
-    parts = lookup_join(terms, by_term, "term", "inner", TERM_ROWS).select(id_col, F.explode("_w").alias("_w"))
-    parts = parts.groupBy(id_col, "_w.task", "_w.label").agg(F.sum("_w.weight").alias("_s"))
-    named = offsets.withColumn("_c", F.to_json(F.struct("task", "label")))
-    local = small_table(named)
-    named = named if local is None else local
-    sizes = lists.select(id_col, F.coalesce(F.size("terms"), F.lit(0)).cast("bigint").alias("_n"))
-    grid = lookup_join(pair_all(sizes, named, "_c"), named, "_c").join(parts, [id_col, "task", "label"], "left")
-    logit = F.col("bias") + F.coalesce("_s", F.lit(0.0)) + F.col("_n") * F.col("floor")
-    rows = grid.groupBy(id_col, F.col("_n").alias("n_terms"), "task").agg(F.array_sort(F.collect_list(F.struct("label", logit.alias("logit")))).alias("_l"))
-    return rows.select(
+    classes = written(numbered_classes(offsets), "head-classes")
+    k = classes.count()
+    own = classes.select(F.col("task").alias("_t"), F.col("label").alias("_l"), "idx")
+    placed = weights.join(F.broadcast(own), (F.col("task") == F.col("_t")) & F.col("label").eqNullSafe(F.col("_l")))
+    by_term = placed.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("_m"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(max(k - 1, 0))), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+    by_term = by_term.select("term", cells.alias("_w"))
+    none = F.array_repeat(F.lit(0.0), max(k, 1))
+    rows = lookup_join(term_counts(lists, id_col), by_term, "term", "left").withColumn("_w", F.coalesce("_w", none))
+    # a text without terms has one row of zeros, which must count as seen
+    total = Summarizer.sum(array_to_vector("_w"), F.greatest("n", F.lit(1)).cast("double"))
+    sums = rows.groupBy(id_col).agg(F.sum("n").alias("n_terms"), vector_to_array(total).alias("_s"))
+    heads = F.array_sort(F.collect_list(F.struct("label", "idx", "bias", "floor")))
+    tasks = classes.groupBy("task").agg(heads.alias("heads"))
+    pairs = beside_all(sums, tasks, "_t", lambda row: F.size(row["heads"]))
+    # a text of no terms has no sums
+    sum_of = lambda h: F.coalesce(F.get(F.col("_s"), h["idx"]), F.lit(0.0))
+    return pairs.select(
         id_col,
         "n_terms",
-        "task",
-        F.transform("_l", lambda x: x["label"]).alias("labels"),
-        F.transform("_l", lambda x: x["logit"]).alias("logits"),
+        F.col("_t.task").alias("task"),
+        F.transform("_t.heads", lambda h: h["label"]).alias("labels"),
+        F.transform("_t.heads", lambda h: h["bias"] + sum_of(h) + F.col("n_terms") * h["floor"]).alias("logits"),
     )
 
 
@@ -130,42 +106,25 @@ def centred_weights(weights, offsets):
         F.collect_list(F.struct("label", "floor")).alias("_c"), F.avg("floor").alias("_mean"), F.count(F.lit(1)).alias("_k")
     )
     shown = weights.groupBy("term", "task").agg(
-        F.map_from_entries(F.collect_list(F.struct("label", "weight"))).alias("_w"), F.sum("weight").alias("_sum")
+        F.collect_list(F.struct("label", "weight")).alias("_w"), F.sum("weight").alias("_sum")
     )
-    rows = lookup_join(shown, classes, "task").withColumn("_c", F.explode("_c"))
-    own = F.coalesce(F.try_element_at("_w", F.col("_c.label")), F.lit(0.0)) - F.col("_sum") / F.col("_k")
+    rows = shown.join(F.broadcast(written(classes, "head-classes")), "task").withColumn("_c", F.explode("_c"))
+    known = F.filter("_w", lambda w: w["label"].eqNullSafe(F.col("_c.label")))
+    own = F.coalesce(F.get(known, F.lit(0))["weight"], F.lit(0.0)) - F.col("_sum") / F.col("_k")
     pull = own + F.col("_c.floor") - F.col("_mean")
     return rows.select("term", "task", F.col("_c.label").alias("label"), pull.alias("pull"))
 
 
-def _pull_of_winner(known):
-    """The centred weight of the winning class, from the weight columns; null for a term new to the task."""
-    cases = []
-    for task in {r["task"]: None for r in known}:
-        own = [(i, r) for i, r in enumerate(known) if r["task"] == task]
-        mean_floor = sum(r["floor"] for _, r in own) / len(own)
-        weight = {i: F.coalesce(f"_w{i}", F.lit(0.0)) for i, _ in own}
-        mean = reduce(add, weight.values()) / len(own)
-        shown = F.coalesce(*[f"_w{i}" for i, _ in own]).isNotNull()
-        for i, r in own:
-            won = (F.col("task") == task) & F.col("predicted").eqNullSafe(F.lit(r["label"])) & shown
-            cases.append(F.when(won, weight[i] - mean + F.lit(r["floor"] - mean_floor)))
-    return F.coalesce(*cases)
-
-
 def attribute_tokens(lists, predicted, weights, offsets, id_col):
     """(id, task, term, attribution): the term's part in the winning class, over the L2 norm of the text's parts."""
-    terms = lists.select(id_col, F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
-    terms = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
-    winners = predicted.select(id_col, "task", "predicted")
-    known = _known_classes(offsets)
-    if known is None:
-        pulls = centred_weights(weights, offsets).withColumnRenamed("label", "predicted")
-        parts = lookup_join(terms.join(winners, id_col), pulls, ["term", "task", "predicted"], "inner", TERM_ROWS)
-    else:
-        matched = _with_weights(terms, weights, known, "inner").join(winners, id_col)
-        parts = matched.withColumn("pull", _pull_of_winner(known)).where(F.col("pull").isNotNull())
-    parts = parts.withColumn("_a", F.col("n") * F.col("pull"))
+    terms = term_counts(lists, id_col).where(F.col("term").isNotNull())
+    winners = predicted.select(id_col, "task", F.col("predicted").alias("_won"))
+    pulls = centred_weights(weights, offsets)
+    by_term = pulls.groupBy("term").agg(F.collect_list(F.struct("task", "label", "pull")).alias("_p"))
+    found = lookup_join(terms, by_term, "term").join(winners.groupBy(id_col).agg(F.collect_list(F.struct("task", "_won")).alias("_w")), id_col)
+    won = lambda p: F.exists("_w", lambda w: (w["task"] == p["task"]) & w["_won"].eqNullSafe(p["label"]))
+    parts = found.select(id_col, "term", "n", F.explode(F.filter("_p", won)).alias("_p"))
+    parts = parts.select(id_col, F.col("_p.task").alias("task"), F.col("_p.label").alias("predicted"), "term", (F.col("n") * F.col("_p.pull")).alias("_a"))
     norm = F.sqrt(F.sum(F.col("_a") * F.col("_a")).over(W.partitionBy(id_col, "task")))
     return parts.select(id_col, "task", "predicted", "term", F.coalesce(F.try_divide("_a", norm), F.lit(0.0)).alias("attribution"))
 

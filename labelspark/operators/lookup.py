@@ -1,98 +1,53 @@
-"""Joins against small tables, and joins whose big side has hot keys.
+"""Joins against small tables, and every row with every value of a list.
 
-Nothing is broadcast on trust: a side is sent to the executors only after at most `max_rows` rows of it
-have been counted. Above that bound the same join runs as a shuffle, salted, with the same result.
+The engine picks the kind of join: a small side that is computed is written first, so its size in bytes is known before any
+row of the big side moves. Adaptive execution splits hot keys of the others.
 """
 
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-SMALL_ROWS = 100_000
-HOT_ROWS = 5_000_000
-SALTS = 16
+from labelspark.session import written
 
+BLOCK_VALUES = 10_000
+#: At most so many values may be paired with every row: the list goes to all executors.
+PAIRED_VALUES = 1_000_000
 
-def small_table(df, max_rows=SMALL_ROWS):
-    """`df` as a local table when it has at most `max_rows` rows, otherwise None."""
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, schema=df.schema)
 
+def lookup_join(big, small, on, how="inner"):
+    """Join rows to a computed table with at most one row per key (class map, weights, offsets).
 
-def small_values(df, column, max_rows=10_000):
-    """Sorted distinct non-null values of a column, or None above the bound."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return sorted(row[0] for row in rows)
-
-
-def _keys(on):
-    return [on] if isinstance(on, str) else list(on)
-
-
-def _salted_join(big, small, on, how, salts):
-    keys = _keys(on)
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in big.columns]), F.lit(salts))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
-    return (
-        big.withColumn("_salt", spread)
-        .join(small.withColumn("_salt", copies), keys + ["_salt"], how)
-        .drop("_salt")
-    )
-
-
-def lookup_join(big, small, on, how="inner", max_rows=SMALL_ROWS, salts=SALTS):
-    """Join rows to a table with at most one row per key (class map, weights, offsets).
-
-    `how` is one of inner, left, left_semi, left_anti. The small side is broadcast when it fits the
-    bound; beyond it, it is copied once per salt, so a key that holds most rows still spreads.
-    """
-    local = small_table(small, max_rows)
-    if local is not None:
-        return big.join(F.broadcast(local), _keys(on), how)
-    return _salted_join(big, small, on, how, salts)
-
-
-def skewed_join(big, unique, on, how="inner", hot_rows=HOT_ROWS):
-    """Equi-join of rows with a large table that is unique on the key.
-
-    Keys with more than `hot_rows` rows are found by one count of key hashes. Their few partners go to
-    the executors; all other rows take the ordinary shuffle join.
+    `how` is one of inner, left, left_semi, left_anti. The table is written once; it is sent to the executors when its files
+    are below `spark.sql.autoBroadcastJoinThreshold`, otherwise both sides are shuffled.
     """
-    keys = _keys(on)
-    big = big.withColumn("_h", F.xxhash64(*keys))
-    unique = unique.withColumn("_h", F.xxhash64(*keys))
-    counts = big.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
-    local = small_table(counts.where(F.col("_n") > hot_rows).select("_h"))
-    if local is None:
-        return _salted_join(big, unique, ["_h"] + keys, how, SALTS).drop("_h")
-    if local.isEmpty():
-        return big.join(unique, ["_h"] + keys, how).drop("_h")
-    hot = F.broadcast(local)
-    hot_side = big.join(hot, "_h", "left_semi")
-    rest = big.join(hot, "_h", "left_anti")
-    partners = F.broadcast(unique.join(hot, "_h", "left_semi"))
-    joined = hot_side.join(partners, ["_h"] + keys, how).unionByName(rest.join(unique, ["_h"] + keys, how))
-    return joined.drop("_h")
+    return big.join(written(small, "lookup"), on, how)
 
 
-def pair_all(df, values, column, max_rows=10_000, shards=64):
-    """Every row of `df` with every row of the one-column table `values`.
+def pair_all(df, values, column):
+    """Every row of `df` with every distinct non-null value of the one-column table `values`.
 
-    The product is the result itself. A bounded list is unfolded in place, without any join; a longer
-    one meets the rows shard by shard in an equi-join.
+    The product is the result itself. The list travels in blocks, each unfolded beside the row, and may hold
+    `PAIRED_VALUES` values.
     """
-    known = small_values(values, column, max_rows)
-    kind = values.schema[column].dataType
-    if known is not None:
-        return df.withColumn(column, F.explode(F.lit(known).cast(f"array<{kind.simpleString()}>")))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]), F.lit(shards))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))
-    right = values.where(F.col(column).isNotNull()).distinct().withColumn("_shard", copies)
-    return df.withColumn("_shard", spread).join(right, "_shard").drop("_shard")
+    listed = values.select(column).where(F.col(column).isNotNull()).distinct()
+    block = F.pmod(F.xxhash64(column), F.lit(PAIRED_VALUES // BLOCK_VALUES))
+    blocks = listed.groupBy(block.alias("_block")).agg(F.sort_array(F.collect_list(column)).alias("_values"))
+    rows = beside_all(df, blocks.select("_values"), "_values", lambda v: F.size(v["_values"]))
+    return rows.withColumn(column, F.explode("_values._values")).drop("_values")
+
+
+def beside_all(df, table, name, size=lambda row: F.lit(1), bound=PAIRED_VALUES):
+    """Every row of `df` beside every row of a table as a struct `name`; the table's rows, `size` each, must keep the bound."""
+    rows = F.struct(*[F.col(f"`{c}`") for c in table.columns])
+    kept = written(table.select(rows.alias("_row")), "beside")
+    n = kept.agg(F.sum(size(F.col("_row")))).first()[0] or 0
+    if n > bound:
+        raise ValueError(f"{n} values to pair with every row; the bound is {bound}")
+    listed = written(kept.groupBy().agg(F.collect_list("_row").alias("_rows")).withColumn("_one", F.lit(0).cast("bigint")), "beside")
+    one = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]), F.lit(1)).cast("bigint")
+    joined = df.withColumn("_one", one).join(F.broadcast(listed), "_one").drop("_one")
+    return joined.withColumn(name, F.explode("_rows")).drop("_rows")
 
 
 def union_all(frames) -> DataFrame:

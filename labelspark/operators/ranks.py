@@ -9,10 +9,10 @@ from decimal import Decimal
 
 from pyspark.sql import Window as W, functions as F
 
-from labelspark.operators.lookup import lookup_join, small_table
+from labelspark.operators.lookup import lookup_join
+from labelspark.session import written
 
 BUCKET_DIGITS = 3
-OFFSET_ROWS = 500_000
 CHUNK = 65_536
 
 
@@ -65,9 +65,8 @@ def cut_keys(df, strata, key, fractions, digits=BUCKET_DIGITS):
         .where("_cut.rank > _before and _cut.rank <= _before + _n")
         .select("_s", "_b", F.col("_cut.name").alias("_name"), (F.col("_cut.rank") - F.col("_before")).alias("_r"))
     )
-    local = small_table(cuts, OFFSET_ROWS)
-    cuts = cuts if local is None else local
-    needed = lookup_join(keyed, cuts.select("_s", "_b").distinct(), ["_s", "_b"], "left_semi", OFFSET_ROWS)
+    cuts = written(cuts, "cuts")
+    needed = lookup_join(keyed, cuts.select("_s", "_b").distinct(), ["_s", "_b"], "left_semi")
     ranked = needed.withColumn("_r", F.row_number().over(W.partitionBy("_b", "_s").orderBy("_k")).cast("bigint"))
     found = ranked.join(cuts, ["_s", "_b", "_r"])
     return found.groupBy("_s").agg(
@@ -88,38 +87,81 @@ def numbered(df, strata, key, digits=BUCKET_DIGITS, wanted=None):
     if wanted is not None:
         places = wanted.select(stratum(strata).alias("_s"), "_pos")
         hit = totals.join(places, "_s").where("_pos > _before and _pos <= _before + _n")
-        keyed = lookup_join(keyed, hit.select("_s", "_b").distinct(), ["_s", "_b"], "left_semi", OFFSET_ROWS)
+        keyed = lookup_join(keyed, hit.select("_s", "_b").distinct(), ["_s", "_b"], "left_semi")
     inside = F.row_number().over(W.partitionBy("_b", "_s").orderBy("_k"))
     ranked = keyed.withColumn("_i", inside.cast("bigint"))
     return (
-        lookup_join(ranked, offsets, ["_s", "_b"], "inner", OFFSET_ROWS)
+        lookup_join(ranked, offsets, ["_s", "_b"])
         .withColumn("_pos", F.col("_before") + F.col("_i"))
         .drop("_s", "_k", "_b", "_i", "_before")
     )
 
 
 def row_index(df, id_col, name="row_index", chunk=CHUNK):
-    """Consecutive 0-based index in id order; ids are unique integers, so a chunk has at most `chunk` rows."""
-    chunked = df.withColumn("_c", chunk_of(id_col, chunk))
+    """Consecutive 0-based index in the order of the id columns, the first of which holds integers.
+
+    Rows fall into ranges of `chunk` ids; a window numbers those of a range.
+    """
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    chunked = df.withColumn("_c", _level(ids[0], chunk, 1))
     offsets = running_offsets(chunked.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")), [], "_c", "_n")
-    inside = F.row_number().over(W.partitionBy("_c").orderBy(id_col)).cast("bigint") - 1
+    inside = F.row_number().over(W.partitionBy("_c").orderBy(*ids)).cast("bigint") - 1
     ranked = chunked.withColumn("_i", inside)
     return (
-        lookup_join(ranked, offsets, "_c", "inner", OFFSET_ROWS)
+        lookup_join(ranked, offsets, "_c")
         .withColumn(name, F.col("_before") + F.col("_i"))
         .drop("_c", "_i", "_before")
     )
 
 
+def _levels(totals, chunk, fan):
+    """How many times chunk numbers are divided by `fan` until all of them are one: what the range of the ids asks for."""
+    low, high = totals.agg(F.min(chunk), F.max(chunk)).first()
+    n = 0
+    while low is not None and low != high:
+        low, high, n = low // fan, high // fan, n + 1
+    return n
+
+
+def _level(column, fan, n):
+    """The column divided by `fan` n times, rounded down; negative numbers too."""
+    return F.call_function("div", F.col(column) - F.pmod(F.col(column), F.lit(fan**n)), F.lit(fan**n))
+
+
 def running_offsets(totals, groups, chunk, value, fan=1024):
-    """Sum of `value` over all earlier chunks of the group, counted in two levels of `fan` chunks."""
-    t = totals.withColumn("_g", chunk_of(chunk, fan))
-    low = W.partitionBy(*groups, "_g").orderBy(chunk)
-    high = W.partitionBy(*groups, F.lit(0)).orderBy("_g")
-    tops = t.groupBy(*groups, "_g").agg(F.sum(value).alias("_t"))
-    tops = tops.withColumn("_top", F.sum("_t").over(high) - F.col("_t")).drop("_t")
-    t = t.withColumn("_low", F.sum(value).over(low) - F.col(value))
-    return t.join(tops, groups + ["_g"]).select(*groups, chunk, (F.col("_top") + F.col("_low")).alias("_before"))
+    """Sum of `value` over all earlier chunks of the group.
+
+    Chunks are summed in levels, `fan` of one level to one of the next, as many levels as their numbers need: a window never
+    has more than `fan` rows, however sparse the numbers are.
+    """
+    totals = written(totals.select(*groups, chunk, F.col(value).alias("_v0")), "totals")
+    found, below = totals.withColumn("_before", F.lit(0).cast("bigint")), totals.select(*groups, F.col(chunk).alias("_c0"), "_v0")
+    for n in range(_levels(totals, chunk, fan)):
+        above = below.withColumn("_up", _level("_c0", fan, 1))
+        earlier = F.sum("_v0").over(W.partitionBy(*groups, "_up").orderBy("_c0")) - F.col("_v0")
+        part = above.select(*groups, F.col("_c0").alias("_at"), earlier.alias("_part"))
+        found = found.withColumn("_at", _level(chunk, fan, n)).join(part, [*groups, "_at"]).withColumn("_before", F.col("_before") + F.col("_part"))
+        found = found.drop("_at", "_part")
+        below = above.groupBy(*groups, F.col("_up").alias("_c0")).agg(F.sum("_v0").alias("_v0"))
+    return found.select(*groups, chunk, "_before")
+
+
+def last_before(ends, groups, chunk, columns, fan=1024):
+    """(groups, chunk, _v_<column>): the last non-null cell `_e_<column>` of earlier chunks, in the same levels."""
+    ends = written(ends, "ends")
+    found = ends.select(*groups, chunk, *[F.lit(None).cast(ends.schema[f"_e_{c}"].dataType).alias(f"_v_{c}") for c in columns])
+    below = ends.withColumnRenamed(chunk, "_c0")
+    for n in range(_levels(ends, chunk, fan)):
+        above = below.withColumn("_up", _level("_c0", fan, 1))
+        earlier = W.partitionBy(*groups, "_up").orderBy("_c0").rowsBetween(W.unboundedPreceding, -1)
+        part = above.select(*groups, F.col("_c0").alias("_at"), *[F.last(f"_e_{c}", ignorenulls=True).over(earlier).alias(f"_p_{c}") for c in columns])
+        found = found.withColumn("_at", _level(chunk, fan, n)).join(part, [*groups, "_at"])
+        # a nearer level wins over a farther one
+        found = found.select(*groups, chunk, *[F.coalesce(f"_v_{c}", f"_p_{c}").alias(f"_v_{c}") for c in columns])
+        below = above.groupBy(*groups, F.col("_up").alias("_c0")).agg(
+            *[F.max_by(f"_e_{c}", F.when(F.col(f"_e_{c}").isNotNull(), F.col("_c0"))).alias(f"_e_{c}") for c in columns]
+        )
+    return found
 
 
 def running_sum(df, groups, position, value, name, chunk=CHUNK):
@@ -129,7 +171,7 @@ def running_sum(df, groups, position, value, name, chunk=CHUNK):
     offsets = running_offsets(totals, groups, "_c", "_n")
     inside = F.sum(value).over(W.partitionBy(*groups, "_c").orderBy(position))
     return (
-        lookup_join(chunked.withColumn("_i", inside), offsets, groups + ["_c"], "inner", OFFSET_ROWS)
+        lookup_join(chunked.withColumn("_i", inside), offsets, groups + ["_c"])
         .withColumn(name, F.col("_before") + F.col("_i"))
         .drop("_c", "_i", "_before")
     )
@@ -139,19 +181,16 @@ def fill_down(df, groups, position, columns, chunk=CHUNK):
     """Null cells take the last value above them; the carry between chunks travels in a small table."""
     chunked = df.withColumn("_c", chunk_of(position, chunk))
     inside = W.partitionBy(*groups, "_c").orderBy(position)
-    earlier = W.partitionBy(*groups, F.lit(0)).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
     ends = chunked.groupBy(*groups, "_c").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(position))).alias(f"_e_{c}") for c in columns]
     )
-    carry = ends.select(
-        *groups, "_c", *[F.last(f"_e_{c}", ignorenulls=True).over(earlier).alias(f"_v_{c}") for c in columns]
-    )
+    carry = last_before(ends, groups, "_c", columns)
     filled = chunked.select(
         *[c for c in df.columns if c not in columns],
         "_c",
         *[F.last(c, ignorenulls=True).over(inside).alias(c) for c in columns],
     )
-    joined = lookup_join(filled, carry, groups + ["_c"], "left", OFFSET_ROWS)
+    joined = lookup_join(filled, carry, groups + ["_c"], "left")
     return joined.select(
         *[F.coalesce(F.col(c), F.col(f"_v_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns]
     )

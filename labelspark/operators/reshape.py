@@ -2,15 +2,19 @@
 
 from pyspark.sql import functions as F
 
-from labelspark.operators.lookup import small_values, union_all
+from labelspark.operators.lookup import union_all
 
 
-def task_names(df, task="task"):
-    """Sorted task names for a pivot; a table cannot have more columns than the bound."""
-    names = small_values(df, task)
-    if names is None:
-        raise ValueError(f"too many distinct values in {task} for one column each")
-    return names
+#: A pivot makes one column per task; more tasks than this are an error unless the caller lists them or sets another bound.
+PIVOT_COLUMNS = 10_000
+
+
+def task_names(df, task="task", bound=PIVOT_COLUMNS):
+    """Sorted task names for a pivot: column names, so they come to the driver."""
+    rows = df.select(task).where(F.col(task).isNotNull()).distinct().limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} distinct values in {task} for one column each; list the tasks or keep the long form")
+    return sorted(row[0] for row in rows)
 
 
 def wide_to_long(df, keys, tasks=None):

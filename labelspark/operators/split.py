@@ -4,11 +4,11 @@ from decimal import Decimal
 
 from pyspark.sql import Window as W, functions as F
 
-from labelspark.operators.lookup import lookup_join, skewed_join
+from labelspark.operators.lookup import lookup_join
 from labelspark.operators.ranks import chunk_of, cut_keys, numbered, seeded_key, stratum
+from labelspark.session import written
 
 DRAW_CHUNK = 10_000
-FEW_DRAWS = 1_000
 
 
 def _split_name(key, train, valid):
@@ -45,7 +45,7 @@ def seeded_split(df, id_col, train=0.7, valid=0.15, seed=42, strata=(), group_co
     if not strata:
         return _assign(rows, F.col("_key"), cuts, strata).drop("_s", "_key")
     assigned = _assign(groups, F.col("_key"), cuts, strata).drop("_s")
-    return skewed_join(rows.drop("_s"), assigned, "_key").drop("_key")
+    return rows.drop("_s").join(assigned, "_key").drop("_key")
 
 
 def random_split(df, id_col, train=0.7, seed=42, group_col=None):
@@ -124,7 +124,7 @@ def balance(df, id_col, class_col="value", task_col="task", ratio=1.0, seed=42,
     ids = df.select(id_col, task_col, class_col)
     placed = numbered(ids, [task_col, class_col], seeded_key(id_col, seed))
     picked = placed.join(drawn, [task_col, class_col, "_pos"]).select(id_col, task_col, class_col, "copies")
-    rows = df.join(picked, [id_col, task_col, class_col])
+    rows = lookup_join(df, picked, [id_col, task_col, class_col])
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copies")
 
 
@@ -158,8 +158,8 @@ def sample_rows(df, id_col, n, seed=42):
     sizes = one.groupBy("_task", "_class").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.lit(n).cast("bigint"))
     drawn = drawn_positions(sizes, "_class", "_task", seed)
     ids = one.select(id_col, "_task", "_class")
-    wanted = drawn if n <= FEW_DRAWS else None
-    placed = numbered(ids, ["_task", "_class"], seeded_key(id_col, seed), wanted=wanted)
+    drawn = written(drawn, "drawn")
+    placed = numbered(ids, ["_task", "_class"], seeded_key(id_col, seed), wanted=drawn)
     picked = placed.join(drawn, ["_task", "_class", "_pos"]).select(id_col, "copies")
-    rows = lookup_join(df, picked, id_col) if n <= FEW_DRAWS else df.join(picked, id_col)
+    rows = lookup_join(df, picked, id_col)
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copies")

@@ -5,7 +5,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Window as W, functions as F
 
 from labelspark.operators.lookup import lookup_join
-from labelspark.operators.ranks import running_sum
+from labelspark.operators.ranks import CHUNK, running_sum
+from labelspark.session import written
 
 PAD, UNKNOWN = 0, 1
 
@@ -15,12 +16,23 @@ def tokens(c):
     return F.filter(F.split(F.lower(c), r"(?U)[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def vocabulary(df, text="text", max_size=30_000):
-    """(token, token_id, n): the `max_size` most frequent tokens, ids from 2 by falling count, then name."""
+def vocabulary(df, text="text", max_size=None):
+    """(token, token_id, n): all tokens, ids from 2 by falling count, then name; only the first `max_size` if given.
+
+    Tokens are sorted over ranges and written in that order; a token's id is its place in its range and the totals of
+    the ranges before, so no task numbers all of them.
+    """
     counts = df.select(F.explode(tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "token").limit(max_size)
-    order = W.partitionBy(F.lit(0)).orderBy(F.col("n").desc(), "token")
-    return top.select("token", (F.row_number().over(order) + UNKNOWN).alias("token_id"), "n")
+    ordered = counts.withColumn("_r", -F.col("n")).repartitionByRange("_r", "token").sortWithinPartitions("_r", "token")
+    place = F.monotonically_increasing_id()
+    ordered = ordered.select("token", "n", F.shiftright(place, 33).alias("_part"), place.bitwiseAND((1 << 33) - 1).alias("_i"))
+    ordered = written(ordered, "vocabulary")
+    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per range
+    before = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")
+    rows = lookup_join(ordered, sizes.select("_part", before.alias("_before")), "_part")
+    rows = rows.select("token", (F.col("_before") + F.col("_i") + UNKNOWN + 1).cast("int").alias("token_id"), "n")
+    return rows if max_size is None else rows.where(F.col("token_id") <= max_size + UNKNOWN)
 
 
 def encode_tokens(df, vocab, id_col, max_len, text="text"):
@@ -39,12 +51,23 @@ def encode_tokens(df, vocab, id_col, max_len, text="text"):
     )
 
 
-def merge_wordpieces(pieces, groups=("doc",), position="pos", token="token", score="attribution"):
-    """Words from pieces: `##` continues a word, the word's score is the largest of its pieces."""
+def merge_wordpieces(pieces, groups=("doc",), position="pos", token="token", score="attribution", chunk=CHUNK):
+    """Words from pieces: `##` continues a word, the word's score is the largest of its pieces.
+
+    Only texts of more than `chunk` pieces are numbered chunk by chunk; a window per text does for the others.
+    """
+    groups = list(groups)
     starts = pieces.withColumn("_start", (~F.startswith(F.col(token), F.lit("##"))).cast("bigint"))
-    starts = running_sum(starts, list(groups), position, "_start", "word_no")
+    long = written(starts.groupBy(*groups).agg(F.max(position).alias("_last")).where(F.col("_last") >= chunk).select(*groups), "long-texts")
+    word = F.sum("_start").over(W.partitionBy(*groups).orderBy(position))
+    if long.limit(1).count():
+        short = starts.join(long, groups, "left_anti").withColumn("word_no", word)
+        numbered = running_sum(starts.join(long, groups, "left_semi"), groups, position, "_start", "word_no", chunk)
+        numbered = short.unionByName(numbered)
+    else:
+        numbered = starts.withColumn("word_no", word)
     plain = F.regexp_replace(token, "^##", "")
-    words = starts.groupBy(*groups, "word_no").agg(
+    words = numbered.groupBy(*groups, "word_no").agg(
         F.array_sort(F.collect_list(F.struct(position, plain.alias("piece")))).alias("_p"), F.max(score).alias(score)
     )
     return words.withColumn("word", F.array_join(F.transform("_p", lambda x: x["piece"]), "")).drop("_p")

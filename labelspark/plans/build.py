@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from labelspark.functions.columns import label_from_value, map_values, normalise_target, severity_label
+from labelspark.functions.columns import first_k, label_from_value, map_values, normalise_target, severity_label
+from labelspark.functions.generated import text_list
 from labelspark.operators import labels as L
 from labelspark.operators import reshape as R
 from labelspark.operators import split as S
 from labelspark.session import written
+from labelspark.sources.writers import write_splits
 
 
 def comment_targets(df, use_groups=False, min_rows=5):
@@ -68,3 +70,37 @@ def build_suite(cases, mapping, positive="hateful"):
     ]
     rows = R.stack_tasks(cases.withColumnRenamed("test_case", "text"), ["text"], tasks)
     return rows.where(F.col("task").isNotNull())
+
+
+def written_splits(rows, id_col, path, ratio=None, seed=42):
+    """(path of the split table, skipped tasks): long rows split task by task and written to task and split directories."""
+    split, skipped = S.split_every_task(rows, id_col, ratio=ratio, seed=seed)
+    return write_splits(split, path), skipped
+
+
+def written_votes(annotations, key, flags, ordinal, path, text="text", extra=None):
+    """Annotations to written splits: votes, one row per task, extra rows, stratified split."""
+    wide = build_votes(annotations, key, flags, ordinal, text).drop(ordinal)
+    rows = R.wide_to_long(wide, [key, text])
+    rows = rows if extra is None else rows.unionByName(extra)
+    return written_splits(rows.where(F.col("value").isNotNull()), key, path)
+
+
+def written_wide(df, order, path, tasks=None, seed=42):
+    """Comment rows to a written wide table with a random split per text."""
+    wide = build_wide(df, order, tasks).withColumn("text_md5", F.md5("text"))
+    split = S.random_split(wide, "text_md5", seed=seed)
+    split.write.mode("overwrite").partitionBy("split").parquet(path)
+    return path
+
+
+def generated_rows(records, labelled, names, k=2):
+    """Generated records (label names as they come) to long extra rows (text, task, value): labels of the source text, first texts, groups renamed.
+
+    `records` has original_comment and generated_comments, `labelled` text and labels (an array), `names` task and base_task.
+    """
+    texts = text_list(F.col("generated_comments"))
+    chosen = records.select("original_comment", F.lit(None).alias("labels"), first_k(texts, k).alias("selected"))
+    relabelled = L.relabel_generated(chosen, labelled)
+    rows = R.explode_generated(relabelled.select("selected", "labels")).withColumnRenamed("target", "task")
+    return L.rename_groups(rows.where(F.col("task").isNotNull()), names).withColumn("value", F.lit(1))

@@ -10,5 +10,6 @@ from labelspark.operators.tokens import term_lists
 def cross_corpus_eval(other, heads, id_col, pos_label=1):
     """Scores per task of (id, task, actual, text); rows whose task the heads lack are left out."""
     known = other.where(F.col("task").isNotNull())
-    pred = predict(term_lists(known, id_col), *heads, id_col)
+    # an id names one text, however many tasks it has a row for
+    pred = predict(term_lists(known.select(id_col, "text").dropDuplicates([id_col]), id_col), *heads, id_col)
     return evaluate(known.select(id_col, "task", "actual").join(pred, [id_col, "task"]), pos_label)

@@ -1,9 +1,10 @@
-"""Classifier heads on shared text features: one per task, wide or long, single target, and sweeps."""
+"""Classifier heads on shared text features: one per task, wide or long, single target, and sweeps.
+
+Every head, of whatever size, is one logistic regression on the same sparse features of cleaned texts.
+"""
 
 from concurrent.futures import ThreadPoolExecutor
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
@@ -12,29 +13,31 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from labelspark.functions.clean import clean_text
-from labelspark.functions.columns import argmax, softmax
-from labelspark.operators.labels import class_weights
+from labelspark.operators.labels import class_map, class_weights
 from labelspark.operators.lookup import lookup_join, union_all
 from labelspark.operators.scores import scores_by_task
 from labelspark.operators.split import seeded_split
 from labelspark.session import written
 
-SMALL_TASK_ROWS = 20_000
-LONG_FEATURES = 512
-HEAD_TABLE = "task string, label int, bias double, coef array<double>"
+FEATURES = 1 << 16
 
 
-def text_features(size=1 << 16):
-    """Words, hashed counts, inverse document frequency."""
+def text_features(size=FEATURES, min_docs=0):
+    """Words, hashed counts, inverse document frequency; words in fewer than `min_docs` texts get weight 0."""
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"(?U)[^\p{L}\p{N}]+"),
             HashingTF(inputCol="_words", outputCol="_counts", numFeatures=size),
-            IDF(inputCol="_counts", outputCol="features", minDocFreq=2),
+            IDF(inputCol="_counts", outputCol="features", minDocFreq=min_docs),
         ]
     )
 
 
+def cleaned(df):
+    """The texts as the heads see them; a missing text has no word."""
+    return df.withColumn("text", F.coalesce(clean_text(F.col("text")), F.lit("")))
+
+
 def featurise(df, model, keep):
     return model.transform(df).select(*keep, "features")
 
@@ -57,121 +60,88 @@ def _apply(head, rows, keep, task, actual):
     )
 
 
-def train_heads_wide(df, id_col, targets, max_iter=20, reg=0.01, features=1 << 16):
+def train_heads_wide(df, id_col, targets, max_iter=20, reg=0.01, features=FEATURES):
     """(feature model, {target: head}) from a wide table: features once, one class-weighted head per target.
 
     Columns of one class have nothing to learn and get no head.
     """
-    model = text_features(features).fit(df.select("text"))
-    rows = featurise(df, model, [id_col, *targets]).persist(StorageLevel.MEMORY_AND_DISK)
+    texts = cleaned(df.select(id_col, "text", *targets))
+    model = text_features(features).fit(texts.select("text"))
+    rows = featurise(texts, model, [id_col, *targets]).persist(StorageLevel.MEMORY_AND_DISK)
     heads = {}
     try:
         for target in targets:
-            counts = rows.groupBy(F.col(target).alias("value")).agg(F.count(F.lit(1)).alias("n")).collect()
-            if len(counts) < 2:
+            long = rows.select(F.lit(target).alias("task"), F.col(target).alias("value"))
+            weights = class_weights(long.where(F.col("value").isNotNull())).drop("task").withColumnRenamed("value", target)
+            if weights.limit(2).count() < 2:
                 continue
-            total = sum(r["n"] for r in counts)
-            weight = F.create_map(*[F.lit(x) for r in counts for x in (r["value"], total / (len(counts) * r["n"]))])
-            heads[target] = _fit(rows.withColumn("_w", weight[F.col(target)]), target, max_iter, reg, "_w")
+            heads[target] = _fit(lookup_join(rows, weights, target), target, max_iter, reg, "weight")
     finally:
         rows.unpersist()
     return model, heads
 
 
 def predict_wide(df, model, heads, id_col):
-    """Long predictions of every head."""
-    rows = featurise(df, model, [id_col, *heads])
-    return union_all([_apply(head, rows, [id_col], target, target) for target, head in heads.items()])
-
-
-def _gradient_steps(x, y, classes, weights, steps, reg):
-    """Softmax regression by gradient steps on one small task's rows."""
-    hot = (y[:, None] == np.arange(classes)[None, :]).astype(float)
-    coef, bias = np.zeros((classes, x.shape[1])), np.zeros(classes)
-    share = weights / weights.sum()
-    rate = 4.0 / (np.square(x).sum(axis=1).max() + 1.0)
-    for _ in range(steps):
-        logits = x @ coef.T + bias
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        error = (p - hot) * share[:, None]
-        coef -= rate * (error.T @ x + reg * coef)
-        bias -= rate * error.sum(axis=0)
-    return coef, bias
-
-
-def fit_small_tasks(rows, steps=200, reg=0.001):
-    """(task, label, bias, coef) for tasks whose rows fit one executor task; one class gives a constant head."""
-
-    def fit(pdf):
-        labels = np.array(sorted(pdf["value"].unique()))
-        x = np.stack(pdf["x"].to_numpy())
-        if len(labels) == 1:
-            coef, bias = np.zeros((1, x.shape[1])), np.zeros(1)
-        else:
-            y = np.searchsorted(labels, pdf["value"].to_numpy())
-            coef, bias = _gradient_steps(x, y, len(labels), pdf["weight"].to_numpy(), steps, reg)
-        return pd.DataFrame({"task": pdf["task"].iloc[0], "label": labels, "bias": bias, "coef": list(coef)})
-
-    return rows.groupBy("task").applyInPandas(fit, HEAD_TABLE)
-
-
-def train_heads_long(df, id_col, max_iter=20, reg=0.01, small=SMALL_TASK_ROWS, features=LONG_FEATURES, parallelism=4):
-    """(feature model, heads table) from a long table (id, text, task, value); a row trains its task only.
-
-    Tasks of up to `small` rows are fitted side by side, one executor task each; larger ones go through
-    MLlib, a few at a time, so no task has to fit one machine.
+    """Long predictions of every head; the features of a text are made once for all heads."""
+    rows = featurise(cleaned(df), model, [id_col, *heads])
+    for target, head in heads.items():
+        apply = head.copy({head.probabilityCol: f"_p_{target}", head.predictionCol: f"_y_{target}", head.rawPredictionCol: f"_r_{target}"})
+        rows = apply.transform(rows)
+    cells = [
+        F.struct(
+            F.lit(target).alias("task"),
+            F.col(target).cast("int").alias("actual"),
+            F.col(f"_y_{target}").cast("int").alias("predicted"),
+            vector_to_array(f"_p_{target}").alias("probs"),
+        )
+        for target in heads
+    ]
+    return rows.select(id_col, F.explode(F.array(*cells)).alias("_c")).select(id_col, "_c.*")
+
+
+def train_heads_long(df, id_col, max_iter=20, reg=0.01, features=FEATURES, parallelism=4):
+    """(feature model, {task: head}, class map) from a long table (id, text, task, value); a row trains its task only.
+
+    Every task is fitted the same way, spread over the cluster, a few tasks at a time. A task of one class has
+    nothing to learn and gets None; its class is always predicted. Rows without a task or value teach nothing.
     """
-    model = text_features(features).fit(df.select("text"))
-    weights = class_weights(df)
-    rows = featurise(df, model, [id_col, "task", "value"])
-    rows = lookup_join(rows, weights, ["task", "value"]).persist(StorageLevel.MEMORY_AND_DISK)
+    known = cleaned(df.where(F.col("task").isNotNull() & F.col("value").isNotNull()))
+    model = text_features(features).fit(known.select("text"))
+    classes = written(class_map(known), "classes")
+    weights = class_weights(known).join(classes, ["task", "value"])
+    rows = lookup_join(featurise(known, model, [id_col, "task", "value"]), weights, ["task", "value"])
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    # one number per head to fit
+    sizes = [(r["task"], r["k"]) for r in classes.groupBy("task").agg(F.count(F.lit(1)).alias("k")).orderBy("task").collect()]
     try:
-        sizes = rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("k"))
-        large = [r["task"] for r in sizes.where(F.col("n") > small).collect()]
-        arrays = rows.where(~F.col("task").isin(large)).withColumn("x", vector_to_array("features"))
-        heads = written(fit_small_tasks(arrays.select("task", "value", "x", "weight")), "small-heads")
         with ThreadPoolExecutor(parallelism) as pool:
-            fits = [pool.submit(_large_task, rows.where(F.col("task") == t), t, max_iter, reg, features) for t in large]
-            fitted = [row for fit in fits for row in fit.result()]
+            fits = {t: pool.submit(_fit, rows.where(F.col("task") == t), "idx", max_iter, reg, "weight") for t, k in sizes if k > 1}
+            heads = {t: fits[t].result() if t in fits else None for t, _ in sizes}
     finally:
         rows.unpersist()
-    return model, heads.unionByName(df.sparkSession.createDataFrame(fitted, HEAD_TABLE))
-
-
-def _large_task(rows, task, max_iter, reg, features):
-    labels = sorted(r[0] for r in rows.select("value").distinct().collect())
-    if len(labels) == 1:
-        return [(task, labels[0], 0.0, [0.0] * features)]
-    index = F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, i)])
-    numbered = rows.withColumn("_y", index[F.col("value")])
-    head = LogisticRegression(labelCol="_y", weightCol="weight", maxIter=max_iter, regParam=reg, family="multinomial").fit(numbered)
-    return list(
-        zip([task] * len(labels), labels, head.interceptVector.toArray().tolist(), head.coefficientMatrix.toArray().tolist())
-    )
-
+    return model, heads, classes
 
-def predict_long(df, model, heads, id_col):
-    """Predictions of each row's own task: (id, task, actual, predicted, probs)."""
-    grouped = heads.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("label", "bias", "coef"))).alias("_h"))
-    rows = featurise(df, model, [id_col, "task", "value"]).withColumn("_x", vector_to_array("features"))
-    rows = lookup_join(rows, grouped, "task")
 
-    def logit(head):
-        products = F.zip_with(F.col("_x"), head["coef"], lambda a, b: a * b)
-        return head["bias"] + F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
-
-    scored = rows.withColumn("_l", F.transform("_h", logit)).withColumn("probs", softmax(F.col("_l")))
-    labels = F.transform("_h", lambda h: h["label"])
-    return scored.select(
-        id_col, "task", F.col("value").alias("actual"), labels[argmax(F.col("probs"))].alias("predicted"), "probs"
-    )
+def predict_long(df, model, heads, classes, id_col):
+    """Predictions of each row's own task: (id, task, actual, predicted, probs); rows of tasks without a head are left out."""
+    rows = featurise(cleaned(df), model, [id_col, "task", "value"])
+    frames = []
+    for task, head in heads.items():
+        own = rows.where(F.col("task") == task)
+        if head is None:
+            frames.append(own.select(id_col, "task", "value", F.lit(0).alias("idx"), F.array(F.lit(1.0)).alias("probs")))
+        else:
+            scored = head.transform(own)
+            frames.append(scored.select(id_col, "task", "value", F.col("_pred").cast("int").alias("idx"), vector_to_array("_probs").alias("probs")))
+    names = classes.select("task", F.col("idx").cast("int").alias("idx"), F.col("value").alias("predicted"))
+    named = lookup_join(union_all(frames), names, ["task", "idx"])
+    return named.select(id_col, "task", F.col("value").alias("actual"), "predicted", "probs")
 
 
-def train_simple(df, id_col, target, train=0.7, valid=0.15, seed=42, max_iter=20, reg=0.01, features=1 << 16, pos_label=1):
+def train_simple(df, id_col, target, train=0.7, valid=0.15, seed=42, max_iter=20, reg=0.01, features=FEATURES, pos_label=1):
     """(feature model, head, scores on the test split) for one target column, text cleaned first."""
     split = seeded_split(df.select(id_col, "text", F.col(target).cast("int").alias(target)), id_col, train, valid, seed)
-    rows = split.withColumn("text", clean_text(F.col("text"))).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cleaned(split).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = rows.where(F.col("split") == "train")
         model = text_features(features).fit(fitted.select("text"))
@@ -184,12 +154,13 @@ def train_simple(df, id_col, target, train=0.7, valid=0.15, seed=42, max_iter=20
     return model, head, df.sparkSession.createDataFrame(scores, names)
 
 
-def sweep(train, valid, id_col, target, regs, steps=(5, 10, 20), patience=2, parallelism=4, features=1 << 16):
+def sweep(train, valid, id_col, target, regs, steps=(5, 10, 20), patience=2, parallelism=4, features=FEATURES):
     """One row per fitted setting: (reg, max_iter, accuracy, best).
 
     For each regularisation the number of iterations grows until accuracy on the validation rows has not
     improved `patience` times in a row; settings are fitted side by side.
     """
+    train, valid = cleaned(train), cleaned(valid)
     model = text_features(features).fit(train.select("text"))
     fit_rows = featurise(train, model, [id_col, target]).persist(StorageLevel.MEMORY_AND_DISK)
     valid_rows = featurise(valid, model, [id_col, target]).persist(StorageLevel.MEMORY_AND_DISK)

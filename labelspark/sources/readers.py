@@ -87,15 +87,6 @@ def read_table(spark, path):
     return spark.read.parquet(path)
 
 
-def spread_texts(df, id_col):
-    """Rows over all cores when the table has fewer files than cores; a table of many files stays as it is.
-
-    For work that is heavy per text: one file is one task, however long its texts take.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, id_col) if len(df.inputFiles()) < cores else df
-
-
 def read_generated_json(spark, path):
     """Generated records of many files, each a JSON array of one generator batch.
 
@@ -137,13 +128,14 @@ def load_class_maps(spark, path):
 def read_report(spark, path, numbers, repeated, sep=";"):
     """Result files: decimal commas become numbers, a blank cell of `repeated` takes the cell above.
 
-    Cells are filled inside their file. Lines are ordered by the byte range they were read from and by
-    their place in it, so the fill works on a folder of large files as well.
+    Cells are filled inside their file. A line's position is the first byte of its range plus its place among the rows of its
+    task: a line has a byte at least, so ranges of a file stay in order however the scan packs them.
     """
     header = spark.read.option("header", True).option("sep", sep).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     raw = spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
-    lines = raw.select("*", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_line"))
+    line = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    lines = raw.select("*", F.col("_metadata.file_path").alias("_f"), line.alias("_line"))
     cells = [F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in header]
     filled = fill_down(lines.select(*cells, "_f", "_line"), ["_f"], "_line", list(repeated))
     return filled.select(*[_decimal(c) if c in numbers else F.col(f"`{c}`") for c in header])

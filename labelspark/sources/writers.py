@@ -1,5 +1,9 @@
 """Writing label tables, splits, class maps and reports."""
 
+from pyspark.sql import functions as F
+
+from labelspark.operators.lookup import lookup_join
+
 
 def write_task_partitions(df, path, task="task"):
     """Parquet with one directory per task; a directory name keeps any task name."""
@@ -8,15 +12,23 @@ def write_task_partitions(df, path, task="task"):
 
 
 def write_wide(df, path):
-    """The wide table as parquet and as CSV."""
+    """The wide table as parquet, and as CSV from that parquet: the plan of `df` runs once."""
     df.write.mode("overwrite").parquet(f"{path}.parquet")
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}.csv")
+    rows = df.sparkSession.read.parquet(f"{path}.parquet")
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}.csv")
     return path
 
 
-def write_splits(df, path):
-    """Parquet with one directory per task and split."""
-    df.write.mode("overwrite").partitionBy("task", "split").parquet(path)
+def write_splits(df, path, rows_per_file=1_000_000):
+    """Parquet with one directory per task and split, and about `rows_per_file` rows per file, whatever the number of tasks.
+
+    Rows are dealt to as many salts as their directory needs files.
+    """
+    keys = ["task", "split"]
+    files = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).cast("int").alias("_files"))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]), F.col("_files"))
+    dealt = lookup_join(df, files, keys).withColumn("_salt", salt).repartition(*keys, "_salt")
+    dealt.select(*df.columns).write.mode("overwrite").partitionBy(*keys).parquet(path)
     return path
 
 

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from labelspark.functions.clean import clean_text
 
 
-def text_stream(spark, folder, schema, files="*.parquet"):
-    """Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
+def text_stream(spark, path, schema):
+    """Parquet files of a folder, or one file, as a stream."""
+    # as a pattern: a plain path would have to be a folder
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def score_stream(stream, score, text="text"):

@@ -29,7 +29,7 @@ def test_votes_ties_nulls_single(spark):
     df = spark.createDataFrame(
         [(1, 2, 1), (1, 1, 0), (1, 1, 1), (1, 2, 0), (2, None, None), (2, 3, 1), (3, 9, 0)], "k int, v int, f int"
     )
-    for options in ({"flags": ["f"]}, {}, {"max_values": 1}):
+    for options in ({"flags": ["f"]}, {}):
         voted = L.majority_vote(df, "k", ["v", "f"], **options)
         assert rows(voted, "k", "v", "f") == [(1, 1, 0), (2, 3, 1), (3, 9, 0)]
     silent = spark.createDataFrame([(1, None, None)], df.schema)
@@ -49,26 +49,34 @@ def test_grid_and_overlay(spark):
     ]
 
 
-def test_grid_beyond_the_bound_is_the_same(spark):
+def test_pairs_in_blocks(spark, monkeypatch):
     df = spark.range(50).select(F.col("id").cast("string").alias("text"))
     values = spark.range(9).select(F.concat(F.lit("t"), "id").alias("target"))
-    small = K.pair_all(df, values, "target")
-    large = K.pair_all(df, values, "target", max_rows=3, shards=4)
-    assert rows(small, "text", "target") == rows(large, "text", "target")
-    assert small.count() == 450
-
-
-def test_joins_beyond_the_bound_are_the_same(spark):
+    expected = sorted((str(i), f"t{k}") for i in range(50) for k in range(9))
+    nulls = values.unionByName(spark.createDataFrame([(None,), ("t1",)], "target string"))
+    assert rows(K.pair_all(df, nulls, "target"), "text", "target") == expected
+    monkeypatch.setattr(K, "BLOCK_VALUES", 300_000)
+    assert rows(K.pair_all(df, values, "target"), "text", "target") == expected
+    with pytest.raises(ValueError, match="the bound is"):
+        K.beside_all(df, values, "v", bound=8)
+    plan = K.pair_all(df, values, "target")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_lookup_joins(spark):
     big = spark.range(1000).select("id", F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 37).alias("k"))
     small = spark.range(30).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left", "left_semi", "left_anti"):
-        a, b = K.lookup_join(big, small, "k", how), K.lookup_join(big, small, "k", how, max_rows=3, salts=4)
-        assert rows(a, *a.columns) == rows(b, *a.columns)
-    for how in ("inner", "left"):
-        a, b = K.skewed_join(big, small, "k", how), K.skewed_join(big, small, "k", how, hot_rows=100)
+        a, b = K.lookup_join(big, small, "k", how), big.join(small, "k", how)
         assert rows(a, *a.columns) == rows(b, *a.columns)
 
 
+def test_a_source_text_of_several_rows_gives_all_labels(spark):
+    generated = spark.createDataFrame([("t", "?"), ("u", "?")], "original_comment string, labels string")
+    source = spark.createDataFrame([("t", "a"), ("t", "b")], "text string, labels string")
+    assert rows(L.relabel_generated(generated, source), "original_comment", "labels") == [("t", "a"), ("t", "b")]
+
+
 def test_class_map_and_policies(spark):
     df = spark.createDataFrame([("a", "no"), ("a", "yes"), ("b", "1"), ("c", "1")], "task string, value string")
     classes = L.class_map(df.where("task <> 'c'"))
@@ -150,3 +158,9 @@ def test_prompt_batches(spark):
     batches = GO.prompt_batches(df, "i", 3).orderBy("batch").collect()
     assert [(r["batch"], r["n"], r["first_index"]) for r in batches] == [(0, 3, 0), (1, 3, 3), (2, 1, 6)]
     assert batches[2]["block"] == "Comment: t6\nIndex: 6\nLabels: a,b"
+
+
+def test_prompt_batches_keep_rows_with_gaps(spark):
+    df = spark.createDataFrame([(1, None, "l"), (2, "b", None), (1 << 60, "c", "m")], "i bigint, text string, labels string")
+    row = GO.prompt_batches(df, "i", 3).first()
+    assert row["n"] == 3 and row["block"].count("Comment:") == 3 and "Comment: \nIndex: 0" in row["block"]
