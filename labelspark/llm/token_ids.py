@@ -33,8 +33,31 @@ def byte_letters():
     return table
 
 
+class Known(dict):
+    """Ids per piece, made when first asked for; None for a piece with an unsure character."""
+
+    def __init__(self, tokenize, code):
+        self.tokenize, self.code, self.letters, self.old = tokenize, code, byte_letters(), {}
+
+    def __missing__(self, piece):
+        found = self.old.get(piece, 0)
+        if found == 0:
+            if (piece.isspace() or not piece.isascii()) and UNSURE.search(piece):
+                found = None
+            else:
+                letters = piece.encode().decode("latin-1").translate(self.letters)
+                found = array(self.code, [x.id for x in self.tokenize(letters)]).tobytes()
+        self[piece] = found
+        return found
+
+    def forget(self):
+        """Drops the pieces not asked for since the last time."""
+        self.old = dict(self)
+        self.clear()
+
+
 class Pieces:
-    """Ids per piece of text, as little-endian bytes; pieces not used lately are forgotten beyond `keep`.
+    """Ids of texts as little-endian bytes, from the ids of their pieces; pieces not used lately are forgotten beyond `keep`.
 
     A byte-level BPE works inside the pieces its split yields, so a text's ids are those of its pieces in a row. The library's model
     gives the ids of a piece.
@@ -55,37 +78,22 @@ class Pieces:
             and not found.get("normalizer")
             and all(x["special"] for x in found.get("added_tokens", []))
         )
-        self.dtype, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
-        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
-        self.keep, self.new, self.old = keep, {}, {}
+        self.dtype, code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        self.known, self.keep = Known(self.tokenizer.model.tokenize, code), keep
 
     def whole(self, text):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def learn(self, pieces):
-        """Fills in the ids of pieces; None for those with an unsure character."""
-        for piece in pieces:
-            known = self.old.get(piece, 0)
-            if known == 0:
-                if (piece.isspace() or not piece.isascii()) and UNSURE.search(piece):
-                    known = None
-                else:
-                    letters = piece.encode().decode("latin-1").translate(self.letters)
-                    known = array(self.code, [x.id for x in self.tokenize(letters)]).tobytes()
-            self.new[piece] = known
-
     def encode(self, texts):
         """Ids of each text as bytes of `dtype`."""
         if not self.splits:
             return [self.whole(text) for text in texts]
-        words = list(map(SPLIT.findall, texts))
-        if len(self.new) > self.keep:
-            self.new, self.old = {}, self.new
-        self.learn(set().union(*words).difference(self.new))
-        get, out = self.new.__getitem__, []
-        for text, row in zip(texts, words, strict=True):
+        if len(self.known) > self.keep:
+            self.known.forget()
+        get, out = self.known.__getitem__, []
+        for text in texts:
             try:
-                out.append(b"".join(map(get, row)))
+                out.append(b"".join(map(get, SPLIT.findall(text))))
             except TypeError:
                 out.append(self.whole(text))
         return out
