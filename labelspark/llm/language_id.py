@@ -47,7 +47,7 @@ def train(docs, folds=3, held_out=1, id_col="doc_id", text_col="text", lang_col=
 
 
 @functools.lru_cache(maxsize=4)
-def coders(model, level=3):
+def coders(model, level=6):
     return [
         zstandard.ZstdCompressor(
             level=level, write_content_size=False, write_checksum=False, write_dict_id=False,
