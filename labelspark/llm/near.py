@@ -2,12 +2,13 @@
 
 1. Each text gives its set of distinct word shingles (64-bit hashes), a fingerprint of the set and a signature of `BANDS * ROWS` minima.
    Equal sets collapse to one class, whatever their number.
-2. Classes that share a band of their signature meet in a bucket. Every member is paired with the bucket's first one (its hub), so a bucket
+2. Classes that share a band of their signature meet in a bucket. Every member is paired with the bucket's hubs, one or a few members, so a bucket
    of any size gives linear many pairs.
 3. A pair's signatures are compared batch by batch. After each batch the posterior chance that the similarity reaches the threshold, from a
    uniform prior, is bounded; below `MISS` the pair is dropped. Survivors are checked on their full sets, read again from the texts.
-4. Links give components. Buckets whose members are still in several components owe the pairs between these: small buckets at once, large ones in
-   blocks of members against blocks. Pairs inside one component could change nothing and are left out.
+4. Links give components. Buckets whose members are still in several components get other hubs, from their largest component, for a few rounds.
+   What is then still divided owes every pair between its components. These are compared in blocks of members against blocks, by signature and then
+   on full sets, and only links that join two components come out. Pairs inside one component could change nothing and are left out.
 
 A link joins two sets with similarity >= threshold, so 20 bands of 5 rows miss a pair at 0.85 with a chance below 1e-5.
 
@@ -28,7 +29,10 @@ from labelspark.llm import shared
 SHINGLE, BANDS, ROWS = 5, 20, 5
 SIZE = BANDS * ROWS
 BATCH, MISS = 20, 1e-6
-SMALL_BUCKET, BLOCK, CHUNK = 24, 512, 128
+#: Buckets beyond so many members get more hubs; members and shingles per block; pairs per chunk of one hub.
+SMALL_BUCKET, BLOCK, BLOCK_SHINGLES, CHUNK = 24, 2048, 400_000, 128
+#: Seeds of the hubs of a bucket, per round, before all pairs between components are compared.
+HUBS = ((1, 2, 3), (4, 5, 6, 7))
 #: Ids of so many documents, 8 bytes each, may be sent to all executors to pick their texts; beyond it they are joined by a shuffle.
 SENT_IDS = 1 << 20
 
@@ -164,9 +168,16 @@ def verify(pairs, classes, docs, percent, size=SHINGLE):
     return shared.stored(rows.mapInArrow(run, "a long, b long").distinct(), "near-links")
 
 
+def mark_of(edges):
+    """Number and fingerprint of a set of edges."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 24))).first())
+
+
 def components(links):
     """(node, root): the smallest node that can be reached, for nodes with a link; alternating steps to larger and to smaller neighbours."""
     edges = shared.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    mark = mark_of(edges)
     while True:
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
@@ -175,9 +186,8 @@ def components(links):
         small_low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(small_low, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
         following = shared.stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        changed = following.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(following, ["u", "v"], "left_anti").limit(1).count()
-        edges = following
-        if not changed:
+        edges, before, mark = following, mark, mark_of(following)
+        if mark == before:
             break
     return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
@@ -203,59 +213,145 @@ def bucket_rows(classes):
     return shared.stored(members.join(hubs, "bucket"), "buckets")
 
 
-def owed_pairs(buckets, roots, classes, threshold):
-    """(a, b): pairs inside a bucket but between components, after pruning."""
+def divided(buckets, roots):
+    """(bucket, hub, node, root, n, hub_root) of buckets whose members are in several components; hub_root: the component most are in."""
     rooted = buckets.join(roots, "node", "left").select("bucket", "hub", "node", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.when(F.col("node") == F.col("hub"), F.col("root"))).alias("hub_root")
-    )
-    rooted = shared.stored(rooted.join(several.where("r0 <> r1").drop("r0", "r1"), "bucket"), "owed")
-    few = rooted.where(F.col("n") <= SMALL_BUCKET)
-    left = few.select("bucket", "hub", F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-    # A bucket of at most SMALL_BUCKET members; pairs with its hub are known.
-    close = left.join(right, "bucket").where("a < b and ra <> rb and a <> hub and b <> hub").select("a", "b").distinct()
-    found = prune(close, classes, threshold)
-    many = rooted.where(F.col("n") > SMALL_BUCKET)
-    if many.limit(1).count():
-        found = found.unionByName(block_pairs(many, classes, threshold)).distinct()
-    return found
-
-
-def block_pairs(members, classes, threshold):
-    """Pairs of large buckets, blocks of members against blocks, one group of bounded size per pair of blocks.
+    sides = rooted.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    top = sides.groupBy("bucket").agg(F.sum("k").alias("n"), F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("top"))
+    several = top.where("roots > 1").select("bucket", "n", F.col("top.root").alias("hub_root"))
+    return shared.stored(rooted.join(several, "bucket"), "divided")
+
+
+def hubs_of(members, seeds):
+    """(bucket, with_): of each bucket the members that hash lowest under each seed. A node's hash is the same in all of its buckets, so these agree on few hubs."""
+    chosen = [F.min_by("node", F.xxhash64("node", F.lit(seed))) for seed in seeds]
+    return members.groupBy("bucket").agg(F.array_distinct(F.array(*chosen)).alias("hubs")).select("bucket", F.explode("hubs").alias("with_"))
+
+
+def pairs_with(members, hubs):
+    pairs = members.join(hubs, "bucket").where("node <> with_")
+    return pairs.select(F.least("with_", "node").alias("a"), F.greatest("with_", "node").alias("b")).distinct()
+
+
+def in_blocks(rows, weight, limit):
+    """Rows dealt to (bucket, i, j): blocks of members against blocks, of about `limit` summed weight each.
 
     Members outside the hub's component (side 1) meet everyone, those inside it (side 0) meet side 1 only.
     """
-    sig = classes.select("node", "sig")
-    sided = members.withColumn("side", (F.col("root") != F.col("hub_root")).cast("int"))
-    counts = sided.groupBy("bucket").agg(
-        F.ceil(F.sum("side") / BLOCK).cast("int").alias("outer"), F.ceil(F.sum(1 - F.col("side")) / BLOCK).cast("int").alias("inner")
-    )
-    held = sided.join(counts, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 1, F.col("outer")).otherwise(F.col("inner"))).cast("int"))
+    sided = rows.withColumn("side", (F.col("root") != F.col("hub_root")).cast("int"))
+    held = lambda side: F.ceil(F.sum(F.when(F.col("side") == side, weight).otherwise(0)) / limit).cast("int")
+    counts = sided.groupBy("bucket").agg(held(1).alias("outer"), held(0).alias("inner"))
+    dealt = sided.join(counts, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 1, F.col("outer")).otherwise(F.col("inner"))).cast("int"))
     # Blocks of side 1 are numbered from 0, those of side 0 behind them.
-    held = held.withColumn("block", F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("own") + F.col("outer")))
+    dealt = dealt.withColumn("block", F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("own") + F.col("outer")))
     reach = F.when(F.col("side") == 1, F.col("outer") + F.col("inner")).otherwise(F.col("outer"))
-    sent = held.select("bucket", "node", "root", "block", F.explode(F.sequence(F.lit(0), reach - 1)).alias("other"))
-    sent = sent.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(sig, "node")
+    sent = dealt.where(reach > 0).withColumn("other", F.explode(F.sequence(F.lit(0), reach - 1)))
+    sent = sent.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return sent.drop("side", "outer", "inner", "own", "other")
+
+
+def by_block(work, fields):
+    """`mapInArrow` argument: `work(columns of one (bucket, i, j))` for rows sorted by these, however batches cut them."""
+
+    def run(batches):
+        key, held = None, []
+
+        def done():
+            table = pa.Table.from_batches(held).combine_chunks()
+            found = work({name: table.column(name) for name in table.schema.names})
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(found, fields, strict=True)], schema=fields)
+
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1) if batch.num_rows else np.empty((0, 3))
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if key is not None and tuple(keys[a]) != key:
+                    yield from done()
+                    held = []
+                key = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from done()
+
+    return run
+
+
+def sides(columns):
+    """(rows of block i, rows of block j, node, root, whether both are one block)"""
+    block, i, j = (columns[name].to_numpy() for name in ("block", "i", "j"))
+    return np.flatnonzero(block == i), np.flatnonzero(block == j), columns["node"].to_numpy(), columns["root"].to_numpy(), i[0] == j[0]
+
+
+def possible(columns, threshold):
+    """Nodes of one pair of blocks with a possible link to another component, by their signatures."""
+    rows, others, node, root, same = sides(columns)
+    sig, hit = signatures(columns["sig"].to_pylist()), np.zeros(len(node), dtype=bool)
+    for k in rows:
+        with_ = others[(root[others] != root[k]) & ((others > k) | (not same))]
+        if len(with_):
+            keep = with_[survivors(np.broadcast_to(sig[k], (len(with_), SIZE)), sig[with_], threshold)]
+            hit[keep] = True
+            hit[k] |= len(keep) > 0
+    return [columns["bucket"].to_numpy()[hit], node[hit]]
+
+
+def found_links(columns, percent, size):
+    """Links between components of one pair of blocks, on full sets; one link joins two components, further ones between them are not needed."""
+    rows, others, node, root, same = sides(columns)
+    sets = [shingle_set(text, size) for text in columns["text"].to_pylist()]
+    real = np.array([len(x) and int(mixed(x).sum(dtype=np.uint64).view(np.int64)) == k for x, k in zip(sets, node.tolist(), strict=True)])
+    sizes = np.array([len(x) for x in sets])
+    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holder = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
+    first, ends = np.cumsum(counts) - counts, np.cumsum(sizes)
+    component, a, b = np.unique(root, return_inverse=True)[1], [], []
+    for k in rows[real[rows]]:
+        with_ = others[(component[others] != component[k]) & real[others] & ((others > k) | (not same))]
+        if not len(with_):
+            continue
+        own = ids[ends[k] - sizes[k] : ends[k]]
+        n = counts[own]
+        places = np.arange(int(n.sum())) + np.repeat(first[own] - np.cumsum(n) + n, n)
+        both = np.bincount(holder[places], minlength=len(sets))[with_]
+        for m in with_[100 * both >= percent * (sizes[k] + sizes[with_] - both)]:
+            if component[m] != component[k]:
+                a.append(min(node[k], node[m]))
+                b.append(max(node[k], node[m]))
+                component[component == component[m]] = component[k]
+    return [a, b]
+
+
+def owed_links(rows, classes, docs, percent, size=SHINGLE):
+    """(a, b): links between components of divided buckets, so that none stays apart that has one. Every pair between components is compared."""
+    threshold = percent / 100
+    marked = in_blocks(rows.join(classes.select("node", "sig"), "node"), F.lit(1), BLOCK)
+    marked = marked.select("bucket", "i", "j", "block", "node", "root", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    fields = pa.schema([("bucket", pa.int64()), ("node", pa.int64())])
+    hits = marked.mapInArrow(by_block(lambda columns: possible(columns, threshold), fields), "bucket long, node long").distinct()
+    left = shared.stored(rows.join(hits, ["bucket", "node"], "left_semi").join(classes.select("node", "doc_id", "n_shingles"), "node"), "owed")
+    ids = left.select("doc_id").distinct()
+    texts = docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+    full = in_blocks(left, F.col("n_shingles"), BLOCK_SHINGLES).join(texts, "doc_id")
+    full = full.select("bucket", "i", "j", "block", "node", "root", "text").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return shared.stored(full.mapInArrow(by_block(lambda columns: found_links(columns, percent, size), fields), "a long, b long").distinct(), "near-links")
 
-    def run(table):
-        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
-        i, block = table.column("i").to_numpy()[0], table.column("block").to_numpy()
-        j, sigs = table.column("j").to_numpy()[0], signatures(table.column("sig").to_pylist())
-        rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for k in rows:
-            with_ = columns[(root[columns] != root[k]) & ((node[columns] > node[k]) | (i != j))]
-            if len(with_):
-                keep = with_[survivors(np.broadcast_to(sigs[k], (len(with_), SIZE)), sigs[with_], threshold)]
-                a.append(np.minimum(node[keep], node[k]))
-                b.append(np.maximum(node[keep], node[k]))
-        a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (a, b))
-        return pa.Table.from_arrays([pa.array(a), pa.array(b)], schema=fields)
 
-    return sent.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+def merged(roots, links):
+    """Roots after further links."""
+    if not links.limit(1).count():
+        return roots
+    between = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
+        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left"
+    )
+    joined = components(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    step = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    loose = joined.select("node", "root").join(roots, "node", "left_anti")
+    raised = roots.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return shared.stored(raised.unionByName(loose), "roots")
 
 
 def near_duplicates(docs, percent=85, id_col="doc_id", text_col="text", size=SHINGLE):
@@ -267,19 +363,22 @@ def near_duplicates(docs, percent=85, id_col="doc_id", text_col="text", size=SHI
     classes = linked.groupBy("node", "check", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.min_by("sig", "doc_id").alias("sig"))
     classes = shared.stored(classes, "classes")
     buckets = bucket_rows(classes)
-    star = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    star = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    large = buckets.where(F.col("n") > SMALL_BUCKET)
+    star = star.unionByName(pairs_with(large, hubs_of(large, HUBS[0]))).distinct()
     links = verify(prune(star, classes, threshold), classes, texts, percent, size)
     roots = shared.stored(components(links), "roots")
-    more = verify(owed_pairs(buckets, roots, classes, threshold), classes, texts, percent, size)
-    if more.limit(1).count():
-        between = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
-            roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left"
-        )
-        joined = components(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-        step = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        loose = step.select(F.col("root").alias("node"), "top")
-        roots = roots.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        roots = shared.stored(roots.unionByName(loose.join(roots, "node", "left_anti").select("node", F.col("top").alias("root"))), "roots")
+    # Other hubs join most of what is left with few pairs; the last round owes every pair between components.
+    for seeds in (*HUBS[1:], None):
+        left = divided(buckets, roots)
+        if not left.limit(1).count():
+            break
+        if seeds is None:
+            more = owed_links(left, classes, texts, percent, size)
+        else:
+            pairs = pairs_with(left.where("root <> hub_root"), hubs_of(left.where("root = hub_root"), seeds))
+            more = verify(prune(pairs, classes, threshold), classes, texts, percent, size)
+        roots = merged(roots, more)
     # The root is a set's fingerprint; a component is named by its smallest document.
     first = classes.join(roots, "node", "left").select("node", "check", "n_shingles", F.coalesce("root", "node").alias("root"), "doc_id")
     named = first.groupBy("root").agg(F.min("doc_id").alias("component"))
