@@ -23,7 +23,7 @@ DICTIONARY_BYTES, DOC_BYTES, BLOCK = 1 << 17, 2048, 1500
 NARROW, HALF = 0.01, 0.03
 #: At most so many bytes of dictionaries are sent to the executors.
 SENT_BYTES = 64 << 20
-OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+OTHER, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def letters(text):
@@ -62,7 +62,7 @@ def classify(texts, model):
     found, names = [], [name for name, _ in model]
     packers = coders(model)
     for text in texts:
-        data = letters(text) if text is not None else b""
+        data = letters(text) if text is not None and LETTER.search(text) else b""
         if not data or not names:
             found.append(("und", 0.0, True))
             continue

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from labelspark.llm import shared
 from labelspark.llm.token_ids import default_path, pieces, width_of
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long"
 #: Totals of so many partitions, 16 bytes each, may be sent to all executors; beyond it they are joined.
 SENT_PARTS = 1 << 20
 
@@ -53,7 +53,7 @@ def token_stream(docs, path, end_id, id_col="doc_id", text_col="text"):
 
 
 def part_places(rows):
-    """(part, offset): ids in all parts before it, from one total per partition of the pass that wrote `rows`."""
+    """((part, offset) with the ids in all parts before it, all ids): one total per partition of the pass that wrote `rows`."""
     totals = rows.groupBy("part").agg(F.sum("n").alias("total")).orderBy("part").collect()
     offset, places = 0, []
     for row in totals:
@@ -61,18 +61,25 @@ def part_places(rows):
         offset += row["total"]
     schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("offset", T.LongType())])
     found = rows.sparkSession.createDataFrame(places, schema)
-    return F.broadcast(found) if len(places) <= SENT_PARTS else found
+    return F.broadcast(found) if len(places) <= SENT_PARTS else found, offset
 
 
 def pack(docs, path=None, window=2048, end_id=1, id_col="doc_id", text_col="text"):
-    """Pieces of documents in sequences of `window` ids, in the order of the input's partitions."""
+    """Pieces of documents in sequences of `window` ids, in the order of the input's partitions.
+
+    `padding`: how many ids the piece's sequence is filled up with.
+    """
     path = path or default_path()
     width = width_of(path)
     tokens = token_stream(docs, path, end_id, id_col, text_col)
-    placed = tokens.join(part_places(tokens), "part").select("doc_id", (F.col("before") + F.col("offset")).alias("place"), "ids")
+    places, total = part_places(tokens)
+    last, rest = divmod(total, window)
+    # Only the last sequence is short: it is filled up to the window, unless its length is a power of two.
+    missing = window - rest if rest & (rest - 1) else 0
+    placed = tokens.join(places, "part").select("doc_id", (F.col("before") + F.col("offset")).alias("place"), "ids")
 
     def cut(columns):
-        out = {name: [] for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
+        out = {name: [] for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padding")}
         for doc, place, data in zip(columns["doc_id"], columns["place"], columns["ids"], strict=True):
             ids = np.frombuffer(data, dtype=f"<u{width}").astype("<u4")
             start = 0
@@ -81,7 +88,7 @@ def pack(docs, path=None, window=2048, end_id=1, id_col="doc_id", text_col="text
                 length = min(window - at % window, len(ids) - start)
                 for name, value in zip(
                     out,
-                    (doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), at // window, at % window),
+                    (doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), at // window, at % window, missing if at // window == last else 0),
                     strict=True,
                 ):
                     out[name].append(value)

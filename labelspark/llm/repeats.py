@@ -33,7 +33,7 @@ LEAST, GRAM = 400, 300
 #: More different surroundings of one anchor string than this are dealt window by window.
 HOT = 1024
 #: Bytes of surroundings that one transform takes; an anchor string has at most HOT * 2 * LEAST of them.
-BATCH_BYTES = 7 << 18
+BATCH_BYTES = 1 << 20
 #: Keys of so many documents, 8 bytes each, may be sent to all executors; beyond it they are joined by a shuffle.
 SENT_KEYS = 1 << 20
 
@@ -236,7 +236,7 @@ def anchor_rows(docs, least=LEAST, gram=GRAM):
     def run(batches):
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for low, high in shared.slices(texts):
+            for low, high in shared.slices(texts, 1 << 19):
                 text, start, size, anchor, around = anchors(encoded(texts[low:high]), least, gram)
                 if not len(text):
                     continue

@@ -28,7 +28,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run shorter than 24 is no match, so the
 KINDS = ("assign", "access", "hex")
 WORDS_OF_ASSIGN = ("passw", "secret", "token", "api")
 
-TRAIN_DOCS, WINDOW, EPOCHS = 3000, 12, 60
+TRAIN_DOCS, WINDOW, EPOCHS = 800, 12, 50
 TOKEN = re.compile(r"\w+|[^\w\s]|\n")
 SELF, NEAR = 256, 512
 TAGS = 3  # O, B, I
@@ -148,40 +148,49 @@ def windows(text):
 
 
 def fit(examples, epochs=EPOCHS, rate=0.1, l2=1e-3):
-    """(emission weights ROWS x 3, tag pairs 3 x 3) that maximise the likelihood, by Adam on all windows."""
+    """(emission weights ROWS x 3, tag pairs 3 x 3) that maximise the likelihood, by Adam on all windows.
+
+    Chances forward and backward along the windows are scaled to one at each token; memory goes with the number of tokens.
+    """
     examples = [x for x in examples if x[0]]
     n, steps = len(examples), 2 * WINDOW + 1
     features = [token_rows(tokens, cls) for tokens, _, cls in examples]
     widest = max(len(r) for rows in features for r in rows)
-    ids = np.full((n, steps, widest), ROWS, dtype=np.int64)
-    tags, mask = np.zeros((n, steps), dtype=np.int64), np.zeros((n, steps))
+    ids = np.full((widest, n, steps), ROWS, dtype=np.int32)
+    tags, mask = np.zeros((n, steps), dtype=np.int64), np.zeros((n, steps), dtype=bool)
     for k, (rows, (_, tag, _)) in enumerate(zip(features, examples, strict=True)):
         for t, row in enumerate(rows):
-            ids[k, t, : len(row)] = row
+            ids[: len(row), k, t] = row
         tags[k, : len(tag)] = tag
-        mask[k, : len(tag)] = 1
+        mask[k, : len(tag)] = True
     weights, pairs = np.zeros((ROWS + 1, TAGS)), np.zeros((TAGS, TAGS))
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(pairs), np.zeros_like(pairs)]
     gold = np.eye(TAGS)[tags] * mask[..., None]
-    both = mask[:, 1:] * mask[:, :-1]
+    both = (mask[:, 1:] & mask[:, :-1]).astype(float)
     gold_pairs = np.einsum("nta,ntb,nt->ab", gold[:, :-1], gold[:, 1:], both)
     for epoch in range(1, epochs + 1):
-        emission = weights[ids].sum(axis=2) * mask[..., None]
-        forward, backward = np.zeros((n, steps, TAGS)), np.zeros((n, steps, TAGS))
-        forward[:, 0] = emission[:, 0]
-        for t in range(1, steps):
-            step = np.logaddexp.reduce(forward[:, t - 1, :, None] + pairs, axis=1) + emission[:, t]
-            forward[:, t] = np.where(mask[:, t, None] > 0, step, forward[:, t - 1])
+        emission = np.zeros((n, steps, TAGS))
+        for k in range(widest):
+            emission += weights[ids[k]]
+        local = np.exp(emission - emission.max(axis=2, keepdims=True))
+        step, forward, backward, scale = np.exp(pairs), np.zeros((n, steps, TAGS)), np.ones((n, steps, TAGS)), np.ones((n, steps))
+        for t in range(steps):
+            here = local[:, t] if t == 0 else (forward[:, t - 1] @ step) * local[:, t]
+            live = mask[:, t]
+            scale[live, t] = here[live].sum(axis=1)
+            forward[:, t] = np.where(live[:, None], here / scale[:, t, None], forward[:, t - 1] if t else 1 / TAGS)
         for t in range(steps - 2, -1, -1):
-            step = np.logaddexp.reduce(pairs + (emission[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
-            backward[:, t] = np.where(mask[:, t + 1, None] > 0, step, 0)
-        total = np.logaddexp.reduce(forward[:, -1], axis=1)
-        unary = np.exp(forward + backward - total[:, None, None]) * mask[..., None]
-        joint = forward[:, :-1, :, None] + pairs + (emission[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        pair_gradient = gold_pairs - (np.exp(np.minimum(joint, 0)) * both[..., None, None]).sum(axis=(0, 1))
-        gap = np.repeat((gold - unary).reshape(-1, TAGS), widest, axis=0)
-        flat = ids.reshape(-1)
-        gradient = np.stack([np.bincount(flat, weights=gap[:, k], minlength=ROWS + 1) for k in range(TAGS)], axis=1)
+            there = ((local[:, t + 1] * backward[:, t + 1]) @ step.T) / scale[:, t + 1, None]
+            backward[:, t] = np.where(mask[:, t + 1, None], there, 1.0)
+        unary = forward * backward
+        unary *= mask[..., None] / unary.sum(axis=2, keepdims=True)
+        right = local[:, 1:] * backward[:, 1:] * (both / scale[:, 1:])[..., None]
+        pair_gradient = gold_pairs - np.einsum("nta,ab,ntb->ab", forward[:, :-1], step, right)
+        gap, gradient = (gold - unary).reshape(-1, TAGS), np.zeros((ROWS + 1, TAGS))
+        for k in range(widest):
+            flat = ids[k].reshape(-1)
+            for tag in range(TAGS):
+                gradient[:, tag] += np.bincount(flat, weights=gap[:, tag], minlength=ROWS + 1)
         for k, (value, grad) in enumerate(((weights, gradient / n), (pairs, pair_gradient / n))):
             grad = grad - l2 * value
             moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * grad
@@ -221,24 +230,48 @@ def margin(rows):
 
 
 class Types(dict):
-    """Token -> its number; `sure[number]` bounds from below how far O leads at such a token, whatever its neighbours."""
+    """Token -> its number, with the lead of O from its own features and the rows it gives its neighbours.
+
+    Leads add up to a bound: O's lead in a sum is at least the sum of its leads.
+    """
 
     def __init__(self, weights, keep=200_000):
-        self.weights, self.keep = weights, keep
-        self.sure = np.zeros(keep + 1, dtype=np.float32)
-        near = margin(weights[SELF : SELF + NEAR * len(PLACES)].reshape(len(PLACES), NEAR, TAGS))
-        self.least = float(np.minimum(near.min(axis=1) + np.minimum(near[:, 0], near[:, 1]), 0).sum() + margin(weights[-4:]).min())
-        self.shapes = {}
+        self.weights, self.keep, self.shapes = weights, keep, {}
+        self.own = np.zeros(keep + 1, dtype=np.float32)
+        self.row, self.digit = np.zeros(keep + 1, dtype=np.int16), np.zeros(keep + 1, dtype=np.int8)
+        self.near = margin(weights[SELF : SELF + NEAR * len(PLACES)].reshape(len(PLACES), NEAR, TAGS))
+        self.of_text = margin(weights[-4:])
 
     def __missing__(self, token):
         k, key = len(self), shape_of(token)
         if key not in self.shapes:
             self.shapes[key] = self.weights[shape_rows(*key)].sum(axis=0)
         o, b, i = (self.shapes[key] + self.weights[row_of(f"w{token.lower()}" if len(token) < 16 and not key[1][0] else "w", SELF)]).tolist()
-        self.sure[k] = o - max(b, i) + self.least
+        self.own[k] = o - max(b, i)
+        self.row[k], self.digit[k] = near_features(token)
         self[token] = k
         return k
 
+    def doubtful(self, numbers, text_class, slack):
+        """Places whose token O does not lead for certain by more than `slack`."""
+        n = len(numbers)
+        least = self.near.min(axis=1) + np.minimum(self.near[:, 0], self.near[:, 1])
+        lead = self.own[numbers] + self.of_text[text_class]
+        places = np.flatnonzero(lead + np.minimum(least, 0).sum() <= slack)
+        total = lead[places]
+        for j, place in enumerate(PLACES):
+            at = places + place
+            beside = numbers[np.clip(at, 0, n - 1)]
+            total += np.where((at >= 0) & (at < n), self.near[j][self.row[beside]] + self.near[j][self.digit[beside]], 0)
+        return places[total <= slack]
+
+
+def slack_of(pairs):
+    """What B or I can at most gain over O from the pairs on both sides of a token."""
+    into = np.maximum((pairs[:, 1:] - pairs[:, :1]).max(axis=0), 0)
+    out_of = np.maximum((pairs[1:] - pairs[:1]).max(axis=1), 0)
+    return float((into + out_of).max())
+
 
 @functools.lru_cache(maxsize=1)
 def types_of(key, model):
@@ -285,11 +318,10 @@ def decode(text, types, pairs):
         if len(tokens) > types.keep:
             types = Types(types.weights, keep=len(tokens))
     numbers = np.fromiter(map(types.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-    slack = 2 * float(pairs.max() - pairs.min())
-    doubtful = np.flatnonzero(types.sure[numbers] <= slack)
+    text_class, slack = file_class(text), slack_of(pairs) + 1e-3
+    doubtful = types.doubtful(numbers, text_class, slack)
     if not len(doubtful):
         return []
-    text_class = file_class(text)
     scores = {k: emission(tokens, k, types.weights, text_class) for k in doubtful.tolist()}
     open_ = [k for k, row in scores.items() if margin(row) <= slack]
     found, first = [], 0

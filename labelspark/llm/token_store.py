@@ -151,7 +151,7 @@ def read_store(spark, folder):
     found = spark.read.parquet(f"{folder}/dictionary").first()
     sent = spark.sparkContext.broadcast(bytes(found["dictionary"]))
     files = spark.read.parquet(f"{folder}/files")
-    places = part_places(files)
+    places, _ = part_places(files)
     out = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
     def read(columns):

@@ -75,7 +75,7 @@ def test_languages(spark):
         return " ".join("".join(rng.choice(tongues[lang]) for _ in range(rng.randint(1, 5))) for _ in range(60))
 
     rows = [(k, text(lang), lang) for k, lang in enumerate(["aa", "bb", "cc"] * 60)]
-    rows += [(900, None, "aa"), (901, "", "bb"), (902, "12 + 3!", "cc"), (903, text("aa"), None), (None, text("bb"), "bb"), (904, text("cc") * 40, None)]
+    rows += [(900, None, "aa"), (901, "", "bb"), (902, "12 + \u0301 3!", "cc"), (903, text("aa"), None), (None, text("bb"), "bb"), (904, text("cc") * 40, None)]
     docs = frame(spark, rows)
     got = language_id.predict(docs, language_id.train(docs)).toPandas()
     by = {r.doc_id: r for r in got.itertuples()}

@@ -60,11 +60,13 @@ def test_matches_all_pairs(spark):
 
 @pytest.mark.parametrize("small", [24, 2])
 def test_families_need_pairs_beyond_the_hub(spark, monkeypatch, small):
-    """With small buckets set to two members, every bucket goes through the blocks."""
+    """With two members to a small bucket every bucket has several hubs; without hubs all is left to the blocks."""
     import random
 
     monkeypatch.setattr(near, "SMALL_BUCKET", small)
     monkeypatch.setattr(near, "BLOCK", 5)
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 700)
+    monkeypatch.setattr(near, "HUBS", ((1,),) if small == 2 else near.HUBS)
     monkeypatch.setattr(near, "CHUNK", 3)
     rng = random.Random(9)
     texts = [t for _ in range(4) for t in family(rng, 25, 100)] + ["few words", "Few Words", "few words x"]

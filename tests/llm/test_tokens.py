@@ -52,6 +52,9 @@ def test_packing_cuts_one_stream(spark, tokenizer, window):
     for _, part in filled:
         assert part.offset.tolist() == [0, *np.cumsum(part.length)[:-1]]
     sizes = filled.length.sum()
+    left = int(sizes.iloc[-1])
+    padding = filled.padding.max()
+    assert (padding.iloc[:-1] == 0).all() and padding.iloc[-1] == (0 if left & (left - 1) == 0 else window - left)
     assert (sizes.iloc[:-1] == window).all() and sizes.index.tolist() == list(range(len(sizes)))
 
 
