@@ -114,13 +114,13 @@ def row_index(df, id_col, name="row_index", chunk=CHUNK):
     )
 
 
-def _levels(totals, chunk, fan):
-    """How many times chunk numbers are divided by `fan` until all of them are one: what the range of the ids asks for."""
+def _range(totals, chunk, fan):
+    """(lowest chunk, how often numbers counted from it are divided by `fan` until all are zero)"""
     low, high = totals.agg(F.min(chunk), F.max(chunk)).first()
-    n = 0
-    while low is not None and low != high:
-        low, high, n = low // fan, high // fan, n + 1
-    return n
+    span, n = (high - low if low is not None else 0), 0
+    while span:
+        span, n = span // fan, n + 1
+    return low or 0, n
 
 
 def _level(column, fan, n):
@@ -131,16 +131,18 @@ def _level(column, fan, n):
 def running_offsets(totals, groups, chunk, value, fan=1024):
     """Sum of `value` over all earlier chunks of the group.
 
-    Chunks are summed in levels, `fan` of one level to one of the next, as many levels as their numbers need: a window never
+    Chunks are summed in levels, `fan` of one level to one of the next, as many levels as their range needs: a window never
     has more than `fan` rows, however sparse the numbers are.
     """
     totals = written(totals.select(*groups, chunk, F.col(value).alias("_v0")), "totals")
-    found, below = totals.withColumn("_before", F.lit(0).cast("bigint")), totals.select(*groups, F.col(chunk).alias("_c0"), "_v0")
-    for n in range(_levels(totals, chunk, fan)):
+    low, levels = _range(totals, chunk, fan)
+    totals = totals.withColumn("_c0", F.col(chunk) - F.lit(low))
+    found, below = totals.withColumn("_before", F.lit(0).cast("bigint")), totals.select(*groups, "_c0", "_v0")
+    for n in range(levels):
         above = below.withColumn("_up", _level("_c0", fan, 1))
         earlier = F.sum("_v0").over(W.partitionBy(*groups, "_up").orderBy("_c0")) - F.col("_v0")
         part = above.select(*groups, F.col("_c0").alias("_at"), earlier.alias("_part"))
-        found = found.withColumn("_at", _level(chunk, fan, n)).join(part, [*groups, "_at"]).withColumn("_before", F.col("_before") + F.col("_part"))
+        found = found.withColumn("_at", _level("_c0", fan, n)).join(part, [*groups, "_at"]).withColumn("_before", F.col("_before") + F.col("_part"))
         found = found.drop("_at", "_part")
         below = above.groupBy(*groups, F.col("_up").alias("_c0")).agg(F.sum("_v0").alias("_v0"))
     return found.select(*groups, chunk, "_before")
@@ -149,24 +151,26 @@ def running_offsets(totals, groups, chunk, value, fan=1024):
 def last_before(ends, groups, chunk, columns, fan=1024):
     """(groups, chunk, _v_<column>): the last non-null cell `_e_<column>` of earlier chunks, in the same levels."""
     ends = written(ends, "ends")
-    found = ends.select(*groups, chunk, *[F.lit(None).cast(ends.schema[f"_e_{c}"].dataType).alias(f"_v_{c}") for c in columns])
-    below = ends.withColumnRenamed(chunk, "_c0")
-    for n in range(_levels(ends, chunk, fan)):
+    low, levels = _range(ends, chunk, fan)
+    ends = ends.withColumn("_c0", F.col(chunk) - F.lit(low))
+    found = ends.select(*groups, chunk, "_c0", *[F.lit(None).cast(ends.schema[f"_e_{c}"].dataType).alias(f"_v_{c}") for c in columns])
+    below = ends.drop(chunk)
+    for n in range(levels):
         above = below.withColumn("_up", _level("_c0", fan, 1))
         earlier = W.partitionBy(*groups, "_up").orderBy("_c0").rowsBetween(W.unboundedPreceding, -1)
         part = above.select(*groups, F.col("_c0").alias("_at"), *[F.last(f"_e_{c}", ignorenulls=True).over(earlier).alias(f"_p_{c}") for c in columns])
-        found = found.withColumn("_at", _level(chunk, fan, n)).join(part, [*groups, "_at"])
+        found = found.withColumn("_at", _level("_c0", fan, n)).join(part, [*groups, "_at"])
         # a nearer level wins over a farther one
-        found = found.select(*groups, chunk, *[F.coalesce(f"_v_{c}", f"_p_{c}").alias(f"_v_{c}") for c in columns])
+        found = found.select(*groups, chunk, "_c0", *[F.coalesce(f"_v_{c}", f"_p_{c}").alias(f"_v_{c}") for c in columns])
         below = above.groupBy(*groups, F.col("_up").alias("_c0")).agg(
             *[F.max_by(f"_e_{c}", F.when(F.col(f"_e_{c}").isNotNull(), F.col("_c0"))).alias(f"_e_{c}") for c in columns]
         )
-    return found
+    return found.drop("_c0")
 
 
 def running_sum(df, groups, position, value, name, chunk=CHUNK):
     """Inclusive running sum of an integer column along `position`, chunk by chunk."""
-    chunked = df.withColumn("_c", chunk_of(position, chunk))
+    chunked = df.withColumn("_c", _level(position, chunk, 1))
     totals = chunked.groupBy(*groups, "_c").agg(F.sum(value).alias("_n"))
     offsets = running_offsets(totals, groups, "_c", "_n")
     inside = F.sum(value).over(W.partitionBy(*groups, "_c").orderBy(position))
@@ -179,7 +183,7 @@ def running_sum(df, groups, position, value, name, chunk=CHUNK):
 
 def fill_down(df, groups, position, columns, chunk=CHUNK):
     """Null cells take the last value above them; the carry between chunks travels in a small table."""
-    chunked = df.withColumn("_c", chunk_of(position, chunk))
+    chunked = df.withColumn("_c", _level(position, chunk, 1))
     inside = W.partitionBy(*groups, "_c").orderBy(position)
     ends = chunked.groupBy(*groups, "_c").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(position))).alias(f"_e_{c}") for c in columns]
