@@ -50,6 +50,11 @@ NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
 LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st", "\u0132": "IJ", "\u0133": "ij"}
 LINE_BREAK = "\\r\\n|[\\r\\x{85}\\x{2028}\\x{2029}]"
 CONTROLS = "[\\x00-\\x08\\x0b\\x0e-\\x1b\\x7f\\x{feff}\\x{206a}-\\x{206f}\\x{fff9}-\\x{fffc}]"
+# What the texts are searched for before any of these is replaced.
+SPECIAL = (
+    "[\\x00-\\x08\\x0b\\x0d-\\x1b\\x7f\\x{85}\\x{132}\\x{133}\\x{2018}-\\x{201f}\\x{2028}\\x{2029}\\x{206a}-\\x{206f}"
+    "\\x{3000}\\x{fb00}-\\x{fb06}\\x{feff}-\\x{ff5e}\\x{fff9}-\\x{fffc}]"
+)
 
 EDGE_CHARS = string.punctuation + string.whitespace
 CUT = "\ufdd0"  # a code point that is never a character
@@ -92,11 +97,11 @@ def unescape_entities(c):
 
 def plain_characters(c):
     """Curly quotes, ligatures, full-width letters, line breaks and control codes in their plain form."""
-    c = F.translate(c, CURLED + WIDE, UNCURLED + NARROW)
+    plain = F.translate(c, CURLED + WIDE, UNCURLED + NARROW)
     for ligature, letters in LIGATURES.items():
-        c = F.replace(c, F.lit(ligature), F.lit(letters))
-    c = F.regexp_replace(c, LINE_BREAK, "\n")
-    return F.regexp_replace(c, CONTROLS, "")
+        plain = F.replace(plain, F.lit(ligature), F.lit(letters))
+    plain = F.regexp_replace(F.regexp_replace(plain, LINE_BREAK, "\n"), CONTROLS, "")
+    return F.when(c.rlike(SPECIAL), plain).otherwise(c)
 
 
 def repair_text(c):

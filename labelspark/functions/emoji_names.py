@@ -69,4 +69,5 @@ def emoji_sequence():
     """Java pattern of one emoji: a flag, a keycap, or emoji with tones and variation selectors, joined or alone."""
     one = f"[{emoji_class()}]\\x{{FE0F}}?[\\x{{1F3FB}}-\\x{{1F3FF}}]?"
     flag = "[\\x{1F1E6}-\\x{1F1FF}]{2}"
-    return f"{flag}|[0-9#*]\\x{{FE0F}}?\\x{{20E3}}|{one}(?:\\x{{200D}}{one})*"
+    # a look at a few wide ranges first: most characters are none of them
+    return f"(?=[0-9#*\\xA9\\xAE\\x{{203C}}-\\x{{3299}}\\x{{1F004}}-\\x{{1FAFF}}])(?:{flag}|[0-9#*]\\x{{FE0F}}?\\x{{20E3}}|{one}(?:\\x{{200D}}{one})*)"
