@@ -28,10 +28,10 @@ def ship(spark):
     context._labelspark_shipped = True
 
 
-def stored(df, name):
+def stored(df, name, compression="zstd"):
     """The same rows, from Parquet in the shared folder: a lost executor costs no earlier work."""
     path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
