@@ -36,7 +36,7 @@ def token_stream(docs, path, end_id, id_col="doc_id", text_col="text"):
         part, before = TaskContext.get().partitionId(), 0
         coder = pieces(path)
         end = np.array([end_id], dtype=coder.dtype).tobytes()
-        for batch in batches:
+        for batch in shared.parts(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in shared.slices(texts):
                 coded = [x + end for x in coder.encode(texts[a:b])]

@@ -49,7 +49,7 @@ def shape(word):
 class Codes(dict):
     """word -> shape bucket, word bucket and length; forgotten as a whole beyond `keep`."""
 
-    def __init__(self, keep=400_000):
+    def __init__(self, keep=250_000):
         self.keep = keep
 
     def __missing__(self, word):

@@ -234,7 +234,7 @@ def anchor_rows(docs, least=LEAST, gram=GRAM):
     fields = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("around", pa.int64()), ("size", pa.int32()), ("starts", pa.list_(pa.int32()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in shared.parts(batches):
             keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for low, high in shared.slices(texts, 1 << 19):
                 text, start, size, anchor, around = anchors(encoded(texts[low:high]), least, gram)

@@ -39,6 +39,13 @@ def text_or_empty(col="text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def parts(batches, rows=2048):
+    """Record batches cut to `rows` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def per_batch(function, schema):
     """`mapInArrow` argument: `function(columns as Python lists) -> columns as lists or arrays`, batch by batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -47,12 +54,9 @@ def per_batch(function, schema):
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                got = function({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(got[f.name], type=f.type, from_pandas=False) for f in fields], schema=fields
-                )
+        for batch in parts(batches):
+            got = function({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type, from_pandas=False) for f in fields], schema=fields)
 
     return run
 

@@ -121,7 +121,7 @@ def write_store(docs, folder, path=None, end_id=2, level=3, file_ids=FILE_IDS, i
             columns = [pa.array([x], pa.int64()) for x in (part, before, len(ids), held)]
             return pa.RecordBatch.from_arrays([*columns, pa.array([data], pa.binary())], schema=fields)
 
-        for batch in batches:
+        for batch in shared.parts(batches):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in shared.slices(texts):
                 for key, coded in zip(keys[a:b], coder.encode(texts[a:b]), strict=True):
