@@ -49,7 +49,7 @@ def shape(word):
 class Codes(dict):
     """word -> shape bucket, word bucket and length; forgotten as a whole beyond `keep`."""
 
-    def __init__(self, keep=250_000):
+    def __init__(self, keep=120_000):
         self.keep = keep
 
     def __missing__(self, word):
@@ -163,7 +163,7 @@ def score(docs, model, folds=5, held_out=0, threshold=0.3, id_col="doc_id", text
 
     def run(columns):
         got = []
-        for a, b in shared.slices(columns["text"], 1 << 22):
+        for a, b in shared.slices(columns["text"], 1 << 20):
             x = features(columns["text"][a:b]).astype(np.float64)
             z = np.full(len(x), np.log(prior / (1 - prior))) if weights is None else x @ weights[:-1] + weights[-1]
             got.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))

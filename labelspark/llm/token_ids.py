@@ -63,7 +63,7 @@ class Pieces:
     gives the ids of a piece.
     """
 
-    def __init__(self, path, keep=250_000):
+    def __init__(self, path, keep=120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
