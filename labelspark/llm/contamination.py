@@ -6,6 +6,10 @@ the benchmark, so a question is found again after its numbers or names were chan
 of document and item, a value of the item must always have become the same value of the document. Alignments that break this are
 dropped. A document is contaminated by an item if the windows left cover at least `cover` of the item's tokens.
 
+Names show by letter case, so a passage in another case has another template. A second route therefore folds the case of documents and items before
+numbers and units are marked, and takes names as words; it adds the pairs that templates do not find. A pair that templates found and dropped for its
+slots is only added if one alignment covers the whole item.
+
 An item shorter than the window is one window of its own length. Null or empty texts have no token and match nothing. Documents with equal ids are
 one document here. Rows with null ids are reported under a null id, their slots unchecked; `drop_contaminated` keeps such rows. Empty tables give no
 row. Columns besides ids and texts are not read.
@@ -29,17 +33,19 @@ U, N, P, END = "\x01", "\x02", "\x03", "\x04"
 TOKEN = r"[\x01\x02\x03][^\x04]*\x04|[\p{L}\p{Nd}]+"
 
 
-def marked(text):
-    """The text with its slot values between marks."""
+def marked(text, names=True):
+    """The text with its slot values between marks; without `names` its case is folded first and names stay words."""
     plain = F.regexp_replace(text, r"[\x01-\x04]", " ")
+    if not names:
+        plain = F.lower(F.upper(plain))
     units = F.regexp_replace(plain, UNIT, f"$1 {U}$2{END}$3")
     numbers = F.regexp_replace(units, NUMBER, f"{N}$1{END}")
-    return F.lower(F.regexp_replace(numbers, NAME, f"$1{P}$2{END}"))
+    return F.lower(F.regexp_replace(numbers, NAME, f"$1{P}$2{END}")) if names else numbers
 
 
-def template_tokens(text):
+def template_tokens(text, names=True):
     """Words and placeholders: a placeholder is its mark alone."""
-    bare = F.regexp_replace(marked(text), r"([\x01\x02\x03])[^\x04]*\x04", "$1 ")
+    bare = F.regexp_replace(marked(text, names), r"([\x01\x02\x03])[^\x04]*\x04", "$1 ")
     return F.regexp_extract_all(bare, F.lit(r"[\x01\x02\x03]|[\p{L}\p{Nd}]+"), F.lit(0))
 
 
@@ -55,9 +61,9 @@ def window_hashes(tokens, size):
     return bound[0]
 
 
-def item_windows(items, window):
+def item_windows(items, window, names=True):
     """(hash, size, item_id, item_pos, n_tokens)"""
-    tokens = items.withColumn("tokens", template_tokens(F.col("text"))).where(F.size("tokens") > 0)
+    tokens = items.withColumn("tokens", template_tokens(F.col("text"), names)).where(F.size("tokens") > 0)
     out = None
     for size in range(1, window + 1):
         fits = F.size("tokens") >= window if size == window else F.size("tokens") == size
@@ -67,40 +73,34 @@ def item_windows(items, window):
     return out
 
 
-def slots(rows, id_col):
+def slots(rows, id_col, names=True):
     """(id, pos, value): the slot values of texts at their token positions."""
-    tokens = F.regexp_extract_all(marked(F.col("text")), F.lit(TOKEN), F.lit(0))
+    tokens = F.regexp_extract_all(marked(F.col("text"), names), F.lit(TOKEN), F.lit(0))
     return rows.select(id_col, F.posexplode(tokens).alias("pos", "value")).where(F.ascii("value") < 4)
 
 
-def leaks(docs, items, window=WINDOW, cover=COVER, id_col="doc_id", text_col="text", item_col="item_id", item_text="text"):
-    """(doc_id, item_id, n_windows, covered, exact_slots) of every contaminated document and its items.
-
-    `covered`: share of the item's tokens under matching windows; `exact_slots`: no slot value was changed.
-    """
-    docs = docs.select(F.col(id_col).alias("doc_id"), shared.text_or_empty(text_col).alias("text"))
-    items = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), shared.text_or_empty(item_text).alias("text"))
-    wanted = shared.stored(item_windows(items, window), "item-windows")
+def alignments(docs, items, window, names=True):
+    """(doc_id, item_id, shift, n_tokens, size, starts, consistent, same) of every alignment with a matching window; None if no item has a token."""
+    wanted = shared.stored(item_windows(items, window, names), "item-windows")
     sizes = [r["size"] for r in wanted.select("size").distinct().collect()]  # eight numbers at most
     small = wanted.count() <= SENT_WINDOWS
-    rows = docs.withColumn("tokens", template_tokens(F.col("text")))
+    rows = docs.withColumn("tokens", template_tokens(F.col("text"), names))
     found = None
     for size in sorted(sizes):
         here = rows.select("doc_id", F.posexplode(window_hashes(F.col("tokens"), size)).alias("doc_pos", "hash"))
         there = wanted.where(F.col("size") == size)
         part = here.join(F.broadcast(there) if small else there, "hash")
         found = part if found is None else found.unionByName(part)
-    schema = "doc_id bigint, item_id bigint, n_windows bigint, covered double, exact_slots boolean"
     if found is None:
-        return docs.sparkSession.createDataFrame([], schema)
+        return None
     matches = shared.stored(
         found.select("doc_id", "item_id", "size", "n_tokens", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift")), "template-matches"
     )
     # An alignment has at most as many window starts as its item has tokens.
     aligned = matches.groupBy("doc_id", "item_id", "shift", "n_tokens", "size").agg(F.collect_set("item_pos").alias("starts"))
     hit = matches.select("doc_id").distinct()
-    doc_slots = slots(docs.join(hit, "doc_id", "left_semi"), "doc_id").distinct()
-    item_slots = slots(items, "item_id")
+    doc_slots = slots(docs.join(hit, "doc_id", "left_semi"), "doc_id", names).distinct()
+    item_slots = slots(items, "item_id", names)
     under = matches.join(item_slots, "item_id").where((F.col("pos") >= F.col("item_pos")) & (F.col("pos") < F.col("item_pos") + F.col("size")))
     pairs = under.select("doc_id", "item_id", "shift", F.col("value").alias("asked"), (F.col("pos") + F.col("shift")).alias("pos")).distinct()
     pairs = pairs.join(doc_slots, ["doc_id", "pos"])
@@ -109,20 +109,52 @@ def leaks(docs, items, window=WINDOW, cover=COVER, id_col="doc_id", text_col="te
         F.bool_and(F.col("low") == F.col("high")).alias("consistent"), F.bool_and((F.col("low") == F.col("asked")) & (F.col("high") == F.col("asked"))).alias("same")
     )
     keys = [aligned[c].eqNullSafe(verdict[c]) for c in ("doc_id", "item_id", "shift")]
-    kept = aligned.join(verdict, keys, "left").where(F.coalesce("consistent", F.lit(True)))
-    covered = F.explode(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("size") - 1)))))
-    tokens = kept.select(
-        aligned["doc_id"], aligned["item_id"], "n_tokens", covered.alias("token"), F.size("starts").alias("n"), aligned["shift"], F.coalesce("same", F.lit(True)).alias("same")
+    return aligned.join(verdict, keys, "left").select(
+        *(aligned[c] for c in aligned.columns), F.coalesce("consistent", F.lit(True)).alias("consistent"), F.coalesce("same", F.lit(True)).alias("same")
     )
-    per_shift = tokens.groupBy("doc_id", "item_id", "n_tokens", "token").agg(F.bool_or("same").alias("same"))
-    starts = kept.select(aligned["doc_id"], aligned["item_id"], F.size("starts").alias("n")).groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"))
-    total = per_shift.groupBy("doc_id", "item_id", "n_tokens").agg(F.count("*").alias("n_covered"), F.bool_and("same").alias("exact_slots"))
-    both = total.join(starts, [total["doc_id"].eqNullSafe(starts["doc_id"]), total["item_id"] == starts["item_id"]])
+
+
+def covering(aligned, cover):
+    """(doc_id, item_id, consistent, n_windows, covered, exact_slots, whole) of the pairs whose alignments, consistent or not, cover enough.
+
+    `whole`: one alignment covers the item.
+    """
+    token = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("size") - 1))))
+    aligned = shared.stored(aligned.withColumn("tokens", token), "alignments")
+    pair = ["doc_id", "item_id", "consistent"]
+    tokens = aligned.select(*pair, "n_tokens", F.explode("tokens").alias("token"), "same")
+    per_shift = tokens.groupBy(*pair, "n_tokens", "token").agg(F.bool_or("same").alias("same"))
+    total = per_shift.groupBy(*pair, "n_tokens").agg(F.count("*").alias("n_covered"), F.bool_and("same").alias("exact_slots"))
+    starts = aligned.groupBy(*pair).agg(F.sum(F.size("starts")).alias("n_windows"), F.bool_or(F.size("tokens") == F.col("n_tokens")).alias("whole"))
+    both = total.join(starts, [total[c].eqNullSafe(starts[c]) for c in pair])
     return both.where(F.col("n_covered") >= cover * F.col("n_tokens")).select(
-        total["doc_id"], total["item_id"], "n_windows", (F.col("n_covered") / F.col("n_tokens")).alias("covered"), "exact_slots"
+        *(total[c] for c in pair), "n_windows", (F.col("n_covered") / F.col("n_tokens")).alias("covered"), "exact_slots", "whole"
     )
 
 
+def leaks(docs, items, window=WINDOW, cover=COVER, id_col="doc_id", text_col="text", item_col="item_id", item_text="text"):
+    """(doc_id, item_id, n_windows, covered, exact_slots) of every contaminated document and its items.
+
+    `covered`: share of the item's tokens under matching windows; `exact_slots`: no slot value was changed.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), shared.text_or_empty(text_col).alias("text"))
+    items = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), shared.text_or_empty(item_text).alias("text"))
+    found = None
+    for names in (True, False):
+        aligned = alignments(docs, items, window, names)
+        if aligned is None:
+            return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, n_windows bigint, covered double, exact_slots boolean")
+        part = covering(aligned, cover).withColumn("names", F.lit(names))
+        found = part if found is None else found.unionByName(part)
+    best = lambda kind: F.max(F.when(kind, F.struct("n_windows", "covered", "exact_slots", "whole")))
+    by_pair = found.groupBy("doc_id", "item_id").agg(
+        best(F.expr("names and consistent")).alias("template"), F.bool_or(F.expr("names and not consistent")).alias("rejected"),
+        best(F.expr("not names and consistent")).alias("folded"),
+    )
+    by_pair = by_pair.withColumn("hit", F.coalesce("template", F.when(~F.col("rejected") | F.col("folded.whole"), F.col("folded"))))
+    return by_pair.where(F.col("hit").isNotNull()).select("doc_id", "item_id", "hit.n_windows", "hit.covered", "hit.exact_slots")
+
+
 def drop_contaminated(docs, items, **options):
     """The rows of `docs` without a leak, all columns."""
     id_col = options.get("id_col", "doc_id")

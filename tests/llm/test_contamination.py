@@ -35,7 +35,7 @@ def test_copies_and_changed_slots(spark):
     found = pairs(contamination.leaks(frame(spark, rows), items(spark, [(9, QUESTION), (10, None), (None, QUESTION), (11, "")])))
     assert found[(1, 9)] is True and found[(2, 9)] is False
     assert (3, 9) not in found and (4, 9) not in found and (5, 9) not in found
-    assert (None, 9) in found
+    assert (None, 9) in found and found[(8, 9)] is True
     kept = contamination.drop_contaminated(frame(spark, rows), items(spark, [(9, QUESTION)]))
     assert {1, 2}.isdisjoint(r["doc_id"] for r in kept.collect())
     assert {None, 3, 4, 5, 6, 7} <= {r["doc_id"] for r in kept.collect()}
@@ -57,3 +57,22 @@ def test_windows_joined_without_sending(spark, monkeypatch):
     monkeypatch.setattr(contamination, "SENT_WINDOWS", 0)
     found = contamination.leaks(frame(spark, [(1, "Well. " + QUESTION)]), items(spark, [(9, QUESTION)]))
     assert pairs(found) == {(1, 9): True}
+
+
+def test_passages_in_another_case(spark):
+    rng = random.Random(2)
+    named = "tell Anna Berg that Tom Hill and Eva Stone met Ida Moor near Bonn and saw Ulm"
+    changed = QUESTION.replace("60", "75").replace("12", "9")
+    mixed_up = QUESTION.replace("60 km", "75 km").replace("12", "9").replace("Anna Berg walks", "Tom walks")
+    rows = [
+        (1, prose(rng, 20) + ". " + QUESTION.upper() + ". " + prose(rng, 20)),
+        (2, QUESTION.title()),
+        (3, prose(rng, 20) + ". " + QUESTION.lower()),
+        (4, changed.upper()),
+        (5, named.upper() + " " + prose(rng, 3)),
+        (6, mixed_up),
+        (7, mixed_up + ". " + QUESTION.upper()),
+        (8, prose(rng, 60).upper()),
+    ]
+    found = pairs(contamination.leaks(frame(spark, rows), items(spark, [(9, QUESTION), (10, named)])))
+    assert found == {(1, 9): True, (2, 9): True, (3, 9): True, (4, 9): False, (5, 10): True, (7, 9): True}
