@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from fixtures import corpus, edge_rows, frame, prose
-from labelspark.llm import language_id, mixing, quality, secrets
+from labelspark.llm import language_id, mixing, quality, secrets, shared
 
 FOLD = lambda doc, n: zlib.crc32(str(doc).encode()) % n
 
@@ -257,3 +257,24 @@ def test_adapting_never_adds_probability():
                 unit = np.array([a, b, c])
                 total += 2.0 ** mixing.adapted(lengths[unit], unit, np.array([0, 3]))[0]
     assert 0.9 < total <= 1 + 1e-9
+
+
+def test_tables_grow_with_contexts(spark):
+    shared.ship(spark)
+    vocab = spark.range(0, 200_000, 1, 4).selectExpr("unhex(substr(sha2(string(id), 256), 1, 24)) as unit", "id % 5 + 1 as n")
+    units, n = (list(x) for x in zip(*((bytes(r["unit"]), r["n"]) for r in vocab.collect()), strict=True))
+    symbols, _, _, _, hashes = mixing.contexts(units)
+    exact = [len(set(zip(h.tolist(), symbols.tolist(), strict=True))) for h in hashes]
+    sizes = mixing.table_bits(vocab)
+    assert mixing.table_bits(vocab.limit(100)) == mixing.TABLE_BITS
+    assert sizes[-1] > mixing.TABLE_BITS[-1]
+    for bits, pairs in zip(sizes, exact, strict=True):
+        assert 2**bits > 1.8 * pairs
+    counts = mixing.symbol_counts(vocab)
+    tables = mixing.context_tables(vocab, counts, sizes)
+    assert mixing.bits_of(tables) == sizes
+    slots, bits, first, _ = mixing.decisions(units, mixing.code_of(counts), sizes)
+    weight = np.repeat(np.array(n), np.diff(np.append(first, len(bits))))
+    for k, width in enumerate(sizes):
+        sums = np.bincount(slots[k] * 2 + bits, weights=weight, minlength=2 << width).reshape(-1, 2)
+        assert np.array_equal(tables[k], (mixing.level_of(sums[:, 0]).astype(np.uint16) << 8) | mixing.level_of(sums[:, 1]))
