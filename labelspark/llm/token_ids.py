@@ -60,23 +60,26 @@ class Pieces:
     """Ids of texts as little-endian bytes, from the ids of their pieces; pieces not used lately are forgotten beyond `keep`.
 
     A byte-level BPE works inside the pieces its split yields, so a text's ids are those of its pieces in a row. The library's model
-    gives the ids of a piece.
+    gives the ids of a piece. A text that holds an added token's string goes to the library as it stands, which gives that token's id.
     """
 
     def __init__(self, path, keep=120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
             found = json.load(file)
         split = found.get("pre_tokenizer") or {}
+        self.added = [x["content"] for x in found.get("added_tokens", [])]
+        odd = ("single_word", "lstrip", "rstrip", "normalized")
         self.splits = (
             split.get("type") == "ByteLevel"
             and split.get("use_regex")
             and not split.get("add_prefix_space")
             and not found.get("normalizer")
-            and all(x["special"] for x in found.get("added_tokens", []))
+            and not any(x.get(name) for x in found.get("added_tokens", []) for name in odd)
         )
         self.dtype, code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.known, self.keep = Known(self.tokenizer.model.tokenize, code), keep
@@ -92,6 +95,9 @@ class Pieces:
             self.known.forget()
         get, out = self.known.__getitem__, []
         for text in texts:
+            if any(token in text for token in self.added):
+                out.append(self.whole(text))
+                continue
             try:
                 out.append(b"".join(map(get, SPLIT.findall(text))))
             except TypeError:

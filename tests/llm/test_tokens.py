@@ -14,9 +14,7 @@ from labelspark.session import shared_folder
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(token_ids.default_path())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(token_ids.default_path())
 
 
 def ids(tokenizer, text, end):
@@ -37,6 +35,17 @@ def test_pieces_give_the_librarys_ids(tokenizer):
             assert np.frombuffer(got, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_an_added_token_in_a_text_has_its_own_id(spark, tokenizer):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "<|endoftext |> plain"), (4, "x" * 30 + "<|endoftext|>")]
+    coder = token_ids.Pieces(token_ids.default_path())
+    assert np.frombuffer(coder.encode(["a <|endoftext|> b"])[0], "<u2").tolist() == [64, 220, 50256, 275]
+    packed = {r["doc_id"]: r for r in packing.pack(frame(spark, rows), window=1 << 16).collect()}
+    files = {r["doc_id"]: r for r in token_store.round_trip(frame(spark, rows)).collect()}
+    for doc, text in rows:
+        assert packed[doc]["ids_crc32"] == crc(ids(tokenizer, text, 1))
+        assert files[doc]["ids_crc32"] == crc(ids(tokenizer, text, 2))
+
+
 @pytest.mark.parametrize("window", [2048, 64])
 def test_packing_cuts_one_stream(spark, tokenizer, window):
     rows = corpus()
