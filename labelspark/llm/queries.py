@@ -1,6 +1,20 @@
 """The registered queries of this subpackage, with SQL where SQL can state them over whole tables."""
 
-from labelspark.llm import contamination, exact, language_id, mixing, near, packing, quality, repeats, secrets, token_store
+from labelspark.llm import (
+    bpe_tree,
+    contamination,
+    exact,
+    language_id,
+    lookup_clusters,
+    mixing,
+    near,
+    packing,
+    prefix_trie,
+    quality,
+    repeats,
+    secrets,
+    token_store,
+)
 
 QUERIES, ORACLE = {}, {}
 
@@ -167,3 +181,96 @@ def _marked(table, key):
 )
 def op10(spark, read):
     return contamination.leaks(read("documents"), read("benchmark"))
+
+
+#: The unsigned crc32 of a decimal number's text: a step per character and eight halvings each.
+CRC32 = """xor(4294967295, list_reduce(
+    [4294967295] || flatten(list_transform(string_split(cast(conv_id as varchar), ''),
+                                           lambda x: [cast(ord(x) as bigint), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end))"""
+
+
+@query(
+    "op11_prefix_trie",
+    rf"""
+    with turns as (
+      select conv_id, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) as said,
+             row_number() over (partition by conv_id order by turn nulls first, role, text) as p
+      from conversations where conv_id is not null
+    ),
+    convs as (
+      select conv_id as c, conv_id - conv_id % 20 as b, {CRC32} % 4 as h, n from (select conv_id, count(*) as n from turns group by conv_id)
+    ),
+    own as (select x.*, least(h, coalesce(y.n, 0)) as used from convs x left join (select c as b, n from convs) y using (b)),
+    rebuilt as (
+      select c, p as d, said from own join turns on conv_id = b where p <= used
+      union all
+      select c, used + p - h, said from own join turns on conv_id = c where p > h
+    ),
+    whole as (
+      select c, coalesce(l, []) as l from convs left join (select c, list(said order by d) as l from rebuilt group by c) using (c)
+    ),
+    nodes as (
+      select key, d, min(c) as conv_id, count(*) as n_convs,
+             case when d = 0 then 0 else len(regexp_extract_all(key[d].text, '[^ 	-]+')) end as words
+      from (select c, d, l[1:d] as key from (select c, l, unnest(range(0, len(l) + 1)) as d from whole)) group by key, d
+    ),
+    children as (select key[1:d - 1] as key, count(*) as n_children from nodes where d > 0 group by all),
+    sizes as (select *, coalesce(n_children, 0) as kids from nodes left join children using (key)),
+    below as (
+      select key[1:a] as key, count(*) filter (where kids = 0) as n_leaves, sum((n_convs - 1) * words) as saved_tokens
+      from (select *, unnest(range(0, d + 1)) as a from sizes) group by 1
+    ),
+    ends as (select l as key, string_agg(cast(c as varchar), ',' order by c) as ids from whole group by l)
+    select x.conv_id, cast(x.d as bigint) as depth, p.conv_id as parent_conv_id, x.n_convs, cast(x.kids as bigint) as n_children,
+           n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+    from sizes x join below using (key) left join ends using (key)
+    left join nodes p on x.d > 0 and p.key = x.key[1:x.d - 1]
+    """,
+)
+def op11(spark, read):
+    return prefix_trie.build(read("conversations")).drop("key", "parent")
+
+
+def _cluster_sql(rounds=10, k=8):
+    """Every round as a step of its own: squared distances of all vectors to all centroids, then the means."""
+    steps = [
+        rf"""vecs as (
+      select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+      from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+    ),
+    cells as materialized (select r, unnest(range(1, 65)) as d, unnest(v) as x from vecs),
+    c0 as materialized (
+      select cast(row_number() over (order by h, v) - 1 as integer) as c, unnest(range(1, 65)) as d, unnest(v) as m
+      from (select v, sha256('3:' || vec_id) as h from vecs order by h, v limit {k})
+    )"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""a{n} as materialized (
+      select r, c, s from (select r, c, s, row_number() over (partition by r order by s, c) as place
+        from (select r, c, sum((x - m) * (x - m)) as s from cells join c{n} using (d) group by r, c)) where place = 1
+    )"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""c{n + 1} as materialized (
+      select c, d, coalesce((t - ((t % n) + n) % n) // n, m) as m from c{n}
+      left join (select c, d, sum(x) as t, count(*) as n from cells join a{n} using (r) group by c, d) using (c, d)
+    )"""
+            )
+    return f"""with {", ".join(steps)},
+    names as (select c, sha256(string_agg(cast(cast(m as bigint) as varchar), ',' order by d)) as centroid_sha256 from c{rounds} group by c)
+    select vec_id, c as cluster, cast(s as bigint) as distance, cast(sum(s) over (partition by c) as bigint) as cluster_inertia,
+           cast(sum(s) over () as bigint) as inertia, centroid_sha256
+    from a{rounds} join vecs using (r) join names using (c)"""
+
+
+@query("op12_lookup_clusters", _cluster_sql())
+def op12(spark, read):
+    return lookup_clusters.cluster(read("embeddings"))[0]
+
+
+@query("op13_bpe_tree")
+def op13(spark, read):
+    return bpe_tree.digests(bpe_tree.round_trip(read("documents")))
