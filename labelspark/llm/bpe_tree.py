@@ -1,16 +1,22 @@
 """BPE encoding by tree concatenation, and decoding.
 
-A byte-level BPE never merges across the pieces of its split, and most pieces are words: texts made of such go through
-`token_ids.Pieces` in one pass. A piece of more than `LEAF` characters (script without blanks, base64, one letter repeated) is long
-unsplit text: it is cut into leaves of `LEAF` bytes, the leaves are encoded as rows of their own wherever there is room, and neighbours
-are put together up a tree of `FAN` children a node. At each join a window of one token on either side is encoded again and doubled until
-its first token is the left side's and its last one the right side's. Then every two neighbouring tokens stand side by side in some
-encoding of the library's model, and a row of tokens in which all neighbours do is the encoding of its text; so ids are exact.
+A text of more than `LEAF` characters is cut, as it stands, into leaves of that length. Leaves are rows of their own, encoded side by side; then
+neighbours are put together up a tree of `FAN` children a node. At each join the text around it is encoded again, in a window that grows
+until both sides agree:
+
+* A piece of the tokenizer's split depends on nothing before it and on little behind it, so all pieces of the left side stand but the
+  last few. From there the window is split anew, twice as far each time, until one of its settled pieces ends where a piece of the right
+  side begins: from that place on both splits are the same.
+* A piece that crosses the join (script without blanks, one letter repeated) keeps the tokens of its two halves but for a window of one
+  token on either side, doubled until its first token is the left half's and its last one the right half's. Then any two neighbouring
+  tokens stand side by side in some encoding of the library's model, and a row of tokens of which that holds is the encoding of its text.
+
+So ids are those of the library for the whole text. Shorter texts are leaves by themselves and have no join.
 
 Null and empty texts have no ids and decode to an empty text. A text that holds an added token's string gets that token's id there, as
 in the library; the text on either side is split by itself. Rows with equal or null ids stay rows of their own. An empty table gives
-an empty one. Columns besides id and text are not read. Leaves keep rows small; the ids of one document end in one row, as its
-text began.
+an empty one. Columns besides id and text are not read. The ids of one document end in one row, as its text began. A tokenizer file
+with another kind of split encodes every text whole.
 """
 
 import functools
@@ -19,122 +25,178 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from labelspark.llm import shared
 from labelspark.llm.token_ids import SPLIT, UNSURE, byte_letters, default_path, pieces
 
-#: Characters from which a piece counts as long, and bytes of its leaves.
+#: Characters of a leaf.
 LEAF = 1 << 14
-#: Children of a node. Three levels hold FAN ** 3 leaves, 4 GiB: more than a text can have.
-FAN, LEVELS = 64, 3
-#: Short pieces encoded at a time within a long text.
+#: Children of a node.
+FAN = 16
+#: Ids of added tokens and short texts between them that are held at a time.
 RUN = 1 << 16
+#: Pieces up to this length are looked up among those already encoded.
+KEPT = 64
+#: How many characters behind its start decide whether a piece is a contraction: ' and two letters.
+SIGHT = 3
+#: White space, and what the two regular expression libraries may class differently, at the end of a text.
+LOOSE_END = regex.compile(rf"(?r)(?:\s|{UNSURE.pattern})*\Z")
 
 
-class Bytes:
-    """The bytes of each token, and the ids of text that is never split."""
+class Coder:
+    """Tokens of pieces, and the bytes of each token."""
 
     def __init__(self, path):
-        coder = pieces(path)
-        self.tokenize, self.letters = coder.tokenizer.model.tokenize, byte_letters()
-        back = {letter: byte for byte, letter in self.letters.items()}
-        vocabulary = coder.tokenizer.get_vocab(with_added_tokens=True)
+        self.own = pieces(path)
+        self.tokenizer, self.letters = self.own.tokenizer, byte_letters()
+        self.back = {letter: byte for byte, letter in self.letters.items()}
         self.of = {}
-        for token, k in vocabulary.items():
-            known = all(letter in back for letter in token)
-            self.of[k] = bytes(back[letter] for letter in token) if known else token.encode()
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            known = all(letter in self.back for letter in token)
+            self.of[k] = bytes(self.back[letter] for letter in token) if known else token.encode()
 
     def unsplit(self, raw):
-        return array("I", [x.id for x in self.tokenize(raw.decode("latin-1").translate(self.letters))])
+        """Ids of bytes that the split leaves together."""
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(raw.decode("latin-1").translate(self.letters))])
+
+    def pack(self, ids):
+        """Ids as bytes of the tokenizer's width."""
+        return np.array(ids, self.own.dtype).tobytes()
 
-    def text(self, ids):
+    def piece(self, text):
+        """Ids of one piece, packed."""
+        found = self.own.known[text] if len(text) <= KEPT else None
+        return self.pack(self.unsplit(text.encode())) if found is None else found
+
+    def bytes_of(self, ids):
         return b"".join(map(self.of.__getitem__, ids))
 
+    def split(self, text):
+        """Pieces of a text without added tokens. Where the two regular expression libraries may differ, the tokenizer's own split decides."""
+        if UNSURE.search(text):
+            found = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+            return [bytes(self.back[x] for x in piece).decode() for piece, _ in found]
+        return SPLIT.findall(text)
+
     def join(self, left, right):
-        """Ids of two neighbouring spans as one, from the ids of each."""
+        """Ids of two neighbouring halves of a piece as one, from the ids of each."""
         width = 1
-        while left and right:
+        while True:
             a, b = min(width, len(left)), min(width, len(right))
-            again = self.unsplit(self.text(left[-a:]) + self.text(right[:b]))
+            again = self.unsplit(self.bytes_of(left[-a:]) + self.bytes_of(right[:b]))
             if (a == len(left) or again[0] == left[-a]) and (b == len(right) or again[-1] == right[b - 1]):
                 return left[:-a] + again + right[b:]
             width *= 2
-        return left + right
-
-    def tree(self, spans):
-        """One span out of neighbours, joined pair by pair."""
-        while len(spans) > 1:
-            pairs = [self.join(spans[k], spans[k + 1]) for k in range(0, len(spans) - 1, 2)]
-            spans = pairs + spans[len(pairs) * 2 :]
-        return spans[0]
 
 
 @functools.lru_cache(maxsize=2)
-def token_bytes(path):
+def coder_of(path):
     """One per worker process and tokenizer file."""
-    return Bytes(path)
+    return Coder(path)
+
+
+class Span:
+    """Text with its ids: where each piece begins, and how many ids there are up to its end."""
+
+    def __init__(self, text, starts, counts, ids):
+        self.text, self.starts, self.counts, self.ids = text, starts, counts, ids
+
+    @classmethod
+    def of(cls, text, coder):
+        if len(coder.own.known) > coder.own.keep:
+            coder.own.known.forget()
+        found = coder.split(text)
+        return cls.made(text, found, [coder.piece(x) for x in found], coder.own.dtype)
+
+    @classmethod
+    def made(cls, text, found, coded, dtype):
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        counts = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) // np.dtype(dtype).itemsize
+        return cls(text, np.cumsum(sizes) - sizes, counts, np.frombuffer(b"".join(coded), dtype))
+
+    def slice(self, first, last):
+        """Ids of the pieces from `first` up to `last`."""
+        a = self.counts[first - 1] if first else 0
+        return self.ids[a : self.counts[last - 1] if last else 0]
+
+    def stop(self, k):
+        """Where piece k ends."""
+        return int(self.starts[k + 1]) if k + 1 < len(self.starts) else len(self.text)
+
+
+def settled_length(text):
+    """Pieces that end here or before do not depend on what may follow the text."""
+    return LOOSE_END.search(text).start() - SIGHT
+
+
+def concat(left, right, coder):
+    """The span of two neighbouring ones: what lies around the join is split and encoded again."""
+    # the first piece of the left side that what follows might change: pieces before it end in the settled part
+    first = max(0, int(np.searchsorted(left.starts, settled_length(left.text), side="right")) - 1)
+    begin = int(left.starts[first])
+    tail, k = left.text[begin:], 4
+    while True:
+        whole = k >= len(right.starts)
+        window = tail + (right.text if whole else right.text[: int(right.starts[k])])
+        found, place, taken, last = coder.split(window), 0, [], len(right.starts)
+        sure = settled_length(window)
+        agreed = False
+        for piece in found:
+            if place >= len(tail) and (at := int(np.searchsorted(right.starts, place - len(tail)))) < len(right.starts):
+                if right.starts[at] == place - len(tail):
+                    agreed, last = True, at
+                    break
+            if not whole and place + len(piece) > sure:
+                break
+            taken.append((place, piece))
+            place += len(piece)
+        if agreed or whole:
+            break
+        k *= 2
+    coded = []
+    for at, piece in taken:
+        own = int(np.searchsorted(left.starts, begin + at))
+        end = at + len(piece)
+        if own < len(left.starts) and left.starts[own] == begin + at and end <= len(tail) and left.stop(own) == begin + end:
+            coded.append(left.slice(own, own + 1).tobytes())
+        elif own == len(left.starts) - 1 and left.starts[own] == begin + at and end - len(tail) == right.stop(0):
+            halves = array("I", left.slice(own, own + 1)), array("I", right.slice(0, 1))
+            coded.append(coder.pack(coder.join(*halves)))
+        else:
+            coded.append(coder.piece(piece))
+    middle = Span.made("", [x for _, x in taken], coded, coder.own.dtype)
+    before, behind = left.slice(0, first), right.slice(last, len(right.starts))
+    gone = right.counts[last - 1] if last else 0
+    return Span(
+        left.text + right.text,
+        np.concatenate([left.starts[:first], begin + middle.starts, len(left.text) + right.starts[last:]]),
+        np.concatenate([left.counts[:first], len(before) + middle.counts, len(before) + len(middle.ids) + right.counts[last:] - gone]),
+        np.concatenate([before, middle.ids, behind]),
+    )
+
+
+def tree(spans, coder):
+    """One span out of neighbours, put together pair by pair."""
+    while len(spans) > 1:
+        pairs = [concat(spans[k], spans[k + 1], coder) for k in range(0, len(spans) - 1, 2)]
+        spans = pairs + spans[len(pairs) * 2 :]
+    return spans[0]
 
 
 def segments(coder, text):
     """(added token's id or None, string) of a text, in order."""
-    if not any(token in text for token in coder.added):
+    added = coder.own.added
+    if not any(token in text for token in added):
         return [(None, text)]
-    wanted = re.compile("(" + "|".join(re.escape(x) for x in sorted(coder.added, key=len, reverse=True)) + ")")
+    wanted = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")")
     return [(coder.tokenizer.token_to_id(x) if k % 2 else None, x) for k, x in enumerate(wanted.split(text)) if x]
 
 
-def split(coder, segment):
-    """Pieces of a text without added tokens. Where the two regular expression libraries may differ, the tokenizer's own split decides."""
-    if UNSURE.search(segment):
-        back = {letter: byte for byte, letter in byte_letters().items()}
-        for piece, _ in coder.tokenizer.pre_tokenizer.pre_tokenize_str(segment):
-            yield bytes(back[x] for x in piece).decode()
-    else:
-        for found in SPLIT.finditer(segment):
-            yield found.group()
-
-
-def has_long_piece(coder, text, leaf):
-    if not coder.splits or len(text) <= leaf:
-        return False
-    return any(len(piece) > leaf for number, segment in segments(coder, text) if number is None for piece in split(coder, segment))
-
-
-def runs(coder, path, text, leaf):
-    """(ids of a run of short pieces, None) or (None, bytes of a long piece), in the text's order."""
-    held, plain = [], token_bytes(path)
-
-    def ids(names):
-        if len(coder.known) > coder.keep:
-            coder.known.forget()
-        coded = [coder.known[x] for x in names]
-        odd = [np.array(plain.unsplit(x.encode()), coder.dtype).tobytes() if c is None else c for x, c in zip(names, coded, strict=True)]
-        return np.frombuffer(b"".join(odd), coder.dtype).astype("<u4").tobytes()
-
-    for number, segment in segments(coder, text):
-        if number is not None:
-            if held:
-                yield ids(held), None
-            held = []
-            yield np.array([number], "<u4").tobytes(), None
-            continue
-        for piece in split(coder, segment):
-            if len(piece) > leaf or len(held) >= RUN:
-                if held:
-                    yield ids(held), None
-                held = []
-            if len(piece) > leaf:
-                yield None, piece.encode()
-            else:
-                held.append(piece)
-    if held:
-        yield ids(held), None
-
-
-def short_texts(docs, path, leaf):
-    """(doc_id, ids) of all texts without a long piece."""
+def short_texts(docs, path):
+    """(doc_id, ids) of texts that are leaves by themselves."""
     fields = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
@@ -142,94 +204,112 @@ def short_texts(docs, path, leaf):
         for batch in shared.parts(batches):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in shared.slices(texts):
-                here = [k for k in range(a, b) if not has_long_piece(coder, texts[k], leaf)]
-                coded = [np.frombuffer(x, coder.dtype).astype("<u4").tobytes() for x in coder.encode([texts[k] for k in here])]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in here], pa.int64()), pa.array(coded, pa.binary())], schema=fields)
+                coded = [np.frombuffer(x, coder.dtype).astype("<u4").tobytes() for x in coder.encode(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(coded, pa.binary())], schema=fields)
 
     return docs.mapInArrow(run, "doc_id long, ids binary")
 
 
-PARTS = "doc long, doc_id long, part int, leaf int, ids binary, raw binary"
+NODES = "doc long, doc_id long, part int, leaf int, leaves int, text string, starts binary, counts binary, ids binary"
 
 
-def long_parts(docs, path, leaf):
-    """Texts with a long piece: rows of ids for the runs between such pieces, rows of raw bytes for their leaves.
+NODE_FIELDS = pa.schema(
+    [("doc", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("leaf", pa.int32()), ("leaves", pa.int32())]
+    + [("text", pa.string()), ("starts", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())]
+)
 
-    `doc` numbers the texts by partition and place.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    fields = to_arrow_schema(StructType.fromDDL(PARTS))
+def node_batch(rows):
+    columns = [pa.array(x, field.type) for x, field in zip(zip(*rows, strict=True), NODE_FIELDS, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, schema=NODE_FIELDS)
+
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+def leaves(docs, path, leaf):
+    """Long texts as rows of `NODES`: the leaves of each stretch between added tokens, and finished ids of what needs no cut.
+
+    `doc` numbers the texts by partition and place; a row that is no leaf has no number of its own.
+    """
 
     def run(batches):
-        coder, place = pieces(path), TaskContext.get().partitionId() << 33
+        coder, place = coder_of(path), TaskContext.get().partitionId() << 33
         for batch in shared.parts(batches, 64):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 place += 1
-                if not has_long_piece(coder, text, leaf):
-                    continue
-                rows = []
-                for part, (ids, raw) in enumerate(runs(coder, path, text, leaf)):
-                    if raw is None:
-                        rows.append((place, key, part, None, ids, None))
+                part, rows, held = 0, [], array("I")
+                for number, segment in segments(coder, text) if coder.own.splits else [(-1, text)]:
+                    cut = number is None and len(segment) > leaf
+                    if held and (cut or len(held) >= RUN):
+                        rows.append((place, key, part, None, None, None, None, None, coder.pack(held)))
+                        part, held = part + 1, array("I")
+                    if cut:
+                        n = -(-len(segment) // leaf)
+                        rows += [(place, key, part, k, n, segment[k * leaf : (k + 1) * leaf], None, None, None) for k in range(n)]
+                        part += 1
+                    elif number is None:
+                        held.extend(Span.of(segment, coder).ids)
+                    elif number < 0:
+                        held.extend(coder.tokenizer.encode(segment, add_special_tokens=False).ids)
                     else:
-                        rows += [(place, key, part, k, None, raw[a : a + leaf]) for k, a in enumerate(range(0, len(raw), leaf))]
-                    if len(rows) >= 256:
-                        yield batch_of(rows)
+                        held.append(number)
+                    if len(rows) >= 64:
+                        yield node_batch(rows)
                         rows = []
+                if held:
+                    rows.append((place, key, part, None, None, None, None, None, coder.pack(held)))
                 if rows:
-                    yield batch_of(rows)
+                    yield node_batch(rows)
 
-    return docs.where(F.length("text") > leaf).mapInArrow(run, PARTS)
+    return docs.mapInArrow(run, NODES)
 
 
-def joined(nodes, path, spread):
-    """One level up the tree: `FAN` neighbours of a piece become one node. Leaves come as raw bytes and are encoded here."""
-    out = "doc long, doc_id long, part int, leaf int, ids binary, raw binary"
+def one_level(nodes, path, spread):
+    """Up the tree: `FAN` neighbours become one node. Leaves, which have no ids yet, are encoded here; the last node of a text needs only ids."""
 
     def run(table):
-        table = table.sort_by("leaf")
-        coder = token_bytes(path)
+        table = table.drop_columns("_node").sort_by("leaf")
+        coder, rows = coder_of(path), table.to_pylist()
         spans = [
-            coder.unsplit(raw) if ids is None else array("I", ids)
-            for ids, raw in zip(table.column("ids").to_pylist(), table.column("raw").to_pylist(), strict=True)
+            Span.of(r["text"], coder)
+            if r["ids"] is None
+            else Span(r["text"], np.frombuffer(r["starts"], "<i8"), np.frombuffer(r["counts"], "<i8"), np.frombuffer(r["ids"], coder.own.dtype))
+            for r in rows
         ]
-        first = table.slice(0, 1)
-        ids = pa.array([np.array(coder.tree(spans), "<u4").tobytes()], pa.binary())
-        place = pa.array([first.column("leaf")[0].as_py() // FAN], pa.int32())
-        return pa.table(
-            [first.column("doc"), first.column("doc_id"), first.column("part"), place, ids, pa.array([None], pa.binary())],
-            names=["doc", "doc_id", "part", "leaf", "ids", "raw"],
-        )
+        got, r = tree(spans, coder) if len(spans) > 1 else spans[0], rows[0]
+        n = -(-r["leaves"] // FAN)
+        rest = (got.text, got.starts.astype("<i8").tobytes(), got.counts.astype("<i8").tobytes()) if n > 1 else (None, b"", b"")
+        row = (r["doc"], r["doc_id"], r["part"], r["leaf"] // FAN, n, *rest, got.ids.tobytes())
+        return pa.Table.from_batches([node_batch([row])])
 
     node = F.floor(F.col("leaf") / FAN).cast("int")
     rows = nodes.withColumn("_node", node).repartition(spread, "doc", "part", "_node")
-    return rows.groupBy("doc", "part", "_node").applyInArrow(lambda table: run(table.drop_columns("_node")), out)
+    return rows.groupBy("doc", "part", "_node").applyInArrow(run, NODES)
 
 
-def encode(docs, path=None, leaf=LEAF, id_col="doc_id", text_col="text"):
-    """(doc_id, ids) of every text: ids as little-endian unsigned 32-bit integers."""
-    path = path or default_path()
-    spark = docs.sparkSession
-    shared.ship(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_or_empty(text_col).alias("text"))
-    parts = shared.stored(long_parts(rows, path, leaf), "long-pieces")
-    spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    nodes = parts.where(F.col("leaf").isNotNull())
-    for _ in range(LEVELS):
-        nodes = joined(nodes, path, spread)
-    whole = parts.where(F.col("leaf").isNull()).unionByName(nodes).select("doc", "doc_id", "part", "ids")
+def long_texts(docs, path, leaf):
+    """(doc_id, ids) of texts that have to be cut."""
+    parts = shared.stored(leaves(docs, path, leaf), "leaves")
+    most = parts.agg(F.max("leaves")).first()[0] or 0
+    spread = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    nodes = parts.where("leaf is not null")
+    while most > 1:
+        nodes, most = one_level(nodes, path, spread), -(-most // FAN)
+    whole = parts.where("leaf is null").unionByName(nodes).select("doc", "doc_id", "part", "ids")
 
     def together(table):
         table = table.sort_by("part")
-        first = table.slice(0, 1)
-        return pa.table([first.column("doc_id"), pa.array([b"".join(table.column("ids").to_pylist())], pa.binary())], names=["doc_id", "ids"])
+        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), coder_of(path).own.dtype).astype("<u4")
+        return pa.table([table.column("doc_id").slice(0, 1), pa.array([ids.tobytes()], pa.binary())], names=["doc_id", "ids"])
+
+    return whole.groupBy("doc").applyInArrow(together, "doc_id long, ids binary")
 
-    return short_texts(rows, path, leaf).unionByName(whole.groupBy("doc").applyInArrow(together, "doc_id long, ids binary"))
+
+def encode(docs, path=None, leaf=LEAF, id_col="doc_id", text_col="text"):
+    """(doc_id, ids) of every text: ids as little-endian unsigned 32-bit integers."""
+    path = path or default_path()
+    shared.ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_or_empty(text_col).alias("text"))
+    long = F.length("text") > leaf
+    return short_texts(rows.where(~long), path).unionByName(long_texts(rows.where(long), path, leaf))
 
 
 def decode(coded, path=None, ids_col="ids", text_col="decoded"):
@@ -244,7 +324,7 @@ def decode(coded, path=None, ids_col="ids", text_col="decoded"):
     place = coded.columns.index(ids_col)
 
     def run(batches):
-        of = token_bytes(path).of
+        of = coder_of(path).of
         for batch in shared.parts(batches, 256):
             texts = []
             for ids in batch.column(place).to_pylist():

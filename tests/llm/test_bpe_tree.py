@@ -34,15 +34,30 @@ def unsplit(rng, n):
     return " " * n
 
 
-def test_joins_are_exact(tokenizer):
+def test_joins_of_halves_of_a_piece_are_exact():
     rng = random.Random(7)
-    plain = bpe_tree.token_bytes(PATH)
+    coder = bpe_tree.coder_of(PATH)
     for _ in range(1500):
         raw = unsplit(rng, rng.randint(2, 60)).encode()
-        leaf = rng.randint(1, 9)
-        got = plain.tree([plain.unsplit(raw[a : a + leaf]) for a in range(0, len(raw), leaf)])
-        assert got == plain.unsplit(raw)
-        assert plain.text(got) == raw
+        cut = rng.randint(1, len(raw) - 1)
+        got = coder.join(coder.unsplit(raw[:cut]), coder.unsplit(raw[cut:]))
+        assert got == coder.unsplit(raw)
+        assert coder.bytes_of(got) == raw
+
+
+def test_joins_of_texts_are_exact(tokenizer):
+    rng = random.Random(8)
+    coder = bpe_tree.coder_of(PATH)
+    bits = ["'", "'s", "'ll", "re", "l", "s", " ", "  ", "\n", "\t ", "a", "Word", "don", "12", "3", "!", "..", "é", "東", "²", "\x1c", "\x85", "\u3000", "\u180e", "\u200b", "👍", "_"]
+    for _ in range(4000):
+        few = rng.sample(bits, rng.randint(1, 8))
+        text = "".join(rng.choice(few) for _ in range(rng.randint(2, 60)))
+        leaf = rng.randint(1, 12)
+        spans = [bpe_tree.Span.of(text[a : a + leaf], coder) for a in range(0, len(text), leaf)]
+        got = bpe_tree.tree(spans, coder)
+        assert got.ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, (text, leaf)
+        assert got.text == text
+        assert [text[a : got.stop(k)] for k, a in enumerate(got.starts.tolist())] == coder.split(text)
 
 
 def texts():
@@ -66,9 +81,8 @@ def digests(spark, rows, **options):
     return sorted((tuple(r) for r in bpe_tree.digests(bpe_tree.round_trip(frame(spark, rows), **options)).collect()), key=str)
 
 
-def test_long_unsplit_texts_in_small_leaves(spark, tokenizer, monkeypatch):
-    monkeypatch.setattr(bpe_tree, "FAN", 5)
-    monkeypatch.setattr(bpe_tree, "LEVELS", 5)
+def test_long_texts_in_small_leaves(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe_tree, "FAN", 3)
     rows = list(enumerate(texts()))
     assert digests(spark, rows, leaf=16) == sorted((expected(tokenizer, *r) for r in rows), key=str)
 
