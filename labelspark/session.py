@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +27,23 @@ def local_session(cpus=None, app="labelspark"):
     return spark
 
 
+def ship(spark):
+    """Sends this package to the executors once per context; tasks then import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_labelspark_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="labelspark-"), f"labelspark_{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("labelspark", os.path.relpath(full, top)))
+    context.addPyFile(path)
+    context._labelspark_shipped = True
+
+
 def shared_folder(spark, name):
     """A new path below the folder all executors share (`spark.checkpoint.dir`).
 

@@ -76,7 +76,7 @@ def test_stream_with_a_fitted_model_goes_on_after_a_restart(spark, tmp_path):
     source, sink, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
 
     def score(rows):
-        return heads["value"].transform(model.transform(rows)).select("i", "text", F.col("_pred").cast("int").alias("predicted"))
+        return H.predict_rows(rows, model, heads, ["i", "text"]).select("i", "text", F.col("idx").alias("predicted"))
 
     for low, high in ((0, 10), (10, 40)):
         texts.where(F.col("i").between(low, high - 1)).coalesce(1).write.mode("append").parquet(source)

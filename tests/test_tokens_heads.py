@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from labelspark.operators import language as LG
 from labelspark.operators import linear as LN
 from labelspark.operators import report as R
 from labelspark.operators import tokens as T
+from labelspark.operators import descent as D
 from labelspark.plans import evaluate as EV
 from labelspark.plans import heads as H
 
@@ -152,6 +154,85 @@ def test_a_task_is_fitted_alike_alone_and_among_others(spark):
     assert chances(many) == pytest.approx(alone, abs=0.02)
 
 
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    run()
+    found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setJobGroup("", "")
+    return found
+
+
+def test_jobs_do_not_grow_with_the_tasks(spark):
+    long = small_corpus(spark)
+    many = long.withColumn("task", F.explode(F.array(*[F.lit(f"t{k:02d}") for k in range(60)])))
+
+    def fitted(df):
+        model, heads, classes = H.train_heads_long(df, "i", max_iter=2, features=1 << 8)
+        return H.predict_long(df, model, heads, classes, "i").collect()
+
+    few = jobs_of(spark, "few heads", lambda: fitted(long))
+    assert jobs_of(spark, "many heads", lambda: fitted(many)) <= few
+    rows = fitted(many)
+    assert len(rows) == 60 * long.count() and len({r["task"] for r in rows}) == 60
+
+
+def test_texts_are_cleaned_once_for_all_tasks(spark):
+    long = small_corpus(spark)
+    many = long.withColumn("task", F.explode(F.array(*[F.lit(f"t{k:02d}") for k in range(60)])))
+    model, heads, classes = H.train_heads_long(long.withColumn("task", F.lit("t00")), "i", max_iter=1, features=1 << 8)
+    plan = H.predict_long(many, model, heads, classes, "i")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_heads_in_groups_are_those_of_one_group(spark, monkeypatch):
+    long = small_corpus(spark)
+    two = long.unionByName(long.withColumn("task", F.lit("other")).withColumn("value", 1 - F.col("value")))
+    _, whole, _ = H.train_heads_long(two, "i", max_iter=4, features=1 << 8)
+    monkeypatch.setattr(D, "HEAD_BYTES", 1)
+    _, cut, _ = H.train_heads_long(two, "i", max_iter=4, features=1 << 8)
+    assert list(cut) == list(whole) and cut.weights == pytest.approx(whole.weights)
+
+
+def test_steps_follow_a_plain_gradient(spark):
+    """Two steps of the fit against the same arithmetic on dense arrays."""
+    rows = [("a b", 0), ("b c c", 1), ("a", 0), ("a", 1), ("a", 0), ("d e f", 1)]
+    df = spark.createDataFrame([(i, text, "t", y) for i, (text, y) in enumerate(rows)], "i int, text string, task string, value int")
+    size = 1 << 6
+    model, heads, _ = H.train_heads_long(df, "i", max_iter=2, reg=0.01, features=size)
+    listed = df.select(D.word_list(size, lambda c: c).alias("w")).collect()
+    docs = [set(r["w"]) for r in {r["text"]: r for r in df.select("text", D.word_list(size, lambda c: c).alias("w")).collect()}.values()]
+    idf = np.array([np.log((len(docs) + 1) / (sum(k in d for d in docs) + 1)) + 1 if any(k in d for d in docs) else 0 for k in range(size)])
+    assert model.idf == pytest.approx(idf)
+    x = np.zeros((len(rows), size + 1))
+    for k, r in enumerate(listed):
+        for w in r["w"]:
+            x[k, w] += idf[w]
+        x[k] /= np.linalg.norm(x[k])
+        x[k, size] = 1
+    y = np.array([label for _, label in rows])
+    share = np.array([len(y) / (2 * (y == label).sum()) for label in y])
+    w, m, v = np.zeros((size + 1, 2)), 0, 0
+    for step in (1, 2):
+        e = np.exp(x @ w)
+        p = e / e.sum(axis=1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        g = x.T @ (p * share[:, None]) / share.sum()
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        move = m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        w = w - H.RATE * (move + 0.01 * w * (np.arange(size + 1) < size)[:, None])
+    assert heads.weights == pytest.approx(w, abs=1e-3)
+
+
+def test_a_head_keeps_its_best_step_and_stops(spark):
+    long = small_corpus(spark)
+    wrong = long.withColumn("value", 1 - F.col("value"))
+    _, heads, _ = H.train_heads_long(long, "i", max_iter=20, features=1 << 8, valid=wrong, patience=2)
+    steps = [step for _, step, _ in heads.history]
+    assert steps == [1, 2, 3] and max(a for _, _, a in heads.history) == heads.history[0][2]
+    _, heads, _ = H.train_heads_long(long, "i", max_iter=4, features=1 << 8, valid=long, patience=9)
+    assert [step for _, step, _ in heads.history] == [1, 2, 3, 4] and heads.history[-1][2] == 1.0
+
+
 def test_best_and_compared_runs(spark):
     nan = float("nan")
     df = spark.createDataFrame([("o", "m1", "t", 0.5), ("o", "m2", "t", 0.5), ("o", "m0", "t", nan), ("a", "m1", "t", 0.7)], "dataset string, model string, target string, accuracy double")
