@@ -5,14 +5,15 @@ bias, floor) holds the class's prior and what each term adds that the class has
 Texts come as (id, terms), one array per text. An id names one text.
 """
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import Window as W, functions as F, types as T
 
 from labelspark.functions.columns import argmax, softmax
 from labelspark.operators.lookup import beside_all, lookup_join
+from labelspark.operators.tiers import listed_terms, term_sums, tiers
 from labelspark.session import written
 
+CLASSES = 100_000
+
 
 def count_heads(lists, labels, id_col):
     """(weights, offsets) from add-one smoothed term shares: one head per task of `labels` (id, task, label).
@@ -45,8 +46,11 @@ def offsets_of(counts, priors):
 
 
 def numbered_classes(offsets):
-    """(task, label, bias, floor, idx): the classes of all tasks numbered from 0, by task and label."""
-    return offsets.withColumn("idx", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("task", "label")) - 1)
+    """Rows of the classes of all tasks in order of task and label; a class's place is its number. At most `CLASSES` come to the driver."""
+    rows = offsets.select("task", "label", "bias", "floor").orderBy("task", "label").limit(CLASSES + 1).collect()
+    if len(rows) > CLASSES:
+        raise ValueError(f"more than {CLASSES} classes")
+    return rows
 
 
 def term_counts(lists, id_col):
@@ -55,34 +59,30 @@ def term_counts(lists, id_col):
     return terms.groupBy(id_col, "term").agg(F.count("term").alias("n"))
 
 
-def logits(lists, weights, offsets, id_col):
+def logits(lists, weights, offsets, id_col, column="terms", terms_of=listed_terms):
     """(id, n_terms, task, labels, logits) for every text and task, classes in label order.
 
-    A term brings its weights in all classes as one vector, so a text is summed up in one row for any number of classes.
+    The sums over a text's terms are made inside its row for the frequent terms and joined in for the rare ones (`operators.tiers`).
     """
-    classes = written(numbered_classes(offsets), "head-classes")
-    k = classes.count()
-    own = classes.select(F.col("task").alias("_t"), F.col("label").alias("_l"), "idx")
+    classes = numbered_classes(offsets)
+    spark = lists.sparkSession
+    kind = offsets.select("task", "label").schema
+    numbers = T.StructType([T.StructField("_t", kind["task"].dataType), T.StructField("_l", kind["label"].dataType), T.StructField("idx", T.IntegerType())])
+    own = spark.createDataFrame([(c["task"], c["label"], k) for k, c in enumerate(classes)], numbers)
     placed = weights.join(F.broadcast(own), (F.col("task") == F.col("_t")) & F.col("label").eqNullSafe(F.col("_l")))
-    by_term = placed.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("_m"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(max(k - 1, 0))), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-    by_term = by_term.select("term", cells.alias("_w"))
-    none = F.array_repeat(F.lit(0.0), max(k, 1))
-    rows = lookup_join(term_counts(lists, id_col), by_term, "term", "left").withColumn("_w", F.coalesce("_w", none))
-    # a text without terms has one row of zeros, which must count as seen
-    total = Summarizer.sum(array_to_vector("_w"), F.greatest("n", F.lit(1)).cast("double"))
-    sums = rows.groupBy(id_col).agg(F.sum("n").alias("n_terms"), vector_to_array(total).alias("_s"))
-    heads = F.array_sort(F.collect_list(F.struct("label", "idx", "bias", "floor")))
-    tasks = classes.groupBy("task").agg(heads.alias("heads"))
-    pairs = beside_all(sums, tasks, "_t", lambda row: F.size(row["heads"]))
-    # a text of no terms has no sums
-    sum_of = lambda h: F.coalesce(F.get(F.col("_s"), h["idx"]), F.lit(0.0))
+    sums = term_sums(lists, tiers(placed.select("term", "idx", "weight"), len(classes)), id_col, column, terms_of)
+    head = T.StructType([*T.StructType.fromDDL("idx int, bias double, floor double").fields, T.StructField("label", kind["label"].dataType)])
+    heads = {}
+    for k, c in enumerate(classes):
+        heads.setdefault(c["task"], []).append((k, c["bias"], c["floor"], c["label"]))
+    tasks = spark.createDataFrame(list(heads.items()), T.StructType([T.StructField("task", kind["task"].dataType), T.StructField("heads", T.ArrayType(head))]))
+    pairs = beside_all(sums, tasks, "_t")
     return pairs.select(
         id_col,
         "n_terms",
         F.col("_t.task").alias("task"),
         F.transform("_t.heads", lambda h: h["label"]).alias("labels"),
-        F.transform("_t.heads", lambda h: h["bias"] + sum_of(h) + F.col("n_terms") * h["floor"]).alias("logits"),
+        F.transform("_t.heads", lambda h: h["bias"] + F.get("sums", h["idx"]) + F.col("n_terms") * h["floor"]).alias("logits"),
     )
 
 

@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelspark.session import written
 
-BLOCK_VALUES = 10_000
-#: At most so many values may be paired with every row: the list goes to all executors.
-PAIRED_VALUES = 1_000_000
+#: Bytes of a list, as JSON, that may be paired with every row: it goes to all executors.
+PAIRED_BYTES = 1 << 26
 
 
 def lookup_join(big, small, on, how="inner"):
@@ -27,27 +26,24 @@ def lookup_join(big, small, on, how="inner"):
 def pair_all(df, values, column):
     """Every row of `df` with every distinct non-null value of the one-column table `values`.
 
-    The product is the result itself. The list travels in blocks, each unfolded beside the row, and may hold
-    `PAIRED_VALUES` values.
+    The product is the result itself; the list of values, `PAIRED_BYTES` long at most, stands in the plan.
     """
     listed = values.select(column).where(F.col(column).isNotNull()).distinct()
-    block = F.pmod(F.xxhash64(column), F.lit(PAIRED_VALUES // BLOCK_VALUES))
-    blocks = listed.groupBy(block.alias("_block")).agg(F.sort_array(F.collect_list(column)).alias("_values"))
-    rows = beside_all(df, blocks.select("_values"), "_values", lambda v: F.size(v["_values"]))
-    return rows.withColumn(column, F.explode("_values._values")).drop("_values")
+    return beside_all(df, listed, "_pair").withColumn(column, F.col("_pair")[column]).drop("_pair")
 
 
-def beside_all(df, table, name, size=lambda row: F.lit(1), bound=PAIRED_VALUES):
-    """Every row of `df` beside every row of a table as a struct `name`; the table's rows, `size` each, must keep the bound."""
+def beside_all(df, table, name):
+    """Every row of `df` beside every row of a small table as a struct `name`.
+
+    The table becomes one value, an array, that is computed once before the rows are read; a table of more than `PAIRED_BYTES` is an error.
+    """
     rows = F.struct(*[F.col(f"`{c}`") for c in table.columns])
     kept = written(table.select(rows.alias("_row")), "beside")
-    n = kept.agg(F.sum(size(F.col("_row")))).first()[0] or 0
-    if n > bound:
-        raise ValueError(f"{n} values to pair with every row; the bound is {bound}")
-    listed = written(kept.groupBy().agg(F.collect_list("_row").alias("_rows")).withColumn("_one", F.lit(0).cast("bigint")), "beside")
-    one = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]), F.lit(1)).cast("bigint")
-    joined = df.withColumn("_one", one).join(F.broadcast(listed), "_one").drop("_one")
-    return joined.withColumn(name, F.explode("_rows")).drop("_rows")
+    size = kept.agg(F.sum(F.octet_length(F.to_json("_row")))).first()[0] or 0
+    if size > PAIRED_BYTES:
+        raise ValueError(f"{size} bytes to pair with every row; the bound is {PAIRED_BYTES}")
+    listed = kept.groupBy().agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    return df.withColumn(name, F.explode(listed.scalar()))
 
 
 def union_all(frames) -> DataFrame:

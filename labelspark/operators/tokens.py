@@ -1,14 +1,21 @@
 """Tokens: vocabulary, fixed-length encoding, word pieces, pooled vectors, term features."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from labelspark.operators.lookup import lookup_join
 from labelspark.operators.ranks import CHUNK, running_sum
-from labelspark.session import written
+from labelspark.operators.tiers import listed_terms
+from labelspark.session import ship, written
 
 PAD, UNKNOWN = 0, 1
+#: Tokens of a vocabulary that are sent to the executors, some 100 MB; what stands for the others until they are joined.
+SENT_TOKENS, LEFT = 1 << 21, -1
 
 
 def tokens(c):
@@ -36,14 +43,42 @@ def vocabulary(df, text="text", max_size=None):
 
 
 def encode_tokens(df, vocab, id_col, max_len, text="text"):
-    """`input_ids`, `attention_mask` and `token_type_ids` of exactly `max_len` positions, the encoder's width."""
-    places = df.select(id_col, F.posexplode_outer(F.slice(tokens(F.col(text)), 1, max_len)).alias("pos", "token"))
-    coded = lookup_join(places, vocab.select("token", "token_id"), "token", "left")
-    ids = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id")))
-    rows = coded.groupBy(id_col).agg(F.array_sort(F.collect_list(ids)).alias("_t"))
-    rows = rows.select(id_col, F.transform("_t", lambda x: x["id"]).alias("_i"))
+    """`input_ids`, `attention_mask` and `token_type_ids` of exactly `max_len` positions, the encoder's width.
+
+    Ids rise with falling frequency, so the first `SENT_TOKENS` tokens are sent to the executors and looked up inside the row. Only in a
+    larger vocabulary are the tokens that a text has left over joined, a row each.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    listed = vocab.select("token", "token_id")
+    rare = listed.where(F.col("token_id") > SENT_TOKENS + UNKNOWN)
+    found = listed.where(F.col("token_id") <= SENT_TOKENS + UNKNOWN).toArrow()
+    more = found.num_rows >= SENT_TOKENS and not rare.isEmpty()
+    known = found.column("token").combine_chunks()
+    numbers = np.append(found.column("token_id").to_numpy(), LEFT if more else UNKNOWN).astype(np.int32)
+    sent = spark.sparkContext.broadcast((known, numbers))
+    rows = df.select(id_col, F.coalesce(F.slice(tokens(F.col(text)), 1, max_len), F.array().cast("array<string>")).alias("_t"))
+    schema = T.StructType([rows.schema.fields[0], T.StructField("_i", T.ArrayType(T.IntegerType())), T.StructField("_t", T.ArrayType(T.StringType()))])
+    fields = to_arrow_schema(schema)
+
+    def run(batches):
+        known, numbers = sent.value
+        for batch in batches:
+            flat, sizes = listed_terms(batch.column(1))
+            ids = numbers[pc.fill_null(pc.index_in(flat, value_set=known), len(known)).to_numpy(zero_copy_only=False)]
+            coded = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip((batch.column(0), coded, batch.column(1)), fields, strict=True)], schema=fields)
+
+    coded = rows.mapInArrow(run, schema)
+    if more:
+        coded = written(coded, "coded-tokens")
+        left = F.filter(F.transform("_t", lambda t, k: F.when(F.get("_i", k) == LEFT, F.struct(k.alias("k"), t.alias("token")))), lambda x: x.isNotNull())
+        rest = coded.select(id_col, F.explode(left).alias("_x")).select(id_col, "_x.*").join(rare, "token")
+        rest = rest.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("k", "token_id"))).alias("_m"))
+        own = F.transform("_i", lambda x, k: F.when(x == LEFT, F.coalesce(F.try_element_at("_m", k), F.lit(UNKNOWN))).otherwise(x))
+        coded = coded.join(rest, id_col, "left").withColumn("_i", own)
     gap = F.lit(max_len) - F.size("_i")
-    return rows.select(
+    return coded.select(
         id_col,
         F.concat("_i", F.array_repeat(F.lit(PAD), gap)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.size("_i")), F.array_repeat(F.lit(0), gap)).alias("attention_mask"),

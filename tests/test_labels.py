@@ -49,18 +49,18 @@ def test_grid_and_overlay(spark):
     ]
 
 
-def test_pairs_in_blocks(spark, monkeypatch):
+def test_pairs_are_bounded_and_need_no_join(spark, monkeypatch):
     df = spark.range(50).select(F.col("id").cast("string").alias("text"))
     values = spark.range(9).select(F.concat(F.lit("t"), "id").alias("target"))
     expected = sorted((str(i), f"t{k}") for i in range(50) for k in range(9))
     nulls = values.unionByName(spark.createDataFrame([(None,), ("t1",)], "target string"))
     assert rows(K.pair_all(df, nulls, "target"), "text", "target") == expected
-    monkeypatch.setattr(K, "BLOCK_VALUES", 300_000)
-    assert rows(K.pair_all(df, values, "target"), "text", "target") == expected
-    with pytest.raises(ValueError, match="the bound is"):
-        K.beside_all(df, values, "v", bound=8)
+    assert K.pair_all(df, values.where("false"), "target").count() == 0
     plan = K.pair_all(df, values, "target")._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "Join" not in plan.split("Subquery")[0] and "xxhash64" not in plan
+    monkeypatch.setattr(K, "PAIRED_BYTES", 8)
+    with pytest.raises(ValueError, match="the bound is"):
+        K.beside_all(df, values, "v")
 
 
 def test_lookup_joins(spark):

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from labelspark.operators import centroids as CE
 from labelspark.operators import language as LG
 from labelspark.operators import linear as LN
 from labelspark.operators import report as R
+from labelspark.operators import tiers as TI
 from labelspark.operators import tokens as T
 from labelspark.operators import descent as D
 from labelspark.plans import evaluate as EV
@@ -233,6 +235,53 @@ def test_a_head_keeps_its_best_step_and_stops(spark):
     assert [step for _, step, _ in heads.history] == [1, 2, 3, 4] and heads.history[-1][2] == 1.0
 
 
+def test_rare_terms_are_joined_with_the_same_sums(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    terms = T.term_lists(docs, "doc_id")
+    heads = LN.count_heads(terms, docs.select("doc_id", F.lit("t").alias("task"), F.col("lang").alias("label")), "doc_id")
+    told = lambda: {(r["doc_id"], r["task"]): (r["n_terms"], r["logits"]) for r in LN.logits(terms, *heads, "doc_id").collect()}
+    whole = told()
+    monkeypatch.setattr(TI, "SENT_BYTES", 200 * (TI.TERM_BYTES + 32))
+    monkeypatch.setattr(TI, "CELLS", 64)
+    cut = told()
+    assert set(cut) == set(whole)
+    for key, (n, sums) in whole.items():
+        assert cut[key][0] == n and cut[key][1] == pytest.approx(sums)
+    few = spark.createDataFrame([(1, ["known", None, "new"]), (2, []), (3, None)], "i int, terms array<string>")
+    weights = spark.createDataFrame([("known", 0, 2.0), ("rare", 1, 1.0)], "term string, idx int, weight double")
+    monkeypatch.setattr(TI, "SENT_BYTES", 1)
+    found = TI.tiers(weights, 2)
+    assert len(found.terms) == 1 and found.rare.count() == 1
+    assert {r["i"]: (r["n_terms"], r["sums"]) for r in TI.term_sums(few, found, "i", "terms").collect()} == {1: (2, [2.0, 0.0]), 2: (0, [0, 0]), 3: (0, [0, 0])}
+
+
+def test_frequent_terms_need_no_shuffle(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    profiles = LG.language_profiles(docs)
+    plan = LG.detect_language(docs, profiles, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Subquery")[0] and "Join" not in plan.split("Subquery")[0]
+    plan = T.encode_tokens(docs, T.vocabulary(docs), "doc_id", 64)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_trigrams_are_those_of_the_pattern():
+    texts = [" ab ", "  ", "", None, " é東 𝔘𝔘 ", " x "]
+    codes, sizes = LG.trigram_codes(pa.array(texts))
+    every = [x[k : k + 3] for x in texts if x for k in range(len(x) - 2)]
+    assert codes.to_pylist() == [ord(a) << 42 | ord(b) << 21 | ord(c) for a, b, c in every]
+    assert sizes.tolist() == [max(len(x or "") - 2, 0) for x in texts]
+
+
+def test_rare_tokens_are_joined_with_the_same_ids(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    vocab = T.vocabulary(docs)
+    coded = lambda df: {r["doc_id"]: r["input_ids"] for r in T.encode_tokens(df, vocab, "doc_id", 40).collect()}
+    odd = spark.createDataFrame([(-1, None), (-2, "unseenword the"), (-3, "")], "doc_id long, text string")
+    whole = coded(docs.select("doc_id", "text").unionByName(odd))
+    monkeypatch.setattr(T, "SENT_TOKENS", 30)
+    assert coded(docs.select("doc_id", "text").unionByName(odd)) == whole and whole[-1] == [0] * 40
+
+
 def test_best_and_compared_runs(spark):
     nan = float("nan")
     df = spark.createDataFrame([("o", "m1", "t", 0.5), ("o", "m2", "t", 0.5), ("o", "m0", "t", nan), ("a", "m1", "t", 0.7)], "dataset string, model string, target string, accuracy double")
