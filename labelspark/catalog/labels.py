@@ -6,6 +6,7 @@ from labelspark.catalog import inputs as I
 from labelspark.catalog.registry import query
 from labelspark.functions import columns as C
 from labelspark.operators import labels as L
+from labelspark.operators.grid import Grid
 
 SOURCE_MAP = {"src0": "news", "src1": "news", "src2": "forum", "src3": "forum", "src4": "forum", "src5": "wiki"}
 SOURCE_CASE = "case " + " ".join(f"when source = '{k}' then '{v}'" for k, v in SOURCE_MAP.items()) + " end"
@@ -197,6 +198,44 @@ def complete_grid(read, spark):
     return grid.select(F.md5("text").alias("text_md5"), "target", "value")
 
 
+GRID_TARGETS = [f"src{i}" for i in range(20)]
+
+
+@query(
+    "grid_wide",
+    f"""with {I.COMMENTS},
+    known as (select text, target, max_by(value, doc_id) as value from comments where value <> 0 group by text, target)
+    select md5(t.text) as text_md5, {", ".join(f"coalesce(max(case when k.target = '{t}' then k.value end), 0) as {t}" for t in GRID_TARGETS)}
+    from (select distinct text from comments) t left join known k on k.text = t.text group by t.text""",
+)
+def grid_wide(read, spark):
+    """The completed grid as one row per text and one column per target, without a row per cell."""
+    return Grid.of_rows(I.comments(read), "doc_id", id_col="text_md5").wide(GRID_TARGETS).drop("text")
+
+
+@query(
+    "grid_counts",
+    f"""with {I.COMMENTS},
+    known as (select text, target, max_by(value, doc_id) as value from comments where value <> 0 group by text, target),
+    cells as (select t.text, s.target, coalesce(k.value, 0) as value from (select distinct text from comments) t
+              cross join (select distinct target from comments) s left join known k on k.text = t.text and k.target = s.target)
+    select target, value, count(*) as n from cells group by target, value""",
+)
+def grid_counts(read, spark):
+    """Rows per target and value of the completed grid, from its factors."""
+    return Grid.of_rows(I.comments(read), "doc_id").counts()
+
+
+@query(
+    "types_wide",
+    f"""with {I.CORPUS}
+    select comment_id, {", ".join(f"cast(list_contains(types, '{t}') as integer) as {t}" for t in ("user", "assistant", "system"))} from corpus""",
+)
+def types_wide(read, spark):
+    """One column per annotation type, from the rows' type lists."""
+    return Grid.of_types(L.with_types(I.corpus(read)), "comment_id").wide(["user", "assistant", "system"])
+
+
 @query(
     "overlay_values",
     f"""with {I.COMMENTS},

@@ -118,11 +118,11 @@ def nearest_centroid(read, spark):
 
 
 LANGUAGE = """
-letters as (select doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' as t from documents),
-chars as (select doc_id, lang, string_split(t, '') as c from letters),
-shifted as (select doc_id, lang, unnest(list_transform(range(1, cast(len(c) - 1 as bigint)), lambda i: c[i] || c[i + 1] || c[i + 2])) as term from chars),
-own as (select doc_id, lang, term, count(*) as n from shifted group by all),
-counts as (select lang as label, term, sum(n) as n from own group by all),
+letters as (select doc_id, lang, substr(md5(text), 1, 1) >= '4' as taught, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' as t from documents),
+chars as (select doc_id, lang, taught, string_split(t, '') as c from letters),
+shifted as (select doc_id, lang, taught, unnest(list_transform(range(1, cast(len(c) - 1 as bigint)), lambda i: c[i] || c[i + 1] || c[i + 2])) as term from chars),
+own as (select doc_id, lang, taught, term, count(*) as n from shifted group by all),
+counts as (select lang as label, term, sum(n) as n from own where taught group by lang, term),
 sizes as (select doc_id, sum(n) as total from own group by doc_id),
 floors as (select label, -ln(sum(n) + (select count(distinct term) from counts)) as floor from counts group by label),
 parts as (select o.doc_id, c.label, sum(o.n * ln(c.n + 1)) as s from own o join counts c using (term) group by o.doc_id, c.label),
@@ -132,17 +132,38 @@ best as (select doc_id, label as language from (select *, row_number() over (par
 detected as (select doc_id, language from documents left join best using (doc_id))"""
 
 
+def _taught():
+    """Three quarters of the texts teach; copies of a text stay on one side."""
+    return F.substring(F.md5("text"), 1, 1) >= "4"
+
+
+def _told(docs):
+    return LG.detect_language(docs, LG.language_profiles(docs.where(_taught())), "doc_id")
+
+
 @query("detect_language", f"with {LANGUAGE} select doc_id, language from detected")
 def detect_language(read, spark):
-    docs = I.texts(read)
-    return LG.detect_language(docs, LG.language_profiles(docs), "doc_id")
+    return _told(I.texts(read))
 
 
 @query("keep_language", f"with {LANGUAGE} select doc_id, lang from documents join detected using (doc_id) where language = 'fr'")
 def keep_language(read, spark):
     docs = I.texts(read)
-    found = LG.detect_language(docs, LG.language_profiles(docs), "doc_id")
-    return LG.keep_language(docs, found, "doc_id", "fr").select("doc_id", "lang")
+    return LG.keep_language(docs, _told(docs), "doc_id", "fr").select("doc_id", "lang")
+
+
+@query(
+    "language_report",
+    f"""with {LANGUAGE}
+    select lang as label, count(*) as n, sum(cast(language is not distinct from lang as integer)) as n_right,
+           sum(cast(language is null as integer)) as n_undecided
+    from documents join detected using (doc_id) where substr(md5(text), 1, 1) < '4' group by lang""",
+)
+def language_report(read, spark):
+    """Held-out texts per language: how many are told right, and how many not at all."""
+    docs = I.texts(read)
+    held_out = docs.where(~_taught())
+    return LG.language_report(LG.detect_language(held_out, LG.language_profiles(docs.where(_taught())), "doc_id"), held_out, "doc_id")
 
 
 HEADS = f"""

@@ -241,3 +241,17 @@ def prompt_batches_with_gaps(read, spark):
     gaps = rows.join(F.broadcast(least), F.col("text") == F.col("_least"), "left")
     gaps = gaps.withColumn("text", F.when(F.col("_least").isNull(), F.col("text"))).withColumn("role", F.nullif("role", F.lit("user")))
     return GO.prompt_batches(gaps, ["conv_id", "turn"], 70, labels="role")
+
+
+@query(
+    "unmatched_generated",
+    """with sources as (select distinct text from documents where lang <> 'en')
+    select md5(text) as text_md5, count(*) as n from documents where text is not null and text not in (select text from sources) group by text""",
+)
+def unmatched_generated(read, spark):
+    """Generated rows whose source text has no labels, by source text."""
+    docs = read("documents")
+    generated = docs.select(F.col("text").alias("original_comment"), "doc_id")
+    labelled = docs.where(F.col("lang") != "en").select("text", F.col("source").alias("labels"))
+    missing = L.unmatched_generated(generated, labelled)
+    return missing.select(F.md5("original_comment").alias("text_md5"), "n")

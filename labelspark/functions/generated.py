@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 RECORDS = "array<map<string,string>>"
+# Fixed value: how a generator marks its answer.
+FENCED = r"(?i)```json\s*([\s\S]*?)\s*```"
 
 
 def extract_fenced_json(c):
     """Trimmed body of the first ```json block, '' without one; the fence may be upper case."""
-    return F.regexp_extract(c, r"(?i)```json\s*([\s\S]*?)\s*```", 1)
+    return F.regexp_extract(c, FENCED, 1)
 
 
 def parse_records(c):

@@ -96,9 +96,26 @@ def expand_types(df, keep, types="types"):
 
 
 def relabel_generated(generated, labelled, text="text", original="original_comment"):
-    """Generated rows take the labels of their source text, once per source row; rows without a source are left out."""
-    source = labelled.select(F.col(text).alias(original), "labels")
-    return generated.drop("labels").join(source, original)
+    """Generated rows take the labels of their source text, once per source row; rows without a source are left out.
+
+    Texts are not compared or sorted: two 64-bit hashes stand for them.
+    """
+    source = labelled.where(F.col(text).isNotNull()).select(*_text_hashes(text), "labels")
+    return generated.drop("labels").withColumns({"_h": _text_hashes(original)[0], "_g": _text_hashes(original)[1]}).join(source, ["_h", "_g"]).drop("_h", "_g")
+
+
+def unmatched_generated(generated, labelled, text="text", original="original_comment"):
+    """(original, n): the generated rows that `relabel_generated` leaves out, counted by their source text, a missing one as null."""
+    first, second = _text_hashes(original)
+    counted = generated.groupBy(original).agg(F.count(F.lit(1)).alias("n")).withColumns({"_h": first, "_g": second})
+    source = labelled.where(F.col(text).isNotNull()).select(*_text_hashes(text)).distinct()
+    return counted.join(source, ["_h", "_g"], "left_anti").drop("_h", "_g")
+
+
+def _text_hashes(c):
+    """Two hashes of a text; a missing text has none and meets nothing."""
+    known = F.col(c).isNotNull()
+    return F.when(known, F.xxhash64(c)).alias("_h"), F.when(known, F.xxhash64(F.lit("g"), c)).alias("_g")
 
 
 def only_known_tasks(extra, base_tasks, task="task"):

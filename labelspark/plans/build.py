@@ -5,11 +5,15 @@ from pyspark.sql import functions as F
 from labelspark.functions.columns import first_k, label_from_value, map_values, normalise_target, severity_label
 from labelspark.functions.generated import text_list
 from labelspark.operators import labels as L
+from labelspark.operators.grid import Grid
 from labelspark.operators import reshape as R
 from labelspark.operators import split as S
 from labelspark.session import written
 from labelspark.sources.writers import write_splits
 
+# Fixed value: the task made of a comment's gold answer.
+GENERAL_TASK = "Contains manipulation"
+
 
 def comment_targets(df, use_groups=False, min_rows=5):
     """Normalised targets of comment rows (text, target, value[, group]) with enough rows each."""
@@ -24,10 +28,14 @@ def build_long(df, id_col, extra=None, complete=False, use_groups=False, ratio=N
     if extra is not None:
         rows = rows.unionByName(extra, allowMissingColumns=True)
     rows = comment_targets(rows, use_groups)
-    if complete:
-        rows = L.completed_values(rows, id_col)
-        rows = written(rows.withColumn(id_col, F.md5("text")), "grid")
-    return S.split_every_task(rows.withColumnRenamed("target", "task"), id_col, ratio=ratio, seed=seed, balance_first=balance_first)
+    options = dict(ratio=ratio, seed=seed, balance_first=balance_first)
+    if not complete:
+        return S.split_every_task(rows.withColumnRenamed("target", "task"), id_col, **options)
+    # only ids are unfolded, split and drawn; texts come at the end
+    grid = Grid.of_rows(rows.withColumnRenamed(id_col, "_order"), "_order", id_col=id_col)
+    cells = written(grid.unfolded(), "grid").withColumnRenamed("target", "task")
+    split, skipped = S.split_every_task(cells, id_col, **options)
+    return grid.with_texts(split), skipped
 
 
 def build_levels(df, id_col, use_groups=False):
@@ -53,13 +61,14 @@ def build_votes(annotations, key, flags, ordinal, text="text"):
 def build_nested(corpus):
     """Long rows of a nested corpus: the general task from the gold answer, then one task per known type."""
     typed = L.with_types(corpus).withColumnRenamed("content", "text")
+    grid = Grid.of_types(typed, "comment_id", ["text"])
     general = typed.select(
         "comment_id",
         "text",
-        F.lit("Contains manipulation").alias("target"),
+        F.lit(GENERAL_TASK).alias("target"),
         label_from_value(F.col("found_manipulation"), "yes").alias("value"),
     )
-    return general.unionByName(L.expand_types(typed, ["comment_id", "text"]))
+    return general.unionByName(grid.with_texts(grid.unfolded()))
 
 
 def build_suite(cases, mapping, positive="hateful"):

@@ -1,10 +1,14 @@
 """Reading annotated corpora, generated records, split tables, class maps and result files."""
 
+import csv
+from urllib.parse import unquote, urlsplit
+
 from pyspark.sql import functions as F, types as T
 
 from labelspark.operators.lookup import union_all
 from labelspark.operators.ranks import fill_down
 
+# Field names of the annotation files.
 ANNOTATION_JSON = (
     "comment_id string, content string, found_manipulation string, annotations array<struct<technique:string>>"
 )
@@ -24,11 +28,32 @@ def _csv(spark, paths, schema, sep):
     )
 
 
+def header_lines(spark, paths):
+    """{path: first line} of all files by one job: the first line of a file is the first row of its first block."""
+    rows = spark.read.text(paths).where(F.col("_metadata.file_block_start") == 0)
+    rows = rows.select(F.col("_metadata.file_path").alias("f"), "value", F.monotonically_increasing_id().alias("k"))
+    found = {unquote(urlsplit(r["f"]).path): r["line"] for r in rows.groupBy("f").agg(F.min_by("value", "k").alias("line")).collect()}
+    lines = {}
+    for path in paths:
+        plain = urlsplit(path).path.rstrip("/") if "://" in path else path.rstrip("/")
+        own = sorted(f for f in found if f == plain or f.startswith(f"{plain}/"))
+        if own:
+            lines[path] = found[own[0]]
+    return lines
+
+
 def _by_header(spark, paths, sep):
-    """[(all-text schema, paths)]: files with the same header line are one scan."""
-    groups = {}
+    """[(all-text schema, paths)]: files with the same header line are one scan.
+
+    A file is asked by itself only if its header is not one line: quoted line breaks, or a path the listing names otherwise.
+    """
+    groups, lines = {}, header_lines(spark, paths)
     for path in paths:
-        head = spark.read.option("header", True).option("sep", sep).option("multiLine", True).csv(path).columns
+        line = lines.get(path)
+        if line is None or line.count('"') % 2:
+            head = spark.read.option("header", True).option("sep", sep).option("multiLine", True).csv(path).columns
+        else:
+            head = next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep, quotechar='"'), [])
         groups.setdefault(tuple(head), []).append(path)
     return [(T.StructType([T.StructField(c, T.StringType()) for c in head]), group) for head, group in groups.items()]
 

@@ -7,8 +7,13 @@ from labelspark.functions.clean import clean_text
 
 def text_stream(spark, path, schema):
     """Parquet files of a folder, or one file, as a stream."""
-    # as a pattern: a plain path would have to be a folder
-    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(place)
+    reader = spark.readStream.schema(schema)
+    if status.isFile():
+        # a stream's path is a folder: the file is named by a filter
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return reader.parquet(path)
 
 
 def score_stream(stream, score, text="text"):

@@ -7,6 +7,7 @@ from labelspark.functions import columns as C
 from labelspark.functions import generated as G
 from labelspark.operators import generated as GO
 from labelspark.operators import labels as L
+from labelspark.operators.grid import Grid
 from labelspark.operators import lookup as K
 from labelspark.operators import reshape as R
 
@@ -63,6 +64,33 @@ def test_pairs_are_bounded_and_need_no_join(spark, monkeypatch):
         K.beside_all(df, values, "v")
 
 
+def test_a_grid_in_factors_is_the_grid(spark):
+    df = spark.createDataFrame(
+        [("a", "x", 1, 0), ("a", "x", 2, 2), ("a", "y", 0, 1), ("b", "y", 1, 3), ("c", None, 1, 5), (None, "x", 1, 6), ("b", "x", 0, 9)], "text string, target string, value int, i int"
+    )
+    known = df.where("text is not null and target is not null")
+    grid = Grid.of_rows(known, "i")
+    plain = rows(L.overlay_values(L.complete_grid(known), known, "i"), "text", "target", "value")
+    assert rows(grid.with_texts(grid.unfolded()), "text", "target", "value") == plain
+    assert rows(grid.wide(["x", "y", "z"]), "text", "x", "y", "z") == [("a", 2, 0, 0), ("b", 0, 1, 0)]
+    assert rows(grid.counts(), "target", "value", "n") == [("x", 0, 1), ("x", 2, 1), ("y", 0, 1), ("y", 1, 1)]
+    # a text of unknown targets only is still a text of the grid
+    assert len(Grid.of_rows(df.where("text is not null"), "i").unfolded().collect()) == 6
+    plan = grid.wide(["x", "y"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "NestedLoop" not in plan
+    typed = spark.createDataFrame([(1, ["p", "p", "q"]), (2, []), (3, None)], "i int, types array<string>")
+    types = Grid.of_types(typed, "i")
+    assert rows(types.wide(["p", "q"]), "i", "p", "q") == [(1, 1, 1), (2, 0, 0), (3, 0, 0)]
+    assert rows(types.unfolded(), "i", "target", "value") == sorted((i, t, int(i == 1)) for i in (1, 2, 3) for t in "pq")
+
+
+def test_generated_rows_without_a_source(spark):
+    generated = spark.createDataFrame([("t", 1), ("u", 2), ("u", 3), (None, 4)], "original_comment string, k int")
+    labelled = spark.createDataFrame([("t", "x"), ("t", "y"), (None, "z")], "text string, labels string")
+    assert sorted((r["original_comment"] or "", r["n"]) for r in L.unmatched_generated(generated, labelled).collect()) == [("", 1), ("u", 2)]
+    assert rows(L.relabel_generated(generated, labelled), "original_comment", "labels") == [("t", "x"), ("t", "y")]
+
+
 def test_lookup_joins(spark):
     big = spark.range(1000).select("id", F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 37).alias("k"))
     small = spark.range(30).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v"))

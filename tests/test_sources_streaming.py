@@ -70,6 +70,36 @@ def test_report_file(spark, tmp_path):
     assert rows[0]["auc"] != rows[0]["auc"] and rows[1]["auc"] is None and rows[2]["auc"] == 0.5
 
 
+def test_headers_of_many_files_are_one_job(spark, tmp_path):
+    files = []
+    for k in range(50):
+        head = "Comment;Target;HS Level" if k % 2 else 'Target;"Comment"'
+        (tmp_path / f"f {k}+.csv").write_text(f"{head}\n" + ("c;t;l\n" if k % 2 else "t;c\n"))
+        files.append((f"f {k}+.csv", k % 2, f"g{k}"))
+    spark.sparkContext.setJobGroup("headers", "headers")
+    frame = R.read_levels_csv(spark, str(tmp_path), files)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers"))
+    spark.sparkContext.setJobGroup("", "")
+    # one for the lines, and what listing many files may take
+    assert jobs <= 3
+    found = sorted((r["group"], r["text"], r["target"], r["level"]) for r in frame.collect())
+    assert found == sorted((f"g{k}", "c", "t", "l" if k % 2 else None) for k in range(50))
+
+
+def test_a_header_of_two_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Comment;Target;"two\nlines"\nc;t;x\n')
+    assert [tuple(r) for r in R.read_annotated_csv(spark, str(tmp_path / "a.csv")).collect()] == [("c", "t")]
+
+
+def test_stream_of_a_folder_with_a_slash_and_of_one_file(spark, tmp_path):
+    rows = spark.range(6)
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    (part,) = (tmp_path / "in").glob("part-*.parquet")
+    for k, path in enumerate((f"{tmp_path}/in/", f"{tmp_path}/in", str(part))):
+        sink = ST.write_stream(ST.text_stream(spark, path, rows.schema), str(tmp_path / f"out{k}"), str(tmp_path / f"done{k}"))
+        assert spark.read.parquet(sink).count() == 6
+
+
 def test_stream_with_a_fitted_model_goes_on_after_a_restart(spark, tmp_path):
     texts = spark.createDataFrame([(i, "Good fine!!!!" if i % 2 else "Bad @you awful", i % 2) for i in range(40)], "i int, text string, value int")
     model, heads = H.train_heads_wide(texts.withColumn("text", clean_text(F.col("text"))), "i", ["value"], features=1 << 8)
