@@ -15,6 +15,7 @@ ids come first. Without documents there is a dictionary-less, empty store.
 """
 
 import hashlib
+import math
 import struct
 import zlib
 
@@ -43,8 +44,10 @@ def train_dictionary(docs, path, end_id, id_col, text_col, size=DICTIONARY_BYTES
     """Dictionary bytes from serialized ids of the `SAMPLE_DOCS` documents whose id hashes lowest; empty if they are too few."""
     shared.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_or_empty(text_col).alias("text"))
-    lowest = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    chosen = rows.join(F.broadcast(lowest), "doc_id", "left_semi")
+    key = F.xxhash64("doc_id")
+    # a bound from the ids alone; the texts are then read once, by a plain filter
+    lowest = rows.select(key.alias("key")).distinct().orderBy("key").limit(SAMPLE_DOCS).agg(F.max("key")).first()[0]
+    chosen = rows.where(key <= F.lit(lowest).cast("bigint")).limit(SAMPLE_DOCS)
 
     def serialize(columns):
         coder = pieces(path)
@@ -96,6 +99,22 @@ def read_document(data, k, dictionary):
     return np.frombuffer(decompressor(dictionary).decompress(frame), dtype=f"<u{width}").astype("<u4")
 
 
+def range_number(rows, parts):
+    """The number of the id range a row falls into: ranges of about as many rows each, from the ids alone; null ids come first."""
+    shares = [k / parts for k in range(1, parts)]
+    found = rows.agg(F.percentile_approx("doc_id", shares, 100 * parts).alias("b")).first()["b"] if shares else None
+    bounds = sorted(set(found or []))
+    wide = math.isqrt(len(bounds)) + 1
+    groups = [bounds[a : a + wide] for a in range(0, len(bounds), wide)]
+    if not groups:
+        return F.lit(0)
+    # two short searches: which group of bounds, then where in it
+    nested = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in group]) for group in groups])
+    first = F.size(F.filter(F.array(*[F.lit(group[-1]).cast("bigint") for group in groups]), lambda b: b < F.col("doc_id")))
+    inside = F.size(F.filter(F.coalesce(F.get(nested, first), F.array().cast("array<bigint>")), lambda b: b < F.col("doc_id")))
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(F.least(first * wide + inside, F.lit(parts - 1))).cast("int")
+
+
 def write_store(docs, folder, path=None, end_id=2, level=3, file_ids=FILE_IDS, id_col="doc_id", text_col="text"):
     """Writes `folder`/dictionary and `folder`/files; rows of the latter: part, ids earlier in the part, docs, ids, data.
 
@@ -139,7 +158,7 @@ def write_store(docs, folder, path=None, end_id=2, level=3, file_ids=FILE_IDS, i
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_or_empty(text_col).alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.repartitionById(parts, range_number(rows, parts)).sortWithinPartitions("doc_id")
     ordered.mapInArrow(run, "part long, before long, docs long, n long, data binary").write.option("compression", "none").parquet(
         f"{folder}/files"
     )
