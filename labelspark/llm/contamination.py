@@ -2,15 +2,18 @@
 
 Texts become templates: numbers, units after a number and names (capitalised words inside a sentence, a run of them as one) turn into typed
 placeholders, everything else into lower-case words. Windows of `window` template tokens of all documents are hashed and joined with those of
-the benchmark, so a question is found again after its numbers or names were changed. The values in the slots then decide: along one alignment
-of document and item, a value of the item must always have become the same value of the document. Alignments that break this are
-dropped. A document is contaminated by an item if the windows left cover at least `cover` of the item's tokens.
+the benchmark, so a question is found again after its numbers or names were changed. Windows of placeholders alone say nothing and are left out. The
+values in the slots then decide: along one alignment of document and item, a value of the item must always have become the same value of
+the document. Alignments that break this are dropped. A document is contaminated by an item if the windows left cover at least `cover` of
+the item's tokens that windows reach, or `RUN` of its tokens in a row along one alignment, however long the item is.
+
+Documents are read once: both templates of a text, their token hashes and the hits among their windows come from one scan, and only hits become rows.
 
 Names show by letter case, so a passage in another case has another template. A second route therefore folds the case of documents and items before
 numbers and units are marked, and takes names as words; it adds the pairs that templates do not find. A pair that templates found and dropped for its
 slots is only added if one alignment covers the whole item.
 
-An item shorter than the window is one window of its own length. Null or empty texts have no token and match nothing. Documents with equal ids are
+An item shorter than the window is one window of its own length; one of placeholders alone matches nothing. Null or empty texts have no token and match nothing. Documents with equal ids are
 one document here. Rows with null ids are reported under a null id, their slots unchecked; `drop_contaminated` keeps such rows. Empty tables give no
 row. Columns besides ids and texts are not read.
 """
@@ -19,9 +22,9 @@ from pyspark.sql import functions as F
 
 from labelspark.llm import shared
 
-WINDOW, COVER = 8, 0.5
-#: So many benchmark windows, about 24 bytes each, may be sent to all executors; beyond it the windows are joined by a shuffle.
-SENT_WINDOWS = 1 << 20
+WINDOW, COVER, RUN = 8, 0.5, 13
+#: For so many benchmark windows a bit map, 16 bits a window, picks the likely hits inside the row; beyond it all windows of a text become rows.
+SENT_WINDOWS = 1 << 16
 
 #: Units that may follow a number.
 UNITS = "km|cm|mm|m|kg|mg|g|ml|l|ms|s|min|h|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|miles|mile|feet|inches|dollars|euros|cents|percent|degrees"
@@ -49,28 +52,81 @@ def template_tokens(text, names=True):
     return F.regexp_extract_all(bare, F.lit(r"[\x01\x02\x03]|[\p{L}\p{Nd}]+"), F.lit(0))
 
 
-def window_hashes(tokens, size):
-    """Array of hashes, one per window start."""
-    # The token array is bound once; written in place it would be made again for each window.
-    bound = F.transform(
-        F.array(tokens),
-        lambda t: F.when(
-            F.size(t) >= size, F.transform(F.sequence(F.lit(0), F.size(t) - size), lambda i: F.xxhash64(F.slice(t, i + 1, F.lit(size))))
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
-    return bound[0]
+def window_hash(hashes, start, size):
+    """Hash of the window from the hashes of its tokens."""
+    return F.xxhash64(*[F.get(hashes, start + k) for k in range(size)])
+
+
+def bound(value, use):
+    """`use` of a value that is made once, however often it stands in the result."""
+    return F.transform(F.array(value), use)[0]
 
 
 def item_windows(items, window, names=True):
-    """(hash, size, item_id, item_pos, n_tokens)"""
+    """(hash, size, item_id, item_pos, n_tokens) of every window with a word in it."""
     tokens = items.withColumn("tokens", template_tokens(F.col("text"), names)).where(F.size("tokens") > 0)
+    hashed = tokens.withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(t)))
     out = None
     for size in range(1, window + 1):
         fits = F.size("tokens") >= window if size == window else F.size("tokens") == size
-        part = tokens.where(fits).select("item_id", F.size("tokens").alias("n_tokens"), F.posexplode(window_hashes(F.col("tokens"), size)).alias("item_pos", "hash"))
-        part = part.withColumn("size", F.lit(size))
+        part = hashed.where(fits).withColumn("item_pos", F.explode(F.sequence(F.lit(0), F.size("tokens") - size)))
+        part = part.where(F.exists(F.slice("tokens", F.col("item_pos") + 1, F.lit(size)), lambda t: F.ascii(t) >= 4))
+        part = part.select("item_id", "item_pos", window_hash(F.col("hashes"), F.col("item_pos"), size).alias("hash")).withColumn("size", F.lit(size))
         out = part if out is None else out.unionByName(part)
-    return out
+    # what windows with a word can reach: all of an item but for long rows of placeholders
+    reached = out.withColumn("token", F.explode(F.sequence(F.col("item_pos"), F.col("item_pos") + F.col("size") - 1)))
+    return out.join(reached.groupBy("item_id").agg(F.count_distinct("token").cast("int").alias("n_tokens")), "item_id")
+
+
+def bit_map(wanted, n):
+    """(a constant: 64-bit words with a bit set for every wanted hash, bits in all), about 16 bits a hash."""
+    size = 64
+    while size < 16 * n:
+        size *= 2
+    place = F.pmod("hash", F.lit(size)).cast("int")
+    set_bits = wanted.select(F.shiftright(place, 6).alias("word"), bit_of(place).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = {r["word"]: r["bits"] for r in set_bits.collect()}
+    words = ",".join(f"bigint('{found.get(k, 0)}')" for k in range(size // 64))
+    return F.expr(f"array({words})"), size
+
+
+def bit_of(place):
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63))
+
+
+def hits(hashes, bits, size, window):
+    """(size, doc_pos, hash) of a text's windows whose bit is set; all of them without a bit map."""
+    found = F.transform(
+        F.sequence(F.lit(0), F.size(hashes) - window), lambda i: F.struct(F.lit(window).alias("size"), i.alias("doc_pos"), window_hash(hashes, i, window).alias("hash"))
+    )
+    if size:
+        place = lambda w: F.pmod(w["hash"], F.lit(size)).cast("int")
+        found = F.filter(found, lambda w: F.get(bits, F.shiftright(place(w), 6)).bitwiseAND(bit_of(place(w))) != 0)
+    return F.when(F.size(hashes) >= window, found).otherwise(F.array().cast("array<struct<size:int,doc_pos:int,hash:bigint>>"))
+
+
+def route_hits(names, windows, bits, size):
+    """(names, size, doc_pos, hash) of a text's likely hits by one route, for windows of the given sizes."""
+    hashes = F.transform(template_tokens(F.col("text"), names), lambda t: F.xxhash64(t))
+    found = bound(hashes, lambda h: F.concat(*[hits(h, bits, size, window) for window in windows]))
+    return F.transform(found, lambda w: F.struct(F.lit(names).alias("names"), w["size"].alias("size"), w["doc_pos"].alias("doc_pos"), w["hash"].alias("hash")))
+
+
+def matching(docs, items, window):
+    """(names, doc_id, item_id, size, n_tokens, item_pos, shift): the windows of both routes, with and without names, that a document shares."""
+    wanted = [item_windows(items, window, names).withColumn("names", F.lit(names)) for names in (True, False)]
+    wanted = shared.stored(wanted[0].unionByName(wanted[1]), "item-windows")
+    sizes = [tuple(r) for r in wanted.groupBy("names", "size").agg(F.count(F.lit(1))).collect()]  # two times eight rows at most
+    if not sizes:
+        return None
+    n, bits, size = sum(k for _, _, k in sizes), F.lit(None).cast("array<bigint>"), 0
+    if n <= SENT_WINDOWS:
+        bits, size = bit_map(wanted, n)
+    routes = {names: sorted(k for route, k, _ in sizes if route == names) for names in (True, False)}
+    lists = [route_hits(names, windows, bits, size) for names, windows in routes.items() if windows]
+    rows = docs.select("doc_id", F.explode(F.concat(*lists)).alias("w")).select("doc_id", "w.*")
+    found = rows.join(wanted, ["names", "size", "hash"])
+    return shared.stored(found.select("names", "doc_id", "item_id", "size", "n_tokens", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift")), "template-matches")
 
 
 def slots(rows, id_col, names=True):
@@ -79,23 +135,8 @@ def slots(rows, id_col, names=True):
     return rows.select(id_col, F.posexplode(tokens).alias("pos", "value")).where(F.ascii("value") < 4)
 
 
-def alignments(docs, items, window, names=True):
-    """(doc_id, item_id, shift, n_tokens, size, starts, consistent, same) of every alignment with a matching window; None if no item has a token."""
-    wanted = shared.stored(item_windows(items, window, names), "item-windows")
-    sizes = [r["size"] for r in wanted.select("size").distinct().collect()]  # eight numbers at most
-    small = wanted.count() <= SENT_WINDOWS
-    rows = docs.withColumn("tokens", template_tokens(F.col("text"), names))
-    found = None
-    for size in sorted(sizes):
-        here = rows.select("doc_id", F.posexplode(window_hashes(F.col("tokens"), size)).alias("doc_pos", "hash"))
-        there = wanted.where(F.col("size") == size)
-        part = here.join(F.broadcast(there) if small else there, "hash")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return None
-    matches = shared.stored(
-        found.select("doc_id", "item_id", "size", "n_tokens", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift")), "template-matches"
-    )
+def alignments(docs, items, matches, names=True):
+    """(doc_id, item_id, shift, n_tokens, size, starts, consistent, same) of every alignment with a matching window."""
     # An alignment has at most as many window starts as its item has tokens.
     aligned = matches.groupBy("doc_id", "item_id", "shift", "n_tokens", "size").agg(F.collect_set("item_pos").alias("starts"))
     hit = matches.select("doc_id").distinct()
@@ -114,20 +155,33 @@ def alignments(docs, items, window, names=True):
     )
 
 
+def longest_run(tokens):
+    """Length of the longest row of neighbours in a sorted array of distinct numbers."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(state, t):
+        run = F.when(t == state["last"] + 1, state["run"] + 1).otherwise(1)
+        return F.struct(t.alias("last"), run.alias("run"), F.greatest(state["most"], run).alias("most"))
+
+    return F.aggregate(tokens, start, step, lambda state: state["most"])
+
+
 def covering(aligned, cover):
     """(doc_id, item_id, consistent, n_windows, covered, exact_slots, whole) of the pairs whose alignments, consistent or not, cover enough.
 
     `whole`: one alignment covers the item.
     """
-    token = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("size") - 1))))
-    aligned = shared.stored(aligned.withColumn("tokens", token), "alignments")
+    token = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("size") - 1)))))
+    aligned = shared.stored(aligned.withColumn("tokens", token).withColumn("run", longest_run(F.col("tokens"))), "alignments")
     pair = ["doc_id", "item_id", "consistent"]
     tokens = aligned.select(*pair, "n_tokens", F.explode("tokens").alias("token"), "same")
     per_shift = tokens.groupBy(*pair, "n_tokens", "token").agg(F.bool_or("same").alias("same"))
     total = per_shift.groupBy(*pair, "n_tokens").agg(F.count("*").alias("n_covered"), F.bool_and("same").alias("exact_slots"))
-    starts = aligned.groupBy(*pair).agg(F.sum(F.size("starts")).alias("n_windows"), F.bool_or(F.size("tokens") == F.col("n_tokens")).alias("whole"))
+    starts = aligned.groupBy(*pair).agg(
+        F.sum(F.size("starts")).alias("n_windows"), F.bool_or(F.size("tokens") == F.col("n_tokens")).alias("whole"), F.max("run").alias("run")
+    )
     both = total.join(starts, [total[c].eqNullSafe(starts[c]) for c in pair])
-    return both.where(F.col("n_covered") >= cover * F.col("n_tokens")).select(
+    return both.where((F.col("n_covered") >= cover * F.col("n_tokens")) | (F.col("run") >= RUN)).select(
         *(total[c] for c in pair), "n_windows", (F.col("n_covered") / F.col("n_tokens")).alias("covered"), "exact_slots", "whole"
     )
 
@@ -139,11 +193,11 @@ def leaks(docs, items, window=WINDOW, cover=COVER, id_col="doc_id", text_col="te
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), shared.text_or_empty(text_col).alias("text"))
     items = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), shared.text_or_empty(item_text).alias("text"))
-    found = None
+    matches, found = matching(docs, items, window), None
+    if matches is None:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, n_windows bigint, covered double, exact_slots boolean")
     for names in (True, False):
-        aligned = alignments(docs, items, window, names)
-        if aligned is None:
-            return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, n_windows bigint, covered double, exact_slots boolean")
+        aligned = alignments(docs, items, matches.where(F.col("names") == names), names)
         part = covering(aligned, cover).withColumn("names", F.lit(names))
         found = part if found is None else found.unionByName(part)
     best = lambda kind: F.max(F.when(kind, F.struct("n_windows", "covered", "exact_slots", "whole")))

@@ -139,10 +139,13 @@ def _marked(table, key):
     with docs as ({_marked("documents", "doc_id")}),
     items as ({_marked("benchmark", "item_id")}),
     item_sizes as (select item_id, words, t, len(t) as n_tokens, least(len(t), {contamination.WINDOW}) as size from items where len(t) > 0),
-    item_windows as (
-      select item_id, n_tokens, size, p - 1 as item_pos, array_to_string(t[p:p + size - 1], ' ') as w
+    all_windows as (
+      select item_id, size, p - 1 as item_pos, array_to_string(t[p:p + size - 1], ' ') as w
       from (select *, unnest(range(1, n_tokens - size + 2)) as p from item_sizes)
+      where len(list_filter(t[p:p + size - 1], lambda x: ascii(x) >= 4)) > 0
     ),
+    reach as (select item_id, count(distinct token) as n_tokens from (select item_id, item_pos + unnest(range(0, size)) as token from all_windows) group by item_id),
+    item_windows as (select * from all_windows join reach using (item_id)),
     doc_windows as (
       select doc_id, size, p - 1 as doc_pos, array_to_string(t[p:p + size - 1], ' ') as w
       from (select doc_id, t, size, unnest(range(1, len(t) - size + 2)) as p
@@ -170,13 +173,20 @@ def _marked(table, key):
     tokens as (
       select doc_id, item_id, n_tokens, token, bool_or(same) as same from covered join kept using (doc_id, item_id, shift) group by all
     ),
+    runs as (
+      select doc_id, item_id, max(n) as run from (
+        select doc_id, item_id, shift, island, count(*) as n
+        from (select *, token - row_number() over (partition by doc_id, item_id, shift order by token) as island
+              from covered join kept using (doc_id, item_id, shift)) group by all) group by doc_id, item_id
+    ),
     totals as (select doc_id, item_id, n_tokens, count(*) as n, bool_and(same) as exact_slots from tokens group by all),
     windows as (
       select doc_id, item_id, count(*) as n_windows
       from (select distinct doc_id, item_id, shift, item_pos from matches) join kept using (doc_id, item_id, shift) group by all
     )
     select doc_id, item_id, n_windows, n / n_tokens as covered, exact_slots from totals join windows using (doc_id, item_id)
-    where n >= {contamination.COVER} * n_tokens
+    join runs using (doc_id, item_id)
+    where n >= {contamination.COVER} * n_tokens or run >= {contamination.RUN}
     """,
 )
 def op10(spark, read):
@@ -212,7 +222,8 @@ CRC32 = """xor(4294967295, list_reduce(
     ),
     nodes as (
       select key, d, min(c) as conv_id, count(*) as n_convs,
-             case when d = 0 then 0 else len(regexp_extract_all(key[d].text, '[^ 	-]+')) end as words
+             case when d = 0 then 0 else len(regexp_extract_all(key[d].text, '[^ 	-
+]+')) end as words
       from (select c, d, l[1:d] as key from (select c, l, unnest(range(0, len(l) + 1)) as d from whole)) group by key, d
     ),
     children as (select key[1:d - 1] as key, count(*) as n_children from nodes where d > 0 group by all),

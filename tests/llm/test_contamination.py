@@ -76,3 +76,19 @@ def test_passages_in_another_case(spark):
     ]
     found = pairs(contamination.leaks(frame(spark, rows), items(spark, [(9, QUESTION), (10, named)])))
     assert found == {(1, 9): True, (2, 9): True, (3, 9): True, (4, 9): False, (5, 10): True, (7, 9): True}
+
+
+def test_a_long_run_counts_however_long_the_item_is(spark):
+    rng = random.Random(4)
+    long = prose(rng, 120)
+    words = long.split()
+    rows = [(1, prose(rng, 20) + " " + " ".join(words[40:58]) + " " + prose(rng, 20)), (2, prose(rng, 20) + " " + " ".join(words[40:50])), (3, prose(rng, 60))]
+    assert {doc for doc, _ in pairs(contamination.leaks(frame(spark, rows), items(spark, [(9, long)])))} == {1}
+
+
+def test_windows_of_placeholders_alone_do_not_meet(spark):
+    numbers = " ".join(str(k) for k in range(400))
+    item = "sum up " + " ".join(str(k) for k in range(60))
+    both = items(spark, [(9, item), (10, "1 2 3")])
+    assert contamination.matching(frame(spark, [(1, numbers)]).select("doc_id", "text"), both, contamination.WINDOW).count() == 0
+    assert set(pairs(contamination.leaks(frame(spark, [(1, "1 2 3"), (2, item), (3, numbers)]), both))) == {(2, 9)}
