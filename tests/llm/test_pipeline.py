@@ -65,5 +65,5 @@ def test_stages_keep_the_columns(spark, tables):
 def test_every_operator_is_registered():
     names = set(entry.queries())
     assert "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
