@@ -1,12 +1,16 @@
 """Exact dedup through an extendible-hash index kept in shared files. DataFrame functions only.
 
-1. Texts are hashed to 64 bits. Equal texts meet in one aggregate over (key, text), folded before its shuffle, so a group of copies
-   of any size arrives as one row per task; the aggregate compares the texts' bytes. Different texts with one key stay apart and
-   form that key's chain.
-2. The entries (key, digest, kept id, size; no text) go to files. A directory over the leading key bits doubles until no bucket
-   holds more than `capacity` keys; cells below a bucket that need not be split share it (its local depth is smaller).
-3. Owner tasks take whole ranges of buckets, number the chains and write the index sorted by key.
-4. Every row probes the index by key and, inside a chain, by digest. Hot keys are split by adaptive execution.
+1. Texts are hashed to 64-bit keys. The keys with their row counts go to files; no text moves for that. A directory over the leading
+   key bits doubles until no bucket holds more than `capacity` keys; cells below a bucket that need not be split share it (its local
+   depth is smaller). The directory goes to files as well.
+2. Every row looks its key's cell up in the directory and goes to the bucket found there. Only keys of very many rows (`MANY`, and more
+   than one row in 65,536, so there are fewer than 65,536 such keys) are folded first, in `SHARES` shares, each on the way out of its
+   scan: a group of copies of any size reaches its bucket as a few rows. A fold settles nothing, as its shares meet in the bucket only.
+3. A bucket is a range of keys and lies whole in one owner task, which compares the bytes of the texts with one key: equal ones become
+   one entry with the kept id and the size, different ones stay apart and are numbered as that key's chain. The entries (with the
+   text's digest, without the text) are the index, sorted by bucket and key.
+4. Every row finds its bucket by the directory and there, by key and inside the chain by digest, its entry. Buckets with hot keys are
+   split by adaptive execution.
 
 A null text is the empty text. Null ids lose against any other id; a group of null ids only keeps them all. Rows alike in id and text
 each count, and all of them are the kept row: an id names one document. An empty table gives an empty index. Columns with names
@@ -19,6 +23,8 @@ from pyspark.sql import functions as F
 from labelspark.llm import shared
 
 CAPACITY = 4096
+#: Keys of more rows than this are folded before they move, in so many shares.
+MANY, SHARES = 1024, 16
 
 
 def keyed(docs, id_col, text_col, normalise):
@@ -32,9 +38,8 @@ def cell(depth, key="key"):
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(entries, capacity=CAPACITY):
-    """(cell, bucket, local_depth) for the 2**depth cells in use, and the depth."""
-    keys = entries.select("key").distinct()
+def directory(keys, capacity=CAPACITY):
+    """(cell, bucket, local_depth) for the 2**depth cells in use, and the depth. `keys`: a row per key."""
     total, depth = keys.count(), 0
     while total > capacity << depth:
         depth += 1
@@ -56,42 +61,63 @@ def directory(entries, capacity=CAPACITY):
             F.when(F.col("fits"), F.lit(depth - up)).otherwise(F.col("local_depth")).alias("local_depth"),
             "n",
         )
-    return found.drop("n"), depth
+    return shared.stored(found.drop("n"), "directory"), depth
 
 
-def build_index(docs, id_col="doc_id", text_col="text", capacity=CAPACITY, normalise=None):
-    """(bucket, local_depth, key, chain, text_sha256, keep_id, group_size), one row per distinct text, from shared files."""
-    rows = keyed(docs, id_col, text_col, normalise)
-    entries = shared.stored(
-        rows.groupBy("key", "text")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size"),
-        "entries",
-    )
-    places, depth = directory(entries, capacity)
-    owned = entries.withColumn("cell", cell(depth)).join(places, "cell").drop("cell")
+def in_buckets(rows, places, depth):
+    """The rows with bucket and local depth of their keys, looked up in the directory."""
+    return rows.withColumn("cell", cell(depth)).join(places, "cell").drop("cell")
+
+
+def folded(rows, keys, many=MANY):
+    """(key, text, keep_id, group_size): rows as they are, those of keys with very many rows summed up per share."""
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(keys.where(F.col("n") > max(many, total >> 16)).select("key"))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))
+    summed = rows.join(hot, "key", "left_semi").groupBy(share.alias("share"), "key", "text")
+    summed = summed.agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("share")
+    single = rows.join(hot, "key", "left_anti").select("key", "text", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    return single.unionByName(summed)
+
+
+def settled(entries):
+    """One entry per text of a bucket, made in the bucket's owner task: texts of one key are compared by their bytes."""
+    owned = entries.repartition("bucket").groupBy("bucket", "local_depth", "key", "text")
+    owned = owned.agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    owned = owned.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
     chain = Window.partitionBy("bucket", "key").orderBy("text_sha256")
-    numbered = owned.repartition("bucket").withColumn("chain", F.row_number().over(chain))
-    return shared.stored(
-        numbered.select("bucket", "local_depth", "key", "chain", "text_sha256", "keep_id", "group_size").sortWithinPartitions(
-            "bucket", "key", "chain"
-        ),
-        "index",
-    )
+    return owned.withColumn("chain", F.row_number().over(chain))
+
+
+def index_and_directory(docs, id_col="doc_id", text_col="text", capacity=CAPACITY, normalise=None, many=MANY):
+    """The index of `build_index`, the directory's (cell, bucket, local_depth), and its depth."""
+    rows = keyed(docs, id_col, text_col, normalise)
+    keys = shared.stored(rows.groupBy("key").agg(F.count("*").alias("n")), "keys")
+    places, depth = directory(keys, capacity)
+    entries = settled(in_buckets(folded(rows, keys, many), places, depth))
+    columns = ["bucket", "local_depth", "key", "chain", "text_sha256", "keep_id", "group_size"]
+    return shared.stored(entries.select(columns).sortWithinPartitions("bucket", "key", "chain"), "index"), places, depth
+
+
+def build_index(docs, id_col="doc_id", text_col="text", capacity=CAPACITY, normalise=None, many=MANY):
+    """(bucket, local_depth, key, chain, text_sha256, keep_id, group_size), one row per distinct text, from shared files."""
+    return index_and_directory(docs, id_col, text_col, capacity, normalise, many)[0]
 
 
-def probe(docs, index, id_col="doc_id", text_col="text", normalise=None):
+def probe(docs, index, places, depth, id_col="doc_id", text_col="text", normalise=None):
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row."""
     rows = keyed(docs, id_col, text_col, normalise).select(
         "doc_id", "key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
     )
-    return rows.join(index.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"]).select(
+    rows = in_buckets(rows, places, depth).drop("local_depth")
+    return rows.join(index.drop("local_depth", "chain"), ["bucket", "key", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
-def exact_duplicates(docs, id_col="doc_id", text_col="text", capacity=CAPACITY, normalise=None):
-    return probe(docs, build_index(docs, id_col, text_col, capacity, normalise), id_col, text_col, normalise)
+def exact_duplicates(docs, id_col="doc_id", text_col="text", capacity=CAPACITY, normalise=None, many=MANY):
+    found = index_and_directory(docs, id_col, text_col, capacity, normalise, many)
+    return probe(docs, *found, id_col, text_col, normalise)
 
 
 def drop_exact(docs, id_col="doc_id", text_col="text", capacity=CAPACITY):

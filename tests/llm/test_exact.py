@@ -63,3 +63,39 @@ def test_normalised_texts(spark):
     rows = [(1, "A b"), (2, "a B"), (3, "c")]
     got = exact.exact_duplicates(frame(spark, rows), normalise=F.lower)
     assert {(r["doc_id"], r["keep_id"]) for r in got.collect()} == {(1, 2), (2, 2), (3, 3)}
+
+
+def test_keys_of_many_rows_are_folded_in_shares(spark):
+    rows = [(k, "copied") for k in range(40)] + [(100 + k, f"own {k % 7}") for k in range(14)] + [(None, "copied"), (5, "copied")]
+    docs = frame(spark, rows)
+    assert found(exact.exact_duplicates(docs, many=3)) == found(exact.exact_duplicates(docs)) == plain(rows)
+    keyed = exact.keyed(docs, "doc_id", "text", None)
+    entries = exact.folded(keyed, keyed.groupBy("key").agg(F.count("*").alias("n")), many=3)
+    copies = entries.where("text = 'copied'")
+    assert 1 < copies.count() <= exact.SHARES
+    assert copies.agg(F.sum("group_size"), F.max("keep_id")).first() == (42, 39)
+    assert entries.where("text <> 'copied'").count() == 14
+
+
+def test_chains_of_one_folded_key(spark, monkeypatch):
+    whole = exact.keyed
+    monkeypatch.setattr(exact, "keyed", lambda *a: whole(*a).withColumn("key", F.lit(7).cast("long")))
+    rows = corpus(4, 30)
+    assert found(exact.exact_duplicates(frame(spark, rows), many=5)) == plain(rows)
+    index = exact.build_index(frame(spark, rows), many=5)
+    assert index.count() == len({t or "" for _, t in rows}) == index.agg(F.max("chain")).first()[0]
+
+
+def test_buckets_settle_their_texts_in_one_task(spark):
+    """Texts move once, by bucket; nothing behind that moves them again."""
+    entries = spark.createDataFrame([(0, 1, 7, "a", 1, 1)], "bucket long, local_depth int, key long, text string, keep_id long, group_size long")
+    plan = exact.settled(entries)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(bucket" in plan
+
+
+def test_directory_leads_to_every_key(spark):
+    rows = [(k, f"text {k}") for k in range(200)]
+    index, places, depth = exact.index_and_directory(frame(spark, rows), capacity=5)
+    assert places.count() <= 1 << depth
+    found_in = exact.in_buckets(index.select("key", F.col("bucket").alias("own")), places, depth)
+    assert found_in.count() == 200 and not found_in.where("bucket <> own").count()
