@@ -63,7 +63,7 @@ class Pieces:
     gives the ids of a piece. A text that holds an added token's string goes to the library as it stands, which gives that token's id.
     """
 
-    def __init__(self, path, keep=120_000):
+    def __init__(self, path, keep=240_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
