@@ -95,6 +95,17 @@ _rule(
 )
 
 
+# Letters with marks of their own, marks out of order, a syllable in parts, characters that stand for others, and an excluded composition.
+PARTS = " q\u0307\u0323 \u1112\u1161\u11ab \u212b \u2126 \u0958 \ufb31 \u0344"
+_rule(
+    "compose",
+    C.compose,
+    lambda e: f"nfc_normalize({e})",
+    lambda n: F.concat(F.replace(F.replace(F.col(n), F.lit("e"), F.lit("e\u0301")), F.lit("s"), F.lit("s\u030c\u0323")), F.lit(PARTS)),
+    "(replace(replace(text, 'e', 'e' || chr(769)), 's', 's' || chr(780) || chr(803)) || '" + PARTS + "')",
+)
+
+
 @query("remove_urls", f"select page_id, {S.remove_urls(chr(39) + 'see ' + chr(39) + ' || url || ' + chr(39) + ' and ' + chr(39) + ' || html')} as text from pages")
 def remove_urls(read, spark):
     text = F.concat(F.lit("see "), F.col("url"), F.lit(" and "), F.col("html"))
@@ -110,6 +121,15 @@ def fix_encoding(read, spark):
     return both.select("doc_id", C.fix_encoding(F.col("text")).alias("text"))
 
 
+@query("fix_encoding_twice", "select doc_id, text || chr(10) || 'šūdas' as text from documents")
+def fix_encoding_twice(read, spark):
+    """Every text, and a line known to change, after its bytes were read with the wrong code page twice."""
+    text = F.concat(F.col("text"), F.lit("\nšūdas"))
+    for _ in range(2):
+        text = F.translate(F.decode(F.encode(text, "utf-8"), "iso-8859-1"), C.C1_CHARS, C.CP1252_CHARS)
+    return I.texts(read).select("doc_id", C.fix_encoding(text).alias("text"))
+
+
 @query(
     "demojize",
     """

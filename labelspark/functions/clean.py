@@ -56,6 +56,11 @@ SPECIAL = (
     "\\x{3000}\\x{fb00}-\\x{fb06}\\x{feff}-\\x{ff5e}\\x{fff9}-\\x{fffc}]"
 )
 
+# Two characters that may be bytes of one, how often a line may have been garbled, and the first characters that may have another normal form.
+GARBLED = f"[\\xc2-\\xf4][\\x80-\\xbf{CP1252_CHARS}]"
+GARBLED_TIMES = 3
+FROM_MARKS = "[\\x{300}-\\x{10ffff}]"
+
 EDGE_CHARS = string.punctuation + string.whitespace
 CUT = "\ufdd0"  # a code point that is never a character
 
@@ -66,14 +71,22 @@ def text_or_empty(c):
 
 
 def fix_encoding(c):
-    """Repairs lines whose UTF-8 bytes were read as windows-1252; other lines stay as they are."""
+    """Repairs lines whose UTF-8 bytes were read as windows-1252, up to `GARBLED_TIMES` times over; other lines stay as they are."""
 
     def repaired(line):
         single_bytes = F.regexp_replace(F.translate(line, CP1252_CHARS, C1_CHARS), "[^\\x00-\\xff]", "\xff")
         text = F.try_validate_utf8(F.encode(single_bytes, "iso-8859-1").cast("string"))
-        return F.when(line.rlike(f"[\\xc2-\\xf4][\\x80-\\xbf{CP1252_CHARS}]"), F.coalesce(text, line)).otherwise(line)
+        return F.when(line.rlike(GARBLED), F.coalesce(text, line)).otherwise(line)
+
+    lines = F.split(c, "\n", -1)
+    for _ in range(GARBLED_TIMES):
+        lines = F.transform(lines, repaired)
+    return F.when(c.rlike(GARBLED), F.array_join(lines, "\n")).otherwise(c)
+
 
-    return F.array_join(F.transform(F.split(c, "\n", -1), repaired), "\n")
+def compose(c):
+    """Normal form C: letters and the marks behind them as one character where there is one. No character below U+0300 changes by it."""
+    return F.when(c.rlike(FROM_MARKS), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))).otherwise(c)
 
 
 def unescape_entities(c):
@@ -105,8 +118,8 @@ def plain_characters(c):
 
 
 def repair_text(c):
-    """Wrong code pages, character references, and characters with a plain form."""
-    return plain_characters(unescape_entities(fix_encoding(c)))
+    """Wrong code pages, character references, characters with a plain form, and letters with marks of their own."""
+    return compose(plain_characters(unescape_entities(fix_encoding(c))))
 
 
 def remove_dates(c):

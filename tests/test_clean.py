@@ -27,6 +27,22 @@ def run(spark, rule, texts):
                 "plain": "plain",
                 "â€œxâ€\x9d": "“x”",
                 "cafÃ©\nžalia 日本": "café\nžalia 日本",
+                "cafÃƒÂ©": "café",
+                "cafÃƒÆ’Ã‚Â©\nÃ©": "café\né",
+                "": "",
+                None: None,
+            },
+        ),
+        (
+            C.compose,
+            {
+                "e\u0301 s\u030c z\u0307\u0323": "é š ẓ\u0307",
+                "\u1112\u1161\u11ab": "한",
+                "\u212b\u2126": "ÅΩ",
+                "\u0958": "\u0915\u093c",
+                "plain é 日本 \U0001f525": "plain é 日本 \U0001f525",
+                "": "",
+                None: None,
             },
         ),
         (
