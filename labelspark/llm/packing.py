@@ -22,6 +22,8 @@ from labelspark.llm.token_ids import default_path, pieces, width_of
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long"
 #: Totals of so many partitions, 16 bytes each, may be sent to all executors; beyond it they are joined.
 SENT_PARTS = 1 << 20
+#: Pieces of text whose ids a worker process keeps.
+KEEP = 240_000
 
 
 def token_stream(docs, path, end_id, id_col="doc_id", text_col="text"):
@@ -34,7 +36,7 @@ def token_stream(docs, path, end_id, id_col="doc_id", text_col="text"):
 
     def run(batches):
         part, before = TaskContext.get().partitionId(), 0
-        coder = pieces(path)
+        coder = pieces(path, KEEP)
         end = np.array([end_id], dtype=coder.dtype).tobytes()
         for batch in shared.parts(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

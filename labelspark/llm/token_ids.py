@@ -63,7 +63,7 @@ class Pieces:
     gives the ids of a piece. A text that holds an added token's string goes to the library as it stands, which gives that token's id.
     """
 
-    def __init__(self, path, keep=240_000):
+    def __init__(self, path, keep=120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -106,9 +106,9 @@ class Pieces:
 
 
 @functools.lru_cache(maxsize=2)
-def pieces(path):
+def pieces(path, keep=120_000):
     """One per worker process and tokenizer file."""
-    return Pieces(path)
+    return Pieces(path, keep)
 
 
 def width_of(path):
