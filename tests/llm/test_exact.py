@@ -86,16 +86,25 @@ def test_chains_of_one_folded_key(spark, monkeypatch):
     assert index.count() == len({t or "" for _, t in rows}) == index.agg(F.max("chain")).first()[0]
 
 
-def test_buckets_settle_their_texts_in_one_task(spark):
-    """Texts move once, by bucket; nothing behind that moves them again."""
-    entries = spark.createDataFrame([(0, 1, 7, "a", 1, 1)], "bucket long, local_depth int, key long, text string, keep_id long, group_size long")
-    plan = exact.settled(entries)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "hashpartitioning(bucket" in plan
+def test_texts_move_once(spark):
+    """By page of the directory, sent or joined; nothing behind that moves them again."""
+    rows = exact.keyed(frame(spark, corpus(1)), "doc_id", "text", None)
+    pages, depth = exact.directory(rows.select("key").distinct(), 5)
+    entries = rows.select("key", "text", F.col("doc_id").alias("keep_id"), F.lit(1).alias("group_size"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit, moves in (("10m", 1), ("-1", 2)):  # the second one is the directory's
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            plan = exact.settled(entries, pages, depth)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("hashpartitioning(") == plan.count("hashpartitioning(page") == moves
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_directory_leads_to_every_key(spark):
     rows = [(k, f"text {k}") for k in range(200)]
-    index, places, depth = exact.index_and_directory(frame(spark, rows), capacity=5)
-    assert places.count() <= 1 << depth
-    found_in = exact.in_buckets(index.select("key", F.col("bucket").alias("own")), places, depth)
+    index, pages, depth = exact.index_and_directory(frame(spark, rows), capacity=5)
+    assert pages.agg(F.sum(F.size("cells"))).first()[0] <= 1 << depth
+    keys = index.select("key", F.col("bucket").alias("own"), exact.page(depth, exact.cell(depth)).alias("page"))
+    found_in = exact.in_buckets(keys, pages, depth)
     assert found_in.count() == 200 and not found_in.where("bucket <> own").count()
