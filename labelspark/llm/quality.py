@@ -4,14 +4,16 @@ A linear model on text features minimises the non-negative risk estimate
 
     prior * E_positive[loss(g)] + max(0, E_unlabelled[loss(-g)] - prior * E_positive[loss(-g)])
 
-over trusted positives and unlabelled web text, with the logistic loss, so sigmoid(g) estimates the chance that a text is good. Where the
-second part falls below zero, the step goes against it alone. Negative labels only serve the estimate of the class prior: the share of
+over trusted positives and unlabelled web text, with the logistic loss, so sigmoid(g) estimates the chance that a text is good. All documents
+of the training folds are the unlabelled text, their labels unseen, so it has the mixture the prior speaks of even if every document has a
+label. Where the second part falls below zero, the step goes against it alone. Negative labels only serve the estimate of the class prior: the share of
 positives among the labelled rows of the training folds.
 
-The fit uses a bounded sample: `POSITIVES` and `UNLABELLED` documents, those whose id hashes lowest. Every document is scored, whole.
+The fit uses a bounded sample: `POSITIVES` and `UNLABELLED` documents, those whose id hashes lowest. Of rows with one id it takes one. Every
+document is scored, whole.
 
 A null text is the empty text, whose features are all zero. Null or repeated labels: only rows with a label count, each once. Without a
-positive or an unlabelled document the score is the prior (0.5 without labels). Columns besides id and text are not read.
+positive document nothing is learned: the score is the prior (0.5 without labels), and `drop_poor` keeps all rows. Columns besides id and text are not read.
 """
 
 import functools
@@ -132,7 +134,8 @@ def sample(docs, chosen, id_col, text_col):
     def run(columns):
         return {"doc_id": columns["doc_id"], "x": [row.astype(np.float16).tobytes() for row in features(columns["text"])]}
 
-    got = rows.mapInArrow(shared.per_batch(run, "doc_id long, x binary"), "doc_id long, x binary").collect()
+    found = rows.mapInArrow(shared.per_batch(run, "doc_id long, x binary"), "doc_id long, x binary")
+    got = found.groupBy("doc_id").agg(F.min("x").alias("x")).collect()
     got.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     return np.array([np.frombuffer(bytes(r["x"]), dtype=np.float16) for r in got], dtype=np.float32).reshape(-1, SIZE)
 
@@ -148,9 +151,8 @@ def train(docs, labels, folds=5, held_out=0, label="quality", id_col="doc_id", t
     prior = float(np.clip(counts["good"] / counts["n"], 0.01, 0.99))
     first = lambda df, n: df.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     free = docs.select(F.col(id_col).alias("doc_id")).where(F.col("doc_id").isNotNull() & (shared.buckets_of("doc_id", folds) != held_out))
-    free = free.join(labels.select(F.col(id_col).alias("doc_id")), "doc_id", "left_anti").distinct()
     positive = sample(docs, first(known.where("label = 1"), POSITIVES), id_col, text_col)
-    unlabelled = sample(docs, first(free, UNLABELLED), id_col, text_col)
+    unlabelled = sample(docs, first(free.distinct(), UNLABELLED), id_col, text_col)
     if not len(positive) or not len(unlabelled):
         return None, prior
     return fit(positive, unlabelled, prior), prior
@@ -176,7 +178,10 @@ def score(docs, model, folds=5, held_out=0, threshold=0.3, id_col="doc_id", text
 
 
 def drop_poor(docs, labels, threshold=0.3, id_col="doc_id", text_col="text"):
-    """The rows of `docs` that are not rejected, all columns. Only rejected ids are joined."""
-    scored = score(docs, train(docs, labels, id_col=id_col, text_col=text_col), threshold=threshold, id_col=id_col, text_col=text_col)
+    """The rows of `docs` that are not rejected, all columns. Only rejected ids are joined; all rows stay where nothing could be learned."""
+    model = train(docs, labels, id_col=id_col, text_col=text_col)
+    if model[0] is None:
+        return docs
+    scored = score(docs, model, threshold=threshold, id_col=id_col, text_col=text_col)
     rejected = shared.stored(scored.where("predicted = 0").select(F.col("doc_id").alias("_rejected")), "rejected").distinct()
     return docs.join(rejected, docs[id_col] == rejected["_rejected"], "left_anti")

@@ -54,6 +54,38 @@ def test_quality_edges(spark):
     assert quality.score(empty, quality.train(empty, labels_of(spark, [(1, 1, 0)]))).count() == 0
 
 
+def test_quality_where_every_document_has_a_label(spark):
+    rows, _ = graded()
+    marks = labels_of(spark, [(k, int(k % 4 != 0), 0) for k, _ in rows])
+    got = quality.score(frame(spark, rows), quality.train(frame(spark, rows), marks)).toPandas().set_index("doc_id")
+    right = [bool(got.loc[k].predicted) == (k % 4 != 0) for k, _ in rows if got.loc[k].held_out]
+    assert np.mean(right) > 0.95 and got.score.nunique() > 100
+
+
+def test_quality_without_a_good_document_drops_nothing(spark):
+    rows, _ = graded(60)
+    docs = frame(spark, rows)
+    for marks in ([], [(k, 0, 0) for k, _ in rows], [(9000, 1, 0)]):
+        assert quality.drop_poor(docs, labels_of(spark, marks)).count() == len(rows)
+
+
+def test_quality_sample_takes_one_row_of_an_id(spark):
+    docs = frame(spark, [(1, f"text {k}") for k in range(50)] + [(2, "other")])
+    chosen = docs.select("doc_id").distinct()
+    assert quality.sample(docs, chosen, "doc_id", "text").shape == (2, quality.SIZE)
+
+
+def test_quality_against_plain_scores(spark):
+    """The scores of the query are those of the fitted weights, text by text."""
+    rows, labels = graded(120)
+    docs = frame(spark, rows + [(500, None), (501, "")])
+    weights, prior = quality.train(docs, labels_of(spark, labels))
+    got = quality.score(docs, (weights, prior)).toPandas().set_index("doc_id").score
+    for doc, text in [*rows, (500, ""), (501, "")]:
+        z = quality.features([text]).astype(np.float64)[0] @ weights[:-1] + weights[-1]
+        assert math.isclose(got[doc], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
 def test_the_risk_is_held_above_zero():
     """Unlabelled data of which 70 % are positive: the learned chance ranks the negatives below the positives."""
     rng = np.random.default_rng(0)
