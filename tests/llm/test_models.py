@@ -291,22 +291,89 @@ def test_adapting_never_adds_probability():
     assert 0.9 < total <= 1 + 1e-9
 
 
-def test_tables_grow_with_contexts(spark):
+def spelled(rng, count):
+    """(word, unit, block, n) rows: many words that begin alike, in several spellings and blocks."""
+    rows = []
+    for _ in range(count):
+        word = rng.choice(["inter", "interest", "interestingly" * 3, "Intern", "in", ""]) + "".join(rng.choices("ab", k=rng.randrange(4)))
+        unit = (rng.choice(["", "\xff"]).encode("latin-1")) + word.encode() + rng.choice([b" ", b"\n", b""])
+        rows += [(bytearray(mixing.word_of(unit)), bytearray(unit), block, rng.randrange(3)) for block in rng.sample(range(5), 2)]
+    return list({(bytes(r[1]), r[2]): r for r in rows}.values())
+
+
+@pytest.mark.parametrize("many", [1 << 18, 20, 0])
+def test_whole_unit_counts_lie_beside_the_units(spark, many):
+    """Every start of a unit that its group does not have in common has the counts of all units, however the rows were grouped."""
     shared.ship(spark)
-    vocab = spark.range(0, 200_000, 1, 4).selectExpr("unhex(substr(sha2(string(id), 256), 1, 24)) as unit", "id % 5 + 1 as n")
-    units, n = (list(x) for x in zip(*((bytes(r["unit"]), r["n"]) for r in vocab.collect()), strict=True))
-    symbols, _, _, _, hashes = mixing.contexts(units)
-    exact = [len(set(zip(h.tolist(), symbols.tolist(), strict=True))) for h in hashes]
-    sizes = mixing.table_bits(vocab)
-    assert mixing.table_bits(vocab.limit(100)) == mixing.TABLE_BITS
-    assert sizes[-1] > mixing.TABLE_BITS[-1]
-    for bits, pairs in zip(sizes, exact, strict=True):
-        assert 2**bits > 1.8 * pairs
-    counts = mixing.symbol_counts(vocab)
-    tables = mixing.context_tables(vocab, counts, sizes)
-    assert mixing.bits_of(tables) == sizes
-    slots, bits, first, _ = mixing.decisions(units, mixing.code_of(counts), sizes)
+    rows = spelled(random.Random(5), 400)
+    frame_ = spark.createDataFrame(rows, "word binary, unit binary, block int, n long").repartition(4)
+    counts = mixing.symbol_counts(frame_)
+    code = mixing.code_of(counts)
+    got = mixing.vocabulary(frame_, counts, many).collect()
+    total, of_word, blocks = Counter(), Counter(), {}
+    for word, unit, block, n in rows:
+        total[bytes(unit)] += n
+        of_word[bytes(word)] += n
+        blocks.setdefault(bytes(unit), []).append(block)
+    want = {u: (total[u], of_word[mixing.word_of(u)] if mixing.word_of(u) else -1, sorted(blocks[u])) for u in blocks}
+    assert {bytes(r["unit"]): (r["n"], r["c"], sorted(r["blocks"])) for r in got} == want and len(got) == len(want)
+    assert sum(r["c"] for r in got if r["leads"] and r["c"] > 0) == sum(c for w, c in of_word.items() if w)
+    # Counts of a unit so far: by the symbols before a decision and the decisions of the symbol up to it.
+    seen, decided = Counter(), {}
+    for unit in blocks:
+        symbols, _ = mixing.symbols_of([unit])
+        _, bits, _, place = mixing.decisions([unit], code)
+        path, decided[unit] = (), []
+        for k, (bit, at) in enumerate(zip(bits.tolist(), place.tolist(), strict=True)):
+            path = (path if k and place[k - 1] == at else ())
+            decided[unit].append((tuple(symbols[:at].tolist()), path, at))
+            seen[(*decided[unit][-1][:2], bit)] += total[unit]
+            path += (bit,)
+    known = 0
+    for row in got:
+        own = np.frombuffer(bytes(row["own"]), dtype=np.uint16)
+        assert len(own) == len(decided[bytes(row["unit"])])
+        for have, (start, path, at) in zip(own.tolist(), decided[bytes(row["unit"])], strict=True):
+            if have == mixing.UNKNOWN:
+                assert many < 1 << 18 or at < 4
+                continue
+            known += 1
+            zeros, ones = mixing.level_of(np.array([seen[(start, path, 0)], seen[(start, path, 1)]])).tolist()
+            assert at >= 4 and have == zeros << 8 | ones
+    assert known > 0 or many == 0
+
+
+def test_groups_grow_deeper_only_where_they_are_too_large(spark):
+    rows = [(b"common%03d" % k, b"", 0, 1) for k in range(50)] + [(b"rare%d" % k, b"", 0, 1) for k in range(5)] + [(b"comet", b"", 0, 1), (b"com", b"", 0, 1)]
+    frame_ = spark.createDataFrame([(bytearray(w), bytearray(u), b, n) for w, u, b, n in rows], "word binary, unit binary, block int, n long")
+    got = {(bytes(r["word"]), bytes(r["key"]), r["deep"]) for r in mixing.keyed(frame_, 10).collect()}
+    assert {(w, k, d) for w, k, d in got if w.startswith(b"rare")} == {(b"rare%d" % k, b"rar", 4) for k in range(5)}
+    assert (b"comet", b"comet", 8) in got and (b"com", b"com", 8) in got and (b"common001", b"common0", 8) not in got
+    assert (b"common001", b"common001", 16) in got and len(got) == len(rows)
+
+
+def test_tables_hold_the_sums_of_all_units(spark):
+    shared.ship(spark)
+    rows = spark.range(0, 20_000, 1, 4).selectExpr("unhex(substr(sha2(string(id), 256), 1, 24)) as unit", "id % 5 + 1 as n")
+    units, n = (list(x) for x in zip(*((bytes(r["unit"]), r["n"]) for r in rows.collect()), strict=True))
+    counts = mixing.symbol_counts(rows)
+    tables = mixing.context_tables(rows, counts)
+    assert mixing.bits_of(tables) == mixing.SENT_BITS
+    slots, bits, first, _ = mixing.decisions(units, mixing.code_of(counts))
     weight = np.repeat(np.array(n), np.diff(np.append(first, len(bits))))
-    for k, width in enumerate(sizes):
+    for k, width in enumerate(mixing.SENT_BITS):
         sums = np.bincount(slots[k] * 2 + bits, weights=weight, minlength=2 << width).reshape(-1, 2)
         assert np.array_equal(tables[k], (mixing.level_of(sums[:, 0]).astype(np.uint16) << 8) | mixing.level_of(sums[:, 1]))
+
+
+def test_results_do_not_depend_on_batches(spark):
+    """Groups put together from many small batches are those of one large batch."""
+    import pyarrow as pa
+
+    keys = sorted(random.Random(3).choices([b"a", b"b", b"c", b"dd", b"e"], k=300))
+    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(range(300))], names=["key", "n"])
+    for size in (1, 7, 300):
+        tables = list(mixing.whole_groups((batch.slice(k, size) for k in range(0, 300, size)), 50))
+        assert [x for t in tables for x in t.column("n").to_pylist()] == list(range(300))
+        ends = [(t.column("key").to_pylist()[0], t.column("key").to_pylist()[-1]) for t in tables]
+        assert all(a[1] != b[0] for a, b in zip(ends[:-1], ends[1:], strict=True))
