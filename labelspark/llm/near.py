@@ -33,7 +33,7 @@ BATCH, MISS = 20, 1e-6
 SMALL_BUCKET, BLOCK, BLOCK_SHINGLES, CHUNK = 24, 2048, 400_000, 128
 #: Seeds of the hubs of a bucket, per round, before all pairs between components are compared.
 HUBS = ((1, 2, 3), (4, 5, 6, 7))
-#: Ids of so many documents, 8 bytes each, may be sent to all executors to pick their texts; beyond it they are joined by a shuffle.
+#: Ids of so many rows, 8 bytes each, may be sent to all executors to pick their texts; beyond it they are joined by a shuffle.
 SENT_IDS = 1 << 20
 
 _ODD = np.random.default_rng(20).integers(1 << 32, 1 << 63, SIZE + SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,16 +134,16 @@ def prune(pairs, classes, threshold):
 
 
 def verify(pairs, classes, docs, percent, size=SHINGLE):
-    """(a, b) of the pairs with 100 * intersection >= percent * union, on full sets. `docs`: (doc_id, text)."""
+    """(a, b) of the pairs with 100 * intersection >= percent * union, on full sets, and how many. `docs`: (doc_id, text)."""
     pairs = shared.stored(pairs, "near-pairs")
     chunk = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(1 << 20)).alias("h"), "b")
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     dealt = chunk.join(counts, "a").select("a", "b", F.pmod("h", F.col("chunks")).alias("chunk"))
     needed = dealt.select("a", "chunk", F.col("b").alias("node"), F.lit(1).alias("member"))
     needed = needed.unionByName(dealt.select("a", "chunk", F.col("a").alias("node"), F.lit(0).alias("member")).distinct())
-    needed = shared.stored(needed.join(classes.select("node", "doc_id", "n_shingles", "check"), "node"), "near-needed")
+    needed, facts = shared.noted(needed.join(classes.select("node", "doc_id", "n_shingles", "check"), "node"), "near-needed", n=F.count("*"))
     ids = needed.select("doc_id").distinct()
-    picked = docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+    picked = docs.join(F.broadcast(ids) if facts["n"] <= SENT_IDS else ids, "doc_id", "left_semi")
     rows = needed.join(picked, "doc_id").select("a", "chunk", "member", "node", "check", "n_shingles", "text")
     rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "member", "node")
     fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -165,30 +165,30 @@ def verify(pairs, classes, docs, percent, size=SHINGLE):
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=fields)
 
-    return shared.stored(rows.mapInArrow(run, "a long, b long").distinct(), "near-links")
+    links, facts = shared.noted(rows.mapInArrow(run, "a long, b long").distinct(), "near-links", n=F.count("*"))
+    return links, facts["n"]
 
 
-def mark_of(edges):
-    """Number and fingerprint of a set of edges."""
+def written_edges(edges):
+    """Different edges, written, with the number and fingerprint of their set."""
     h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 24))).first())
+    rows, mark = shared.noted(edges.where("u <> v").distinct(), "edges", n=F.count("*"), x=F.bit_xor(h), s=F.sum(F.shiftright(h, 24)))
+    return rows, mark
 
 
 def components(links):
     """(node, root): the smallest node that can be reached, for nodes with a link; alternating steps to larger and to smaller neighbours."""
-    edges = shared.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = mark_of(edges)
-    while True:
+    edges, mark = written_edges(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    before = None
+    while mark != before:
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
         # Larger neighbours are hung on the smallest one, then smaller ones likewise.
-        large = ways.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+        large = ways.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
         small_low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(small_low, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
-        following = shared.stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        edges, before, mark = following, mark, mark_of(following)
-        if mark == before:
-            break
+        before = mark
+        edges, mark = written_edges(small.select("e.u", "e.v"))
     return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
@@ -214,12 +214,13 @@ def bucket_rows(classes):
 
 
 def divided(buckets, roots):
-    """(bucket, hub, node, root, n, hub_root) of buckets whose members are in several components; hub_root: the component most are in."""
+    """(bucket, hub, node, root, n, hub_root) of buckets whose members are in several components, and how many; hub_root: the component most are in."""
     rooted = buckets.join(roots, "node", "left").select("bucket", "hub", "node", F.coalesce("root", "node").alias("root"))
     sides = rooted.groupBy("bucket", "root").agg(F.count("*").alias("k"))
     top = sides.groupBy("bucket").agg(F.sum("k").alias("n"), F.count("*").alias("roots"), F.max(F.struct("k", "root")).alias("top"))
     several = top.where("roots > 1").select("bucket", "n", F.col("top.root").alias("hub_root"))
-    return shared.stored(rooted.join(several, "bucket"), "divided")
+    rows, facts = shared.noted(rooted.join(several, "bucket"), "divided", n=F.count("*"))
+    return rows, facts["n"]
 
 
 def hubs_of(members, seeds):
@@ -325,25 +326,24 @@ def found_links(columns, percent, size):
 
 
 def owed_links(rows, classes, docs, percent, size=SHINGLE):
-    """(a, b): links between components of divided buckets, so that none stays apart that has one. Every pair between components is compared."""
+    """(a, b): links between components of divided buckets, so that none stays apart that has one, and how many. Every pair between components is compared."""
     threshold = percent / 100
     marked = in_blocks(rows.join(classes.select("node", "sig"), "node"), F.lit(1), BLOCK)
     marked = marked.select("bucket", "i", "j", "block", "node", "root", "sig").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     fields = pa.schema([("bucket", pa.int64()), ("node", pa.int64())])
     hits = marked.mapInArrow(by_block(lambda columns: possible(columns, threshold), fields), "bucket long, node long").distinct()
-    left = shared.stored(rows.join(hits, ["bucket", "node"], "left_semi").join(classes.select("node", "doc_id", "n_shingles"), "node"), "owed")
+    left, facts = shared.noted(rows.join(hits, ["bucket", "node"], "left_semi").join(classes.select("node", "doc_id", "n_shingles"), "node"), "owed", n=F.count("*"))
     ids = left.select("doc_id").distinct()
-    texts = docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+    texts = docs.join(F.broadcast(ids) if facts["n"] <= SENT_IDS else ids, "doc_id", "left_semi")
     full = in_blocks(left, F.col("n_shingles"), BLOCK_SHINGLES).join(texts, "doc_id")
     full = full.select("bucket", "i", "j", "block", "node", "root", "text").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return shared.stored(full.mapInArrow(by_block(lambda columns: found_links(columns, percent, size), fields), "a long, b long").distinct(), "near-links")
+    links, facts = shared.noted(full.mapInArrow(by_block(lambda columns: found_links(columns, percent, size), fields), "a long, b long").distinct(), "near-links", n=F.count("*"))
+    return links, facts["n"]
 
 
 def merged(roots, links):
     """Roots after further links."""
-    if not links.limit(1).count():
-        return roots
     between = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
         roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left"
     )
@@ -366,19 +366,20 @@ def near_duplicates(docs, percent=85, id_col="doc_id", text_col="text", size=SHI
     star = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     large = buckets.where(F.col("n") > SMALL_BUCKET)
     star = star.unionByName(pairs_with(large, hubs_of(large, HUBS[0]))).distinct()
-    links = verify(prune(star, classes, threshold), classes, texts, percent, size)
+    links, _ = verify(prune(star, classes, threshold), classes, texts, percent, size)
     roots = shared.stored(components(links), "roots")
     # Other hubs join most of what is left with few pairs; the last round owes every pair between components.
     for seeds in (*HUBS[1:], None):
-        left = divided(buckets, roots)
-        if not left.limit(1).count():
+        left, n_left = divided(buckets, roots)
+        if not n_left:
             break
         if seeds is None:
-            more = owed_links(left, classes, texts, percent, size)
+            more, n_more = owed_links(left, classes, texts, percent, size)
         else:
             pairs = pairs_with(left.where("root <> hub_root"), hubs_of(left.where("root = hub_root"), seeds))
-            more = verify(prune(pairs, classes, threshold), classes, texts, percent, size)
-        roots = merged(roots, more)
+            more, n_more = verify(prune(pairs, classes, threshold), classes, texts, percent, size)
+        if n_more:
+            roots = merged(roots, more)
     # The root is a set's fingerprint; a component is named by its smallest document.
     first = classes.join(roots, "node", "left").select("node", "check", "n_shingles", F.coalesce("root", "node").alias("root"), "doc_id")
     named = first.groupBy("root").agg(F.min("doc_id").alias("component"))

@@ -6,6 +6,7 @@ import uuid
 import zipfile
 
 import pyarrow as pa
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from labelspark.session import shared_folder
@@ -35,6 +36,16 @@ def stored(df, name, compression="zstd"):
     return df.sparkSession.read.parquet(path)
 
 
+def noted(df, name, compression="zstd", **facts):
+    """`stored` rows and a dictionary of aggregates over them, taken while they are written: no job of their own."""
+    watch = Observation()
+    rows = stored(df.observe(watch, *[fact.alias(key) for key, fact in facts.items()]), name, compression)
+    values = watch.get
+    if set(values) != set(facts):  # the engine left the observation out of a plan without rows
+        values = rows.agg(*[fact.alias(key) for key, fact in facts.items()]).first().asDict()
+    return rows, values
+
+
 def text_or_empty(col="text"):
     return F.coalesce(F.col(col), F.lit(""))
 
