@@ -65,6 +65,11 @@ EDGE_CHARS = string.punctuation + string.whitespace
 CUT = "\ufdd0"  # a code point that is never a character
 
 
+def once(c, step):
+    """`step(c)` with `c` evaluated once, however often the step names it: a lambda's variable is a value, a repeated expression is computed again."""
+    return F.get(F.transform(F.array(c), step), F.lit(0))
+
+
 def text_or_empty(c):
     """Null becomes the empty string."""
     return F.coalesce(c, F.lit(""))
@@ -78,9 +83,13 @@ def fix_encoding(c):
         text = F.try_validate_utf8(F.encode(single_bytes, "iso-8859-1").cast("string"))
         return F.when(line.rlike(GARBLED), F.coalesce(text, line)).otherwise(line)
 
-    lines = F.split(c, "\n", -1)
-    for _ in range(GARBLED_TIMES):
-        lines = F.transform(lines, repaired)
+    def mended(line):
+        for _ in range(GARBLED_TIMES):
+            line = once(line, repaired)
+        return line
+
+    # lines without a garbled pair are searched once
+    lines = F.transform(F.split(c, "\n", -1), lambda line: F.when(line.rlike(GARBLED), mended(line)).otherwise(line))
     return F.when(c.rlike(GARBLED), F.array_join(lines, "\n")).otherwise(c)
 
 
@@ -109,17 +118,29 @@ def unescape_entities(c):
 
 
 def plain_characters(c):
-    """Curly quotes, ligatures, full-width letters, line breaks and control codes in their plain form."""
-    plain = F.translate(c, CURLED + WIDE, UNCURLED + NARROW)
-    for ligature, letters in LIGATURES.items():
-        plain = F.replace(plain, F.lit(ligature), F.lit(letters))
-    plain = F.regexp_replace(F.regexp_replace(plain, LINE_BREAK, "\n"), CONTROLS, "")
-    return F.when(c.rlike(SPECIAL), plain).otherwise(c)
+    """Curly quotes, ligatures, full-width letters, line breaks and control codes in their plain form.
+
+    The text is cut at such characters, and only these pieces are translated.
+    """
+
+    def plain(piece):
+        piece = F.translate(piece, CURLED + WIDE, UNCURLED + NARROW)
+        for ligature, letters in LIGATURES.items():
+            piece = F.replace(piece, F.lit(ligature), F.lit(letters))
+        return F.regexp_replace(F.regexp_replace(piece, LINE_BREAK, "\n"), CONTROLS, "")
+
+    # a line feed stays with the carriage return before it
+    marked = F.regexp_replace(c, f"({SPECIAL}+\n?)", f"{CUT}$1{CUT}")
+    pieces = F.transform(F.split(marked, CUT, -1), lambda p, i: F.when(i % 2 == 1, plain(p)).otherwise(p))
+    cut = F.when(F.contains(c, F.lit(CUT)), plain(c)).otherwise(F.array_join(pieces, ""))
+    return F.when(c.rlike(SPECIAL), cut).otherwise(c)
 
 
 def repair_text(c):
     """Wrong code pages, character references, characters with a plain form, and letters with marks of their own."""
-    return compose(plain_characters(unescape_entities(fix_encoding(c))))
+    for step in (fix_encoding, unescape_entities, plain_characters, compose):
+        c = once(c, step)
+    return c
 
 
 def remove_dates(c):
