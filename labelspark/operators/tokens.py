@@ -14,8 +14,8 @@ from labelspark.operators.tiers import listed_terms
 from labelspark.session import ship, written
 
 PAD, UNKNOWN = 0, 1
-#: Tokens of a vocabulary that are sent to the executors, some 100 MB; what stands for the others until they are joined.
-SENT_TOKENS, LEFT = 1 << 21, -1
+#: Tokens of a vocabulary that are sent to the executors, some 10 MB in every Python worker; what stands for the others until they are joined.
+SENT_TOKENS, LEFT = 1 << 17, -1
 
 
 def tokens(c):
