@@ -15,9 +15,9 @@ from pyspark.sql.types import StructType
 
 from labelspark.session import ship, written
 
-#: Bytes of the weights that are sent, and bits of the filter: bounds of what every executor holds.
-SENT_BYTES = 1 << 27
-FILTER_BITS = 1 << 27
+#: Bytes of the weights that are sent, and bits of the filter: bounds of what every Python worker of an executor holds, some times over.
+SENT_BYTES = 1 << 24
+FILTER_BITS = 1 << 26
 #: A term's own bytes besides its weights, as counted against `SENT_BYTES`.
 TERM_BYTES = 48
 #: Texts looked up at a time, and numbers gathered at a time.
