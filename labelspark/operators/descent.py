@@ -15,10 +15,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from labelspark.operators.tokens import tokens
-from labelspark.session import ship, written
+from labelspark.session import ship, small_batches, written
 
 #: Texts of a block. A block is dense while it is worked on: at most `BLOCK` x features numbers.
 BLOCK = 256
+#: Blocks that come to a Python worker at once, some 300 KB each.
+SENT_BLOCKS = 16
 #: Weights of heads fitted at a time, as they are sent to all executors. More heads are fitted in several groups, one after another.
 HEAD_BYTES = 1 << 28
 #: Numbers of a gradient that are added up as one row.
@@ -99,6 +101,22 @@ def chances(z):
     return e / e.sum(axis=1, keepdims=True)
 
 
+def evened(batches, rows):
+    """The rows of `batches` in tables of `rows` rows, the last one of what is left: few rows are Python objects at a time."""
+    held, size = [], 0
+    for batch in batches:
+        start = 0
+        while start < batch.num_rows:
+            held.append(batch.slice(start, rows - size))
+            size += held[-1].num_rows
+            start += held[-1].num_rows
+            if size == rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 BLOCKS = "columns binary, ends binary, places binary, cells binary, rows binary, tasks binary, classes binary, weights binary, valid binary"
 
 
@@ -125,16 +143,8 @@ def blocks_of(words, entries, features):
         return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in cells], schema=fields)
 
     def run(batches):
-        lists, marks = [], []
-        for batch in batches:
-            for own, entry in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lists.append(own)
-                marks.append(entry)
-                if len(lists) >= BLOCK:
-                    yield block(lists, marks)
-                    lists, marks = [], []
-        if lists:
-            yield block(lists, marks)
+        for part in evened(batches, BLOCK):
+            yield block(part.column(0).to_pylist(), part.column(1).to_pylist())
 
     marked = entries.groupBy(*TEXT_KEY).agg(F.array_sort(F.collect_list(F.struct("t", "y", "w", "valid"))).alias("entries"))
     rows = words.join(marked, list(TEXT_KEY)).sortWithinPartitions(F.col("entries")[0]["t"])
@@ -142,9 +152,10 @@ def blocks_of(words, entries, features):
 
 
 def opened(batch):
-    """Of every block of a batch: columns, dense rows, and the entries as arrays."""
+    """Of every block of a batch: columns, dense rows, and the entries as arrays. One block is open at a time, its numbers are not copied."""
     kinds = ("<i4", "<i4", "<i4", "<f4", "<i4", "<i4", "<i4", "<f8", "u1")
-    for raw in zip(*[batch.column(k).to_pylist() for k in range(len(kinds))], strict=True):
+    for row in range(batch.num_rows):
+        raw = [batch.column(k)[row].as_buffer() for k in range(len(kinds))]
         columns, ends, places, cells, *entries = (np.frombuffer(x, kind) for x, kind in zip(raw, kinds, strict=True))
         dense = np.zeros((len(ends), len(columns)), np.float32)
         dense[np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), places] = cells
@@ -190,7 +201,8 @@ def one_step(blocks, weights, sizes, active):
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([x.tolist() for x in cells], fields.field("g").type)], schema=fields)
 
     sums = blocks.mapInArrow(run, "chunk int, g array<double>").groupBy("chunk")
-    found = sums.agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")).toArrow()
+    with small_batches(spark, SENT_BLOCKS):
+        found = sums.agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")).toArrow()
     sent.destroy()
     flat, told = np.zeros(shape[0] * shape[1]), np.zeros((len(sizes), 4))
     for name, cells in zip(found.column("chunk").to_pylist(), found.column("g"), strict=True):

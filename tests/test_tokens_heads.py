@@ -1,6 +1,7 @@
 """Tokens, word pieces, pooling, count heads, fitted heads, centroids, runs."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -288,3 +289,43 @@ def test_best_and_compared_runs(spark):
     assert {(r["dataset"], r["model"]) for r in R.best_runs(df).collect()} == {("o", "m1"), ("a", "m1")}
     gains = {r["model"]: r["gain"] for r in R.compare_runs(df, "o", "a").collect()}
     assert gains["m1"] == pytest.approx(0.2) and gains["m2"] is None
+
+
+def test_what_is_sent_of_a_large_vocabulary_is_small(spark, monkeypatch):
+    """Few tokens and weights lie in every Python worker, however many there are; the others are joined, with the same results."""
+    sent, real = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: (sent.append(value), real(value))[1])
+    vocab = spark.range(400_000).select(F.concat(F.lit("w"), "id").alias("token"), (F.col("id") + 2).cast("int").alias("token_id"))
+    df = spark.createDataFrame([(1, "w0 w399999 w200000 none")], "i int, text string")
+    assert T.encode_tokens(df, vocab, "i", 4).first()["input_ids"] == [2, 400_001, 200_002, 1]
+    assert len(sent[-1][0]) <= 1 << 17
+    found = TI.tiers(vocab.select(F.col("token").alias("term"), F.lit(0).alias("idx"), F.col("token_id").cast("double").alias("weight")), 1)
+    assert found.weights.nbytes + TI.TERM_BYTES * len(found.terms) <= (1 << 24) + 64 and found.rare is not None
+    row = TI.term_sums(T.term_lists(df, "i"), found, "i", "terms").first()
+    assert row["n_terms"] == 4 and row["sums"] == [2 + 400_001 + 200_002]
+
+
+def test_one_block_is_open_at_a_time():
+    """A batch of many blocks is read in place; texts come to a block a few at a time."""
+    cells = np.ones(1 << 17, "<f4").tobytes()
+    own = {"places": np.zeros(1 << 17, "<i4").tobytes(), "cells": cells, "columns": np.zeros(1, "<i4").tobytes(), "ends": np.array([1 << 17], "<i4").tobytes()}
+    names = [x.split()[0] for x in D.BLOCKS.split(", ")]
+    batch = pa.RecordBatch.from_arrays([pa.array([own.get(name, b"")] * 40, pa.binary()) for name in names], names=names)
+    tracemalloc.start()
+    assert sum(dense.shape == (1, 1) for _, dense, _ in D.opened(batch)) == 40
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(cells)
+    parts = [p.column(0).to_pylist() for p in D.evened([pa.RecordBatch.from_pydict({"x": list(range(a, b))}) for a, b in ((0, 3), (3, 3), (3, 11))], 4)]
+    assert parts == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10]]
+
+
+def test_small_batches_hold_while_a_job_runs(spark):
+    from labelspark.session import small_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    rows = spark.range(0, 100, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    with small_batches(spark, 16):
+        assert max(r["n"] for r in rows.collect()) <= 16
+    assert spark.conf.get(name) == usual
