@@ -37,8 +37,8 @@ def keyed(docs, id_col, text_col, normalise):
 
 
 def cell(depth, key="key"):
-    """Leading `depth` bits of the key."""
-    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
+    """Leading `depth` bits of the key. Without any it is 0, by shifts: a literal would leave joins on it without a key, as cross joins."""
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.shiftrightunsigned(F.shiftrightunsigned(key, 63), 1)
 
 
 def directory(keys, capacity=CAPACITY):

@@ -108,3 +108,12 @@ def test_directory_leads_to_every_key(spark):
     keys = index.select("key", F.col("bucket").alias("own"), exact.page(depth, exact.cell(depth)).alias("page"))
     found_in = exact.in_buckets(keys, pages, depth)
     assert found_in.count() == 200 and not found_in.where("bucket <> own").count()
+
+
+def test_one_bucket_is_joined_by_key(spark):
+    """A directory of one cell is looked up like any other, without a cross join."""
+    rows = [(1, "a"), (2, "a"), (3, None), (4, "b")]
+    found = exact.exact_duplicates(frame(spark, rows))
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in found.collect()} == {1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (4, 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
