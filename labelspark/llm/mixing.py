@@ -14,8 +14,9 @@ Learning, over all training documents:
    in all at any size (`TABLE_BITS`). They are sent to every executor.
 3. Counts of whole units so far grow with the corpus and are never in one place. Units that begin alike meet in one task: the shuffle goes by the first
    three bytes of the lower-cased word, by more bytes where so many rows begin alike that they would not fit (`MANY`). There every start of a unit longer than
-   that has all its counts, and each unit keeps those of its own starts beside it. Shorter starts are the same as a context of four symbols, or use
-   it where words are told apart by more bytes. The same shuffle sums the words' counts.
+   that has all its counts, and each unit keeps those of its own starts beside it. Starts that groups of more bytes have in common are summed over
+   the groups by one more shuffle (`completed`), so the counts are the same however the rows were grouped. Starts of less than four symbols are the
+   same as a context of four symbols. The first shuffle sums the words' counts as well.
 4. Weights are learned online: tasks run through the units in steps, each with the unit's own occurrence taken out of the counts, and the tasks' weights
    are averaged.
 5. Every distinct unit is coded once; its code lengths and its word's count go back to the blocks that hold it.
@@ -45,10 +46,11 @@ TABLE_BITS = (16, 18, 20, 22, 22)
 SENT_BITS, HASH_BITS = TABLE_BITS[:4], 32
 #: `decisions` gives 64-bit keys for this size and nothing for None.
 WHOLE = 64
-#: No counts beside the unit: a place within the bytes that its group has in common.
+#: No counts beside the unit: a place within the bytes that its group has in common. Places before `OWN` never have them.
 UNKNOWN = 0xFFFF
 #: Bytes of the word that bring units together, and rows of a group beyond which more of them are taken.
 LEVELS, MANY = (3, 7, 15, 31), 1 << 18
+OWN = LEVELS[0] + 1
 CONTEXTS = len(TABLE_BITS)
 CHUNK = 1 << 14
 PLACES, SEEN = 6, 5  # gates: place in the unit, how much the two longest contexts have seen
@@ -398,7 +400,7 @@ def unit_rows(blocks, keep=600_000):
 
 def keyed(rows, many=MANY):
     """Rows with `key`, the first bytes of their word, and `deep`, the symbols of a unit that settle it. Keys of more than `many` rows get more bytes."""
-    out = rows.select("*", F.substring("word", 1, LEVELS[0]).alias("key"), F.lit(LEVELS[0] + 1).alias("deep"))
+    out = rows.select("*", F.substring("word", 1, LEVELS[0]).alias("key"), F.lit(OWN).alias("deep"))
     for length in (*LEVELS[1:], None):
         hot = shared.stored(out.groupBy("key").count().where(F.col("count") > many).select("key", F.lit(True).alias("hot")), "hot-keys")
         if hot.isEmpty():
@@ -454,9 +456,9 @@ def whole_counts(units, n, deep, code):
 def vocabulary(rows, counts, many=MANY):
     """(unit, hash, n, c, leads, own, blocks) per distinct unit: its count and its word's in training texts (-1: no word), whether it is its word's first row,
     the counts of its starts, the blocks that hold it."""
-    fields = pa.schema(
-        [("unit", pa.binary()), ("hash", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("leads", pa.bool_()), ("own", pa.binary()), ("blocks", pa.list_(pa.int32()))]
-    )
+    names = ("unit", "hash", "n", "c", "leads", "own", "blocks", "deep")
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int32()), pa.int32())
+    fields = pa.schema(zip(names, kinds, strict=True))
 
     def run(batches):
         code = code_of(counts)
@@ -475,7 +477,7 @@ def vocabulary(rows, counts, many=MANY):
             c = np.rint(np.bincount(number, weights=total)).astype(np.int64)[number]
             c[pc.equal(pc.binary_length(word), 0).to_numpy(zero_copy_only=False)] = -1
             blocks = pa.ListArray.from_arrays(pa.array(np.append(starts, len(new)).astype(np.int32)), pa.array(block.to_numpy()))
-            columns = [unit, pa.array(hashes_of(units)), pa.array(total), pa.array(c), pa.array(leads), whole_counts(units, total, deep.to_numpy(), code), blocks]
+            columns = [unit, pa.array(hashes_of(units)), pa.array(total), pa.array(c), pa.array(leads), whole_counts(units, total, deep.to_numpy(), code), blocks, deep]
             out = pa.RecordBatch.from_arrays(columns, schema=fields)
             for a in range(0, out.num_rows, 10_000):
                 yield out.slice(a, 10_000)
@@ -484,8 +486,67 @@ def vocabulary(rows, counts, many=MANY):
     grouped = keyed(rows, many).select(F.shiftrightunsigned(F.xxhash64("key"), 32).alias("key"), "deep", "unit", "block", "n")
     turn = F.shiftleft("key", 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64("unit"), 32))
     together = grouped.repartition("key").sortWithinPartitions(turn, "unit")
-    schema = "unit binary, hash long, n long, c long, leads boolean, own binary, blocks array<int>"
-    return shared.stored(together.mapInArrow(run, schema), "vocabulary")
+    schema = "unit binary, hash long, n long, c long, leads boolean, own binary, blocks array<int>, deep int"
+    return completed(shared.stored(together.mapInArrow(run, schema), "vocabulary"), counts)
+
+
+def open_decisions(heads, deep, code):
+    """(slot, bit, head) of the decisions at places from `OWN` to before `deep` of heads, the first `deep` symbols of units."""
+    slots, bits, first, place = decisions(heads, code, (*[None] * 4, WHOLE))
+    row = np.repeat(np.arange(len(heads)), np.diff(np.append(first, len(bits))))
+    use = (place >= OWN) & (place < deep[row])
+    return slots[-1][use].view(np.int64), bits[use], row[use]
+
+
+def completed(vocab, counts):
+    """The vocabulary with counts for the starts that several groups share: each start's are summed over all groups, then set beside its units.
+
+    Units with the same first `deep` symbols (`head`) lack the same counts, so heads are what is summed and looked up, a row per decision.
+    """
+    lacking = vocab.where(F.col("deep") > OWN).withColumn("head", F.expr("substring(unit, 1, deep)"))
+    if lacking.isEmpty():
+        return vocab.drop("deep")
+    heads = shared.stored(lacking.groupBy("head", "deep").agg(F.sum("n").alias("n")), "heads")
+
+    def sums(batches):
+        code = code_of(counts)
+        for batch in shared.parts(batches):
+            if batch.num_rows:
+                slot, bit, row = open_decisions(batch.column(0).to_pylist(), batch.column(1).to_numpy(), code)
+                n = batch.column(2).to_numpy()[row]
+                found, at = np.unique(slot, return_inverse=True)
+                total = np.zeros((2, len(found)), dtype=np.int64)
+                np.add.at(total, (bit, at), n)
+                yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, total)], names=["slot", "zeros", "ones"])
+
+    def asked(batches):
+        code = code_of(counts)
+        for batch in shared.parts(batches):
+            if batch.num_rows:
+                slot, _, row = open_decisions(batch.column(0).to_pylist(), batch.column(1).to_numpy(), code)
+                each = np.bincount(row, minlength=batch.num_rows)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+                columns = [*(batch.column(k).take(pa.array(row)) for k in range(2)), pa.array(at.astype(np.int32)), pa.array(slot)]
+                yield pa.RecordBatch.from_arrays(columns, names=["head", "deep", "at", "slot"])
+
+    def set_beside(columns):
+        out = []
+        for own, found in zip(columns["own"], columns["found"], strict=True):
+            own = np.frombuffer(own, dtype=np.uint16).copy()
+            if found is not None:
+                zeros, ones = (np.array([x[name] for x in found], dtype=np.int64) for name in ("zeros", "ones"))
+                stop = int(np.count_nonzero(own == UNKNOWN))  # they come first; the last of them are those from `OWN` on
+                own[stop - len(found) : stop] = np.minimum((level_of(zeros).astype(np.uint16) << 8) | level_of(ones), UNKNOWN - 1)
+            out.append(own.tobytes())
+        return {**columns, "own": out}
+
+    totals = heads.mapInArrow(sums, "slot long, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    found = heads.select("head", "deep").mapInArrow(asked, "head binary, deep int, at int, slot long").join(shared.stored(totals, "starts"), "slot")
+    found = found.groupBy("head", "deep").agg(F.sort_array(F.collect_list(F.struct("at", "zeros", "ones"))).alias("found"))
+    filled = lacking.join(found, ["head", "deep"], "left").select(*(x for x in vocab.columns if x != "deep"), "found")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in filled.schema.fields if f.name != "found")
+    filled = shared.stored(filled.mapInArrow(shared.per_batch(set_beside, schema), schema), "vocabulary")
+    return vocab.where(F.col("deep") == OWN).drop("deep").unionByName(filled)
 
 
 def distinct_units(batches):

@@ -363,6 +363,20 @@ def test_whole_unit_counts_lie_beside_the_units(spark, many):
     assert known > 0 or many == 0
 
 
+@pytest.mark.parametrize("many", [20, 2, 0])
+def test_counts_beside_units_do_not_depend_on_the_groups(spark, many):
+    """Starts that several groups share have the counts of all of them, at every length."""
+    shared.ship(spark)
+    rows = spelled(random.Random(6), 400) + [(bytearray(b"a" * 40), bytearray(b"a" * 40 + end), block, 2) for end in (b" ", b"", b"\n") for block in range(5)]
+    frame_ = spark.createDataFrame(rows, "word binary, unit binary, block int, n long").repartition(4)
+    counts = mixing.symbol_counts(frame_)
+
+    def beside(many):
+        return {tuple(bytes(x) if isinstance(x, bytearray) else tuple(sorted(x)) if isinstance(x, list) else x for x in r) for r in mixing.vocabulary(frame_, counts, many).collect()}
+
+    assert beside(many) == beside(1 << 18)
+
+
 def test_groups_grow_deeper_only_where_they_are_too_large(spark):
     rows = [(b"common%03d" % k, b"", 0, 1) for k in range(50)] + [(b"rare%d" % k, b"", 0, 1) for k in range(5)] + [(b"comet", b"", 0, 1), (b"com", b"", 0, 1)]
     frame_ = spark.createDataFrame([(bytearray(w), bytearray(u), b, n) for w, u, b, n in rows], "word binary, unit binary, block int, n long")
