@@ -264,16 +264,16 @@ ATTRIBUTIONS = f"""
     normed as (select *, a / sqrt(sum(a * a) over (partition by doc_id, task)) as attribution from token_parts)"""
 
 
-def attributions(read):
+def attributions(read, operator):
     _, terms, heads = _heads(read)
     pred = LN.predict(terms, *heads, "doc_id")
-    return LN.attribute_tokens(terms, pred, *heads, "doc_id")
+    return operator(terms, pred, *heads, "doc_id")
 
 
 @query("attribute_tokens", f"with {ATTRIBUTIONS} select doc_id, task, predicted, term, round(attribution, 5) as attribution from normed")
 def attribute_tokens(read, spark):
     """What every term of every text adds to the winning class."""
-    return attributions(read).withColumn("attribution", F.round("attribution", 5))
+    return attributions(read, LN.attribute_tokens).withColumn("attribution", F.round("attribution", 5))
 
 
 @query(
@@ -284,9 +284,8 @@ def attribute_tokens(read, spark):
 )
 def top_attributions(read, spark):
     """The five terms of each text that speak most for the winning class."""
-    parts = attributions(read).withColumn("exact", F.col("attribution"))
-    top = LN.top_terms(parts.withColumn("attribution", F.round("exact", 9)), "doc_id", 5)
-    return top.withColumn("attribution", F.round("exact", 5)).drop("exact")
+    top = LN.top_terms(attributions(read, LN.term_parts), "doc_id", 5)
+    return top.withColumn("attribution", F.round("attribution", 5))
 
 
 @query(

@@ -5,12 +5,16 @@ bias, floor) holds the class's prior and what each term adds that the class has
 Texts come as (id, terms), one array per text. An id names one text.
 """
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from labelspark.functions.columns import argmax, softmax
-from labelspark.operators.lookup import beside_all, lookup_join
-from labelspark.operators.tiers import listed_terms, term_sums, tiers
-from labelspark.session import written
+from labelspark.operators.lookup import beside_all
+from labelspark.operators.tiers import TEXTS, in_filter, listed_terms, term_sums, tiers
+from labelspark.session import ship, written
 
 CLASSES = 100_000
 
@@ -53,10 +57,13 @@ def numbered_classes(offsets):
     return rows
 
 
-def term_counts(lists, id_col):
-    """(id, term, n): how often a text has each of its terms; a text without terms has one row with none."""
-    terms = lists.select(id_col, F.explode_outer("terms").alias("term"))
-    return terms.groupBy(id_col, "term").agg(F.count("term").alias("n"))
+def class_tiers(weights, offsets, classes):
+    """((_t, _l, idx): task and label of every numbered class, tiers of the weights by these numbers)"""
+    kind = offsets.select("task", "label").schema
+    schema = T.StructType([T.StructField("_t", kind["task"].dataType), T.StructField("_l", kind["label"].dataType), T.StructField("idx", T.IntegerType())])
+    own = F.broadcast(weights.sparkSession.createDataFrame([(c["task"], c["label"], k) for k, c in enumerate(classes)], schema))
+    placed = weights.join(own, (F.col("task") == F.col("_t")) & F.col("label").eqNullSafe(F.col("_l")))
+    return own, tiers(placed.select("term", "idx", "weight"), len(classes))
 
 
 def logits(lists, weights, offsets, id_col, column="terms", terms_of=listed_terms):
@@ -67,10 +74,7 @@ def logits(lists, weights, offsets, id_col, column="terms", terms_of=listed_term
     classes = numbered_classes(offsets)
     spark = lists.sparkSession
     kind = offsets.select("task", "label").schema
-    numbers = T.StructType([T.StructField("_t", kind["task"].dataType), T.StructField("_l", kind["label"].dataType), T.StructField("idx", T.IntegerType())])
-    own = spark.createDataFrame([(c["task"], c["label"], k) for k, c in enumerate(classes)], numbers)
-    placed = weights.join(F.broadcast(own), (F.col("task") == F.col("_t")) & F.col("label").eqNullSafe(F.col("_l")))
-    sums = term_sums(lists, tiers(placed.select("term", "idx", "weight"), len(classes)), id_col, column, terms_of)
+    sums = term_sums(lists, class_tiers(weights, offsets, classes)[1], id_col, column, terms_of)
     head = T.StructType([*T.StructType.fromDDL("idx int, bias double, floor double").fields, T.StructField("label", kind["label"].dataType)])
     heads = {}
     for k, c in enumerate(classes):
@@ -100,36 +104,132 @@ def predict(lists, weights, offsets, id_col, task=None):
     )
 
 
-def centred_weights(weights, offsets):
-    """(term, task, label, pull): what one occurrence of the term adds to the class beyond the mean class."""
-    classes = offsets.groupBy("task").agg(
-        F.collect_list(F.struct("label", "floor")).alias("_c"), F.avg("floor").alias("_mean"), F.count(F.lit(1)).alias("_k")
+PART = "array<struct<idx:int,term:string,a:double>>"
+
+
+def pulls_of(weights, floors, group):
+    """terms x classes: what one occurrence of a term adds to the class beyond the mean class of its task; not a number where no class of the task shows it."""
+    pulls = np.full(weights.shape, np.nan)
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        total = weights[:, own].sum(axis=1, keepdims=True)
+        pulls[:, own] = np.where(total > 0, weights[:, own] - total / len(own) + (floors[own] - floors[own].mean()), np.nan)
+    return pulls
+
+
+def ranges(first, size):
+    """The numbers from each `first`, as many as its `size`, in a row."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - first, size)
+
+
+def lists_of(sizes, values):
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
+def term_parts(lists, predicted, weights, offsets, id_col):
+    """(id, task, parts): per text and task an array of (predicted, term, attribution), one for every term that the task's classes have shown.
+
+    A text's terms are counted and weighed inside its row: the texts move once, to meet their winning classes by id. Only terms whose weights are
+    not sent (`operators.tiers`) are joined, a row each.
+    """
+    spark = lists.sparkSession
+    ship(spark)
+    classes = numbered_classes(offsets)
+    numbers, found = class_tiers(weights, offsets, classes)
+    # classes of a task lie together
+    group = np.cumsum([k > 0 and c["task"] != classes[k - 1]["task"] for k, c in enumerate(classes)], dtype=np.int32)
+    floors = np.array([c["floor"] for c in classes])
+    sent = spark.sparkContext.broadcast((found.terms, pulls_of(found.weights, floors, group), found.bits))
+    won = predicted.select(id_col, F.col("task").alias("_task"), F.col("predicted").alias("_won"))
+    won = won.join(numbers, (F.col("_task") == F.col("_t")) & F.col("_won").eqNullSafe(F.col("_l")))
+    won = won.groupBy(id_col).agg(F.sort_array(F.collect_set("idx")).alias("_w"))
+    texts = lists.groupBy(id_col).agg(F.flatten(F.collect_list("terms")).alias("_terms")).join(won, id_col).select(id_col, "_terms", "_w")
+    schema = T.StructType([texts.schema[id_col], *T.StructType.fromDDL(f"_g int, _w array<int>, _parts {PART}, _rest array<struct<term:string,n:bigint>>").fields])
+    fields = to_arrow_schema(schema)
+
+    def weighed(batch):
+        known, pulls, bits = sent.value
+        flat, sizes = listed_terms(batch.column(1))
+        coded = flat.dictionary_encode()
+        words, width = coded.dictionary, max(len(coded.dictionary), 1)
+        # one cell per text and different term
+        cell, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + coded.indices.to_numpy(), return_counts=True)
+        word, ends = cell % width, np.searchsorted(cell, np.arange(len(sizes) + 1) * width)
+        place = pc.fill_null(pc.index_in(words, value_set=known), len(known)).to_numpy(zero_copy_only=False)
+        rare = (place == len(known)) & in_filter(words, bits)
+        # a row per text and task, with its winning classes
+        winners, text = batch.column(2).flatten().to_numpy(), np.repeat(np.arange(len(sizes)), pc.list_value_length(batch.column(2)).to_numpy())
+        new = np.ones(len(text), dtype=bool)
+        new[1:] = (text[1:] != text[:-1]) | (group[winners[1:]] != group[winners[:-1]])
+        out = np.flatnonzero(new)
+        own, line = text[out], np.cumsum(new) - 1
+        at, per = ranges(ends[text], ends[text + 1] - ends[text]), ends[text + 1] - ends[text]
+        idx, line = np.repeat(winners, per), np.repeat(line, per)
+        a = n[at] * pulls[place[word[at]], idx]
+        shown = ~np.isnan(a)
+        parts = [pa.array(idx[shown], pa.int32()), words.take(pa.array(word[at[shown]])), pa.array(a[shown])]
+        at, per = ranges(ends[own], ends[own + 1] - ends[own]), ends[own + 1] - ends[own]
+        left = rare[word[at]] if len(at) else np.zeros(0, dtype=bool)
+        rest = [words.take(pa.array(word[at[left]])), pa.array(n[at[left]])]
+        return [
+            batch.column(0).take(pa.array(own)),
+            pa.array(group[winners[out]], pa.int32()),
+            lists_of(np.diff(np.append(out, len(text))), pa.array(winners, pa.int32())),
+            lists_of(np.bincount(line[shown], minlength=len(out)), pa.StructArray.from_arrays(parts, names=["idx", "term", "a"])),
+            lists_of(np.bincount(np.repeat(np.arange(len(out)), per)[left], minlength=len(out)), pa.StructArray.from_arrays(rest, names=["term", "n"])),
+        ]
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS):
+                columns = weighed(whole.slice(start, TEXTS))
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, fields, strict=True)], schema=fields)
+
+    rows = texts.mapInArrow(run, schema)
+    if found.rare is not None:
+        rows = with_rare(written(rows, "term-parts"), found.rare, floors, group, id_col)
+    kind = offsets.select("task", "label").schema
+    head = [T.StructField("_of", T.IntegerType()), T.StructField("task", kind["task"].dataType), T.StructField("_first", T.IntegerType())]
+    tasks = [(g, classes[own[0]]["task"], own[0], [classes[k]["label"] for k in own]) for g in np.unique(group).tolist() for own in [np.flatnonzero(group == g).tolist()]]
+    tasks = spark.createDataFrame(tasks, T.StructType([*head, T.StructField("_labels", T.ArrayType(kind["label"].dataType))]))
+    rows = rows.where(F.size("_parts") > 0).join(F.broadcast(tasks), F.col("_g") == F.col("_of"))
+    # the norm is an argument, not part of the function: it is taken once per row
+    norm = F.sqrt(F.aggregate("_parts", F.lit(0.0), lambda s, p: s + p["a"] * p["a"]))
+    label = lambda p: F.get("_labels", p["idx"] - F.col("_first"))
+    share = lambda p, n: F.coalesce(F.try_divide(p["a"], n), F.lit(0.0))
+    parts = F.zip_with(
+        "_parts", F.array_repeat(norm, F.size("_parts")), lambda p, n: F.struct(label(p).alias("predicted"), p["term"].alias("term"), share(p, n).alias("attribution"))
     )
-    shown = weights.groupBy("term", "task").agg(
-        F.collect_list(F.struct("label", "weight")).alias("_w"), F.sum("weight").alias("_sum")
+    return rows.select(id_col, "task", parts.alias("parts"))
+
+
+def with_rare(rows, rare, floors, group, id_col):
+    """Rows of texts and tasks with the parts of their rare terms added."""
+    tasks = rows.sparkSession.createDataFrame(
+        [(g, own, (floors[own] - floors[own].mean()).tolist()) for g in np.unique(group).tolist() for own in [np.flatnonzero(group == g).tolist()]],
+        "_of int, _classes array<int>, _lead array<double>",
     )
-    rows = shown.join(F.broadcast(written(classes, "head-classes")), "task").withColumn("_c", F.explode("_c"))
-    known = F.filter("_w", lambda w: w["label"].eqNullSafe(F.col("_c.label")))
-    own = F.coalesce(F.get(known, F.lit(0))["weight"], F.lit(0.0)) - F.col("_sum") / F.col("_k")
-    pull = own + F.col("_c.floor") - F.col("_mean")
-    return rows.select("term", "task", F.col("_c.label").alias("label"), pull.alias("pull"))
+    found = rows.select(id_col, "_g", "_w", F.explode("_rest").alias("_x")).select(id_col, "_g", "_w", "_x.*").join(rare, "term")
+    found = found.join(F.broadcast(tasks), F.col("_g") == F.col("_of"))
+    found = found.withColumn("_own", F.filter("entries", lambda e: F.array_contains("_classes", e["idx"]))).where(F.size("_own") > 0)
+    mean = F.aggregate("_own", F.lit(0.0), lambda s, e: s + e["weight"]) / F.size("_classes")
+    lead = F.get("_lead", F.col("idx") - F.get("_classes", F.lit(0)))
+    found = found.select(id_col, "_g", "term", "n", "_own", "_classes", "_lead", mean.alias("_mean"), F.explode("_w").alias("idx"))
+    weight = F.coalesce(F.get(F.filter("_own", lambda e: e["idx"] == F.col("idx")), F.lit(0))["weight"], F.lit(0.0))
+    found = found.select(id_col, "_g", F.struct("idx", "term", (F.col("n") * (weight - F.col("_mean") + lead)).alias("a")).alias("_part"))
+    found = found.groupBy(id_col, "_g").agg(F.collect_list("_part").alias("_more"))
+    return rows.join(found, [id_col, "_g"], "left").withColumn("_parts", F.concat("_parts", F.coalesce("_more", F.array().cast(PART))))
 
 
 def attribute_tokens(lists, predicted, weights, offsets, id_col):
-    """(id, task, term, attribution): the term's part in the winning class, over the L2 norm of the text's parts."""
-    terms = term_counts(lists, id_col).where(F.col("term").isNotNull())
-    winners = predicted.select(id_col, "task", F.col("predicted").alias("_won"))
-    pulls = centred_weights(weights, offsets)
-    by_term = pulls.groupBy("term").agg(F.collect_list(F.struct("task", "label", "pull")).alias("_p"))
-    found = lookup_join(terms, by_term, "term").join(winners.groupBy(id_col).agg(F.collect_list(F.struct("task", "_won")).alias("_w")), id_col)
-    won = lambda p: F.exists("_w", lambda w: (w["task"] == p["task"]) & w["_won"].eqNullSafe(p["label"]))
-    parts = found.select(id_col, "term", "n", F.explode(F.filter("_p", won)).alias("_p"))
-    parts = parts.select(id_col, F.col("_p.task").alias("task"), F.col("_p.label").alias("predicted"), "term", (F.col("n") * F.col("_p.pull")).alias("_a"))
-    norm = F.sqrt(F.sum(F.col("_a") * F.col("_a")).over(W.partitionBy(id_col, "task")))
-    return parts.select(id_col, "task", "predicted", "term", F.coalesce(F.try_divide("_a", norm), F.lit(0.0)).alias("attribution"))
-
-
-def top_terms(attributions, id_col, k):
-    """The k terms that speak most for the winning class of each text and task."""
-    rank = F.row_number().over(W.partitionBy(id_col, "task").orderBy(F.col("attribution").desc(), "term"))
-    return attributions.withColumn("rank", rank).where(F.col("rank") <= k)
+    """(id, task, predicted, term, attribution): the term's part in the winning class, over the L2 norm of the text's parts."""
+    parts = term_parts(lists, predicted, weights, offsets, id_col)
+    return parts.select(id_col, "task", F.explode("parts").alias("_p")).select(id_col, "task", "_p.*")
+
+
+def top_terms(parts, id_col, k, digits=9):
+    """The k terms of `term_parts` that speak most for the winning class of each text and task, ranked inside the row; equal to `digits` digits, the first term."""
+    less = lambda p: (-F.round(p["attribution"], digits)).alias("_less")
+    ordered = F.array_sort(F.transform("parts", lambda p: F.struct(less(p), p["term"].alias("term"), p["predicted"].alias("predicted"), p["attribution"].alias("attribution"))))
+    rows = parts.select(id_col, "task", F.posexplode(F.slice(ordered, 1, k)).alias("_k", "_p"))
+    return rows.select(id_col, "task", "_p.predicted", "_p.term", "_p.attribution", (F.col("_k") + 1).alias("rank"))

@@ -37,6 +37,15 @@ def _positions(terms, size):
     return hashed % np.uint64(size), (hashed >> np.uint64(32)) * np.uint64(2654435761) % np.uint64(size)
 
 
+def in_filter(terms, bits):
+    """Whether each term may be a rare one, by the filter; none is without a filter."""
+    held = np.full(len(terms), bits is not None)
+    if bits is not None:
+        for at in _positions(terms, len(bits) * 64):
+            held &= (bits[at // np.uint64(64)] >> at % np.uint64(64) & np.uint64(1)).astype(bool)
+    return held
+
+
 def filter_of(table, n):
     """Bits set for every term of a table: words of 64 bits, folded by task, then by word."""
     size = 64
@@ -128,9 +137,7 @@ def term_sums(df, found, id_col, column, terms_of=listed_terms):
                 if bits is not None:
                     other = np.flatnonzero(place == len(known))
                     rest = flat.take(pa.array(other))
-                    held = np.ones(len(rest), bool)
-                    for at in _positions(rest, len(bits) * 64):
-                        held &= (bits[at // np.uint64(64)] >> at % np.uint64(64) & np.uint64(1)).astype(bool)
+                    held = in_filter(rest, bits)
                     rest = rest.filter(pa.array(held))
                     left = np.bincount(np.repeat(np.arange(n), sizes)[other[held]], minlength=n)
                 lists = [

@@ -2,6 +2,7 @@
 
 import math
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,51 @@ def test_count_heads_match_brute_force(spark):
     assert max(parts, key=lambda r: r["attribution"])["term"] == "good"
 
 
+def plain_attributions(texts, predicted, weights, offsets):
+    """{(id, task, predicted, term): attribution} from collected rows; rows of an id are one text."""
+    counts, classes, heads, parts = {}, {}, {}, {}
+    for i, terms in texts:
+        for t in terms or []:
+            counts.setdefault(i, Counter())[t] += 1
+    for r in offsets:
+        classes.setdefault(r["task"], {})[r["label"]] = r["floor"]
+    for r in weights:
+        heads.setdefault((r["term"], r["task"]), {})[r["label"]] = r["weight"]
+    for i, task, label in {(r["i"], r["task"], r["predicted"]) for r in predicted if r["i"] is not None}:
+        floors = classes[task]
+        for term, n in counts.get(i, {}).items():
+            shown = heads.get((term, task))
+            if shown:
+                pull = shown.get(label, 0) - sum(shown.values()) / len(floors) + floors[label] - sum(floors.values()) / len(floors)
+                parts[i, task, label, term] = n * pull
+    norms = Counter()
+    for (i, task, _, _), a in parts.items():
+        norms[i, task] += a * a
+    return {key: a / math.sqrt(norms[key[:2]]) for key, a in parts.items()}
+
+
+@pytest.mark.parametrize("bytes_sent", [1 << 24, 400])
+def test_attributions_match_brute_force_without_a_row_per_term(spark, monkeypatch, bytes_sent):
+    """Two tasks, null and repeated ids, texts without terms; with few bytes sent, rarer terms are joined. The terms stay in their text's row."""
+    monkeypatch.setattr(TI, "SENT_BYTES", bytes_sent)
+    rows = [(i, f"w{i % 11} w{i % 5} common x{i % 3}" + " again" * (i % 4), task, (i + len(task)) % (2 + (task == "b"))) for i in range(60) for task in ("a", "b") if i % 2 or task == "a"]
+    df = spark.createDataFrame(rows, "i int, text string, task string, value int")
+    heads = LN.count_heads(T.term_lists(df, "i"), df.select("i", "task", F.col("value").alias("label")), "i")
+    new = [(1, "common w1 again again unseen"), (2, "w2 w3"), (2, "w2 x1 x1"), (2, "w2 w3"), (None, "common"), (4, ""), (5, None), (6, "unseen")]
+    lists = T.term_lists(spark.createDataFrame(new, "i int, text string"), "i")
+    pred = LN.predict(lists, *heads, "i")
+    got = LN.attribute_tokens(lists, pred, *heads, "i").collect()
+    want = plain_attributions([tuple(r) for r in lists.collect()], pred.collect(), *(h.collect() for h in heads))
+    assert {tuple(r)[:4]: round(r["attribution"], 9) for r in got} == {k: round(a, 9) for k, a in want.items()} and len(got) == len(want) > 10
+    top = LN.top_terms(LN.term_parts(lists, pred, *heads, "i"), "i", 2).collect()
+    for key in {k[:2] for k in want}:
+        best = sorted((-round(a, 9), k[3], k[2]) for k, a in want.items() if k[:2] == key)[:2]
+        assert [(r["term"], r["predicted"]) for r in sorted((r for r in top if (r["i"], r["task"]) == key), key=lambda r: r["rank"])] == [b[1:] for b in best]
+    if bytes_sent > 400:
+        plan = LN.top_terms(LN.term_parts(lists, pred, *heads, "i"), "i", 2)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "explode(terms" not in plan
+
+
 def test_many_classes_and_null_labels(spark):
     docs = spark.createDataFrame([(i, f"w{i} common") for i in range(100)], "i int, text string")
     labels = docs.select("i", F.lit("t").alias("task"), F.when(F.col("i") > 0, F.col("i")).alias("label"))
