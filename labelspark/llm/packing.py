@@ -18,12 +18,13 @@ from pyspark.sql import types as T
 
 from labelspark.llm import shared
 from labelspark.llm.token_ids import default_path, pieces, width_of
+from labelspark.session import small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long"
 #: Totals of so many partitions, 16 bytes each, may be sent to all executors; beyond it they are joined.
 SENT_PARTS = 1 << 20
-#: Pieces of text whose ids a worker process keeps.
-KEEP = 240_000
+#: Pieces of text whose ids a worker process keeps, and texts that come to it, or ids that it gives, at once.
+KEEP, TEXTS = 240_000, 1024
 
 
 def token_stream(docs, path, end_id, id_col="doc_id", text_col="text"):
@@ -38,7 +39,7 @@ def token_stream(docs, path, end_id, id_col="doc_id", text_col="text"):
         part, before = TaskContext.get().partitionId(), 0
         coder = pieces(path, KEEP)
         end = np.array([end_id], dtype=coder.dtype).tobytes()
-        for batch in shared.parts(batches):
+        for batch in shared.parts(batches, TEXTS):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in shared.slices(texts):
                 coded = [x + end for x in coder.encode(texts[a:b])]
@@ -51,7 +52,8 @@ def token_stream(docs, path, end_id, id_col="doc_id", text_col="text"):
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_or_empty(text_col).alias("text"))
-    return shared.stored(rows.mapInArrow(run, "part long, doc_id long, before long, n long, ids binary"), "tokens")
+    with small_batches(spark, TEXTS):
+        return shared.stored(rows.mapInArrow(run, "part long, doc_id long, before long, n long, ids binary"), "tokens")
 
 
 def part_places(rows):
