@@ -48,6 +48,7 @@ def in_filter(terms, bits):
 
 def filter_of(table, n):
     """Bits set for every term of a table: words of 64 bits, folded by task, then by word."""
+    ship(table.sparkSession)
     size = 64
     while size < min(16 * n, FILTER_BITS):
         size *= 2
