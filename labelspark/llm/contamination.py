@@ -65,14 +65,12 @@ def bound(value, use):
 def item_windows(items, window, names=True):
     """(hash, size, item_id, item_pos, n_tokens) of every window with a word in it."""
     tokens = items.withColumn("tokens", template_tokens(F.col("text"), names)).where(F.size("tokens") > 0)
-    hashed = tokens.withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(t)))
-    out = None
-    for size in range(1, window + 1):
-        fits = F.size("tokens") >= window if size == window else F.size("tokens") == size
-        part = hashed.where(fits).withColumn("item_pos", F.explode(F.sequence(F.lit(0), F.size("tokens") - size)))
-        part = part.where(F.exists(F.slice("tokens", F.col("item_pos") + 1, F.lit(size)), lambda t: F.ascii(t) >= 4))
-        part = part.select("item_id", "item_pos", window_hash(F.col("hashes"), F.col("item_pos"), size).alias("hash")).withColumn("size", F.lit(size))
-        out = part if out is None else out.unionByName(part)
+    sized = tokens.withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(t))).withColumn("size", F.least(F.size("tokens"), F.lit(window)))
+    out = sized.withColumn("item_pos", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))))
+    out = out.where(F.exists(F.slice("tokens", F.col("item_pos") + 1, F.col("size")), lambda t: F.ascii(t) >= 4))
+    # one branch for items of all lengths: a union of one per length would repeat the whole template in the plan
+    hashes = [F.when(F.col("size") == size, window_hash(F.col("hashes"), F.col("item_pos"), size)) for size in range(1, window + 1)]
+    out = out.select("item_id", "item_pos", F.coalesce(*hashes).alias("hash"), "size")
     # what windows with a word can reach: all of an item but for long rows of placeholders
     reached = out.withColumn("token", F.explode(F.sequence(F.col("item_pos"), F.col("item_pos") + F.col("size") - 1)))
     return out.join(reached.groupBy("item_id").agg(F.count_distinct("token").cast("int").alias("n_tokens")), "item_id")
@@ -86,8 +84,8 @@ def bit_map(wanted, n):
     place = F.pmod("hash", F.lit(size)).cast("int")
     set_bits = wanted.select(F.shiftright(place, 6).alias("word"), bit_of(place).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     found = {r["word"]: r["bits"] for r in set_bits.collect()}
-    words = ",".join(f"bigint('{found.get(k, 0)}')" for k in range(size // 64))
-    return F.expr(f"array({words})"), size
+    # one literal for the analyser, which would copy an expression of as many parts again and again in the driver's memory
+    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(size // 64))), ",").cast("array<bigint>"), size
 
 
 def bit_of(place):
@@ -123,8 +121,8 @@ def matching(docs, items, window):
     if n <= SENT_WINDOWS:
         bits, size = bit_map(wanted, n)
     routes = {names: sorted(k for route, k, _ in sizes if route == names) for names in (True, False)}
-    lists = [route_hits(names, windows, bits, size) for names, windows in routes.items() if windows]
-    rows = docs.select("doc_id", F.explode(F.concat(*lists)).alias("w")).select("doc_id", "w.*")
+    found_by = lambda b: F.concat(*[route_hits(names, windows, b, size) for names, windows in routes.items() if windows])
+    rows = docs.select("doc_id", F.explode(bound(bits, found_by)).alias("w")).select("doc_id", "w.*")
     found = rows.join(wanted, ["names", "size", "hash"])
     return shared.stored(found.select("names", "doc_id", "item_id", "size", "n_tokens", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift")), "template-matches")
 

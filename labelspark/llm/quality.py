@@ -99,15 +99,20 @@ def features(texts):
     return out
 
 
+def scaled_with_one(x, scale):
+    """Scaled features and a column of ones, made in place: this is the driver's memory."""
+    out = np.ones((len(x), x.shape[1] + 1))
+    np.multiply(x, scale, out=out[:, :-1])
+    return out
+
+
 def fit(positive, unlabelled, prior, steps=4000, rate=0.01, l2=1e-5, seed=7):
     """Weights and bias of the non-negative risk minimiser, by Adam on batches of scaled features."""
     rng = np.random.default_rng(seed)
     scale = 1 / (unlabelled.std(axis=0).astype(np.float64) + 0.02)
-    positive, unlabelled = positive * scale, unlabelled * scale
-    weights, first, second = np.zeros(positive.shape[1] + 1), 0.0, 0.0
+    positive, unlabelled = scaled_with_one(positive, scale), scaled_with_one(unlabelled, scale)
+    weights, first, second = np.zeros(positive.shape[1]), 0.0, 0.0
     weights[-1] = np.log(prior / (1 - prior))
-    with_one = lambda x: np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(np.float64)
-    positive, unlabelled = with_one(positive), with_one(unlabelled)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     mean = np.zeros_like(weights)
     for step in range(1, steps + 1):

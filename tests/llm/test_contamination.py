@@ -92,3 +92,15 @@ def test_windows_of_placeholders_alone_do_not_meet(spark):
     both = items(spark, [(9, item), (10, "1 2 3")])
     assert contamination.matching(frame(spark, [(1, numbers)]).select("doc_id", "text"), both, contamination.WINDOW).count() == 0
     assert set(pairs(contamination.leaks(frame(spark, [(1, "1 2 3"), (2, item), (3, numbers)]), both))) == {(2, 9)}
+
+
+def test_the_bit_map_is_one_literal_wherever_it_is_used(spark):
+    words = " ".join(f"word{k}x{k}" for k in range(300))
+    wanted = contamination.item_windows(items(spark, [(1, words)]), 8)
+    bits, size = contamination.bit_map(wanted, wanted.count())
+    made = spark.range(1).select(bits.alias("b"))
+    assert size // 64 > 60 and made._jdf.queryExecution().analyzed().toString().count("cast(") <= 2
+    assert contamination.item_windows(items(spark, [(1, words)]), 8)._jdf.queryExecution().analyzed().toString().count("Generate") <= 4
+    words = made.first()["b"]
+    assert len(words) == size // 64
+    assert all(words[r["hash"] % size // 64] >> (r["hash"] % size % 64) & 1 for r in wanted.collect())

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -46,6 +47,16 @@ def test_quality_of_held_out_documents(spark):
     assert kept == set(got.index[got.predicted == 1])
 
 
+def test_the_fit_holds_its_rows_once():
+    rng = np.random.default_rng(1)
+    good, all_ = (rng.random((n, quality.SIZE), dtype=np.float32) for n in (3000, 6000))
+    tracemalloc.start()
+    found = quality.fit(good, all_, 0.6, steps=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == quality.SIZE + 1 and most < 1.5 * 9000 * 8 * (quality.SIZE + 1)
+
+
 def test_quality_edges(spark):
     docs = frame(spark, edge_rows())
     none = quality.score(docs, quality.train(docs, labels_of(spark, []))).toPandas()
