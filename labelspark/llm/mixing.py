@@ -529,23 +529,33 @@ def completed(vocab, counts):
                 columns = [*(batch.column(k).take(pa.array(row)) for k in range(2)), pa.array(at.astype(np.int32)), pa.array(slot)]
                 yield pa.RecordBatch.from_arrays(columns, names=["head", "deep", "at", "slot"])
 
-    def set_beside(columns):
-        out = []
-        for own, found in zip(columns["own"], columns["found"], strict=True):
-            own = np.frombuffer(own, dtype=np.uint16).copy()
-            if found is not None:
-                zeros, ones = (np.array([x[name] for x in found], dtype=np.int64) for name in ("zeros", "ones"))
-                stop = int(np.count_nonzero(own == UNKNOWN))  # they come first; the last of them are those from `OWN` on
-                own[stop - len(found) : stop] = np.minimum((level_of(zeros).astype(np.uint16) << 8) | level_of(ones), UNKNOWN - 1)
-            out.append(own.tobytes())
-        return {**columns, "own": out}
+    def set_beside(batches):
+        for batch in shared.parts(batches):
+            if not batch.num_rows:
+                continue
+            own, found = batch.column(place["own"]), batch.column(place["found"])
+            size = pc.binary_length(own).to_numpy(zero_copy_only=False) // 2
+            each = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values, ends, stops = np.frombuffer(b"".join(own.to_pylist()), dtype=np.uint16).copy(), np.cumsum(size), np.cumsum(each)
+            unknown = np.cumsum(np.append(0, values == UNKNOWN))
+            # Unknown places come first in a unit; the last of them are those from `OWN` on.
+            last = (ends - size) + unknown[ends] - unknown[ends - size]
+            at = np.repeat(last - stops, each) + np.arange(each.sum())
+            counts = found.flatten()
+            zeros, ones = (level_of(counts.field(k).to_numpy(zero_copy_only=False)) for k in (1, 2))
+            values[at] = np.minimum((zeros.astype(np.uint16) << 8) | ones, UNKNOWN - 1)
+            offsets = np.append(0, 2 * ends).astype(np.int32)
+            columns = [batch.column(k) for k in range(batch.num_columns - 1)]
+            columns[place["own"]] = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     totals = heads.mapInArrow(sums, "slot long, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     found = heads.select("head", "deep").mapInArrow(asked, "head binary, deep int, at int, slot long").join(shared.stored(totals, "starts"), "slot")
     found = found.groupBy("head", "deep").agg(F.sort_array(F.collect_list(F.struct("at", "zeros", "ones"))).alias("found"))
     filled = lacking.join(found, ["head", "deep"], "left").select(*(x for x in vocab.columns if x != "deep"), "found")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in filled.schema.fields if f.name != "found")
-    filled = shared.stored(filled.mapInArrow(shared.per_batch(set_beside, schema), schema), "vocabulary")
+    place = {name: k for k, name in enumerate(filled.columns)}
+    filled = shared.stored(filled.mapInArrow(set_beside, schema), "vocabulary")
     return vocab.where(F.col("deep") == OWN).drop("deep").unionByName(filled)
 
 

@@ -422,3 +422,13 @@ def test_results_do_not_depend_on_batches(spark):
         assert [x for t in tables for x in t.column("n").to_pylist()] == list(range(300))
         ends = [(t.column("key").to_pylist()[0], t.column("key").to_pylist()[-1]) for t in tables]
         assert all(a[1] != b[0] for a, b in zip(ends[:-1], ends[1:], strict=True))
+
+
+def test_counts_are_set_beside_units_without_a_python_object_each(spark, monkeypatch):
+    counts, rows = mixing.pair_counts([b"aaaaaaab ", b"aaaaaaac "], np.array([2, 3])).tobytes(), []
+    for block in range(3):
+        rows += [(w, w + b" ", block, block + 1) for w in (b"aaaaaaab", b"aaaaaaac", b"aaaaaaaad", b"bcdefghij", b"b")]
+    frame_ = spark.createDataFrame(rows, "word binary, unit binary, block int, n long")
+    plain = {bytes(r["unit"]): bytes(r["own"]) for r in mixing.vocabulary(frame_, counts, 100).collect()}
+    monkeypatch.setattr(shared, "per_batch", None)
+    assert {bytes(r["unit"]): bytes(r["own"]) for r in mixing.vocabulary(frame_, counts, 2).collect()} == plain
