@@ -6,6 +6,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The split before the merges that such files ask for: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
@@ -14,6 +16,9 @@ SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|
 #: characters, odd white space. A text with one of them goes to the library as it stands.
 UNSURE = regex.compile(r"[\p{No}\p{Nl}\p{Cn}\p{Co}\p{Cs}\x1c-\x1f\x85᠎​]")
 
+#: What str.isspace() holds for, as a class for Arrow's expressions.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 
 def default_path():
     import public_tokenizers
@@ -45,7 +50,8 @@ class Known(dict):
             if (piece.isspace() or not piece.isascii()) and UNSURE.search(piece):
                 found = None
             else:
-                letters = piece.encode().decode("latin-1").translate(self.letters)
+                plain = piece.isascii() and piece.isprintable()
+                letters = piece.replace(" ", self.letters[32]) if plain else piece.encode().decode("latin-1").translate(self.letters)
                 found = array(self.code, [x.id for x in self.tokenize(letters)]).tobytes()
         self[piece] = found
         return found
@@ -61,6 +67,10 @@ class Pieces:
 
     A byte-level BPE works inside the pieces its split yields, so a text's ids are those of its pieces in a row. The library's model
     gives the ids of a piece. A text that holds an added token's string goes to the library as it stands, which gives that token's id.
+
+    Of the words of a batch (what lies between blanks) only the different ones are split, in one text. No piece but a run of white space goes on
+    beyond a blank, so a word with the blank before it has the same pieces anywhere, unless it begins with white space: texts with such a word,
+    as with two blanks in a row, are split by themselves.
     """
 
     def __init__(self, path, keep=120_000):
@@ -81,28 +91,66 @@ class Pieces:
             and not found.get("normalizer")
             and not any(x.get(name) for x in found.get("added_tokens", []) for name in odd)
         )
-        self.dtype, code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        self.dtype, code, self.width = ("<u2", "H", 2) if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I", 4)
         self.known, self.keep = Known(self.tokenizer.model.tokenize, code), keep
 
     def whole(self, text):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
+    def by_pieces(self, text):
+        """Ids from the pieces of a text, None where one of them has an unsure character."""
+        try:
+            return b"".join(map(self.known.__getitem__, SPLIT.findall(text)))
+        except TypeError:
+            return None
+
+    def by_words(self, texts):
+        """Ids of each text from the different words of all, None where these do not give them."""
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded, offsets = parts.values.dictionary_encode(), parts.offsets.to_numpy()
+        number, first = coded.indices.to_numpy(), offsets[:-1]
+        odd = pc.match_substring_regex(coded.dictionary, f"^({SPACE}|$)").to_numpy(zero_copy_only=False)
+        usual = np.flatnonzero(~odd)
+        words = pa.ListArray.from_arrays([0, len(usual)], coded.dictionary.take(pa.array(usual)))
+        pieces = SPLIT.findall(" " + pc.binary_join(words, pa.scalar(" ", pa.large_string()))[0].as_py()) if len(usual) else []
+        ids = list(map(self.known.__getitem__, pieces))
+        begins = np.flatnonzero(np.fromiter((x[0] == " " for x in pieces), dtype=bool, count=len(pieces)))
+        if len(usual):
+            odd[usual] = np.logical_or.reduceat(np.fromiter((x is None for x in ids), dtype=bool, count=len(ids)), begins)
+        ids = [x or b"" for x in ids]
+        size, start = np.zeros(len(odd), dtype=np.int64), np.zeros(len(odd), dtype=np.int64)
+        if len(usual):
+            size[usual] = np.add.reduceat(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.width, begins)
+            start[usual] = np.cumsum(size[usual]) - size[usual]
+        size, start = size[number], start[number]
+        size[first] = 0  # a text's first word has no blank before it
+        stop = np.cumsum(size)
+        pool = np.frombuffer(b"".join(ids), dtype=self.dtype)
+        data = pool[np.repeat(start - stop + size, size) + np.arange(stop[-1])].tobytes()
+        stops = [0, *(stop[offsets[1:] - 1] * self.width).tolist()]
+        bad, heads = odd[number], parts.values.take(pa.array(first)).to_pylist()
+        bad[first] = False
+        heads = [None if x else self.by_pieces(head) for x, head in zip(np.logical_or.reduceat(bad, first), heads, strict=True)]
+        return [None if head is None else head + data[a:b] for head, a, b in zip(heads, stops[:-1], stops[1:], strict=True)]
+
     def encode(self, texts):
         """Ids of each text as bytes of `dtype`."""
-        if not self.splits:
+        if not self.splits or not len(texts):
             return [self.whole(text) for text in texts]
         if len(self.known) > self.keep:
             self.known.forget()
-        get, out = self.known.__getitem__, []
-        for text in texts:
+        try:
+            found = self.by_words(texts)
+        except UnicodeEncodeError:  # half of a pair of surrogates
+            found = [None] * len(texts)
+        for k, text in enumerate(texts):
             if any(token in text for token in self.added):
-                out.append(self.whole(text))
-                continue
-            try:
-                out.append(b"".join(map(get, SPLIT.findall(text))))
-            except TypeError:
-                out.append(self.whole(text))
-        return out
+                found[k] = self.whole(text)
+            elif found[k] is None:
+                found[k] = self.by_pieces(text)
+                if found[k] is None:
+                    found[k] = self.whole(text)
+        return found
 
 
 @functools.lru_cache(maxsize=2)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from labelspark.llm import shared
-from labelspark.llm.packing import part_places
+from labelspark.llm.packing import KEEP, part_places
 from labelspark.llm.token_ids import default_path, pieces, width_of
 from labelspark.session import shared_folder
 
@@ -130,7 +130,7 @@ def write_store(docs, folder, path=None, end_id=2, level=3, file_ids=FILE_IDS, i
     fields = pa.schema([("part", pa.int64()), ("before", pa.int64()), ("docs", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
 
     def run(batches):
-        coder, packer = pieces(path), compressor(sent.value, level)
+        coder, packer = pieces(path, KEEP), compressor(sent.value, level)
         end = np.array([end_id], dtype=coder.dtype).tobytes()
         part, before = TaskContext.get().partitionId(), 0
         ids, sizes, frames, held = [], [], [], 0

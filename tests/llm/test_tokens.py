@@ -4,6 +4,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
@@ -110,3 +112,16 @@ def test_token_files_of_edges(spark):
     assert ordered == sorted(ordered) and got.doc_id.iloc[:2].isna().all()
     assert got.start.tolist() == [0, *np.cumsum(got.n_tokens)[:-1]]
     assert token_store.round_trip(frame(spark, [])).count() == 0
+
+
+def test_different_words_of_a_batch_are_split_once():
+    coder, seen = token_ids.Pieces(token_ids.default_path()), []
+    coder.known = type("Seen", (token_ids.Known,), {"__getitem__": lambda self, piece: seen.append(piece) or token_ids.Known.__missing__(self, piece)})(
+        coder.tokenizer.model.tokenize, "H"
+    )
+    texts = ["one two, three two, one"] * 50 + [" two", "two ", "a\n two", "a \n\ntwo", "a  two", "a   two ", "  two", "a  two", " \n two\n\n  two\n", "1 2's '  's", "one\x1c two", "½ two", "<|endoftext|> two"]
+    assert coder.encode(texts) == [coder.whole(text) for text in texts]
+    assert len(seen) < 150
+    signs = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    spaces = pc.match_substring_regex(pa.array(signs), f"^{token_ids.SPACE}$").to_pylist()
+    assert spaces == [c.isspace() for c in signs]
