@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from labelspark.llm import shared
+from labelspark.session import small_batches
 
 #: log2 of the slots per context: one to four symbols, the whole unit (in a table only where few units stand alone, as in tests).
 TABLE_BITS = (16, 18, 20, 22, 22)
@@ -550,12 +551,15 @@ def completed(vocab, counts):
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     totals = heads.mapInArrow(sums, "slot long, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    found = heads.select("head", "deep").mapInArrow(asked, "head binary, deep int, at int, slot long").join(shared.stored(totals, "starts"), "slot")
+    # The engine takes the size of `heads` for that of `asked`, which has a row per decision: without the hint it would gather those on the driver.
+    totals = shared.stored(totals, "starts").hint("merge")
+    found = heads.select("head", "deep").mapInArrow(asked, "head binary, deep int, at int, slot long").join(totals, "slot")
     found = found.groupBy("head", "deep").agg(F.sort_array(F.collect_list(F.struct("at", "zeros", "ones"))).alias("found"))
     filled = lacking.join(found, ["head", "deep"], "left").select(*(x for x in vocab.columns if x != "deep"), "found")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in filled.schema.fields if f.name != "found")
     place = {name: k for k, name in enumerate(filled.columns)}
-    filled = shared.stored(filled.mapInArrow(set_beside, schema), "vocabulary")
+    with small_batches(vocab.sparkSession, 2048):  # a row holds the counts of all its starts
+        filled = shared.stored(filled.mapInArrow(set_beside, schema), "vocabulary")
     return vocab.where(F.col("deep") == OWN).drop("deep").unionByName(filled)
 
 

@@ -388,6 +388,23 @@ def test_counts_beside_units_do_not_depend_on_the_groups(spark, many):
     assert beside(many) == beside(1 << 18)
 
 
+def test_rows_per_decision_are_not_gathered_on_the_driver(spark, monkeypatch):
+    """Counts of shared starts are looked up by a join that sends no side as a whole, however small the file of heads is."""
+    shared.ship(spark)
+    rows = spelled(random.Random(6), 200)
+    frame_ = spark.createDataFrame(rows, "word binary, unit binary, block int, n long").repartition(4)
+    plans, stored = [], shared.stored
+
+    def noting(df, name, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name, *more)
+
+    monkeypatch.setattr(shared, "stored", noting)
+    mixing.vocabulary(frame_, mixing.symbol_counts(frame_), 20).count()
+    looked_up = [plan for plan in plans if "MapInArrow asked(" in plan]
+    assert len(looked_up) == 1 and "BroadcastHashJoin [slot" not in looked_up[0] and "SortMergeJoin [slot" in looked_up[0]
+
+
 def test_groups_grow_deeper_only_where_they_are_too_large(spark):
     rows = [(b"common%03d" % k, b"", 0, 1) for k in range(50)] + [(b"rare%d" % k, b"", 0, 1) for k in range(5)] + [(b"comet", b"", 0, 1), (b"com", b"", 0, 1)]
     frame_ = spark.createDataFrame([(bytearray(w), bytearray(u), b, n) for w, u, b, n in rows], "word binary, unit binary, block int, n long")
