@@ -22,15 +22,93 @@ CLASSES = 100_000
 def count_heads(lists, labels, id_col):
     """(weights, offsets) from add-one smoothed term shares: one head per task of `labels` (id, task, label).
 
-    The counts are written once; applying the heads never reads the training texts again.
+    The counts are written once; applying the heads never reads the training texts again. Texts move to their labels as packed terms (`packed_terms`).
     """
-    # the outer form keeps the optimizer from testing the size of every list before the join
-    terms = lists.join(labels, id_col).select("task", "label", F.explode_outer("terms").alias("term"))
-    terms = terms.where(F.col("term").isNotNull())
-    counts = written(terms.groupBy("task", "label", "term").agg(F.count(F.lit(1)).alias("n")), "head-counts")
+    ship(lists.sparkSession)
+    kinds = [labels.schema[name] for name in ("task", "label")]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in kinds), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
+    fields = to_arrow_schema(schema)
+
+    def counted(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(start, TEXTS)
+                terms, n, sizes = unpacked_terms(batch.column(2))
+                coded = terms.dictionary_encode()
+                words, width = coded.dictionary, max(len(coded.dictionary), 1)
+                own = np.zeros(batch.num_rows, np.int64)
+                for k in range(2):
+                    values = batch.column(k).dictionary_encode()
+                    own = own * (len(values.dictionary) + 1) + pc.fill_null(values.indices, len(values.dictionary)).to_numpy(zero_copy_only=False)
+                _, first, own = np.unique(own, return_index=True, return_inverse=True)
+                cell, at = np.unique(np.repeat(own, sizes) * width + coded.indices.to_numpy(), return_inverse=True)
+                total = np.rint(np.bincount(at, weights=n, minlength=len(cell))).astype(np.int64)
+                row = pa.array(first[cell // width])
+                columns = [batch.column(0).take(row), batch.column(1).take(row), words.take(pa.array(cell % width)), pa.array(total)]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, fields, strict=True)], schema=fields)
+
+    texts = packed_terms(lists, id_col).join(labels, id_col).select("task", "label", "_packed")
+    counts = texts.mapInArrow(counted, schema).groupBy("task", "label", "term").agg(F.sum("n").alias("n"))
+    counts = written(counts, "head-counts")
     return weights_of(counts), offsets_of(counts, class_priors(labels))
 
 
+def planes(*columns):
+    """Bytes of whole numbers below 2^32, the lowest byte of all of them first: what is small compresses to little."""
+    return np.ascontiguousarray(np.concatenate([np.asarray(x).astype("<u4") for x in columns]).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data, columns):
+    """`columns` arrays of equal length from the bytes of `planes`."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(columns, -1).astype(np.int64)
+
+
+def distinct_terms(column):
+    """(different terms of all lists, per list and term of its own: its term's place among them, how often it has it, first of each list's; ends with all)."""
+    flat, sizes = listed_terms(column)
+    coded = flat.dictionary_encode()
+    width = max(len(coded.dictionary), 1)
+    cell, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + coded.indices.to_numpy(), return_counts=True)
+    return coded.dictionary, cell % width, n, np.searchsorted(cell, np.arange(len(sizes) + 1) * width)
+
+
+def packed_terms(lists, id_col):
+    """(id, _packed): each text's different terms and how often it has them, compressed."""
+    schema = T.StructType([lists.schema[id_col], T.StructField("_packed", T.BinaryType())])
+    fields = to_arrow_schema(schema)
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(start, TEXTS)
+                words, word, n, ends = distinct_terms(batch.column(1))
+                terms = words.take(pa.array(word)).cast(pa.binary())
+                length = pc.binary_length(terms).to_numpy(zero_copy_only=False)
+                chars, stops = b"".join(terms.to_pylist()), np.concatenate([[0], np.cumsum(length)])
+                out = []
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    data = planes(length[a:b], n[a:b]) + chars[stops[a] : stops[b]]
+                    out.append(np.array([b - a, len(data)], "<u4").tobytes() + pa.compress(data, codec="zstd", asbytes=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(fields[0].type), pa.array(out, pa.binary())], schema=fields)
+
+    return lists.select(id_col, "terms").mapInArrow(run, schema)
+
+
+def unpacked_terms(column):
+    """(terms of all texts in a row, how often their texts have them, how many terms each text has) of a column of packed terms."""
+    chars, length, n, sizes = [], [], [], np.zeros(len(column), np.int64)
+    for k, data in enumerate(column.to_pylist()):
+        sizes[k], size = np.frombuffer(data, "<u4", 2).tolist()
+        data = pa.decompress(memoryview(data)[8:], size, codec="zstd", asbytes=True)
+        own = from_planes(data[: 8 * sizes[k]], 2)
+        length.append(own[0])
+        n.append(own[1])
+        chars.append(data[8 * sizes[k] :])
+    length, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (length, n))
+    offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int64))
+    return pa.Array.from_buffers(pa.large_string(), len(length), [None, offsets, pa.py_buffer(b"".join(chars))]), n, sizes
+
+
 def class_priors(labels):
     sizes = labels.groupBy("task", "label").agg(F.count(F.lit(1)).alias("_n"))
     share = F.col("_n") / F.sum("_n").over(W.partitionBy("task"))
@@ -105,6 +183,7 @@ def predict(lists, weights, offsets, id_col, task=None):
 
 
 PART = "array<struct<idx:int,term:string,a:double>>"
+MORE = "array<struct<term:string,n:int,entries:array<struct<idx:int,weight:double>>>>"
 
 
 def pulls_of(weights, floors, group):
@@ -129,8 +208,9 @@ def lists_of(sizes, values):
 def term_parts(lists, predicted, weights, offsets, id_col):
     """(id, task, parts): per text and task an array of (predicted, term, attribution), one for every term that the task's classes have shown.
 
-    A text's terms are counted and weighed inside its row: the texts move once, to meet their winning classes by id. Only terms whose weights are
-    not sent (`operators.tiers`) are joined, a row each.
+    A text's terms are counted where the text lies; the counts of those whose weights are sent (`operators.tiers`) move once, as numbers, to meet the
+    winning classes by id and are weighed inside the row. Only terms whose weights are not sent are joined, a row each, and come back with their weights
+    before anything is weighed: the parts never move.
     """
     spark = lists.sparkSession
     ship(spark)
@@ -143,40 +223,56 @@ def term_parts(lists, predicted, weights, offsets, id_col):
     won = predicted.select(id_col, F.col("task").alias("_task"), F.col("predicted").alias("_won"))
     won = won.join(numbers, (F.col("_task") == F.col("_t")) & F.col("_won").eqNullSafe(F.col("_l")))
     won = won.groupBy(id_col).agg(F.sort_array(F.collect_set("idx")).alias("_w"))
-    texts = lists.groupBy(id_col).agg(F.flatten(F.collect_list("terms")).alias("_terms")).join(won, id_col).select(id_col, "_terms", "_w")
-    schema = T.StructType([texts.schema[id_col], *T.StructType.fromDDL(f"_g int, _w array<int>, _parts {PART}, _rest array<struct<term:string,n:bigint>>").fields])
+    texts = coded_terms(lists.where(F.col(id_col).isNotNull()), sent, id_col)
+    if found.rare is None:
+        more = None
+    else:
+        texts = written(texts, "term-codes")
+        more = texts.select(id_col, F.explode("_rest").alias("_x")).select(id_col, "_x.*").join(found.rare, "term")
+        more = more.groupBy(id_col).agg(F.collect_list(F.struct("term", "n", "entries")).alias("_more"))
+    texts = texts.groupBy(id_col).agg(F.collect_list("_codes").alias("_codes")).join(won, id_col)
+    texts = texts.withColumn("_more", F.lit(None).cast(MORE)) if more is None else texts.join(more, id_col, "left")
+    texts = texts.select(id_col, "_w", "_codes", "_more")
+    schema = T.StructType([texts.schema[id_col], *T.StructType.fromDDL(f"_g int, _parts {PART}").fields])
     fields = to_arrow_schema(schema)
 
     def weighed(batch):
-        known, pulls, bits = sent.value
-        flat, sizes = listed_terms(batch.column(1))
-        coded = flat.dictionary_encode()
-        words, width = coded.dictionary, max(len(coded.dictionary), 1)
+        known, pulls, _ = sent.value
+        text, place, n = decoded_terms(batch.column(2))
+        # rare terms have the numbers after the known ones
+        listed, first = batch.column(3), len(known)
+        sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
+        flat = listed.flatten()
+        coded = flat.field("term").dictionary_encode()
+        words, entries = coded.dictionary, flat.field("entries")
+        number = coded.indices.to_numpy()
+        table = np.zeros((len(words), len(floors)))
+        held = entries.flatten()
+        table[np.repeat(number, pc.list_value_length(entries).to_numpy(zero_copy_only=False)), held.field("idx").to_numpy()] = held.field("weight").to_numpy()
+        table = pulls_of(table, floors, group)
+        text, place, n = (np.concatenate(x) for x in ((text, np.repeat(np.arange(len(sizes)), sizes)), (place, number + first), (n, flat.field("n").to_numpy())))
         # one cell per text and different term
-        cell, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + coded.indices.to_numpy(), return_counts=True)
+        used, word = np.unique(place, return_inverse=True)
+        words = pa.concat_arrays([known.take(pa.array(used[used < first])), words.cast(known.type).take(pa.array(used[used >= first] - first))])
+        of_word = np.concatenate([pulls[used[used < first]], table[used[used >= first] - first]])
+        width = max(len(used), 1)
+        cell, at = np.unique(text * width + word, return_inverse=True)
+        n = np.bincount(at, weights=n, minlength=len(cell))
         word, ends = cell % width, np.searchsorted(cell, np.arange(len(sizes) + 1) * width)
-        place = pc.fill_null(pc.index_in(words, value_set=known), len(known)).to_numpy(zero_copy_only=False)
-        rare = (place == len(known)) & in_filter(words, bits)
         # a row per text and task, with its winning classes
-        winners, text = batch.column(2).flatten().to_numpy(), np.repeat(np.arange(len(sizes)), pc.list_value_length(batch.column(2)).to_numpy())
+        winners, text = batch.column(1).flatten().to_numpy(), np.repeat(np.arange(len(sizes)), pc.list_value_length(batch.column(1)).to_numpy())
         new = np.ones(len(text), dtype=bool)
         new[1:] = (text[1:] != text[:-1]) | (group[winners[1:]] != group[winners[:-1]])
-        out = np.flatnonzero(new)
-        own, line = text[out], np.cumsum(new) - 1
-        at, per = ranges(ends[text], ends[text + 1] - ends[text]), ends[text + 1] - ends[text]
-        idx, line = np.repeat(winners, per), np.repeat(line, per)
-        a = n[at] * pulls[place[word[at]], idx]
+        out, line = np.flatnonzero(new), np.cumsum(new) - 1
+        per = ends[text + 1] - ends[text]
+        at, idx, line = ranges(ends[text], per), np.repeat(winners, per), np.repeat(line, per)
+        a = n[at] * of_word[word[at], idx]
         shown = ~np.isnan(a)
         parts = [pa.array(idx[shown], pa.int32()), words.take(pa.array(word[at[shown]])), pa.array(a[shown])]
-        at, per = ranges(ends[own], ends[own + 1] - ends[own]), ends[own + 1] - ends[own]
-        left = rare[word[at]] if len(at) else np.zeros(0, dtype=bool)
-        rest = [words.take(pa.array(word[at[left]])), pa.array(n[at[left]])]
         return [
-            batch.column(0).take(pa.array(own)),
+            batch.column(0).take(pa.array(text[out])),
             pa.array(group[winners[out]], pa.int32()),
-            lists_of(np.diff(np.append(out, len(text))), pa.array(winners, pa.int32())),
             lists_of(np.bincount(line[shown], minlength=len(out)), pa.StructArray.from_arrays(parts, names=["idx", "term", "a"])),
-            lists_of(np.bincount(np.repeat(np.arange(len(out)), per)[left], minlength=len(out)), pa.StructArray.from_arrays(rest, names=["term", "n"])),
         ]
 
     def run(batches):
@@ -186,8 +282,6 @@ def term_parts(lists, predicted, weights, offsets, id_col):
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, fields, strict=True)], schema=fields)
 
     rows = texts.mapInArrow(run, schema)
-    if found.rare is not None:
-        rows = with_rare(written(rows, "term-parts"), found.rare, floors, group, id_col)
     kind = offsets.select("task", "label").schema
     head = [T.StructField("_of", T.IntegerType()), T.StructField("task", kind["task"].dataType), T.StructField("_first", T.IntegerType())]
     tasks = [(g, classes[own[0]]["task"], own[0], [classes[k]["label"] for k in own]) for g in np.unique(group).tolist() for own in [np.flatnonzero(group == g).tolist()]]
@@ -203,22 +297,49 @@ def term_parts(lists, predicted, weights, offsets, id_col):
     return rows.select(id_col, "task", parts.alias("parts"))
 
 
-def with_rare(rows, rare, floors, group, id_col):
-    """Rows of texts and tasks with the parts of their rare terms added."""
-    tasks = rows.sparkSession.createDataFrame(
-        [(g, own, (floors[own] - floors[own].mean()).tolist()) for g in np.unique(group).tolist() for own in [np.flatnonzero(group == g).tolist()]],
-        "_of int, _classes array<int>, _lead array<double>",
-    )
-    found = rows.select(id_col, "_g", "_w", F.explode("_rest").alias("_x")).select(id_col, "_g", "_w", "_x.*").join(rare, "term")
-    found = found.join(F.broadcast(tasks), F.col("_g") == F.col("_of"))
-    found = found.withColumn("_own", F.filter("entries", lambda e: F.array_contains("_classes", e["idx"]))).where(F.size("_own") > 0)
-    mean = F.aggregate("_own", F.lit(0.0), lambda s, e: s + e["weight"]) / F.size("_classes")
-    lead = F.get("_lead", F.col("idx") - F.get("_classes", F.lit(0)))
-    found = found.select(id_col, "_g", "term", "n", "_own", "_classes", "_lead", mean.alias("_mean"), F.explode("_w").alias("idx"))
-    weight = F.coalesce(F.get(F.filter("_own", lambda e: e["idx"] == F.col("idx")), F.lit(0))["weight"], F.lit(0.0))
-    found = found.select(id_col, "_g", F.struct("idx", "term", (F.col("n") * (weight - F.col("_mean") + lead)).alias("a")).alias("_part"))
-    found = found.groupBy(id_col, "_g").agg(F.collect_list("_part").alias("_more"))
-    return rows.join(found, [id_col, "_g"], "left").withColumn("_parts", F.concat("_parts", F.coalesce("_more", F.array().cast(PART))))
+def coded_terms(lists, sent, id_col):
+    """(id, _codes, _rest): the numbers of a text's different known terms with their counts as bytes, and the terms that may be rare with theirs.
+
+    `sent`: known terms, anything, bits of the rare terms' filter. All other terms have no weight.
+    """
+    rows = lists.select(id_col, "terms")
+    schema = T.StructType([rows.schema[id_col], *T.StructType.fromDDL("_codes binary, _rest array<struct<term:string,n:int>>").fields])
+    fields = to_arrow_schema(schema)
+
+    def coded(batch):
+        known, _, bits = sent.value
+        words, word, n, ends = distinct_terms(batch.column(1))
+        place = pc.fill_null(pc.index_in(words, value_set=known), len(known)).to_numpy(zero_copy_only=False)
+        rare = ((place == len(known)) & in_filter(words, bits))[word] if len(words) else np.zeros(0, dtype=bool)
+        place = place[word]
+        codes = []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            order = np.argsort(place[a:b])
+            order = order[: np.searchsorted(place[a:b][order], len(known))]
+            codes.append(planes(np.diff(place[a:b][order], prepend=0), n[a:b][order]))
+        text = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+        rest = pa.StructArray.from_arrays([words.take(pa.array(word[rare])), pa.array(n[rare], pa.int32())], names=["term", "n"])
+        return [batch.column(0), pa.array(codes, pa.binary()), lists_of(np.bincount(text[rare], minlength=batch.num_rows), rest)]
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS):
+                columns = coded(whole.slice(start, TEXTS))
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, fields, strict=True)], schema=fields)
+
+    return rows.mapInArrow(run, schema)
+
+
+def decoded_terms(column):
+    """(text, number of a known term, count) of a column of lists of `_codes`."""
+    text, place, n = [], [], []
+    for k, codes in enumerate(column.to_pylist()):
+        for data in codes:
+            own = from_planes(data, 2)
+            text.append(np.full(own.shape[1], k))
+            place.append(np.cumsum(own[0]))
+            n.append(own[1])
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (text, place, n))
 
 
 def attribute_tokens(lists, predicted, weights, offsets, id_col):

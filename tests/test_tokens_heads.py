@@ -121,6 +121,26 @@ def test_attributions_match_brute_force_without_a_row_per_term(spark, monkeypatc
         assert "Window" not in plan and "explode(terms" not in plan
 
 
+def test_the_parts_of_a_text_do_not_move(spark, monkeypatch):
+    """Rare terms get their weights before anything is weighed: what is weighed is neither shuffled nor written."""
+    monkeypatch.setattr(TI, "SENT_BYTES", 400)
+    df = small_corpus(spark)
+    lists = T.term_lists(df, "i")
+    heads = LN.count_heads(lists, df.select("i", "task", F.col("value").alias("label")), "i")
+    plan = LN.attribute_tokens(lists, LN.predict(lists, *heads, "i"), *heads, "i")._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("MapInArrow")[0]
+    assert "MapInArrow" in plan and "_parts" in above and "hashpartitioning" not in above and "LeftOuter" not in above
+
+
+def test_packed_terms_come_back(spark):
+    rows = [(1, ["a", "b", "a", "東京", None]), (2, []), (3, None), (None, ["naïve"] * 300 + ["x" * 70_000])]
+    packed = LN.packed_terms(spark.createDataFrame(rows, "i int, terms array<string>"), "i").toArrow()
+    terms, n, sizes = LN.unpacked_terms(packed.column("_packed").combine_chunks())
+    stops = np.cumsum(sizes)
+    got = {i: dict(zip(terms.to_pylist()[b - k : b], n[b - k : b].tolist())) for i, k, b in zip(packed.column("i").to_pylist(), sizes, stops)}
+    assert got == {i: dict(Counter(t for t in own or [] if t is not None)) for i, own in rows}
+
+
 def test_many_classes_and_null_labels(spark):
     docs = spark.createDataFrame([(i, f"w{i} common") for i in range(100)], "i int, text string")
     labels = docs.select("i", F.lit("t").alias("task"), F.when(F.col("i") > 0, F.col("i")).alias("label"))
