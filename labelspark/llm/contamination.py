@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from labelspark.llm import shared
 
 WINDOW, COVER, RUN = 8, 0.5, 13
-#: For so many benchmark windows a bit map, 16 bits a window, picks the likely hits inside the row; beyond it all windows of a text become rows.
-SENT_WINDOWS = 1 << 16
+#: For so many benchmark windows a bit map picks the likely hits inside the row; beyond it all windows of a text become rows.
+SENT_WINDOWS = 1 << 22
+#: Bits of the map: `WINDOW_BITS` a window, `MOST_BITS` (2 MB) at most; with more windows more that are no hits become rows.
+WINDOW_BITS, MOST_BITS = 32, 1 << 24
 
 #: Units that may follow a number.
 UNITS = "km|cm|mm|m|kg|mg|g|ml|l|ms|s|min|h|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|miles|mile|feet|inches|dollars|euros|cents|percent|degrees"
@@ -36,14 +38,20 @@ U, N, P, END = "\x01", "\x02", "\x03", "\x04"
 TOKEN = r"[\x01\x02\x03][^\x04]*\x04|[\p{L}\p{Nd}]+"
 
 
+def at_once(pattern):
+    """The pattern with its closing repeated group taken in one go: the same matches, as nothing follows it, but no call per repetition, of which
+    some thousands in a row (names, or a number's parts) overflow the executor's stack and end it."""
+    return pattern.replace(")*)", ")*+)")
+
+
 def marked(text, names=True):
     """The text with its slot values between marks; without `names` its case is folded first and names stay words."""
     plain = F.regexp_replace(text, r"[\x01-\x04]", " ")
     if not names:
         plain = F.lower(F.upper(plain))
     units = F.regexp_replace(plain, UNIT, f"$1 {U}$2{END}$3")
-    numbers = F.regexp_replace(units, NUMBER, f"{N}$1{END}")
-    return F.lower(F.regexp_replace(numbers, NAME, f"$1{P}$2{END}")) if names else numbers
+    numbers = F.regexp_replace(units, at_once(NUMBER), f"{N}$1{END}")
+    return F.lower(F.regexp_replace(numbers, at_once(NAME), f"$1{P}$2{END}")) if names else numbers
 
 
 def template_tokens(text, names=True):
@@ -76,16 +84,23 @@ def item_windows(items, window, names=True):
     return out.join(reached.groupBy("item_id").agg(F.count_distinct("token").cast("int").alias("n_tokens")), "item_id")
 
 
+def places(value, size):
+    """The two places of a window's hash in a map of `size` bits."""
+    return F.pmod(value, F.lit(size)).cast("int"), F.pmod(F.shiftrightunsigned(value, 32), F.lit(size)).cast("int")
+
+
 def bit_map(wanted, n):
-    """(a constant: 64-bit words with a bit set for every wanted hash, bits in all), about 16 bits a hash."""
+    """(a constant: 64-bit words with two bits set for every wanted hash, bits in all)."""
     size = 64
-    while size < 16 * n:
+    while size < min(WINDOW_BITS * n, MOST_BITS):
         size *= 2
-    place = F.pmod("hash", F.lit(size)).cast("int")
-    set_bits = wanted.select(F.shiftright(place, 6).alias("word"), bit_of(place).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    found = {r["word"]: r["bits"] for r in set_bits.collect()}
+    place = wanted.select(F.explode(F.array(*places(F.col("hash"), size))).alias("place"))
+    words = place.select(F.shiftright("place", 6).alias("word"), bit_of(F.col("place")).alias("bits"))
+    empty = wanted.sparkSession.range(size // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    words = words.unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    text = words.groupBy().agg(F.array_join(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].cast("array<string>"), ",").alias("text"))
     # one literal for the analyser, which would copy an expression of as many parts again and again in the driver's memory
-    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(size // 64))), ",").cast("array<bigint>"), size
+    return F.split(F.lit(text.first()["text"]), ",").cast("array<bigint>"), size
 
 
 def bit_of(place):
@@ -98,8 +113,8 @@ def hits(hashes, bits, size, window):
         F.sequence(F.lit(0), F.size(hashes) - window), lambda i: F.struct(F.lit(window).alias("size"), i.alias("doc_pos"), window_hash(hashes, i, window).alias("hash"))
     )
     if size:
-        place = lambda w: F.pmod(w["hash"], F.lit(size)).cast("int")
-        found = F.filter(found, lambda w: F.get(bits, F.shiftright(place(w), 6)).bitwiseAND(bit_of(place(w))) != 0)
+        is_set = lambda place: F.get(bits, F.shiftright(place, 6)).bitwiseAND(bit_of(place)) != 0
+        found = F.filter(found, lambda w: is_set(places(w["hash"], size)[0]) & is_set(places(w["hash"], size)[1]))
     return F.when(F.size(hashes) >= window, found).otherwise(F.array().cast("array<struct<size:int,doc_pos:int,hash:bigint>>"))
 
 
@@ -130,7 +145,8 @@ def matching(docs, items, window):
 def slots(rows, id_col, names=True):
     """(id, pos, value): the slot values of texts at their token positions."""
     tokens = F.regexp_extract_all(marked(F.col("text"), names), F.lit(TOKEN), F.lit(0))
-    return rows.select(id_col, F.posexplode(tokens).alias("pos", "value")).where(F.ascii("value") < 4)
+    placed = F.filter(F.transform(tokens, lambda t, k: F.struct(k.alias("pos"), t.alias("value"))), lambda t: F.ascii(t["value"]) < 4)
+    return rows.select(id_col, F.explode(placed).alias("slot")).select(id_col, "slot.*")
 
 
 def alignments(docs, items, matches, names=True):

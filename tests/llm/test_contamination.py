@@ -104,3 +104,39 @@ def test_the_bit_map_is_one_literal_wherever_it_is_used(spark):
     words = made.first()["b"]
     assert len(words) == size // 64
     assert all(words[r["hash"] % size // 64] >> (r["hash"] % size % 64) & 1 for r in wanted.collect())
+
+
+def test_many_windows_are_picked_inside_the_row(spark, monkeypatch):
+    """Over 2^16 benchmark windows: the bit map picks the likely hits, all of them and few others become rows."""
+    rng = random.Random(8)
+    texts = [prose(rng, 400) for _ in range(100)]
+    docs = frame(spark, [(1, prose(rng, 300) + " " + texts[7]), (2, prose(rng, 900))]).select("doc_id", "text")
+    used, whole = [], contamination.route_hits
+
+    def noting(names, windows, bits, size):
+        used.append(size)
+        return whole(names, windows, bits, size)
+
+    monkeypatch.setattr(contamination, "route_hits", noting)
+    both = items(spark, list(enumerate(texts)))
+    assert sum(contamination.item_windows(both, 8, names).count() for names in (True, False)) > 1 << 16
+    assert set(pairs(contamination.leaks(docs, both))) == {(1, 7)}
+    assert used and all(used)
+    wanted = contamination.item_windows(both, 8)
+    bits, size = contamination.bit_map(wanted, wanted.count())
+    rows = docs.select(contamination.F.explode(contamination.bound(bits, lambda b: contamination.route_hits(True, [8], b, size))).alias("w")).select("w.hash")
+    exact = rows.join(wanted.select("hash").distinct(), "hash", "left_semi").count()
+    assert 300 < exact <= rows.count() < exact + 50
+
+
+def test_only_slots_become_rows(spark):
+    rows = [(1, "well, walk 60 km with Anna Berg and 7 others"), (2, "no slot here"), (None, "5"), (3, None)]
+    found = contamination.slots(frame(spark, rows).select("doc_id", "text"), "doc_id")
+    assert {(r["doc_id"], r["pos"], r["value"][1:-1]) for r in found.collect()} == {(1, 2, "60"), (1, 3, "km"), (1, 5, "anna berg"), (1, 7, "7"), (None, 0, "5")}
+    assert "posexplode" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_runs_of_names_and_numbers(spark):
+    rows = [(1, "well, " + "Anna " * 20_000 + ". " + QUESTION), (2, "1." * 20_000 + "1 " + QUESTION), (3, "so, " + "Anna Bo Cy " * 3)]
+    both = items(spark, [(9, QUESTION), (10, "so, " + "Ida " * 20_000 + "met one two three four five six seven eight nine")])
+    assert set(pairs(contamination.leaks(frame(spark, rows), both))) == {(1, 9), (2, 9)}
